@@ -9,8 +9,8 @@ its length. There is no shuffle, and a lost task is simply run again.
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +21,11 @@ from pyspark.sql import types as T
 from .common import slices
 
 #: Words that a task keeps; beyond it the table starts anew.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 400_000
 #: Bytes of text that are encoded at a time, and the largest vocabulary file that is broadcast.
 SLICE, MAX_VOCABULARY = 8 << 20, 64 << 20
+#: Where no token is made of two neighbours: after every rank.
+NONE = (1 << 31) - 1
 
 
 class Replay:
@@ -32,70 +34,125 @@ class Replay:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.tokens = {i: b for b, i in ranks.items()}
-        self.single = [ranks.get(bytes([b]), -1) for b in range(256)]
-        if min(self.single) < 0:
+        single = [ranks.get(bytes([b]), -1) for b in range(256)]
+        if min(single) < 0:
             raise ValueError("the vocabulary lacks single bytes")
-        self.pairs: dict[tuple[int, int], int] = {}
-
-    def rank(self, a: int, b: int) -> int:
-        """The rank of the token that two neighbours make, -1 if there is none."""
-        key = (a, b)
-        got = self.pairs.get(key)
-        if got is None:
-            if len(self.pairs) > 2_000_000:
-                self.pairs.clear()
-            got = self.pairs[key] = self.ranks.get(self.tokens[a] + self.tokens[b], -1)
-        return got
-
-    def encode(self, words: list[bytes]) -> list[list[int]]:
-        """The ids of each word; a word that is itself a token is that token."""
-        symbols: list[int] = []
-        after: list[int] = []
-        before: list[int] = []
-        starts = []
-        index: dict[int, list[int]] = {}
-        for word in words:
-            starts.append(len(symbols))
-            whole = self.ranks.get(word)
-            ids = [self.single[b] for b in word] if whole is None else [whole]
-            at, n = len(symbols), len(ids)
-            symbols += ids
-            after += [*range(at + 1, at + n), -1][:n]
-            before += [-1, *range(at, at + n - 1)][:n]
-            for p in range(at, at + n - 1):
-                r = self.rank(symbols[p], symbols[p + 1])
-                if r >= 0:
-                    index.setdefault(r, []).append(p)
-        heap = list(index)
-        heapq.heapify(heap)
-        while heap:
-            r = heapq.heappop(heap)
-            found = index.pop(r, None)
-            if found is None:
-                continue
-            found.sort()
-            for k, p in enumerate(found):
-                q = after[p] if symbols[p] >= 0 else -1
-                if q < 0 or self.rank(symbols[p], symbols[q]) != r:
-                    continue
-                symbols[p], symbols[q] = r, -1
-                after[p] = n = after[q]
-                lowest = r
-                if n >= 0:
-                    before[n] = p
-                for left, right in ((before[p], p), (p, n)):
-                    if left >= 0 and right >= 0 and (x := self.rank(symbols[left], symbols[right])) >= 0:
-                        if x not in index:
-                            heapq.heappush(heap, x)
-                        index.setdefault(x, []).append(left)
-                        lowest = min(lowest, x)
-                if lowest < r:  # a pair that goes first has come up: the rest of this pair's positions wait
-                    if rest := found[k + 1 :]:
-                        index.setdefault(r, []).extend(rest)
-                        heapq.heappush(heap, r)
+        self.single = np.array(single, np.int64)
+        get = ranks.get
+        made = [(x << 32 | y, r) for b, r in ranks.items() for k in range(1, len(b)) if (x := get(b[:k])) is not None and (y := get(b[k:])) is not None]
+        self.bits = max(4, (4 * len(made)).bit_length())
+        keys, self.made = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int64)
+        self.probes = 1
+        todo = np.array(made, np.int64).reshape(-1, 2)
+        slot = self._slot(todo[:, 0])
+        while len(todo):  # open addressing: of those that want a free slot, one gets it, the rest step on
+            free = keys[slot] == -1
+            keys[slot[free]] = todo[free, 0]
+            got = keys[slot] == todo[:, 0]
+            self.made[slot[got]] = todo[got, 1]
+            todo, slot = todo[~got], (slot[~got] + 1) & ((1 << self.bits) - 1)
+            self.probes += bool(len(todo))
+        self.keys = keys
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of the token that two neighbours make, NONE if there is none."""
+        key = a << 32 | b
+        slot = self._slot(key)
+        out = np.full(len(key), NONE, np.int64)
+        left = np.arange(len(key))
+        for _ in range(self.probes):
+            there = self.keys[slot]
+            got = there == key
+            out[left[got]] = self.made[slot[got]]
+            go = ~got & (there != -1)
+            if not go.any():
+                break
+            left, key, slot = left[go], key[go], (slot[go] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after another, and where each word's begin; a word that is itself a token is that token.
+
+        ``index`` lists the positions of all words by rank, as rank and position in one number; a sweep takes the
+        first entry of every word, merges there, and looks up the ranks of the two pairs beside it anew.
+        """
+        n = len(words)
+        whole = np.fromiter((self.ranks.get(w, -1) for w in words), np.int64, n)
+        sizes = np.fromiter(map(len, words), np.int64, n)
+        sizes[whole >= 0] = 0
+        data = np.frombuffer(b"".join([w for w, x in zip(words, whole.tolist(), strict=True) if x < 0]), np.uint8)
+        symbols = self.single[data]
+        word = np.repeat(np.arange(n), sizes)
+        final = [np.stack([np.flatnonzero(whole >= 0), np.zeros(int((whole >= 0).sum()), np.int64), whole[whole >= 0]])]
+        pairs = np.full(len(symbols), NONE, np.int64)
+        inner = np.flatnonzero(word[1:] == word[:-1])
+        pairs[inner] = self.rank(symbols[inner], symbols[inner + 1])
+        while len(symbols):
+            starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+            index = pairs << 32 | np.arange(len(symbols))
+            first = np.minimum.reduceat(index, starts)
+            lengths = np.diff(np.r_[starts, len(symbols)])
+            done = first >> 32 == NONE
+            if done.any():  # nothing is left to merge in these words
+                out = np.repeat(done, lengths)
+                final.append(np.stack([word[out], np.arange(len(symbols))[out], symbols[out]]))
+                symbols, word, pairs = symbols[~out], word[~out], pairs[~out]
+                if not len(symbols):
                     break
-        ends = [*starts[1:], len(symbols)]
-        return [[s for s in symbols[a:b] if s >= 0] for a, b in zip(starts, ends, strict=True)]
+                at = (first[~done] & 0xFFFFFFFF) - np.cumsum(np.where(done, lengths, 0))[~done]
+                ranks = first[~done] >> 32
+            else:
+                at, ranks = first & 0xFFFFFFFF, first >> 32
+            symbols[at] = ranks
+            keep = np.ones(len(symbols), bool)
+            keep[at + 1] = False
+            at = at - np.arange(len(at))  # each merge before it has taken a position away
+            symbols, word, pairs = symbols[keep], word[keep], pairs[keep]
+            for p in (at[at > 0] - 1, at[at < len(word) - 1]):
+                p = p[word[p] == word[p + 1]]
+                pairs[p] = self.rank(symbols[p], symbols[p + 1])
+            last = at[np.r_[word, -1][at + 1] != word[at]]
+            pairs[last] = NONE
+        owner, place, ids = np.concatenate(final, axis=1)
+        order = np.argsort(owner * (1 << 32) + place, kind="stable")
+        offsets = np.zeros(n + 1, np.int64)
+        np.cumsum(np.bincount(owner, minlength=n), out=offsets[1:])
+        return ids[order].astype(np.int32), offsets
+
+
+class Known(dict):
+    """Words that were met, by number, and the ids of each; a new word gets the next number."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[str] = []
+        self.ids, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def __missing__(self, word: str) -> int:
+        self.fresh.append(word)
+        number = self[word] = len(self)
+        return number
+
+    def take(self, replay: Replay) -> None:
+        """Encode the words that came since the last call."""
+        ids, offsets = replay.encode([w.encode() for w in self.fresh])
+        self.ids, self.starts = np.concatenate([self.ids, ids]), np.concatenate([self.starts, self.starts[-1] + offsets[1:]])
+        self.fresh = []
+
+    def ids_of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words by number, joined, and how many each has."""
+        return spread(self.ids, self.starts[codes], self.starts[codes + 1] - self.starts[codes])
+
+
+def spread(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of ``pool`` that begin at ``starts``, joined, and their sizes."""
+    total = int(sizes.sum())
+    ends = np.cumsum(sizes)
+    return pool[np.repeat(starts - ends + sizes, sizes) + np.arange(total)], sizes
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:
@@ -138,21 +195,20 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", i
         import regex
 
         replay, words_of = _replay(content.value), regex.compile(pattern).findall
-        known: dict[str, bytes] = {}
+        known = Known()
         for whole in rows:
             for batch in slices(whole, text, SLICE):
+                if len(known) > KEPT_WORDS:
+                    known = Known()
                 words = [words_of(x) if x else [] for x in batch.column(at).to_pylist()]
-                fresh = list({w for ws in words for w in ws if w not in known})
-                if len(known) + len(fresh) > KEPT_WORDS and known:
-                    known.clear()
-                    fresh = list({w for ws in words for w in ws})
-                for w, x in zip(fresh, replay.encode([w.encode() for w in fresh]), strict=True):
-                    known[w] = np.array(x, np.int32).tobytes()
-                encoded = [b"".join([known[w] for w in ws]) for ws in words]
-                offsets = np.zeros(len(encoded) + 1, np.int32)
-                np.cumsum([len(x) // 4 for x in encoded], out=offsets[1:])
-                values = pa.array(np.frombuffer(b"".join(encoded), np.int32))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), values)], [*others, ids])
+                counts = np.fromiter(map(len, words), np.int64, len(words))
+                codes = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
+                known.take(replay)
+                values, sizes = known.ids_of(codes)
+                ends = np.zeros(len(codes) + 1, np.int64)
+                np.cumsum(sizes, out=ends[1:])
+                offsets = ends[np.r_[0, np.cumsum(counts)]].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], [*others, ids])
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
