@@ -180,8 +180,8 @@ def _judge_by_join(base: DataFrame, rules: DataFrame, blocked: DataFrame, keys:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every url of ``pages`` under the production rules."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    rules = spark.createDataFrame(list(RULES), "action string, rule string")
-    blocked = spark.createDataFrame([(h,) for h in BLOCKED_HOSTS], "key string")
+    rules = spark.sql("select * from values " + ", ".join(f"('{a}', '{r}')" for a, r in RULES) + " as t(action, rule)")
+    blocked = spark.sql("select * from values " + ", ".join(f"('{h}')" for h in BLOCKED_HOSTS) + " as t(key)")
     return judge(pages, rules, blocked).select("page_id", "host", "path", "rule", "verdict")
 
 
