@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, simhash, suffix_dedup, url_filter
+from . import bpe, simhash, sketch, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_url_filters": url_filter.query,
     "op3_suffix_dedup": suffix_dedup.query,
+    "op4_fingerprints": sketch.query,
     "op6_simhash": simhash.query,
     "op8_byte_bpe": bpe.query,
 }
