@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Where intermediate tables go when the session names no checkpoint folder, as in tests.
 LOCAL_FALLBACK = "/tmp/checkpoints"
@@ -104,5 +105,17 @@ def prefix_hash(data: np.ndarray, base: np.uint64) -> np.ndarray:
         return out
 
 
-def batches(rows: Iterable[dict], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist(list(rows), schema=schema)
+def identified(docs: DataFrame, key: str, text: str, out: str = "_id") -> DataFrame:
+    """Add ``out``, a long that is unique for each pair of key and text and ascends with the key.
+
+    Where keys are unique and not null it is the key. Else rows of one key follow each other by a hash of the text, null
+    keys come first, and rows that repeat both share a number.
+    """
+    count, distinct = docs.agg(F.count("*"), F.count_distinct(F.col(f"`{key}`"))).first()
+    if count == distinct:
+        return docs.withColumn(out, F.col(f"`{key}`").cast("long"))
+    order = [F.col("k").asc_nulls_first(), F.col("p")]
+    marked = docs.withColumn("_print", F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+    pairs = marked.select(F.col(f"`{key}`").alias("k"), F.col("_print").alias("p")).distinct()
+    numbers = materialize(pairs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(out, F.monotonically_increasing_id()), "numbers")
+    return marked.join(numbers, marked[f"`{key}`"].eqNullSafe(numbers["k"]) & (marked["_print"] == numbers["p"])).drop("_print", "k", "p")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, simhash, sketch, suffix_dedup, url_filter
+from . import bpe, line_dedup, simhash, sketch, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_url_filters": url_filter.query,
@@ -10,5 +10,6 @@ QUERIES = {
     "op4_fingerprints": sketch.query,
     "op6_simhash": simhash.query,
     "op8_byte_bpe": bpe.query,
+    "op10_line_dedup": line_dedup.query,
 }
-ORACLES = {"op1_url_filters": url_filter.ORACLE}
+ORACLES = {"op1_url_filters": url_filter.ORACLE, "op10_line_dedup": line_dedup.ORACLE}

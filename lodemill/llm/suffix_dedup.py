@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE_A, BASE_B, inverse, materialize, mix64, partitions_for, powers, prefix_hash, slices, string_bytes
+from .common import BASE_A, BASE_B, identified, inverse, materialize, mix64, partitions_for, powers, prefix_hash, slices, string_bytes
 
 #: Bytes of a window, and of the strings of which the least hash is its anchor; WINDOW of them start in a window.
 LENGTH, WINDOW = 100, 64
@@ -452,20 +452,16 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     one document and get equal results; rows of one key with different texts follow each other by a hash of the text; a
     null key comes before all others. Other columns are ignored. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    table = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    count, keys, distinct, n_bytes = table.agg(F.count("*"), F.count("key"), F.count_distinct("key"), F.sum(F.octet_length("text"))).first()
+    rows = docs.select(F.col(f"`{key}`").alias("name"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    marked = identified(rows, "name", "text", "key")
+    count, distinct, n_bytes = marked.agg(F.count("*"), F.count_distinct("key"), F.sum(F.octet_length("text"))).first()
     if count == distinct:
-        return _remove_repeats(table, spark, n_bytes or 0).withColumnRenamed("key", key)
-    print_of = F.xxhash64("text")
-    marked = table.withColumn("print", print_of)
-    ordered = marked.select("key", "print").distinct().repartitionByRange(F.col("key").asc_nulls_first(), "print").sortWithinPartitions(F.col("key").asc_nulls_first(), "print")
-    numbers = materialize(ordered.withColumn("id", F.monotonically_increasing_id()), "numbers")
-    joined = marked.alias("m").join(numbers.alias("n"), F.col("m.key").eqNullSafe(F.col("n.key")) & (F.col("m.print") == F.col("n.print")))
-    joined = joined.select("m.key", "m.text", "n.id")
-    out = _remove_repeats(joined.groupBy(F.col("id").alias("key")).agg(F.first("text").alias("text")), spark, n_bytes or 0)
-    names = joined.select(F.col("key").alias("name"), "id")
-    return names.join(out, F.col("id") == F.col("key")).select(F.col("name").alias(key), "n_bytes", "spans", "kept")
+        out = _remove_repeats(marked.select("key", "text"), docs.sparkSession, n_bytes or 0)
+    else:
+        out = _remove_repeats(marked.groupBy("key").agg(F.first("text").alias("text")), docs.sparkSession, n_bytes or 0)
+    if rows.schema["name"].dataType == marked.schema["key"].dataType and count == distinct and not marked.where("not (name <=> key)").limit(1).count():
+        return out.withColumnRenamed("key", key)
+    return marked.select("name", "key").join(out, "key").select(F.col("name").alias(key), "n_bytes", "spans", "kept")
 
 
 def _remove_repeats(table: DataFrame, spark: SparkSession, n_bytes: int) -> DataFrame:
