@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, simhash, sketch, suffix_dedup, url_filter
+from . import bpe, line_dedup, quality, simhash, sketch, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_url_filters": url_filter.query,
+    "op2_quality": quality.query,
     "op3_suffix_dedup": suffix_dedup.query,
     "op4_fingerprints": sketch.query,
     "op6_simhash": simhash.query,
