@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, quality, simhash, sketch, suffix_dedup, url_filter
+from . import bpe, line_dedup, quality, simhash, sketch, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filters": url_filter.query,
     "op2_quality": quality.query,
     "op3_suffix_dedup": suffix_dedup.query,
     "op4_fingerprints": sketch.query,
+    "op5_toxicity": toxicity.query,
     "op6_simhash": simhash.query,
     "op8_byte_bpe": bpe.query,
     "op10_line_dedup": line_dedup.query,
