@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, quality, simhash, sketch, suffix_dedup, toxicity, url_filter
+from . import bpe, decontaminate, line_dedup, quality, simhash, sketch, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filters": url_filter.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_fingerprints": sketch.query,
     "op5_toxicity": toxicity.query,
     "op6_simhash": simhash.query,
+    "op7_decontamination": decontaminate.query,
     "op8_byte_bpe": bpe.query,
     "op10_line_dedup": line_dedup.query,
 }
