@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, line_dedup, quality, simhash, sketch, suffix_dedup, toxicity, url_filter
+from . import bpe, decontaminate, line_dedup, quality, simhash, sketch, suffix_dedup, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_url_filters": url_filter.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_simhash": simhash.query,
     "op7_decontamination": decontaminate.query,
     "op8_byte_bpe": bpe.query,
+    "op9_warc_revisits": warc.query,
     "op10_line_dedup": line_dedup.query,
 }
-ORACLES = {"op1_url_filters": url_filter.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
+ORACLES = {"op1_url_filters": url_filter.ORACLE, "op9_warc_revisits": warc.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
