@@ -198,7 +198,7 @@ def table_context(t: Column) -> Column:
 
 
 def _row(cells: Column) -> Column:
-    return F.when(F.size(cells) > 0, F.concat(F.lit("| "), F.array_join(cells, " | ", ""), F.lit(" |"))).otherwise("|")
+    return F.when(F.size(cells) > 0, F.concat(F.lit("| "), F.array_join(cells, " | ", ""), F.lit(" |"))).when(cells.isNotNull(), "|")
 
 
 def rows_with_context(t: Column) -> Column:
