@@ -23,59 +23,55 @@ WINDOW, LEAST_WORDS = 8, 4
 SHARE, ENOUGH, CONSISTENT = 0.5, 13, 0.8
 #: Windows of a benchmark whose bitmap (16 bits each) and rows are broadcast at most.
 BROADCAST_WINDOWS = 500_000
+#: Every so many tokens at most a text is held against the benchmark's bitmap.
+STRIDE = 4
 #: Units of measure, in lower case.
 UNITS = (
     "mm", "cm", "dm", "m", "km", "in", "ft", "yd", "mi", "mg", "g", "kg", "t", "oz", "lb", "ml", "cl", "l", "s", "sec", "min", "h", "hr", "ms", "hz", "khz", "mhz", "ghz",
     "w", "kw", "mw", "kwh", "v", "a", "j", "kj", "cal", "kcal", "pa", "kpa", "bar", "kb", "mb", "gb", "tb", "usd", "eur", "gbp", "cents", "dollars", "euros", "pounds",
     "meters", "metres", "miles", "inches", "feet", "hours", "minutes", "seconds", "days", "weeks", "months", "years", "percent", "degrees", "grams", "liters", "litres",
 )
-#: A word, with the sentence's end before it if there is one, or a number.
-TOKEN = r"(?:[.!?][^\p{L}\p{N}]{1,8})?\p{L}+|\p{N}+(?:[.,]\p{N}+)*"
+#: Placeholders of numbers, names and units, and the mark at both ends of a text.
+NUMBER, NAME, UNIT, EDGE = "\u0001", "\u0002", "\u0003", "\u0004"
+#: A capital inside a sentence begins a name: a letter, number or comma stands before its space.
+NAMES = r"(?<=[\p{L}\p{N},;] )\p{Lu}\p{L}*"
+NUMBERS = r"\p{N}+(?:[.,]\p{N}+)*"
+#: What parts the tokens of a template, and the tokens of a text as it is.
+GAPS, WORDS = r"[^\p{L}\x01-\x04]+", rf"\p{{L}}+|{NUMBERS}"
 
 
-def tokens_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
+def templates_of(text: Column) -> Column:
+    """The tokens of a text's template, with an edge mark at either end: whole-text replacements, then one split.
 
-
-def bare(token: Column) -> Column:
-    """A token without the sentence's end before it."""
-    return F.when(token < "A", F.regexp_replace(token, r"^[^\p{L}\p{N}]+", "")).otherwise(token)
-
-
-def template_of(tokens: Column, token: Column, i: Column) -> Column:
-    """The placeholder or the lower-cased word of the token at ``i``."""
-    low = F.lower(token)
-    before = F.get(tokens, i - 1)
-    number = (token >= "0") & (token < ":")
-    after_number = (F.length(token) <= 8) & (before >= "0") & (before < ":") & low.isin(*UNITS)
-    return F.when(number, "<num>").when(after_number, "<unit>").when((token >= "A") & (low != token), F.when(i > 0, F.lit("<name>")).otherwise(low)).when(token >= "A", token).otherwise(F.lower(bare(token)))
+    The dot that lower-casing parts from a capital I is dropped here and in ``words_of``, so that both have equal tokens.
+    """
+    text = F.regexp_replace(F.coalesce(text, F.lit("")), NAMES, f" {NAME} ")
+    text = F.lower(F.regexp_replace(text, NUMBERS, f" {NUMBER} "))
+    text = F.regexp_replace(text, rf"{NUMBER}\s+(?:{'|'.join(UNITS)})(?!\p{{L}})", f"{NUMBER} {UNIT} ")
+    return F.split(F.concat(F.lit(f"{EDGE} "), F.replace(text, F.lit("\u0307"), F.lit("")), F.lit(f" {EDGE}")), GAPS, -1)
 
 
-def windows_of(hashes: Column, n: int, may_start=None) -> Column:
-    """``at`` and ``h`` of every window of ``n`` tokens, in order; of those only that ``may_start`` lets pass, if it is given."""
-    last = F.size(hashes) - n
-    starts = F.when(last >= 0, F.sequence(F.lit(0), last))
-    if may_start is not None:
-        starts = F.filter(starts, lambda i: may_start(hashes, i))
-    return F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(hashes, i + 1, n)).alias("h")))
+def words_of(text: Column) -> Column:
+    """The words and numbers of a text as they are, with the edge marks."""
+    edge = F.array(F.lit(EDGE))
+    return F.concat(edge, F.regexp_extract_all(F.replace(F.coalesce(text, F.lit("")), F.lit("\u0307"), F.lit("")), F.lit(WORDS), F.lit(0)), edge)
 
 
 def tokenized(rows: DataFrame, text: str) -> DataFrame:
-    """Replace ``text`` by ``tokens`` and ``hashes``, the hashes of its template."""
-    rows = rows.withColumn("tokens", tokens_of(F.col(text))).drop(text)
-    return rows.withColumn("hashes", F.transform("tokens", lambda t, i: F.xxhash64(template_of(F.col("tokens"), t, i))))
+    """Add ``templates`` and ``hashes``, a hash for each of them."""
+    return rows.withColumn("templates", templates_of(F.col(text))).withColumn("hashes", F.transform("templates", lambda t: F.xxhash64(t)))
 
 
 def benchmark_windows(items: DataFrame, key: str, text: str) -> DataFrame:
-    """``item``, ``n`` (tokens of a window), ``at``, ``h``, ``pair``, ``words``, ``template``, ``of`` (windows of the item)."""
+    """``item``, ``n`` (tokens of a window), ``at``, ``h``, ``pairs``, ``words``, ``template``, ``of`` (windows of the item)."""
     rows = items.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{key}`").alias("item"), F.col(f"`{text}`").alias("text")).where("item is not null").distinct()
-    rows = tokenized(rows, "text").withColumn("n", F.least(F.size("tokens"), F.lit(WINDOW))).where(F.col("n") >= LEAST_WORDS)
-    rows = rows.withColumn("templates", F.transform("tokens", lambda t, i: template_of(F.col("tokens"), t, i)))
-    last = F.size("tokens") - F.col("n")
-    rows = rows.select("item", "n", "tokens", "templates", "hashes", F.explode(F.sequence(F.lit(0), last)).alias("at"), (last + 1).alias("of"))
+    rows = tokenized(rows, "text").withColumn("own", words_of(F.col("text")))
+    rows = rows.withColumn("n", F.least(F.size("hashes") - 2, F.lit(WINDOW))).where(F.col("n") >= LEAST_WORDS)
+    last = F.size("hashes") - 1 - F.col("n")
+    rows = rows.select("item", "n", "own", "templates", "hashes", F.explode(F.sequence(F.lit(1), last)).alias("at"), last.alias("of"))
     cut = lambda c: F.slice(c, F.col("at") + 1, F.col("n"))
-    rows = rows.select("item", "n", "at", "of", F.xxhash64(cut("hashes")).alias("h"), _pair(F.col("hashes"), F.col("at")).alias("pair"), F.transform(cut("tokens"), bare).alias("words"), cut("templates").alias("template"))
-    plain = F.size(F.filter("template", lambda t: ~t.startswith("<")))
+    rows = rows.select("item", "n", "at", "of", F.xxhash64(cut("hashes")).alias("h"), F.transform(F.sequence(F.lit(0), F.col("n") - 2), lambda k: _pair(F.col("hashes"), F.col("at") + k)).alias("pairs"), cut("own").alias("words"), cut("templates").alias("template"))
+    plain = F.size(F.filter("template", lambda t: ~t.isin(NUMBER, NAME, UNIT)))
     return rows.where(plain >= LEAST_WORDS)
 
 
@@ -94,19 +90,19 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     small = n_windows <= BROADCAST_WINDOWS
     found = None
     for n in sorted(lengths):
-        windows = windows_of(F.col("hashes"), n, _may_start(bench.where(F.col("n") == n)) if small else None)
-        at = F.col("w.at")
-        head = F.when(at > 0, F.slice("tokens", F.greatest(at, F.lit(1)), 1)).otherwise(F.array().cast("array<string>"))
-        part = rows.select("_id", "key", "tokens", F.explode(windows).alias("w")).select("_id", "key", F.lit(n).alias("n"), at.alias("at"), F.col("w.h").alias("h"), head.alias("head"), F.slice("tokens", at + 1, n).alias("cut"))
+        starts = starts_of(F.col("hashes"), n, _may_hold(bench, n) if small else None)
+        part = rows.withColumn("starts", starts).withColumn("own", F.when(F.size("starts") > 0, words_of(F.col("text"))))
+        cut = lambda c, i, n=n: F.slice(c, i + 1, n)
+        windows = F.transform("starts", lambda i: F.struct(i.alias("at"), F.xxhash64(cut("hashes", i)).alias("h"), cut("templates", i).alias("template"), cut("own", i).alias("own")))
+        part = part.select("_id", "key", F.lit(n).alias("n"), F.explode(windows).alias("w")).select("_id", "key", "n", "w.*")
         found = part if found is None else found.unionByName(part)
     if found is None:
         return docs.select("_id", "key", F.lit(None).cast(items.schema[item].dataType).alias("item"), F.lit(0).cast("long").alias("windows"), F.lit(0.0).alias("consistent")).limit(0)
-    right = bench.drop("pair").withColumnRenamed("at", "item_at")
-    matched = found.distinct().join(F.broadcast(right) if small else right, ["n", "h"])
-    matched = matched.where(_template_of_cut(F.col("head"), F.col("cut")) == F.col("template"))
-    matched = materialize(matched.select("_id", "key", "item", "of", (F.col("at") - F.col("item_at")).alias("diagonal"), "item_at", "template", "words", F.transform("cut", bare).alias("own")), "matches")
+    right = bench.select("item", "n", "h", "of", "words", F.col("at").alias("item_at"), F.col("template").alias("item_template"))
+    matched = found.join(F.broadcast(right) if small else right, ["n", "h"]).where(F.col("template") == F.col("item_template"))
+    matched = materialize(matched.select("_id", "key", "item", "of", (F.col("at") - F.col("item_at")).alias("diagonal"), "item_at", "template", "words", "own").distinct(), "matches")
     place = ["_id", "key", "item", "of", "diagonal"]
-    slots = matched.select(*place, F.explode(F.filter(F.arrays_zip("template", "words", "own"), lambda s: s["template"].startswith("<"))).alias("s"))
+    slots = matched.select(*place, F.explode(F.filter(F.arrays_zip("template", "words", "own"), lambda s: s["template"].isin(NUMBER, NAME, UNIT))).alias("s"))
     slots = slots.groupBy(*place, F.col("s.template").alias("kind"), F.col("s.words").alias("value")).agg((F.min("s.own") == F.max("s.own")).cast("double").alias("same"))
     slots = slots.groupBy(*place).agg(F.avg("same").alias("consistent"))
     counts = matched.groupBy(*place).agg(F.count_distinct("item_at").alias("windows"))
@@ -116,11 +112,21 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     return out.where(F.col("windows") >= need).select("_id", "key", "item", "windows", "consistent")
 
 
-def _template_of_cut(head: Column, cut: Column) -> Column:
-    """The template of a window, given the token before it, or none at a text's start."""
-    both = F.concat(head, cut)
-    full = F.transform(both, lambda t, i: template_of(both, t, i + F.size(head)))
-    return F.slice(full, F.size(head) + 1, F.greatest(F.size(cut), F.lit(1)))
+def stride_of(n: int) -> int:
+    """Every so many tokens a text is asked whether a window of ``n`` lies there."""
+    return min(STRIDE, n - 1)
+
+
+def starts_of(hashes: Column, n: int, may_hold=None) -> Column:
+    """Where windows of ``n`` tokens begin. If ``may_hold`` is given, only those around tokens that it lets pass: it is
+    asked at every ``stride_of(n)``-th token, and each window has exactly one of these among as many first tokens."""
+    last, stride = F.size(hashes) - 1 - n, stride_of(n)
+    if may_hold is None:
+        return F.when(last >= 1, F.sequence(F.lit(1), last))
+    asked = F.sequence(F.lit(1), F.size(hashes) - 2, F.lit(stride))
+    found = F.filter(asked, lambda i: may_hold(hashes, i))
+    around = F.flatten(F.transform(found, lambda i: F.sequence(F.greatest(i - (stride - 1), F.lit(1)), F.least(i, last))))
+    return F.when(last >= 1, F.when(F.size(found) > 0, F.filter(around, lambda i: i <= last)))
 
 
 def _pair(hashes: Column, i: Column) -> Column:
@@ -128,10 +134,10 @@ def _pair(hashes: Column, i: Column) -> Column:
     return F.get(hashes, i).bitwiseXOR(F.shiftright(F.get(hashes, i + 1), 7))
 
 
-def _may_start(bench: DataFrame, least_bits: int = 1 << 16):
-    """Whether one of these windows may start at a token: a bitmap over windows' first two tokens, with 16 bits or more
-    for each pair. Its size is bounded by the caller's count of windows."""
-    pairs = [r[0] for r in bench.select("pair").distinct().collect()]
+def _may_hold(bench: DataFrame, n: int, least_bits: int = 1 << 16):
+    """Whether one of these windows may have a token among its first: a bitmap over the pairs that begin there, with 16
+    bits or more for each pair. Its size is bounded by the caller's count of windows."""
+    pairs = [r[0] for r in bench.where(F.col("n") == n).select(F.explode(F.slice("pairs", 1, stride_of(n)))).distinct().collect()]
     bits = max(least_bits, 1 << (16 * len(pairs)).bit_length())
     words = [0] * (bits // 32)
     for h in pairs:
