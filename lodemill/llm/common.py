@@ -105,7 +105,7 @@ def prefix_hash(data: np.ndarray, base: np.uint64) -> np.ndarray:
         return out
 
 
-def identified(docs: DataFrame, key: str, text: str, out: str = "_id") -> DataFrame:
+def identified(docs: DataFrame, key: str, text: str, out: str = "__id") -> DataFrame:
     """Add ``out``, a long that is unique for each pair of key and text and ascends with the key.
 
     Where keys are unique and not null it is the key. Else rows of one key follow each other by a hash of the text, null
@@ -114,8 +114,8 @@ def identified(docs: DataFrame, key: str, text: str, out: str = "_id") -> DataFr
     count, distinct = docs.agg(F.count("*"), F.count_distinct(F.col(f"`{key}`"))).first()
     if count == distinct:
         return docs.withColumn(out, F.col(f"`{key}`").cast("long"))
-    order = [F.col("k").asc_nulls_first(), F.col("p")]
-    marked = docs.withColumn("_print", F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
-    pairs = marked.select(F.col(f"`{key}`").alias("k"), F.col("_print").alias("p")).distinct()
+    order = [F.col("__k").asc_nulls_first(), F.col("__p")]
+    marked = docs.withColumn("__print", F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+    pairs = marked.select(F.col(f"`{key}`").alias("__k"), F.col("__print").alias("__p")).distinct()
     numbers = materialize(pairs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(out, F.monotonically_increasing_id()), "numbers")
-    return marked.join(numbers, marked[f"`{key}`"].eqNullSafe(numbers["k"]) & (marked["_print"] == numbers["p"])).drop("_print", "k", "p")
+    return marked.join(numbers, marked[f"`{key}`"].eqNullSafe(numbers["__k"]) & (marked["__print"] == numbers["__p"])).drop("__print", "__k", "__p")

@@ -76,16 +76,16 @@ def benchmark_windows(items: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``_id``, ``key``, ``item``, ``windows`` (matched), ``consistent`` (share of slots) for each document and item that it leaks.
+    """``__id``, ``key``, ``item``, ``windows`` (matched), ``consistent`` (share of slots) for each document and item that it leaks.
 
-    ``_id`` tells rows of one key with different texts apart; repeated rows are one document. Null texts hold nothing;
+    ``__id`` tells rows of one key with different texts apart; repeated rows are one document. Null texts hold nothing;
     items with a null key or text, or with fewer than four words besides placeholders in each window, match nothing;
     items of fewer than eight tokens are one window. A match holds for one occurrence, or for several parts of one.
     Empty tables give an empty result. Texts are taken whole; other columns are ignored.
     """
     bench = materialize(benchmark_windows(items, item, item_text), "benchmark")
     n_windows, lengths = bench.agg(F.count("*"), F.collect_set("n")).first()
-    docs = identified(docs, key, text).select("_id", F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    docs = identified(docs, key, text).select("__id", F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     rows = tokenized(docs, "text")
     small = n_windows <= BROADCAST_WINDOWS
     found = None
@@ -94,22 +94,22 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
         part = rows.withColumn("starts", starts).withColumn("own", F.when(F.size("starts") > 0, words_of(F.col("text"))))
         cut = lambda c, i, n=n: F.slice(c, i + 1, n)
         windows = F.transform("starts", lambda i: F.struct(i.alias("at"), F.xxhash64(cut("hashes", i)).alias("h"), cut("templates", i).alias("template"), cut("own", i).alias("own")))
-        part = part.select("_id", "key", F.lit(n).alias("n"), F.explode(windows).alias("w")).select("_id", "key", "n", "w.*")
+        part = part.select("__id", "key", F.lit(n).alias("n"), F.explode(windows).alias("w")).select("__id", "key", "n", "w.*")
         found = part if found is None else found.unionByName(part)
     if found is None:
-        return docs.select("_id", "key", F.lit(None).cast(items.schema[item].dataType).alias("item"), F.lit(0).cast("long").alias("windows"), F.lit(0.0).alias("consistent")).limit(0)
+        return docs.select("__id", "key", F.lit(None).cast(items.schema[item].dataType).alias("item"), F.lit(0).cast("long").alias("windows"), F.lit(0.0).alias("consistent")).limit(0)
     right = bench.select("item", "n", "h", "of", "words", F.col("at").alias("item_at"), F.col("template").alias("item_template"))
     matched = found.join(F.broadcast(right) if small else right, ["n", "h"]).where(F.col("template") == F.col("item_template"))
-    matched = materialize(matched.select("_id", "key", "item", "of", (F.col("at") - F.col("item_at")).alias("diagonal"), "item_at", "template", "words", "own").distinct(), "matches")
-    place = ["_id", "key", "item", "of", "diagonal"]
+    matched = materialize(matched.select("__id", "key", "item", "of", (F.col("at") - F.col("item_at")).alias("diagonal"), "item_at", "template", "words", "own").distinct(), "matches")
+    place = ["__id", "key", "item", "of", "diagonal"]
     slots = matched.select(*place, F.explode(F.filter(F.arrays_zip("template", "words", "own"), lambda s: s["template"].isin(NUMBER, NAME, UNIT))).alias("s"))
     slots = slots.groupBy(*place, F.col("s.template").alias("kind"), F.col("s.words").alias("value")).agg((F.min("s.own") == F.max("s.own")).cast("double").alias("same"))
     slots = slots.groupBy(*place).agg(F.avg("same").alias("consistent"))
     counts = matched.groupBy(*place).agg(F.count_distinct("item_at").alias("windows"))
     joined = counts.join(slots, place, "left").withColumn("consistent", F.coalesce("consistent", F.lit(1.0))).where(F.col("consistent") >= CONSISTENT)
-    out = joined.groupBy("_id", "key", "item", "of").agg(F.sum("windows").alias("windows"), F.min("consistent").alias("consistent"))
+    out = joined.groupBy("__id", "key", "item", "of").agg(F.sum("windows").alias("windows"), F.min("consistent").alias("consistent"))
     need = F.least(F.ceil(F.col("of") * SHARE), F.lit(ENOUGH))
-    return out.where(F.col("windows") >= need).select("_id", "key", "item", "windows", "consistent")
+    return out.where(F.col("windows") >= need).select("__id", "key", "item", "windows", "consistent")
 
 
 def stride_of(n: int) -> int:
@@ -154,13 +154,13 @@ def _may_hold(bench: DataFrame, n: int, least_bits: int = 1 << 16):
 
 def drop_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` that leak no item, with their columns."""
-    found = leaks(docs, items, key, text, item, item_text).select("_id").distinct()
-    return identified(docs, key, text).join(found, "_id", "left_anti").select(*docs.columns)
+    found = leaks(docs, items, key, text, item, item_text).select("__id").distinct()
+    return identified(docs, key, text).join(found, "__id", "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, whether it leaks items of ``benchmark``, and which."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).groupBy("_id").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    out = identified(docs, "doc_id", "text").select("_id", "doc_id").join(found, "_id", "left")
+    found = leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).groupBy("__id").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    out = identified(docs, "doc_id", "text").select("__id", "doc_id").join(found, "__id", "left")
     return out.select("doc_id", F.col("items").isNotNull().alias("leaked"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"))

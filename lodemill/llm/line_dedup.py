@@ -59,22 +59,22 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_li
     Other columns are kept; ``n_lines``, ``removed`` and ``n_runs`` of the input are replaced.
     """
     docs = identified(docs.drop("n_lines", "removed", "n_runs"), key, text)
-    texts = docs.select(F.col("_id").alias("id"), F.split(F.col(f"`{text}`"), "\n", -1).alias("lines"))
-    if docs.select("_id").distinct().count() != docs.count():
+    texts = docs.select(F.col("__id").alias("id"), F.split(F.col(f"`{text}`"), "\n", -1).alias("lines"))
+    if docs.select("__id").distinct().count() != docs.count():
         texts = texts.dropDuplicates(["id"])
     full = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("at"), x.alias("x"))), lambda s: F.trim(s["x"]) != "")
     lines = texts.select("id", F.posexplode(full).alias("pos", "s"))
     lines = lines.select("id", "pos", F.col("s.at").alias("at"), F.xxhash64("s.x").alias("line"), F.size(F.split(F.trim("s.x"), r"\s+", -1)).alias("words"))
     places = lines.select("id", "pos", "at")
-    gone = places.join(later_copies(lines.drop("at"), min_lines, min_words), ["id", "pos"]).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "at"))).alias("gone"))
-    joined = docs.join(gone.hint("shuffle_hash"), F.col("_id") == F.col("id"), "left").withColumn("_lines", F.split(F.col(f"`{text}`"), "\n", -1))
-    removed = F.transform(F.coalesce("gone", F.array().cast("array<struct<pos:int,at:int>>")), lambda s: s["at"])
-    starts = F.filter("gone", lambda s, i: (i == 0) | (F.get(F.col("gone"), i - 1)["pos"] != s["pos"] - 1))
-    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), removed), lambda i: F.get(F.col("_lines"), i)), "\n")
+    gone = places.join(later_copies(lines.drop("at"), min_lines, min_words), ["id", "pos"]).groupBy(F.col("id").alias("__line_id")).agg(F.sort_array(F.collect_list(F.struct("pos", "at"))).alias("__gone"))
+    joined = docs.join(gone.hint("shuffle_hash"), F.col("__id") == F.col("__line_id"), "left").withColumn("__lines", F.split(F.col(f"`{text}`"), "\n", -1))
+    removed = F.transform(F.coalesce("__gone", F.array().cast("array<struct<pos:int,at:int>>")), lambda s: s["at"])
+    starts = F.filter("__gone", lambda s, i: (i == 0) | (F.get(F.col("__gone"), i - 1)["pos"] != s["pos"] - 1))
+    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), removed), lambda i: F.get(F.col("__lines"), i)), "\n")
     kept = F.when(F.trim(F.translate(kept, "\r\n\t", "   ")) == "", "").otherwise(kept)
     return joined.select(
-        *[(F.when(F.col("gone").isNull(), F.col(f"`{c}`")).otherwise(kept).alias(c) if c == text else F.col(f"`{c}`")) for c in docs.columns if c != "_id"],
-        F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"),
+        *[(F.when(F.col("__gone").isNull(), F.col(f"`{c}`")).otherwise(kept).alias(c) if c == text else F.col(f"`{c}`")) for c in docs.columns if c != "__id"],
+        F.coalesce(F.size("__lines"), F.lit(0)).cast("long").alias("n_lines"),
         removed.alias("removed"),
         F.coalesce(F.size(starts), F.lit(0)).cast("long").alias("n_runs"),
     )

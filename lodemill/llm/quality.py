@@ -144,24 +144,24 @@ def with_sites(rows: DataFrame, table: DataFrame) -> DataFrame:
         right = F.broadcast(table.withColumnRenamed("host", "_host").withColumnRenamed("path", "_path"))
         return rows.join(right, F.col("host").eqNullSafe(F.col("_host")) & F.col("path").eqNullSafe(F.col("_path"))).drop("_host", "_path")
     right = table.select(F.col("host").alias("_host"), F.col("path").alias("_path"), *[c for c in table.columns if c not in ("host", "path")], F.explode(F.sequence(F.lit(0), F.lit(SHARDS - 1))).alias("_at"))
-    left = rows.withColumn("_shard", F.pmod(F.xxhash64("_id"), F.lit(SHARDS)).cast("int"))
+    left = rows.withColumn("_shard", F.pmod(F.xxhash64("__id"), F.lit(SHARDS)).cast("int"))
     on = F.col("host").eqNullSafe(F.col("_host")) & F.col("path").eqNullSafe(F.col("_path")) & (F.col("_shard") == F.col("_at"))
     return left.join(right, on).drop("_host", "_path", "_at", "_shard")
 
 
 def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang", label: str = "quality", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
-    """``_id``, ``key``, ``host``, ``path``, ``own`` (probability by the text alone), ``host_posterior``, ``path_posterior``, ``quality``, ``keep``.
+    """``__id``, ``key``, ``host``, ``path``, ``own`` (probability by the text alone), ``host_posterior``, ``path_posterior``, ``quality``, ``keep``.
 
-    A row for each row of ``docs``; ``_id`` tells rows of one key with different texts apart. Null hosts and paths are
+    A row for each row of ``docs``; ``__id`` tells rows of one key with different texts apart. Null hosts and paths are
     sites of their own. A null or empty text has the shape of an empty one. Labels other than 0 and 1, and labels of
     unknown documents, are ignored; without good and bad ones nothing is known and everything is kept. An empty table
     gives an empty result.
     """
     docs = identified(docs, key, text)
-    narrow = docs.select("_id", F.col(f"`{key}`").alias("key"), F.col(f"`{host}`").cast("string").alias("host"), F.col(f"`{path}`").cast("string").alias("path"), F.col(f"`{text}`").alias("text"))
+    narrow = docs.select("__id", F.col(f"`{key}`").alias("key"), F.col(f"`{host}`").cast("string").alias("host"), F.col(f"`{path}`").cast("string").alias("path"), F.col(f"`{text}`").alias("text"))
     featured = materialize(features(narrow), "features")
     own = F.greatest(F.least(fit(featured, labels.select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").alias("label")), "key", "label", sample), F.lit(OWN_LIMIT)), F.lit(-OWN_LIMIT))
-    rows = featured.select("_id", "key", "host", "path", F.round(1 / (1 + F.exp(-own)), 9).alias("own"))
+    rows = featured.select("__id", "key", "host", "path", F.round(1 / (1 + F.exp(-own)), 9).alias("own"))
     rows = with_sites(rows, sites(rows.select("host", "path", F.col("own").alias("p"))))
     shift = log_odds(F.col("path_posterior")) - log_odds(F.col("prior"))
     quality = 1 / (1 + F.exp(-(log_odds(F.col("own")) + F.greatest(F.least(shift, F.lit(SITE_LIMIT)), F.lit(-SITE_LIMIT)))))
@@ -170,8 +170,8 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` that ``score`` keeps, with their columns."""
-    bad = score(docs, labels, key, text, **how).where("not keep").select("_id").distinct()
-    return identified(docs, key, text).join(bad, "_id", "left_anti").select(*docs.columns)
+    bad = score(docs, labels, key, text, **how).where("not keep").select("__id").distinct()
+    return identified(docs, key, text).join(bad, "__id", "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

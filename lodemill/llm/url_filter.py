@@ -145,7 +145,7 @@ def judge(pages: DataFrame, rules: DataFrame, blocked: DataFrame, url: str = "ur
     shapes = rules.select(F.length(rule_path).alias("n"), F.size(F.split(rule_host, r"\.", -1)).alias("labels")).union(blocked.select(F.lit(0), F.size(F.split("key", r"\.", -1))))
     shape = shapes.agg(F.collect_set("n").alias("n"), F.max("labels").alias("labels")).first()
     lengths, max_labels = sorted(shape["n"]) or [0], shape["labels"] or 1
-    kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict", "_keys", "_id")]
+    kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict", "_keys")]
     base = pages.select(*[F.col(f"`{c}`") for c in kept], host_of(F.col(f"`{url}`")).alias("host"), path_of(F.col(f"`{url}`")).alias("path"))
     asked = base.select("host", F.substring("path", 1, max(lengths)).alias("path")).distinct()
     keys = candidates(F.col("host"), F.col("path"), max_labels, lengths)
@@ -171,10 +171,10 @@ def _judge_by_join(base: DataFrame, rules: DataFrame, blocked: DataFrame, keys:
     asked = base.select("host", "path").distinct()
     found = asked.withColumn("key", F.explode(keys)).join(lists, "key")
     best = F.max(F.when(F.col("rule") == 1, F.struct(F.length("key").alias("n"), F.col("key").alias("k"), F.col("block").alias("block"))))
-    found = found.groupBy("host", "path").agg(best.alias("best"), F.max(F.when(F.col("rule") == 0, F.col("block"))).alias("listed"))
-    block = F.coalesce(F.col("best.block"), F.col("listed"), F.lit(0)) == 1
+    found = found.groupBy("host", "path").agg(best.alias("__best"), F.max(F.when(F.col("rule") == 0, F.col("block"))).alias("__listed"))
+    block = F.coalesce(F.col("__best.block"), F.col("__listed"), F.lit(0)) == 1
     out = base.join(found, ["host", "path"], "left")
-    return out.select(*[F.col(f"`{c}`") for c in base.columns], F.col("best.k").alias("rule"), F.when(block, F.lit("block")).otherwise(F.lit("allow")).alias("verdict"))
+    return out.select(*[F.col(f"`{c}`") for c in base.columns], F.col("__best.k").alias("rule"), F.when(block, F.lit("block")).otherwise(F.lit("allow")).alias("verdict"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
