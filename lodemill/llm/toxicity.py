@@ -24,7 +24,7 @@ from .linear import fit_sparse, sigmoid
 #: Labelled rows that the models are fitted on at most (by a hash of the key), terms that each model has, folds.
 SAMPLE, TERMS, FOLDS = 20_000, 1_000, 3
 #: Documents of the sample in which a term stands at least.
-SEEN = 5
+SEEN = 3
 #: A document has a category from this probability on.
 THRESHOLD = 0.3
 #: Lengths of the starts of words that are terms.
