@@ -207,7 +207,7 @@ def merge_tables_across_pages(docs: DataFrame, key: str, pages: str = "pages", s
 
         def one(has) -> list[int]:
             out, skip = [], False
-            for k in range(len(has)):
+            for k in range(0 if has is None else len(has)):
                 skip = not skip and bool(has[k])
                 out.append(int(skip))
             return out
