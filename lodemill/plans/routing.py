@@ -133,7 +133,7 @@ def context_merge(spark, sf):
 
 def hourly_events(spark, sf):
     out = I.windowed_counts(table(spark, sf, "events"), "1 day")
-    return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("mean_value", 4).alias("mean_value"))
+    return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round(F.col("mean_value") * F.col("n"), 2).alias("total_value"))
 
 
 def user_sessions(spark, sf):
@@ -202,7 +202,7 @@ select query, case when query % 3 = 0 then 'FAQ' else 'ANALYSIS' end as task_typ
     "fallback_intents": f"with {_Q} select query, 'UNKNOWN' as task_type, 0.3::double as confidence, case when length(text) > 120 then 'HIGH' else 'MEDIUM' end as complexity from q",
     "evaluation_parse": "select doc_id, case when doc_id % 3 = 0 then 5 else quality end::int as faithfulness, 5 as fluency, case when doc_id % 3 = 0 then 5 else 7 end as total from labels",
     "context_merge": "select conv_id as probe, sha256(string_agg(text, chr(10) || chr(10) order by turn, text)) as digest from conversations group by 1",
-    "hourly_events": "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n, round(avg(value), 4) as mean_value from events group by all",
+    "hourly_events": "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n, round(sum(value), 2) as total_value from events group by all",
     "user_sessions": """
 with e as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 12 hours then 0 else 1 end as new from events),
 s as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as k from e)

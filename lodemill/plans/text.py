@@ -154,7 +154,7 @@ def qa_pairs(spark, sf):
 
 def qa_coverage(spark, sf):
     q = qa_pairs(spark, sf)
-    return q.groupBy("conv_id").agg(F.count("*").alias("n"), F.count_if("found").alias("answerable"), F.round(F.avg("relevancy"), 4).alias("relevancy"))
+    return q.groupBy("conv_id").agg(F.count("*").alias("n"), F.count_if("found").alias("answerable"), F.round(F.sum("relevancy"), 6).alias("relevancy"))
 
 
 def overall_score(spark, sf):
@@ -399,7 +399,7 @@ select page_id, case when contains(b, '.') and not contains(l, '/') and l != ''
 with d as (select doc_id, {_words_sql('text')} as wa, {_words_sql('text[1:300]')} as wb, ceil(length(text) / 4.0::double)::int as original_tokens, ceil(length(text[1:300]) / 4.0::double)::int as compressed_tokens from documents where length(text) < 2000)
 select doc_id, original_tokens, compressed_tokens, round(original_tokens / compressed_tokens::double, 6) as ratio, round(original_tokens / compressed_tokens::double * {_RET}, 6) as effective from d""",
     "qa_pairs": f"with {_QA} select * from f",
-    "qa_coverage": f"with {_QA} select conv_id, count(*) as n, count(*) filter (found) as answerable, round(avg(relevancy), 4) as relevancy from f group by 1",
+    "qa_coverage": f"with {_QA} select conv_id, count(*) as n, count(*) filter (found) as answerable, round(sum(relevancy), 6) as relevancy from f group by 1",
     "overall_score": """
 with d as (select doc_id, quality::double as q, toxic::double as t, case when doc_id % 3 != 0 then quality::double end as k, case when doc_id % 2 = 0 then toxic::double end as c from labels)
 select doc_id, round((coalesce(k * 0.3, 0) + (q + 0.9) / 2 * 0.2 + least(1.0::double, (4.0 + t) / 10) * 0.7 * 0.2 + coalesce((c + 0.5) / 2 * 0.3, 0)) / (case when k is null then 0 else 0.3 end + 0.4 + case when c is null then 0 else 0.3 end), 6) as score,
