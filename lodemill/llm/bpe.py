@@ -21,9 +21,9 @@ from pyspark.sql import types as T
 from .common import slices
 
 #: Words that a task keeps; beyond it the table starts anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 250_000
 #: Bytes of text that are encoded at a time, and the largest vocabulary file that is broadcast.
-SLICE, MAX_VOCABULARY = 8 << 20, 64 << 20
+SLICE, MAX_VOCABULARY = 3 << 20, 64 << 20
 #: Where no token is made of two neighbours: after every rank.
 NONE = (1 << 31) - 1
 
@@ -184,7 +184,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", i
 
     ``vocabulary`` is a rank file that the driver can open; ``pattern`` splits a text into words, each of which is
     encoded separately, without special tokens. A null or empty text has no ids. A text of any length is encoded whole;
-    a task holds 8 MB of texts or one longer text at a time. Repeated rows are kept and encoded alike.
+    a task holds 3 MB of texts or one longer text at a time. Repeated rows are kept and encoded alike.
     """
     content = _broadcast(docs.sparkSession, vocabulary)
     others = [c for c in docs.columns if c != ids]
