@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import retrieval, routing, store, streams, text
+from . import answers, retrieval, routing, store, streams, text
 
-QUERIES = retrieval.QUERIES | store.QUERIES | text.QUERIES | routing.QUERIES | streams.QUERIES
-ORACLES = retrieval.ORACLES | store.ORACLES | text.ORACLES | routing.ORACLES | streams.ORACLES
+QUERIES = retrieval.QUERIES | store.QUERIES | text.QUERIES | routing.QUERIES | streams.QUERIES | answers.QUERIES
+ORACLES = retrieval.ORACLES | store.ORACLES | text.ORACLES | routing.ORACLES | streams.ORACLES | answers.ORACLES

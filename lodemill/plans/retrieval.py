@@ -10,8 +10,8 @@ from lodemill.operators import retrieval as R
 from lodemill.operators import store as S
 from lodemill.sources.tables import table
 
-#: Probes are the vectors of ids that 100 divides; the flagship's is that of id 7.
-PROBES = "vec_id % 100 = 7"
+#: Probes are the vectors whose ids 20 divides.
+PROBES = "vec_id % 20 = 0"
 
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
@@ -71,7 +71,7 @@ def rerank_fallback(spark, sf):
 
 def _pairs(spark, sf):
     e = table(spark, sf, "embeddings")
-    a = e.where("vec_id < 10").select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"))
+    a = e.where(PROBES).select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"))
     return e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y")).crossJoin(F.broadcast(a))
 
 
@@ -100,8 +100,8 @@ def vector_binary_codec(spark, sf):
 
 def _similar_routes(spark, sf):
     e = table(spark, sf, "embeddings")
-    queries = e.where("vec_id % 10 = 3").select(F.col("vec_id").alias("query"), F.col("embedding").alias("query_vector"))
-    examples = e.where("vec_id < 100 and vec_id % 10 != 3").select(F.col("label").alias("route"), F.col("embedding").alias("vector"))
+    queries = e.where(PROBES).select(F.col("vec_id").alias("query"), F.col("embedding").alias("query_vector"))
+    examples = e.where("vec_id % 20 != 0").select(F.col("label").alias("route"), F.col("embedding").alias("vector"))
     return R.routes_by_similarity(queries, examples)
 
 
@@ -115,7 +115,7 @@ def semantic_margin(spark, sf):
 
 def near_duplicate_cache(spark, sf):
     e = table(spark, sf, "embeddings").withColumn("bucket", V.bucket_key(F.transform("embedding", lambda x: F.round(x.cast("double"), 0).cast("float")), 2))
-    a = e.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("x"), "bucket")
+    a = e.where(PROBES).select(F.col("vec_id").alias("query"), F.col("embedding").alias("x"), "bucket")
     pairs = a.join(e.select("vec_id", "embedding", "bucket"), "bucket").where("vec_id != query")
     scored = pairs.select("query", F.col("vec_id").alias("match"), F.round(V.cosine(F.col("x"), F.col("embedding")), 6).alias("similarity")).where("similarity >= 0.2")
     return S.first_seen(scored.withColumn("_o", -F.col("similarity")), ["query"], ["_o", "match"]).drop("_o")
@@ -140,7 +140,7 @@ QUERIES = {
 
 _COS = "coalesce(list_cosine_similarity({a}::double[], {b}::double[]), 0)"
 _CAND = f"""
-with p as (select vec_id as probe, embedding as v from embeddings where vec_id % 100 = 7),
+with p as (select vec_id as probe, embedding as v from embeddings where vec_id % 20 = 0),
 s as (select probe, vec_id as id, vec_id // 5 as document_id, (vec_id % 5)::int as chunk_index, round({_COS.format(a="e.embedding", b="p.v")}, 6) as score from embeddings e, p),
 c as (select *, row_number() over (partition by probe order by score desc, id)::int as rank from s)"""
 
@@ -169,10 +169,10 @@ def _rerank(source: str, width: int, top: int, window: int, per_doc: int, contex
 {p} as (select * from {p}_k union all select * from {p}_z where position <= {top})"""
 
 
-_PAIRS = "from embeddings y, (select * from embeddings where vec_id < 10) x"
+_PAIRS = "from embeddings y, (select * from embeddings where vec_id % 20 = 0) x"
 _ROUTES = f"""
-q as (select vec_id as query, embedding as v from embeddings where vec_id % 10 = 3),
-r as (select label as route, embedding as v from embeddings where vec_id < 100 and vec_id % 10 != 3),
+q as (select vec_id as query, embedding as v from embeddings where vec_id % 20 = 0),
+r as (select label as route, embedding as v from embeddings where vec_id % 20 != 0),
 m as (select query, route, round(greatest(0, max({_COS.format(a="q.v", b="r.v")})), 6) as similarity from q, r group by all)"""
 
 ORACLES = {
@@ -210,7 +210,7 @@ o as (select *, row_number() over w as place, coalesce(lead(similarity) over w,
 select query, case when similarity >= 0.3 and similarity - second >= 0.05 then route::varchar else 'BASIC' end as route, similarity, second from o where place = 1""",
     "near_duplicate_cache": f"""
 with e as (select *, array_to_string(list_transform(embedding[1:2], lambda x: printf('%.2f', round(x::double, 0)::float::double + 0.0)), '') as bucket from embeddings),
-s as (select a.vec_id as query, b.vec_id as match, round({_COS.format(a="a.embedding", b="b.embedding")}, 6) as similarity from e a join e b using (bucket) where a.vec_id % 10 = 0 and a.vec_id != b.vec_id)
+s as (select a.vec_id as query, b.vec_id as match, round({_COS.format(a="a.embedding", b="b.embedding")}, 6) as similarity from e a join e b using (bucket) where a.vec_id % 20 = 0 and a.vec_id != b.vec_id)
 select * from s where similarity >= 0.2 qualify row_number() over (partition by query order by similarity desc, match) = 1""",
     "vector_rows": """
 select 'chunk-' || doc_id as external_id, 'CHUNK' as vector_type, len(embedding)::int as dimensions, 'default' as index_name,

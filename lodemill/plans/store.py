@@ -84,7 +84,7 @@ def keyword_docs(spark, sf):
 
 def keyword_chunks(spark, sf):
     rows = documents(spark, sf).select("id", "content", X.quality_score(F.col("content")).alias("quality"))
-    return S.matching(rows, contains={"content": "the th"}).select("id", F.round("quality", 6).alias("quality")).orderBy(F.desc("quality"), "id").limit(100)
+    return S.matching(rows, contains={"content": "the th"}).select("id", F.round("quality", 6).alias("quality"))
 
 
 def in_list(spark, sf):
@@ -217,7 +217,7 @@ def _graph(spark, sf):
     edges = edge(s, "client", "s_suppkey", "model", "s_nationkey", ("s_suppkey", 0)).unionByName(edge(n, "model", "n_nationkey", "tool_mcp", "n_regionkey", ("n_nationkey", 1_000_000)))
     models = n.select(text("n_nationkey").alias("model_id"), text("n_regionkey").alias("api_id"), F.col("n_name").alias("model_name"), F.when(F.col("n_nationkey") % 5 == 4, 0).otherwise(1).alias("status"))
     interfaces = r.select(text("r_regionkey").alias("api_id"), F.col("r_name").alias("base_url"), F.when(F.col("r_regionkey") == 2, 0).otherwise(1).alias("status"))
-    return edges, models, interfaces, s.where("s_suppkey <= 40").select(text("s_suppkey").alias("client_id"))
+    return edges, models, interfaces, s.select(text("s_suppkey").alias("client_id"))
 
 
 def config_models(spark, sf):
@@ -267,7 +267,7 @@ e as (select s_suppkey::bigint as id, 'client' as source_type, s_suppkey::varcha
   union all select n_nationkey + 1000000, 'model', n_nationkey::varchar, 'tool_mcp', n_regionkey::varchar, case when n_nationkey % 7 = 3 then 0 else 1 end from nation),
 m as (select n_nationkey::varchar as model_id, n_regionkey::varchar as api_id, n_name as model_name, case when n_nationkey % 5 = 4 then 0 else 1 end as status from nation),
 i as (select r_regionkey::varchar as api_id, r_name as base_url, case when r_regionkey = 2 then 0 else 1 end as status from region),
-c as (select s_suppkey::varchar as client from supplier where s_suppkey <= 40),
+c as (select s_suppkey::varchar as client from supplier),
 cm as (select c.client, e.target_id as id, e.id as ord from c join e on e.source_id = c.client where source_type = 'client' and target_type = 'model' and status = 1),
 ct as (select cm.client, e.target_id as id, e.id as ord from cm join e on e.source_id = cm.id where source_type = 'model' and target_type = 'tool_mcp' and status = 1)"""
 _QUAL = """
@@ -288,7 +288,7 @@ ORACLES = {
     "newest_by_status": f"select id, status from {_EV} t where status = 'signup' order by create_time desc, id limit 50",
     "children_by_position": f"select id, position from {_DOC} t where parent_id = 3",
     "keyword_docs": f"select id, source from {_DOC} t where title like '%license%' or content like '%license%'",
-    "keyword_chunks": f"select id, round(quality, 6) as quality from {_QUAL} t where content like '%the th%' order by quality desc, id limit 100",
+    "keyword_chunks": f"select id, round(quality, 6) as quality from {_QUAL} t where content like '%the th%'",
     "in_list": f"select id, status from {_DOC} t where id in (select doc_id from labels where toxic = 1)",
     "in_short_list": f"select id, status from {_EV} t where id in (1, 5, 77, 99999999)",
     "time_range": f"select id, status from {_EV} t where {_RANGE}",

@@ -70,7 +70,7 @@ def plan_run(spark, sf):
 
 
 def repaired_json(spark, sf):
-    e = table(spark, sf, "events").where("event_id < 2000")
+    e = table(spark, sf, "events")
     broken = F.concat(F.lit("```json\n{k: '"), F.col("event_type"), F.lit("', \"n\": "), F.col("event_id").cast("string"), F.lit(", /* c */ \"l\": [True, None,],}\n```"))
     j = e.select("event_id", json_repair.repaired(broken).alias("j"))
     return j.select("event_id", F.get_json_object("j", "$.k").alias("k"), F.get_json_object("j", "$.n").cast("long").alias("n"), F.get_json_object("j", "$.l[0]").alias("first"))
@@ -89,6 +89,6 @@ QUERIES = {f.__name__: f for f in (stream_ingest, embed_texts, embed_once, page_
 ORACLES = {
     "page_rounds": "select n_nationkey as doc_key, p as page_no, n_nationkey % 2 = 0 or p = 1 as ok from nation, (select unnest([1, 2, 3])::int as p)",
     "plan_run": "with c as (select (select count(*) from region) as a, (select count(*) from nation) as b, (select count(*) from part) as c) select unnest([1, 2, 3, 4]) as step, unnest([a, b, c, b + c]) as result from c",
-    "repaired_json": "select event_id, event_type as k, event_id as n, 'true' as first from events where event_id < 2000",
+    "repaired_json": "select event_id, event_type as k, event_id as n, 'true' as first from events",
     "embed_once": "select conv_id, turn, 8 as dimensions from conversations",
 }
