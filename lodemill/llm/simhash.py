@@ -203,7 +203,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     rooted = firsts.join(groups, F.col("fp") == F.col("node"))
     least = rooted.groupBy("root").agg(F.min("first").alias("least"))
     moved = rooted.join(least, "root").select("fp", "least")
-    final = firsts.join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    # written out, so that the join below is a plain one whose hot fingerprints AQE can split
+    final = materialize(firsts.join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "components")
     return marked.join(final, "fp", "left").select(F.col("_key").alias(key), "fp", "component_id")
 
 
