@@ -440,7 +440,8 @@ def _remove(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _dealt(df: DataFrame, n: int) -> DataFrame:
-    return df.repartition(n, "bucket").sortWithinPartitions("bucket", "kind")
+    """Bucket k in partition k, which a hash of so few numbers would not give."""
+    return df.repartitionById(n, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "kind")
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
