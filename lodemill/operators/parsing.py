@@ -23,10 +23,11 @@ def aligned_rows(pages: DataFrame, keys: list[str], text: str) -> DataFrame:
     Lines under ten characters do not count, nor pages under three lines; a space counts beside a character that is none.
     """
     lines = pages.select(*keys, F.split(F.regexp_replace(F.col(text), r"\n+$", ""), "\n", -1).alias("lines")).where(F.size("lines") >= 3)
-    rows = lines.select(*keys, F.posexplode("lines").alias("line", "x")).where(F.length("x") >= 10)
-    inner = F.sequence(F.lit(2), F.length("x") - 1)
-    single = F.filter(inner, lambda i: (F.substr(F.col("x"), i, F.lit(1)) == " ") & ((F.substr(F.col("x"), i - 1, F.lit(1)) != " ") | (F.substr(F.col("x"), i + 1, F.lit(1)) != " ")))
-    rows = rows.select(*keys, F.explode(F.array_distinct(F.transform(single, lambda i: F.floor((i - 1) / 5)))).alias("place"))
+    rows = lines.select(*keys, F.explode("lines").alias("x")).where(F.length("x") >= 10).select(*keys, F.split("x", "").alias("c"))
+    at = lambda i: F.get(F.col("c"), i)
+    alone = lambda x, i: (x == " ") & (i > 0) & ((at(i - 1) != " ") | (at(i + 1) != " ")) & (i < F.size("c") - 1)
+    places = F.array_distinct(F.array_compact(F.transform("c", lambda x, i: F.when(alone(x, i), F.floor(i / 5)))))
+    rows = rows.select(*keys, F.explode(places).alias("place"))
     return rows.groupBy(*keys, "place").agg(F.count("*").alias("n")).where("n >= 3").groupBy(*keys).agg(F.max("n").cast("int").alias("aligned"))
 
 
