@@ -69,19 +69,21 @@ def rerank_fallback(spark, sf):
     return R.retrieve(corpus(spark, sf), probes(spark, sf), _params(min_score=2.0, top_k=8, neighbor_window=2, per_doc_max_chunks=3)).select("probe", "id", "document_id", "score", "position", "fallback")
 
 
-def _pairs(spark, sf):
+def _pairs(spark, sf, measure):
+    """``measure`` of every probe and every row."""
     e = table(spark, sf, "embeddings")
     a = e.where(PROBES).select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"))
-    return e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y")).crossJoin(F.broadcast(a))
+    return R.against_all(e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y")), a, measure)
 
 
 def vector_similarities(spark, sf):
     x, y = F.col("x"), F.col("y")
-    return _pairs(spark, sf).select("a", "b", F.round(V.cosine(x, y), 6).alias("cosine"), F.round(V.dot(x, y), 6).alias("dot"), F.round(V.euclidean(x, y), 6).alias("euclidean"), F.round(V.similarity(x, y, "DOT"), 6).alias("by_name"))
+    return _pairs(spark, sf, lambda p: p.select("a", "b", F.round(V.cosine(x, y), 6).alias("cosine"), F.round(V.dot(x, y), 6).alias("dot"), F.round(V.euclidean(x, y), 6).alias("euclidean"), F.round(V.similarity(x, y, "DOT"), 6).alias("by_name")))
 
 
 def cosine_truncated(spark, sf):
-    return _pairs(spark, sf).select("a", "b", F.round(V.cosine(F.slice("x", 1, 40), F.col("y"), "truncate"), 6).alias("truncated"), F.round(V.cosine(F.slice("x", 1, 40), F.col("y"), "zero"), 6).alias("zero"))
+    part = F.slice("x", 1, 40)
+    return _pairs(spark, sf, lambda p: p.select("a", "b", F.round(V.cosine(part, F.col("y"), "truncate"), 6).alias("truncated"), F.round(V.cosine(part, F.col("y"), "zero"), 6).alias("zero")))
 
 
 def l2_norms(spark, sf):

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lodemill import spi
 from lodemill.functions import evaluation, layout, splitting
 from lodemill.functions import vectors as V
-from lodemill.operators import parsing, planner, routing, store
+from lodemill.operators import parsing, planner, retrieval, routing, store
 from lodemill.operators.retrieval import RetrievalParams, resolve
 from lodemill.sources import files, html, json_repair, office, tables
 from lodemill.streaming import ingest
@@ -79,6 +79,13 @@ def test_parameters_come_from_the_first_source_that_has_them():
     assert RetrievalParams(top_k=3, limit=7, candidate_multiplier=0).width == 7
 
 
+def test_blocks_of_probes_give_the_same(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    rows, probes = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("probe"), F.col("embedding").alias("probe_vector"))
+    best = lambda block: sorted(map(tuple, retrieval.against_all(rows, probes, lambda p: p.select("probe", "id", F.round(V.dot(F.col("vector"), F.col("probe_vector")), 4)), block).collect()))
+    assert best(4096) == best(5)
+
+
 def test_vectors_of_different_sizes(spark):
     d = spark.createDataFrame([([1.0, 0.0, 5.0], [1.0, 0.0])], "a array<float>, b array<float>")
     a, b = F.col("a"), F.col("b")
