@@ -73,12 +73,22 @@ def work_queue(table: DataFrame, limit: int, by: str, indexed: str | None = "sta
     return oldest_first(pending.where(F.col(indexed) != "INDEXED") if indexed else pending, by, limit)
 
 
+def numbered(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Adds ``_n``, 1, 2, 3 in the order of ``columns``: rows are sorted by ranges, and each range begins after the sizes of those before it."""
+    from lodemill.sources.tables import written
+
+    ordered = rows.repartitionByRange(*columns).sortWithinPartitions(*columns).withColumn("_m", F.monotonically_increasing_id())
+    placed = written(ordered, "numbered").withColumn("_p", F.shiftright("_m", 33))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    offsets = placed.groupBy("_p").agg(F.count("*").alias("_c")).withColumn("_o", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    return placed.join(F.broadcast(offsets), "_p").withColumn("_n", F.col("_o") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_m", "_p", "_c", "_o")
+
+
 def inserted(table: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
     """The table with new rows, which get the keys after the largest, in the order of their contents."""
     top = table.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
     columns = [c for c in table.columns if c != key]
-    numbered = rows.select(*columns).withColumn("_n", F.row_number().over(Window.orderBy(*columns)))
-    return table.unionByName(numbered.crossJoin(F.broadcast(top)).withColumn(key, F.col("_top") + F.col("_n")).select(*table.columns))
+    return table.unionByName(numbered(rows.select(*columns), columns).crossJoin(F.broadcast(top)).withColumn(key, F.col("_top") + F.col("_n")).select(*table.columns))
 
 
 def patched(table: DataFrame, patch: DataFrame, key: str = "id", blank_is_null: bool = False, overwrite: tuple[str, ...] = ()) -> DataFrame:
