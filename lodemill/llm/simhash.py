@@ -5,6 +5,10 @@ inequality two fingerprints differ by at least the sum, over the blocks, of how
 point lie apart; so a query with radius r goes only to branches where this sum is r at most. The upper levels name the
 shards into which fingerprints are dealt, a fingerprint goes as a query to all shards that its ball overlaps, and the
 lower levels prune within a shard. What remains is compared bit by bit, so the pairs are exact.
+
+The pipeline's stage (``keep_first``) asks for word shingles of similarity 0.8, which lie up to some 12 of 64 bits apart.
+No ball of that size leaves a branch of bits out, so its tree measures sizes of sets of shingles from the empty set,
+wide fingerprints find candidates, and their sets are compared exactly.
 """
 
 from __future__ import annotations
@@ -17,11 +21,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import BASE_A, BASE_B, identified, materialize, mix64, slices
 from .components import components
 
 #: Words of a shingle, seed of its hash, bits in which linked fingerprints may differ.
 WORDS, SEED, RADIUS = 3, 42, 3
+#: Of the pipeline's stage: words of a shingle; similarity of sets as a fraction; 64-bit words of a wide fingerprint; bits
+#: in which candidates may differ in the first word and in all. Sets at the similarity differ in 10 of 64 bits on average
+#: (12 for sets of four), with a deviation of 3: both radii lie more than three deviations beyond.
+STAGE_WORDS, SIMILAR, WIDE, NEAR, WIDE_NEAR = 5, (4, 5), 4, 22, 72
+#: Ratio of sizes that a level spans (over 5/4, so that similar sets are at most one level apart), sets of a block at most.
+LEVEL, BLOCK = 1.3, 1 << 17
+ROW = np.dtype([("fp", np.int64), ("n", np.int64), ("wide", np.uint64, (WIDE,))])
 #: Bytes of text whose shingles are held at a time, fingerprints dealt at a time, comparisons made at a time.
 SLICE, DEALT, COMPARED = 2 << 20, 100_000, 1 << 20
 #: For each byte, its bits as eight bytes: sums of up to 255 of them do not run over.
@@ -212,9 +223,192 @@ def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def _shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
+    """For each text the hashes of its distinct shingles; words and short texts as in ``fingerprints``."""
+    from xxhash import xxh64_intdigest
+
+    out = []
+    for text in texts:
+        w = text.encode().lower().split() if text else []
+        shingles = {b" ".join(w)} if 0 < len(w) < words else set(map(b" ".join, zip(*[w[k:] for k in range(words)], strict=False)))
+        out.append(np.unique(np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(shingles))))
+    return out
+
+
+def _wide(hashes: np.ndarray) -> bytes:
+    """A SimHash of ``WIDE`` words of 64 bits of a set of hashes: a bit is set if it is in over half of them."""
+    more = np.ascontiguousarray(mix64(hashes[:, None] + np.arange(WIDE, dtype=np.uint64) * BASE_A)).view(np.uint8)
+    sums = np.zeros(64 * WIDE, np.int64)
+    for k in range(0, len(more), 255):
+        sums += LANES[more[k : k + 255]].sum(axis=0).view(np.uint8)
+    return np.packbits(sums * 2 > len(hashes), bitorder="little").tobytes()
+
+
+def wide_fingerprints(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
+    """``__id``, ``key``, ``fp`` (a hash of the whole set of shingles), ``n`` (its size) and ``wide`` for every row."""
+    kept = docs.select("__id", F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in rows:
+            for batch in slices(whole, "text", SLICE):
+                sets = _shingle_sets(batch.column(2).to_pylist(), words)
+                fps = np.array([mix64(s ^ BASE_B).sum() for s in sets], np.uint64)
+                sizes = pa.array([len(s) for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps.view(np.int64)), sizes, pa.array(map(_wide, sets), pa.binary())], ["__id", "key", "fp", "n", "wide"])
+
+    return kept.mapInArrow(run, kept.drop("text").withColumns({"fp": F.lit(0).cast("long"), "n": F.lit(0).cast("long"), "wide": F.lit(b"")}).schema)
+
+
+def _within(rows: np.ndarray, at_home: np.ndarray, alone: bool, labels: np.ndarray) -> None:
+    """Join rows (``ROW``) that are at home and others, or, if ``alone``, all rows, whose sizes and wide fingerprints lie near."""
+    order = np.argsort(rows["n"], kind="stable")
+    home = order if alone else order[at_home[order]]
+    asked = order if alone else order[~at_home[order]]
+    sizes, first = rows["n"][asked], np.ascontiguousarray(rows["wide"][asked, 0])
+    k, held = 0, []
+    while k < len(home):
+        lo = k if alone else int(np.searchsorted(sizes * 5, rows["n"][home[k]] * 4))
+        part = home[k : k + 1024]
+        step = max(1, COMPARED // len(part))
+        hi = int(np.searchsorted(sizes * 4, rows["n"][part[-1]] * 5, "right"))
+        for a in range(lo, hi, step):
+            i, j = np.nonzero(np.bitwise_count(rows["wide"][part, 0][:, None] ^ first[None, a : min(a + step, hi)]) <= NEAR)
+            i, j = part[i], asked[a + j]
+            x, y = rows["n"][i], rows["n"][j]
+            ok = (i != j) & (np.minimum(x, y) * 5 >= np.maximum(x, y) * 4)
+            i, j = i[ok], j[ok]
+            ok = np.bitwise_count(rows["wide"][i] ^ rows["wide"][j]).sum(axis=1) <= WIDE_NEAR
+            held.append((i[ok], j[ok]))
+        k += len(part)
+        if held and (sum(len(i) for i, _ in held) > COMPARED or k >= len(home)):
+            _union(labels, *map(np.concatenate, zip(*held, strict=True)))
+            held = []
+
+
+def candidates(sets: DataFrame) -> DataFrame:
+    """Links ``a``, ``b`` that connect all ``sets.fp`` that may be similar by ``SIMILAR``; as few as in ``links``.
+
+    The vantage point is the empty set: a set lies as far from it as it has shingles, and similar ones differ by a
+    quarter at most, so a level of the tree is a range of sizes and a set is held against its own level and the next.
+    Levels of more than ``BLOCK`` sets are cut into blocks, and each pair of blocks is a shard. Within a shard sizes
+    prune again, and then ``NEAR`` bits of the first word and ``WIDE_NEAR`` of all words.
+    """
+    sets = sets.where("n > 0").select("fp", "n", "wide", F.floor(F.log(LEVEL, F.col("n"))).alias("level"))
+    parts = {r["level"]: -(-r["count"] // BLOCK) for r in sets.groupBy("level").count().collect()}
+
+    def deal(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            fp, n, level = (np.asarray(batch.column(k)) for k in (0, 1, 3))
+            x = np.zeros(len(fp), ROW)
+            x["fp"], x["n"] = fp, n
+            x["wide"] = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, WIDE)
+            out = []
+            for v in np.unique(level).tolist():
+                block = (mix64(x["fp"].view(np.uint64)) % np.uint64(parts[v])).astype(np.int64)
+                for b in range(parts[v]):
+                    part = x[(level == v) & (block == b)].tobytes()
+                    if not part:
+                        continue
+                    out += [(f"{v}.{b} {v}.{c}" if b <= c else f"{v}.{c} {v}.{b}", b <= c, b == c, part) for c in range(parts[v])]
+                    out += [(f"{v}.{b} {v + 1}.{c}", True, False, part) for c in range(parts.get(v + 1, 0))]
+                    out += [(f"{v - 1}.{c} {v}.{b}", False, False, part) for c in range(parts.get(v - 1, 0))]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["shard", "home", "alone", "rows"])
+
+    def search(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, alone, held in _runs(rows, 1):
+            x = np.concatenate([np.frombuffer(b, ROW) for _, _, b in held])
+            labels = np.arange(len(x))
+            _within(x, np.concatenate([np.full(len(b) // ROW.itemsize, h) for h, _, b in held]), alone, labels)
+            tied = np.flatnonzero(labels != np.arange(len(x)))
+            yield pa.RecordBatch.from_arrays([pa.array(x["fp"][tied]), pa.array(x["fp"][labels[tied]])], ["a", "b"])
+
+    dealt = sets.mapInArrow(deal, "shard string, home boolean, alone boolean, rows binary").repartition("shard").sortWithinPartitions("shard")
+    return dealt.mapInArrow(search, "a long, b long").where("a != b").distinct()
+
+
+def _runs(batches: Iterator[pa.RecordBatch], flag: int) -> Iterator[tuple]:
+    """Rows that follow each other with one first value: that value, column ``flag`` + 1 of the first, the other columns of all."""
+    at, held = None, []
+    for batch in batches:
+        for first, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and first != at:
+                yield at, held[0][flag], held
+                held = []
+            at = first
+            held.append(tuple(rest))
+    if held:
+        yield at, held[0][flag], held
+
+
+def _similar(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set the first one that steps of similarity ``SIMILAR`` or more lead to, by exact counts."""
+    labels, sizes = np.arange(len(sets)), np.array([len(s) for s in sets])
+    names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.split(flat, np.cumsum(sizes)[:-1])
+    seen, left = np.zeros(len(names), bool), np.arange(len(sets))
+    while len(left):
+        root, flat, left = left[0], flat[sizes[left[0]] :], left[1:]
+        queue = [root]
+        while queue and len(left):
+            q = queue.pop()
+            seen[own[q]] = True
+            common = np.add.reduceat(seen[flat], np.cumsum(sizes[left]) - sizes[left], dtype=np.int64)
+            seen[own[q]] = False
+            hit = common * SIMILAR[1] >= (sizes[q] + sizes[left] - common) * SIMILAR[0]
+            if hit.any():
+                labels[left[hit]] = root
+                queue += left[hit].tolist()
+                flat, left = flat[np.repeat(~hit, sizes[left])], left[~hit]
+    return labels
+
+
+def confirmed(groups: DataFrame, words: int) -> DataFrame:
+    """``fp`` and ``to`` (its group's first) of ``groups(root, fp, text)``, the groups of candidates cut by exact similarity."""
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, fps, sets = None, [], []
+
+        def close() -> pa.RecordBatch:
+            to = np.array(fps, np.int64)[_similar(sets)]
+            return pa.RecordBatch.from_arrays([pa.array(fps, pa.int64()), pa.array(to)], ["fp", "to"])
+
+        for whole in batches:
+            for batch in slices(whole, "text", SLICE):
+                for root, fp, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _shingle_sets(batch.column(2).to_pylist(), words), strict=True):
+                    if fps and root != at:
+                        yield close()
+                        fps, sets = [], []
+                    if not fps or fp != fps[-1]:
+                        fps.append(fp)
+                        sets.append(s)
+                    at = root
+        if fps:
+            yield close()
+
+    return groups.select("root", "fp", "text").repartition("root").sortWithinPartitions("root", "fp").mapInArrow(sets_of, "fp long, to long")
+
+
+def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = STAGE_WORDS) -> DataFrame:
+    """``key`` and ``component_id`` for every row: the least key that steps between texts of equal or similar sets of
+    shingles (Jaccard ``SIMILAR`` or more) lead to, the row's own included. Nulls, empty texts, repeats and null keys
+    are as in ``near_duplicates``."""
+    docs = identified(docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text")), "_key", "_text")
+    marked = materialize(wide_fingerprints(docs, "_key", "_text", words), "wide")
+    firsts = materialize(marked.groupBy("fp").agg(F.min("key").alias("first"), F.min("__id").alias("__id"), F.min("n").alias("n"), F.min("wide").alias("wide")), "sets")
+    groups = components(candidates(firsts))
+    members = materialize(firsts.join(groups, F.col("fp") == F.col("node")).select("__id", "fp", "root"), "members")
+    rooted = materialize(confirmed(docs.join(members, "__id").withColumnRenamed("_text", "text"), words), "confirmed")
+    rooted = firsts.select("fp", "first").join(rooted, "fp")
+    least = rooted.groupBy("to").agg(F.min("first").alias("least"))
+    moved = rooted.join(least, "to").select("fp", "least")
+    final = materialize(firsts.join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "components")
+    return marked.join(final, "fp", "left").select(F.col("key").alias(key), "component_id")
+
+
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose key is its component's least; repeated rows of that key stay. A row with a null key stays."""
-    least = near_duplicates(docs, key, text).where(F.col("component_id") != F.col(key)).select(F.col(key)).distinct()
+    """The rows of ``docs`` whose key is the least of its ``similar_documents``; repeated rows of that key stay. A row with a null key stays."""
+    least = similar_documents(docs, key, text).where(F.col("component_id") != F.col(key)).select(F.col(key)).distinct()
     return docs.join(least, key, "left_anti")
 
 

@@ -288,6 +288,30 @@ def test_links_reach_every_pair_whatever_the_levels(spark, monkeypatch):
         assert found.count() <= 3 * len(values)
 
 
+def test_the_stage_finds_texts_of_similar_shingles(spark, odd, none, monkeypatch):
+    rng = np.random.default_rng(29)
+    texts = _random_texts(60, 31, 150) + _random_texts(20, 33, 8)
+    for t in texts[:80]:
+        for changes in (1, 2, 3, 4, 6):
+            w = t.split()
+            for at in rng.integers(0, len(w), changes if len(w) > 8 else 0):
+                w[at] = "other"
+            texts.append(" ".join([*w, "end"]))
+    shingles = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    near = [(a, b) for a in range(len(texts)) for b in range(a) if 5 * len(shingles[a] & shingles[b]) >= 4 * len(shingles[a] | shingles[b])]
+    known = components.components(spark.createDataFrame(near, "a long, b long")).collect()
+    least = {k: k for k in range(len(texts))} | {r["node"]: r["root"] for r in known}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block in (simhash.BLOCK, 50):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()}
+        assert got == least and len(set(least.values())) < len(texts) - 100
+    assert {r["doc_id"] for r in simhash.keep_first(docs).collect()} == set(least.values())
+    assert simhash.keep_first(none).count() == 0
+    kept = Counter(r["doc_id"] for r in simhash.keep_first(odd).collect())
+    assert kept == Counter({1: 3, None: 2, 2: 1, 5: 1, 6: 1, 8: 1, 9: 1})
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(k, k + 1) for k in range(50)] + [(1000, 1000 + k) for k in range(1, 30)] + [(5, 5), (None, 1)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
