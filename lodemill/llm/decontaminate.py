@@ -4,7 +4,8 @@ Texts are cut into words and numbers; numbers, names (capitals inside a sentence
 placeholders. Windows of eight such tokens are hashed and joined with the benchmark's. Windows that match on one
 diagonal (the distance between the places in document and item) are one occurrence; there every value of a slot in the
 item has to stand for one value in the document, so a question with other numbers and names is caught, and prose that
-shares a few common turns is not.
+shares a few common turns is not. An item that numbers and names leave without enough windows of words is matched
+by its own words as they are.
 
 The benchmark's window hashes go to the executors as a constant bitmap of bounded size, so that only windows that may
 match leave a document's row; a larger benchmark is joined by a shuffle of all windows.
@@ -19,6 +20,8 @@ from .common import identified, materialize
 
 #: Tokens of a window, and how many of them have to be words.
 WINDOW, LEAST_WORDS = 8, 4
+#: An item with fewer windows of so many words is matched by its own words.
+FEW = 3
 #: An occurrence needs this share of an item's windows, or so many windows, and this share of slots that are consistent.
 SHARE, ENOUGH, CONSISTENT = 0.5, 13, 0.8
 #: Windows of a benchmark whose bitmap (16 bits each) and rows are broadcast at most.
@@ -57,59 +60,74 @@ def words_of(text: Column) -> Column:
     return F.concat(edge, F.regexp_extract_all(F.replace(F.coalesce(text, F.lit("")), F.lit("\u0307"), F.lit("")), F.lit(WORDS), F.lit(0)), edge)
 
 
-def tokenized(rows: DataFrame, text: str) -> DataFrame:
-    """Add ``templates`` and ``hashes``, a hash for each of them."""
-    return rows.withColumn("templates", templates_of(F.col(text))).withColumn("hashes", F.transform("templates", lambda t: F.xxhash64(t)))
+def tokenized(rows: DataFrame, text: str, literal: bool = False) -> DataFrame:
+    """Add ``templates`` (or, if ``literal``, the own words in lower case) and ``hashes``, a hash for each of them."""
+    tokens = F.transform(words_of(F.col(text)), F.lower) if literal else templates_of(F.col(text))
+    return rows.withColumn("templates", tokens).withColumn("hashes", F.transform("templates", lambda t: F.xxhash64(t)))
 
 
 def benchmark_windows(items: DataFrame, key: str, text: str) -> DataFrame:
-    """``item``, ``n`` (tokens of a window), ``at``, ``h``, ``pairs``, ``words``, ``template``, ``of`` (windows of the item)."""
-    rows = items.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{key}`").alias("item"), F.col(f"`{text}`").alias("text")).where("item is not null").distinct()
-    rows = tokenized(rows, "text").withColumn("own", words_of(F.col("text")))
-    rows = rows.withColumn("n", F.least(F.size("hashes") - 2, F.lit(WINDOW))).where(F.col("n") >= LEAST_WORDS)
-    last = F.size("hashes") - 1 - F.col("n")
-    rows = rows.select("item", "n", "own", "templates", "hashes", F.explode(F.sequence(F.lit(1), last)).alias("at"), last.alias("of"))
-    cut = lambda c: F.slice(c, F.col("at") + 1, F.col("n"))
-    rows = rows.select("item", "n", "at", "of", F.xxhash64(cut("hashes")).alias("h"), F.transform(F.sequence(F.lit(0), F.col("n") - 2), lambda k: _pair(F.col("hashes"), F.col("at") + k)).alias("pairs"), cut("own").alias("words"), cut("templates").alias("template"))
-    plain = F.size(F.filter("template", lambda t: ~t.isin(NUMBER, NAME, UNIT)))
-    return rows.where(plain >= LEAST_WORDS)
+    """``literal``, ``item``, ``n`` (tokens of a window), ``at``, ``h``, ``pairs``, ``words``, ``template``, ``of``.
+
+    Windows with fewer than ``LEAST_WORDS`` words besides placeholders are left out, and ``of`` counts what is left. Items
+    with fewer than ``FEW`` windows left have all their windows over their own words too (``literal``), and these alone
+    if some were left out.
+    """
+    items = items.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{key}`").alias("item"), F.col(f"`{text}`").alias("text")).where("item is not null").distinct()
+    plain = lambda t: ~t.isin(NUMBER, NAME, UNIT)
+    found = None
+    for literal in (False, True):
+        rows = tokenized(items, "text").withColumn("own", words_of(F.col("text")))
+        rows = rows.withColumn("n", F.least(F.size("hashes") - 2, F.lit(WINDOW))).where(F.col("n") >= LEAST_WORDS)
+        starts = F.sequence(F.lit(1), F.size("hashes") - 1 - F.col("n"))
+        left = F.filter(starts, lambda i: F.size(F.filter(F.slice("templates", i + 1, F.col("n")), plain)) >= LEAST_WORDS)
+        rows = rows.withColumn("starts", starts).withColumn("left", left)
+        if literal:
+            rows = tokenized(rows.where(F.size("left") < FEW), "text", True).withColumn("left", F.col("starts"))
+        else:
+            rows = rows.where((F.size("left") >= FEW) | (F.size("left") == F.size("starts")))
+        rows = rows.select("item", "n", "own", "templates", "hashes", F.explode("left").alias("at"), F.size("left").alias("of"))
+        cut = lambda c: F.slice(c, F.col("at") + 1, F.col("n"))
+        rows = rows.select(F.lit(literal).alias("literal"), "item", "n", "at", "of", F.xxhash64(cut("hashes")).alias("h"), F.transform(F.sequence(F.lit(0), F.col("n") - 2), lambda k: _pair(F.col("hashes"), F.col("at") + k)).alias("pairs"), cut("own").alias("words"), cut("templates").alias("template"))
+        found = rows if found is None else found.union(rows)
+    return found
 
 
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """``__id``, ``key``, ``item``, ``windows`` (matched), ``consistent`` (share of slots) for each document and item that it leaks.
 
     ``__id`` tells rows of one key with different texts apart; repeated rows are one document. Null texts hold nothing;
-    items with a null key or text, or with fewer than four words besides placeholders in each window, match nothing;
-    items of fewer than eight tokens are one window. A match holds for one occurrence, or for several parts of one.
+    items with a null key or text, or of fewer than four tokens, match nothing; items of fewer than eight tokens are one
+    window. A match holds for one occurrence, or for several parts of one; a part that repeats counts once.
     Empty tables give an empty result. Texts are taken whole; other columns are ignored.
     """
     bench = materialize(benchmark_windows(items, item, item_text), "benchmark")
-    n_windows, lengths = bench.agg(F.count("*"), F.collect_set("n")).first()
+    kinds = [(r["literal"], r["n"], r["count"]) for r in bench.groupBy("literal", "n").count().collect()]
     docs = identified(docs, key, text).select("__id", F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    rows = tokenized(docs, "text")
-    small = n_windows <= BROADCAST_WINDOWS
+    small = sum(count for *_, count in kinds) <= BROADCAST_WINDOWS
     found = None
-    for n in sorted(lengths):
-        starts = starts_of(F.col("hashes"), n, _may_hold(bench, n) if small else None)
+    for literal, n, _ in sorted(kinds):
+        rows = tokenized(docs, "text", literal)
+        starts = starts_of(F.col("hashes"), n, _may_hold(bench.where(F.col("literal") == literal), n) if small else None)
         part = rows.withColumn("starts", starts).withColumn("own", F.when(F.size("starts") > 0, words_of(F.col("text"))))
         cut = lambda c, i, n=n: F.slice(c, i + 1, n)
         windows = F.transform("starts", lambda i: F.struct(i.alias("at"), F.xxhash64(cut("hashes", i)).alias("h"), cut("templates", i).alias("template"), cut("own", i).alias("own")))
-        part = part.select("__id", "key", F.lit(n).alias("n"), F.explode(windows).alias("w")).select("__id", "key", "n", "w.*")
+        part = part.select("__id", "key", F.lit(literal).alias("literal"), F.lit(n).alias("n"), F.explode(windows).alias("w")).select("__id", "key", "literal", "n", "w.*")
         found = part if found is None else found.unionByName(part)
     if found is None:
         return docs.select("__id", "key", F.lit(None).cast(items.schema[item].dataType).alias("item"), F.lit(0).cast("long").alias("windows"), F.lit(0.0).alias("consistent")).limit(0)
-    right = bench.select("item", "n", "h", "of", "words", F.col("at").alias("item_at"), F.col("template").alias("item_template"))
-    matched = found.join(F.broadcast(right) if small else right, ["n", "h"]).where(F.col("template") == F.col("item_template"))
-    matched = materialize(matched.select("__id", "key", "item", "of", (F.col("at") - F.col("item_at")).alias("diagonal"), "item_at", "template", "words", "own").distinct(), "matches")
-    place = ["__id", "key", "item", "of", "diagonal"]
+    right = bench.select("literal", "item", "n", "h", "of", "words", F.col("at").alias("item_at"), F.col("template").alias("item_template"))
+    matched = found.join(F.broadcast(right) if small else right, ["literal", "n", "h"]).where(F.col("template") == F.col("item_template"))
+    matched = materialize(matched.select("__id", "key", "literal", "item", "of", (F.col("at") - F.col("item_at")).alias("diagonal"), "item_at", "template", "words", "own").distinct(), "matches")
+    place = ["__id", "key", "literal", "item", "of", "diagonal"]
     slots = matched.select(*place, F.explode(F.filter(F.arrays_zip("template", "words", "own"), lambda s: s["template"].isin(NUMBER, NAME, UNIT))).alias("s"))
     slots = slots.groupBy(*place, F.col("s.template").alias("kind"), F.col("s.words").alias("value")).agg((F.min("s.own") == F.max("s.own")).cast("double").alias("same"))
     slots = slots.groupBy(*place).agg(F.avg("same").alias("consistent"))
     counts = matched.groupBy(*place).agg(F.count_distinct("item_at").alias("windows"))
     joined = counts.join(slots, place, "left").withColumn("consistent", F.coalesce("consistent", F.lit(1.0))).where(F.col("consistent") >= CONSISTENT)
-    out = joined.groupBy("__id", "key", "item", "of").agg(F.sum("windows").alias("windows"), F.min("consistent").alias("consistent"))
+    out = joined.groupBy("__id", "key", "literal", "item", "of").agg(F.sum("windows").alias("windows"), F.min("consistent").alias("consistent"))
     need = F.least(F.ceil(F.col("of") * SHARE), F.lit(ENOUGH))
-    return out.where(F.col("windows") >= need).select("__id", "key", "item", "windows", "consistent")
+    return out.where(F.col("windows") >= need).groupBy("__id", "key", "item").agg(F.max("windows").alias("windows"), F.min("consistent").alias("consistent"))
 
 
 def stride_of(n: int) -> int:

@@ -346,6 +346,21 @@ def test_slots_have_to_be_consistent(spark):
     assert {r["key"] for r in decontaminate.leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()} == {1}
 
 
+def test_items_rich_in_numbers_and_names_are_caught(spark):
+    texts = [
+        "Find the next number in the sequence: 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024.",
+        "Given the matrix [[1, 2, 3], [4, 5, 6], [7, 8, 10]], what is the determinant of the matrix?",
+        "Sort these ten cities by the alphabet: in Paris, London, Rome, Oslo, Turin, Madrid, Vienna, Berlin, Prague, Athens.",
+        "What is 12 + 15 + 18 + 21 + 24 + 27 + 30 + 33?",
+        "What is 2 + 2?",
+    ]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    filler = _random_texts(1, 37, 200)[0]
+    rows = [(k, f"{filler} {t} {filler}") for k, t in enumerate(texts)] + [(10, texts[3].replace("21", "20").replace("24", "23").replace("15", "14").replace("30", "31")), (11, "What is 2 + 3?"), (12, filler)]
+    found = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert {(r["key"], r["item"]) for r in found} == {(k, k) for k in range(5)}
+
+
 def test_a_large_benchmark_is_joined(spark, sf, monkeypatch):
     docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     pairs = lambda: {(r["key"], r["item"]) for r in decontaminate.leaks(docs, items).collect()}
