@@ -123,9 +123,10 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     slots = matched.select(*place, F.explode(F.filter(F.arrays_zip("template", "words", "own"), lambda s: s["template"].isin(NUMBER, NAME, UNIT))).alias("s"))
     slots = slots.groupBy(*place, F.col("s.template").alias("kind"), F.col("s.words").alias("value")).agg((F.min("s.own") == F.max("s.own")).cast("double").alias("same"))
     slots = slots.groupBy(*place).agg(F.avg("same").alias("consistent"))
-    counts = matched.groupBy(*place).agg(F.count_distinct("item_at").alias("windows"))
+    counts = matched.groupBy(*place).agg(F.collect_set("item_at").alias("ats"))
     joined = counts.join(slots, place, "left").withColumn("consistent", F.coalesce("consistent", F.lit(1.0))).where(F.col("consistent") >= CONSISTENT)
-    out = joined.groupBy("__id", "key", "literal", "item", "of").agg(F.sum("windows").alias("windows"), F.min("consistent").alias("consistent"))
+    joined = joined.select("__id", "key", "literal", "item", "of", "consistent", F.explode("ats").alias("item_at"))
+    out = joined.groupBy("__id", "key", "literal", "item", "of").agg(F.count_distinct("item_at").alias("windows"), F.min("consistent").alias("consistent"))
     need = F.least(F.ceil(F.col("of") * SHARE), F.lit(ENOUGH))
     return out.where(F.col("windows") >= need).groupBy("__id", "key", "item").agg(F.max("windows").alias("windows"), F.min("consistent").alias("consistent"))
 

@@ -361,6 +361,14 @@ def test_items_rich_in_numbers_and_names_are_caught(spark):
     assert {(r["key"], r["item"]) for r in found} == {(k, k) for k in range(5)}
 
 
+def test_a_repeated_turn_is_no_leak(spark):
+    item = "which of the following is not an example of renewable energy sources used today"
+    turn = "which of the following is not an"
+    docs = [(1, ". ".join(f"{k}) {turn} example: {w}" for k, w in enumerate(_random_texts(20, 41, 5)))), (2, item), (3, f"{item}. {item}")]
+    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert {(r["key"], r["windows"]) for r in found.collect()} == {(2, 7), (3, 7)}
+
+
 def test_a_large_benchmark_is_joined(spark, sf, monkeypatch):
     docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     pairs = lambda: {(r["key"], r["item"]) for r in decontaminate.leaks(docs, items).collect()}
