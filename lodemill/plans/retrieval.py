@@ -54,7 +54,7 @@ def doc_score_max(spark, sf):
 
 
 def doc_score_mean_top2(spark, sf):
-    return R.document_scores(_candidates(spark, sf)).withColumn("doc_score", F.round("doc_score", 6))
+    return R.document_scores(_candidates(spark, sf))
 
 
 def rerank_full(spark, sf):
@@ -147,13 +147,17 @@ s as (select probe, vec_id as id, vec_id // 5 as document_id, (vec_id % 5)::int
 c as (select *, row_number() over (partition by probe order by score desc, id)::int as rank from s)"""
 
 
+#: A mean of scores of six decimals by whole numbers, so that equal means are equal.
+_MEAN = "sum(round(score * 1000000)::bigint)::double / (count(*) * 1000000)"
+
+
 def _rerank(source: str, width: int, top: int, window: int, per_doc: int, contexts: int, name: str) -> str:
     """CTEs of a re-ranking; the last is ``name``."""
     p = name
     return f"""
 {p}_c as (select * from {source} where rank <= {width}),
 {p}_n as (select *, row_number() over (partition by probe, document_id order by score desc, id) as anchor from {p}_c),
-{p}_s as (select probe, document_id, avg(score) as doc_score from {p}_n where anchor <= 2 group by all),
+{p}_s as (select probe, document_id, {_MEAN} as doc_score from {p}_n where anchor <= 2 group by all),
 {p}_d as (select *, row_number() over (partition by probe order by doc_score desc, document_id) as doc_rank from {p}_s),
 {p}_a as (select n.*, d.doc_rank from {p}_n n join {p}_d d using (probe, document_id) where d.doc_rank <= {max(3, top)}),
 {p}_v as (
@@ -188,7 +192,7 @@ select probe, id as chunk_id, document_id, chunk_index, source, lang, score from
     "doc_score_max": _CAND + " select probe, document_id, max(score) as doc_score from c where rank <= 20 group by all",
     "doc_score_mean_top2": _CAND + """,
 t as (select *, row_number() over (partition by probe, document_id order by score desc, id) as n from c where rank <= 20)
-select probe, document_id, round(avg(score), 6) as doc_score from t where n <= 2 group by all""",
+select probe, document_id, """ + _MEAN + """ as doc_score from t where n <= 2 group by all""",
     "rerank_full": _CAND + "," + _rerank("c", 20, 5, 1, 2, 6, "k") + " select probe, id, document_id, chunk_index, score, rank, position::int as position from k",
     "rerank_threshold": _CAND + "," + _rerank("c", 20, 5, 1, 2, 6, "k") + ", g as (select * from k where score >= 0.3), w as (select * from c where probe not in (select probe from g))," + _rerank("w", 40, 5, 1, 2, 6, "f") + """
 select probe, id, document_id, score, position::int as position, false as fallback from g

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Where versions of tables go when the session names no checkpoint folder, as in tests.
-LOCAL_FALLBACK = "/tmp/checkpoints"
-
 
 def shared(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the driver and all executors share."""
-    root = (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FALLBACK).rstrip("/")
-    return f"{root}/lodemill-{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that the driver and all executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset it is the warehouse, and the machine's folder for temporary files only if Spark runs in one
+    process, as in tests.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        alone = re.match(r"local(\[|$)", spark.sparkContext.master)
+        root = tempfile.gettempdir() if alone else spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/lodemill-{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
