@@ -1,42 +1,22 @@
-"""Shared helpers: tables written to the cluster's shared folder, hashing in numpy, Arrow batches cut by bytes."""
+"""Shared helpers: hashing in numpy, Arrow batches cut by bytes, numbers for rows; ``materialize`` writes a table to the cluster's shared folder."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Where intermediate tables go when the session names no checkpoint folder, as in tests.
-LOCAL_FALLBACK = "/tmp/checkpoints"
+from lodemill.sources.tables import written as materialize
 
 #: Odd multipliers of the two polynomial hashes modulo 2**64, and their inverses.
 BASE_A = np.uint64(0x9E3779B97F4A7C15)
 BASE_B = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and every executor can read and write."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_FALLBACK).rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage and outlives executors.
-
-    The folder is deleted when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodemill-{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions_for(n_bytes: int, spark: SparkSession, per_partition: int = 24 << 20) -> int:
     """Shuffle partitions for ``n_bytes``: as many as keep each within ``per_partition``, at least the session's count."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // per_partition), 1)
@@ -105,17 +85,29 @@ def prefix_hash(data: np.ndarray, base: np.uint64) -> np.ndarray:
         return out
 
 
+def spare(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores behind it as set it apart from ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def identified(docs: DataFrame, key: str, text: str, out: str = "__id") -> DataFrame:
-    """Add ``out``, a long that is unique for each pair of key and text and ascends with the key.
+    """Add ``out``, a long that is unique for each pair of key and text and ascends with the key; ``out`` is to be a free name.
 
-    Where keys are unique and not null it is the key. Else rows of one key follow each other by a hash of the text, null
-    keys come first, and rows that repeat both share a number.
+    Where keys are whole numbers, unique and not null, it is the key. Else distinct pairs are numbered in the order of
+    sorted ranges: by key (strings by their bytes), then by a hash of the text; null keys come first, and rows that
+    repeat both share a number.
     """
-    count, distinct = docs.agg(F.count("*"), F.count_distinct(F.col(f"`{key}`"))).first()
-    if count == distinct:
-        return docs.withColumn(out, F.col(f"`{key}`").cast("long"))
-    order = [F.col("__k").asc_nulls_first(), F.col("__p")]
-    marked = docs.withColumn("__print", F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
-    pairs = marked.select(F.col(f"`{key}`").alias("__k"), F.col("__print").alias("__p")).distinct()
+    whole = isinstance(docs.schema[key].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    if whole:
+        count, distinct = docs.agg(F.count("*"), F.count_distinct(F.col(f"`{key}`"))).first()
+        if count == distinct:
+            return docs.withColumn(out, F.col(f"`{key}`").cast("long"))
+    name, mark, own = (spare([*docs.columns, out], x) for x in ("__key", "__print", "__own"))
+    order = [F.col(name).asc_nulls_first(), F.col(mark)]
+    marked = docs.withColumn(own, F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+    pairs = marked.select(F.col(f"`{key}`").alias(name), F.col(own).alias(mark)).distinct()
     numbers = materialize(pairs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(out, F.monotonically_increasing_id()), "numbers")
-    return marked.join(numbers, marked[f"`{key}`"].eqNullSafe(numbers["__k"]) & (marked["__print"] == numbers["__p"])).drop("__print", "__k", "__p")
+    return marked.join(numbers, marked[f"`{key}`"].eqNullSafe(numbers[name]) & (marked[own] == numbers[mark])).drop(own, name, mark)

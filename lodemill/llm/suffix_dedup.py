@@ -1,19 +1,26 @@
-"""Removal of repeated byte strings, by a suffix sort that compares polynomial prefix hashes.
+"""Removal of repeated byte strings, by a suffix sort that compares polynomial prefix hashes and verifies what they say.
 
 Every window of ``LENGTH`` bytes is assigned to the least hash among the shorter strings that it holds (its anchor), so
 equal windows anywhere in the corpus have equal anchors, and neighbouring windows mostly share one: a *run*. Runs, not
-windows, are shuffled, by anchor. Of runs with equal content all but the earliest are removed whole. Where runs of
-different content meet at an anchor, the bytes of the earliest of each content are fetched, and their windows are
-suffix-sorted: a merge sort whose comparisons find the common extension of two suffixes by binary search over prefix
-hashes. Windows that come out equal are then compared byte by byte.
-
-Anchors that a large part of the corpus shares are thinned where they arise: each map task sends one run of each
-content, and knows that its others are repeats. Every shuffle is dealt by a hash of the anchor or of the document, into
-as many buckets as the corpus' bytes ask for. Texts are shuffled as compressed blocks.
+windows, are shuffled, by anchor. Where runs of different content meet at an anchor, the bytes of the earliest of each
+content are fetched, and their windows are suffix-sorted: a merge sort whose comparisons find the common extension of two
+suffixes by binary search over prefix hashes. Neighbours in the sorted order are then compared byte by byte, which proves
+the order, whatever the hashes said; a group that is out of order is told apart by its bytes.
+
+Runs whose contents have equal hashes are repeats of the earliest. No byte is removed on a hash's word: within a map task
+they are compared there, across tasks each run is held against the one before it, byte by byte, and runs that follow
+each other in both documents are fetched as one stretch. If any two differ, a hash has lied, and all is done again under
+another random base, the third time without this shortcut.
+
+Anchors that a large part of the corpus shares are thinned where they arise: each map task sends one run of each content.
+What is left of an anchor with more than ``HOT`` contents is dealt over ``PARTS`` buckets by the windows' distance to the
+anchor, since windows at different distances are never equal. Every shuffle is dealt by a hash of the anchor or of the
+document, into as many buckets as the corpus' bytes ask for. Texts are shuffled as compressed blocks.
 """
 
 from __future__ import annotations
 
+import secrets
 import struct
 from collections.abc import Iterator
 from itertools import chain
@@ -30,11 +37,18 @@ LENGTH, WINDOW = 100, 64
 GRAM = LENGTH - WINDOW + 1
 #: Bytes of text that are hashed at a time, runs that are dealt at a time, bytes of text for each bucket.
 SLICE, DEALT, BUCKET = 4 << 20, 600_000, 24 << 20
+#: Contents of an anchor beyond which its windows are dealt over PARTS buckets; bytes that are gathered before they are sent.
+HOT, PARTS, GATHERED = 2_000, 8, 16 << 20
 #: A longer text is cut into overlapping segments, so that positions fit beside a hash.
 SEGMENT = 8 << 20
 
 RUN = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("key", "<i8"), ("lo", "<i4"), ("n", "u1"), ("at", "u1")])
 SPAN = np.dtype([("key", "<i8"), ("lo", "<i4"), ("hi", "<i4")])
+#: Two runs of equal hashes, by document and place; ``size`` counts windows, and bytes once the rows are stretches.
+PAIR = np.dtype([("key", "<i8"), ("lo", "<i4"), ("other", "<i8"), ("at", "<i4"), ("size", "<i4")])
+STRETCH = np.dtype([*PAIR.descr, ("side", "u1")])
+#: Kinds of rows. Within a bucket what is asked for or covered comes before the texts.
+RUNS, SPANS, ASKED, SPLIT, FIRST, SECOND, TEXTS, BODIES, STRETCHES, LIE = range(10)
 
 
 def pack(rows: np.ndarray) -> bytes:
@@ -73,15 +87,17 @@ def bucket_of(values: np.ndarray, n: int, salt: int) -> np.ndarray:
     return (mix64(values.view(np.uint64) + np.uint64(salt)) % np.uint64(n)).astype(np.int64)
 
 
-def runs_of(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """The runs of texts that lie one after another in ``data``."""
-    parts = []
+def runs_of(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray, base: np.uint64 = BASE_B) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of texts that lie one after another in ``data``, and where in it each begins."""
+    parts, places = [], []
     whole: list[tuple[int, int, int, int]] = []  # key, start of the document, segment
 
     def take() -> None:
         if whole:
             a, b = whole[0][2], whole[-1][3]
-            parts.append(_runs(data[a:b], [(k, d - a, s - a, e - a) for k, d, s, e in whole]))
+            runs, lo = _runs(data[a:b], [(k, d - a, s - a, e - a) for k, d, s, e in whole], base)
+            parts.append(runs)
+            places.append(lo + a)
             whole.clear()
 
     for k, a, b in zip(keys.tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
@@ -95,13 +111,13 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, keys: np.ndarray) -> np.ndarr
                 take()
             whole.append((k, a, a, b))
     take()
-    return np.concatenate(parts) if parts else np.zeros(0, RUN)
+    return (np.concatenate(parts), np.concatenate(places)) if parts else (np.zeros(0, RUN), np.zeros(0, np.int64))
 
 
-def _runs(data: np.ndarray, segments: list[tuple[int, int, int, int]]) -> np.ndarray:
+def _runs(data: np.ndarray, segments: list[tuple[int, int, int, int]], base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         n = len(data)
-        ha, hb = prefix_hash(data, BASE_A), prefix_hash(data, BASE_B)
+        ha, hb = prefix_hash(data, BASE_A), prefix_hash(data, base)
         gram = mix64((ha[GRAM:] - ha[: n + 1 - GRAM]) * powers(inverse(BASE_A), n + 1 - GRAM))
         least = (gram & ~np.uint64((1 << 24) - 1)) | np.arange(len(gram), dtype=np.uint64)
         for k in range(6):
@@ -120,17 +136,61 @@ def _runs(data: np.ndarray, segments: list[tuple[int, int, int, int]]) -> np.nda
         out = np.zeros(len(lo), RUN)
         at = (least[lo] & np.uint64((1 << 24) - 1)).astype(np.int64)
         out["anchor"], out["key"], out["lo"], out["n"], out["at"] = gram[at], keys[segment], lo - docs[segment], hi - lo, at - lo
-        span = (hb[hi + LENGTH - 1] - hb[lo]) * powers(inverse(BASE_B), n + 1)[lo]
+        span = (hb[hi + LENGTH - 1] - hb[lo]) * powers(inverse(base), n + 1)[lo]
         out["content"] = mix64(span + (hi - lo).astype(np.uint64))
-        return out
+        return out, lo
 
 
-def earliest(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted by anchor, content and place; whether a row is the first of its content."""
-    runs = runs[np.lexsort((runs["lo"], runs["key"], runs["content"], runs["anchor"]))]
+def sorted_runs(runs: np.ndarray, merge: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The order by anchor, content and place, and whether a row is the first of its content there; all are, unless ``merge``."""
+    order = np.lexsort((runs["lo"], runs["key"], runs["content"], runs["anchor"]))
+    runs = runs[order]
     first = np.ones(len(runs), bool)
-    first[1:] = (runs["anchor"][1:] != runs["anchor"][:-1]) | (runs["content"][1:] != runs["content"][:-1])
-    return runs, first
+    if merge:
+        first[1:] = (runs["anchor"][1:] != runs["anchor"][:-1]) | (runs["content"][1:] != runs["content"][:-1])
+    return order, first
+
+
+def same_bytes(data: np.ndarray, x: np.ndarray, y: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether ``sizes`` bytes (8 or more) from x on equal those from y on; by words of eight bytes."""
+    words = np.ndarray(len(data) - 7, "<u8", data, 0, (1,))
+    out = words[x + sizes - 8] == words[y + sizes - 8]
+    for k in range(0, int(sizes.max(initial=0)) - 8, 8):
+        more = np.flatnonzero(sizes > k + 8)
+        out[more] &= words[x[more] + k] == words[y[more] + k]
+    return out
+
+
+def split_by_distance(runs: np.ndarray) -> np.ndarray:
+    """Runs cut where the distance of their windows to the anchor passes from one of PARTS ranges to the next."""
+    at, n, width = runs["at"].astype(np.int64), runs["n"].astype(np.int64), WINDOW // PARTS
+    parts = []
+    for k in range(PARTS):
+        a, b = np.maximum(at - (k + 1) * width + 1, 0), np.minimum(at - k * width + 1, n)
+        own = b > a
+        part = runs[own].copy()
+        part["lo"], part["n"], part["at"] = part["lo"] + a[own], (b - a)[own], (at - a)[own]
+        parts.append(part)
+    return np.concatenate(parts)
+
+
+def stretches(pairs: np.ndarray, side: int) -> np.ndarray:
+    """Pairs of runs that follow each other in both documents as one; ``size`` is then in bytes. Alike for either side."""
+    out = np.zeros(len(pairs), STRETCH)
+    for name in PAIR.names:
+        out[name] = pairs[name]
+    out["side"] = side
+    shift = out["at"].astype(np.int64) - out["lo"]
+    order = np.lexsort((out["lo"], shift, out["other"], out["key"]))
+    out, shift = out[order], shift[order]
+    ends = out["lo"] + out["size"]
+    new = np.ones(len(out), bool)
+    new[1:] = (out["key"][1:] != out["key"][:-1]) | (out["other"][1:] != out["other"][:-1]) | (shift[1:] != shift[:-1]) | (out["lo"][1:] > ends[:-1])
+    if len(out):
+        last = np.r_[np.flatnonzero(new)[1:] - 1, len(out) - 1]
+        out = out[new].copy()
+        out["size"] = ends[last] - out["lo"] + (LENGTH - 1)
+    return out
 
 
 def spans_of(runs: np.ndarray) -> np.ndarray:
@@ -211,16 +271,21 @@ class Suffixes:
             width *= 2
         return order
 
-    def equal(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Whether suffixes have equal first LENGTH bytes, byte by byte."""
-        out = np.ones(len(x), bool)
-        for k in range(LENGTH):
-            out &= self.data[x + k] == self.data[y + k]
+    def compare(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """-1, 0 or 1 as the first LENGTH bytes of suffix x are less than, equal to or greater than those of y, by the bytes."""
+        words = np.ndarray(len(self.data) - 7, ">u8", self.data, 0, (1,))
+        out, left = np.zeros(len(x), np.int8), np.arange(len(x))
+        for k in [*range(0, LENGTH - 8, 8), LENGTH - 8]:
+            a, b = words[x[left] + k], words[y[left] + k]
+            out[left] = (a > b).astype(np.int8) - (a < b)
+            left = left[a == b]
         return out
 
 
 def repeats(runs: np.ndarray, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Spans of windows that start earlier in another of these runs; ``data`` holds a run's bytes from ``starts`` on."""
+    if not len(runs):
+        return np.zeros(0, SPAN)
     n = runs["n"].astype(np.int64)
     run = np.repeat(np.arange(len(runs)), n)
     shift = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
@@ -237,12 +302,11 @@ def repeats(runs: np.ndarray, data: np.ndarray, starts: np.ndarray) -> np.ndarra
     order = suffixes.sort(at, group)
     run, shift, at = run[order], shift[order], at[order]
     near = np.flatnonzero(group[1:] == group[:-1])
-    near = near[suffixes.common(at[near], at[near + 1]) == LENGTH]
-    true = suffixes.equal(at[near], at[near + 1])
+    way = suffixes.compare(at[near], at[near + 1])
     same = np.zeros(len(run), bool)
-    same[near[true] + 1] = True
+    same[near[way == 0] + 1] = True
     classes = np.cumsum(~same)
-    for g in np.unique(group[near[~true]]).tolist():  # a hash has lied: these windows are told apart by their bytes
+    for g in np.unique(group[near[way > 0]]).tolist():  # a hash has lied: these windows are told apart by their bytes
         own = np.flatnonzero(group == g)
         found: dict[bytes, int] = {}
         classes[own] = [-1 - own[0] - found.setdefault(data[a : a + LENGTH].tobytes(), len(found)) for a in at[own].tolist()]
@@ -272,55 +336,83 @@ def _grouped(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tup
         yield bucket, ((k.as_py(), blob.as_py()) for _, k, blob in own)
 
 
-def _deal_runs(n_anchor: int, n_doc: int):
-    """Kind 0: one run of each content, by anchor. Kind 1: what the others cover, by document."""
+def _deal_runs(n_anchor: int, n_doc: int, base: np.uint64, merge: bool):
+    """RUNS: one run of each content, by anchor. SPANS: what the others cover, compared byte by byte, by document."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for piece in chain((p for b in rows for p in slices(b, "text", SLICE)), [None]):
             if piece is not None:
-                held.append(runs_of(*string_bytes(piece.column(1)), np.asarray(piece.column(0))))
-            if held and (piece is None or sum(map(len, held)) >= DEALT):
-                runs, first = earliest(np.concatenate(held))
+                data, offsets = string_bytes(piece.column(1))
+                held.append((*runs_of(data, offsets, np.asarray(piece.column(0)), base), data))
+            if held and (piece is None or sum(len(x[0]) for x in held) >= DEALT):
+                runs, data = np.concatenate([x[0] for x in held]), np.concatenate([*(x[2] for x in held), np.zeros(8, np.uint8)])
+                before = np.cumsum([0, *(len(x[2]) for x in held[:-1])])
+                place = np.concatenate([x[1] + b for x, b in zip(held, before.tolist(), strict=True)])
                 held = []
+                order, first = sorted_runs(runs, merge)
+                runs, place = runs[order], place[order]
+                again = np.flatnonzero(~first)
+                true = (runs["n"][again] == runs["n"][again - 1]) & (runs["at"][again] == runs["at"][again - 1])
+                check = again[true]
+                true[true] = same_bytes(data, place[check - 1], place[check], runs["n"][check].astype(np.int64) + LENGTH - 1)
+                if not true.all():
+                    yield _batch([(0, LIE, b"")])
+                    continue
                 covered, runs = merged(spans_of(runs[~first])), runs[first]
                 runs = runs[np.lexsort((runs["lo"], runs["key"]))]
-                yield _batch([(b, 0, x) for b, x in by_bucket(runs, bucket_of(runs["anchor"], n_anchor, 1))])
-                yield _batch([(b, 1, x) for b, x in by_bucket(covered, bucket_of(covered["key"], n_doc, 2) + n_anchor)])
+                yield _batch([(b, RUNS, x) for b, x in by_bucket(runs, bucket_of(runs["anchor"], n_anchor, 1))])
+                yield _batch([(b, SPANS, x) for b, x in by_bucket(covered, bucket_of(covered["key"], n_doc, 2) + n_anchor)])
 
     return run
 
 
-def _compare_runs(n_doc: int, n_anchor: int):
-    """By document, kind 1: what later runs of equal content cover; kind 2: runs whose bytes are asked for."""
+def _compare_runs(n_doc: int, n_anchor: int, merge: bool):
+    """By document, SPANS: as they come. FIRST, SECOND: runs of equal hashes, each with the one before it. ASKED, SPLIT:
+    the first run of each content at anchors that have several, whole or by distance."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, own in _grouped(rows):
-            if bucket >= n_anchor:
-                for _, blob in own:
-                    yield _batch([(bucket - n_anchor, 1, blob)])
+            held = []
+            for kind, blob in own:
+                if kind == LIE:
+                    yield _batch([(0, LIE, b"")])
+                elif bucket >= n_anchor:
+                    yield _batch([(bucket - n_anchor, SPANS, blob)])
+                else:
+                    held.append(unpack(blob, RUN))
+            if not held:
+                continue
+            runs = np.concatenate(held)
+            order, first = sorted_runs(runs, merge)
+            runs = runs[order]
+            again = np.flatnonzero(~first)
+            if (runs["n"][again] != runs["n"][again - 1]).any() or (runs["at"][again] != runs["at"][again - 1]).any():
+                yield _batch([(0, LIE, b"")])
                 continue
-            runs, first = earliest(np.concatenate([unpack(blob, RUN) for _, blob in own]))
-            covered, runs = spans_of(runs[~first]), runs[first]
-            covered = covered[np.lexsort((covered["lo"], covered["key"]))]
-            same = runs["anchor"][1:] == runs["anchor"][:-1]
-            asked = runs[np.r_[same, False] | np.r_[False, same]] if len(runs) else runs
-            asked = asked[np.lexsort((asked["lo"], asked["key"]))]
-            for kind, x in ((1, covered), (2, asked)):
-                yield _batch([(b, kind, y) for b, y in by_bucket(x, bucket_of(x["key"], n_doc, 2))])
+            pairs = np.zeros(len(again), PAIR)
+            pairs["key"], pairs["lo"], pairs["other"], pairs["at"], pairs["size"] = runs["key"][again - 1], runs["lo"][again - 1], runs["key"][again], runs["lo"][again], runs["n"][again]
+            pairs = pairs[np.lexsort((pairs["lo"], pairs["other"], pairs["key"]))]
+            runs = runs[first]
+            starts = np.flatnonzero(np.r_[True, runs["anchor"][1:] != runs["anchor"][:-1]])
+            count = np.repeat(np.diff(np.r_[starts, len(runs)]), np.diff(np.r_[starts, len(runs)]))
+            asked, split = runs[(count > 1) & (count <= HOT)], split_by_distance(runs[count > HOT])
+            asked, split = (x[np.lexsort((x["lo"], x["key"]))] for x in (asked, split))
+            for kind, x, name in ((ASKED, asked, "key"), (SPLIT, split, "key"), (FIRST, pairs, "key"), (SECOND, pairs, "other")):
+                yield _batch([(b, kind, y) for b, y in by_bucket(x, bucket_of(x[name], n_doc, 2))])
 
     return run
 
 
 def _pack_texts(n_doc: int):
-    """Kind 3: texts by document."""
+    """TEXTS, by document."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[int, bytes]]] = {}
         size = 0
 
         def flush() -> pa.RecordBatch:
-            return _batch([(b, 3, _text_block(x)) for b, x in held.items()])
+            return _batch([(b, TEXTS, _text_block(x)) for b, x in held.items()])
 
         for batch in rows:
             for piece in slices(batch, "text", SLICE):
@@ -353,55 +445,137 @@ def _texts(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return head[:, 0], np.r_[0, np.cumsum(head[:, 1])], np.frombuffer(data, np.uint8, size, 16 * n)
 
 
+class _Gathered:
+    """Rows and their bytes, held until they are worth sending: one row for each bucket that they go to."""
+
+    def __init__(self, kind: int) -> None:
+        self.kind = kind
+        self.clear()
+
+    def clear(self) -> None:
+        self.size = 0
+        self.rows: list[np.ndarray] = []
+        self.buckets: list[np.ndarray] = []
+        self.bodies: list[np.ndarray] = []
+        self.sizes: list[np.ndarray] = []
+
+    def add(self, rows: np.ndarray, bucket: np.ndarray, data: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> None:
+        if len(rows):
+            body = _cut(data, begin, sizes)
+            for held, x in ((self.rows, rows), (self.buckets, bucket), (self.bodies, body), (self.sizes, sizes)):
+                held.append(x)
+            self.size += len(body)
+
+    def send(self) -> pa.RecordBatch:
+        out = []
+        if self.rows:
+            rows, bucket, data, sizes = (np.concatenate(x) for x in (self.rows, self.buckets, self.bodies, self.sizes))
+            begin, order = np.cumsum(sizes) - sizes, np.argsort(bucket, kind="stable")
+            cuts = np.flatnonzero(np.r_[True, np.diff(bucket[order]) > 0, True])
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                own = order[a:b]
+                head, body = pack(rows[own]), _cut(data, begin[own], sizes[own]).tobytes()
+                out.append((int(bucket[own[0]]), self.kind, struct.pack("<qq", len(head), len(body)) + head + bytes(pa.compress(body, "zstd", asbytes=True))))
+        self.clear()
+        return _batch(out)
+
+
+def _cut(data: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bytes from ``begin`` on, ``sizes`` of each, joined."""
+    ends = np.cumsum(sizes)
+    return data[np.repeat(begin - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
+def _bodies(blobs: list[bytes], dtype: np.dtype) -> tuple[np.ndarray, bytes]:
+    """The rows of several blobs, and their bytes, joined."""
+    rows, bodies = [np.zeros(0, dtype)], []
+    for blob in blobs:
+        h, size = struct.unpack_from("<qq", blob)
+        rows.append(unpack(blob[16 : 16 + h], dtype))
+        bodies.append(pa.decompress(blob[16 + h :], size, "zstd", asbytes=True))
+    return np.concatenate(rows), b"".join(bodies)
+
+
 def _fetch(n_anchor: int):
-    """The bytes of the runs that are asked for, by anchor; in a bucket what is asked for comes before the texts."""
+    """BODIES: runs that are asked for, with their bytes, by anchor. STRETCHES: either side of pairs, with bytes, by the pair."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bodies, either = _Gathered(BODIES), _Gathered(STRETCHES)
         for _, own in _grouped(rows):
-            asked: list[np.ndarray] = []
-            wanted = None
+            asked: dict[int, list[np.ndarray]] = {ASKED: [], SPLIT: [], FIRST: [], SECOND: []}
+            runs = None
             for kind, blob in own:
-                if kind == 2:
-                    asked.append(unpack(blob, RUN))
+                if kind != TEXTS:
+                    asked[kind].append(unpack(blob, RUN if kind in (ASKED, SPLIT) else PAIR))
                     continue
-                if not asked:
+                if runs is None:
+                    whole, split = (np.concatenate([np.zeros(0, RUN), *asked[k]]) for k in (ASKED, SPLIT))
+                    part = split["at"].astype(np.uint64) // np.uint64(WINDOW // PARTS) + np.uint64(1)
+                    bucket = np.r_[bucket_of(whole["anchor"], n_anchor, 3), bucket_of(mix64(split["anchor"] ^ mix64(part)), n_anchor, 3)]
+                    runs = np.concatenate([whole, split])
+                    order = np.lexsort((runs["lo"], runs["key"]))
+                    runs, bucket = runs[order], bucket[order]
+                    sides = [stretches(np.concatenate([np.zeros(0, PAIR), *asked[k]]), k - FIRST) for k in (FIRST, SECOND)]
+                    sides[1] = sides[1][np.argsort(sides[1]["other"], kind="stable")]
+                    asked.clear()
+                if not len(runs) and not any(map(len, sides)):
                     break
-                if wanted is None:
-                    wanted = np.concatenate(asked)
-                    wanted = wanted[np.lexsort((wanted["lo"], wanted["key"]))]
                 keys, off, data = _texts(blob)
                 order = np.argsort(keys)
-                at = np.searchsorted(keys[order], wanted["key"])
-                here = np.flatnonzero(keys[order][np.minimum(at, len(keys) - 1)] == wanted["key"])
-                runs = wanted[here]
-                begin = off[order[at[here]]] + runs["lo"]
-                bucket = bucket_of(runs["anchor"], n_anchor, 3)
-                for b in np.unique(bucket).tolist():
-                    mine = np.flatnonzero(bucket == b)
-                    sizes = runs["n"][mine].astype(np.int64) + LENGTH - 1
-                    ends = np.cumsum(sizes)
-                    body = data[np.repeat(begin[mine] - ends + sizes, sizes) + np.arange(int(ends[-1]))].tobytes()
-                    head = pack(runs[mine])
-                    packed = bytes(pa.compress(body, "zstd", asbytes=True))
-                    yield _batch([(b, 4, struct.pack("<qq", len(head), len(body)) + head + packed)])
+                keys, off = keys[order], off[order]
+
+                def here(x: np.ndarray, keys: np.ndarray = keys, off: np.ndarray = off) -> tuple[np.ndarray, np.ndarray]:
+                    """Which of these documents (ascending) lie in the block, and where."""
+                    a, b = np.searchsorted(x, keys), np.searchsorted(x, keys, "right")
+                    return _cut(np.arange(len(x)), a, b - a), np.repeat(off, b - a)
+
+                which, begin = here(runs["key"])
+                bodies.add(runs[which], bucket[which], data, begin + runs["lo"][which], runs["n"][which].astype(np.int64) + LENGTH - 1)
+                for side, key, lo in ((sides[0], "key", "lo"), (sides[1], "other", "at")):
+                    which, begin = here(side[key])
+                    x = side[which]
+                    to = bucket_of(mix64(x["key"].view(np.uint64)) ^ x["other"].view(np.uint64), n_anchor, 4)
+                    either.add(x, to, data, begin + x[lo], x["size"].astype(np.int64))
+                for g in (bodies, either):
+                    if g.size >= GATHERED:
+                        yield g.send()
+        yield bodies.send()
+        yield either.send()
 
     return run
 
 
+def compared(rows: np.ndarray, body: bytes) -> np.ndarray | None:
+    """What the later sides of stretches cover; nothing if two sides differ. Each stretch is there with either side."""
+    sizes = rows["size"].astype(np.int64)
+    begin = np.cumsum(sizes) - sizes
+    order = np.lexsort((rows["side"], rows["at"], rows["lo"], rows["other"], rows["key"]))
+    for i, j in zip(order[::2].tolist(), order[1::2].tolist(), strict=True):
+        if any(rows[name][i] != rows[name][j] for name in PAIR.names) or body[begin[i] : begin[i] + sizes[i]] != body[begin[j] : begin[j] + sizes[j]]:
+            return None
+    own = rows[order[1::2]]
+    out = np.zeros(len(own), SPAN)
+    out["key"], out["lo"], out["hi"] = own["other"], own["at"], own["at"] + own["size"]
+    return out
+
+
 def _sort_runs(n_doc: int):
-    """By document, kind 1: what later windows cover."""
+    """By document, SPANS: what later windows cover, and the later sides of stretches that are equal."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, own in _grouped(rows):
-            runs, bodies = [], []
-            for _, blob in own:
-                h, size = struct.unpack_from("<qq", blob)
-                runs.append(unpack(blob[16 : 16 + h], RUN))
-                bodies.append(pa.decompress(blob[16 + h :], size, "zstd", asbytes=True))
-            all_runs = np.concatenate(runs)
-            sizes = all_runs["n"].astype(np.int64) + LENGTH - 1
-            spans = repeats(all_runs, np.frombuffer(b"".join(bodies) + bytes(LENGTH), np.uint8), np.cumsum(sizes) - sizes)
-            yield _batch([(b, 1, x) for b, x in by_bucket(spans, bucket_of(spans["key"], n_doc, 2))])
+            blobs: dict[int, list[bytes]] = {BODIES: [], STRETCHES: []}
+            for kind, blob in own:
+                blobs[kind].append(blob)
+            pairs = compared(*_bodies(blobs.pop(STRETCHES), STRETCH))
+            if pairs is None:
+                yield _batch([(0, LIE, b"")])
+                pairs = np.zeros(0, SPAN)
+            runs, body = _bodies(blobs.pop(BODIES), RUN)
+            sizes = runs["n"].astype(np.int64) + LENGTH - 1
+            spans = repeats(runs, np.frombuffer(body + bytes(LENGTH), np.uint8), np.cumsum(sizes) - sizes)
+            spans = merged(np.concatenate([pairs, spans]))
+            yield _batch([(b, SPANS, x) for b, x in by_bucket(spans, bucket_of(spans["key"], n_doc, 2))])
 
     return run
 
@@ -415,7 +589,7 @@ def _remove(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         spans = None
         for kind, blob in own:
-            if kind == 1:
+            if kind == SPANS:
                 held.append(unpack(blob, SPAN))
                 continue
             if spans is None:
@@ -465,14 +639,20 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return marked.select("name", "key").join(out, "key").select(F.col("name").alias(key), "n_bytes", "spans", "kept")
 
 
-def _remove_repeats(table: DataFrame, spark: SparkSession, n_bytes: int) -> DataFrame:
+def _remove_repeats(table: DataFrame, spark: SparkSession, n_bytes: int, bases: tuple[int | None, ...] | None = None) -> DataFrame:
+    """Under each base of the hash of contents in turn until none lies; None stands for no hash."""
     n = partitions_for(n_bytes, spark, BUCKET)
-    dealt = table.mapInArrow(_deal_runs(n, n), BUCKETED)
-    found = materialize(_dealt(dealt, 2 * n).mapInArrow(_compare_runs(n, n), BUCKETED), "runs")
     texts = table.mapInArrow(_pack_texts(n), BUCKETED)
-    fetched = _dealt(found.where("kind = 2").unionByName(texts), n).mapInArrow(_fetch(n), BUCKETED)
-    later = materialize(_dealt(fetched, n).mapInArrow(_sort_runs(n), BUCKETED), "windows")
-    return _dealt(found.where("kind = 1").unionByName(later).unionByName(texts), n).mapInArrow(_remove, REMOVED)
+    for base in bases or (secrets.randbits(64) | 1, secrets.randbits(64) | 1, None):
+        merge, odd = base is not None, np.uint64(BASE_B if base is None else base)
+        dealt = table.mapInArrow(_deal_runs(n, n, odd, merge), BUCKETED)
+        found = materialize(_dealt(dealt, 2 * n).mapInArrow(_compare_runs(n, n, merge), BUCKETED), "runs")
+        fetched = _dealt(found.where(F.col("kind").between(ASKED, SECOND)).unionByName(texts), n).mapInArrow(_fetch(n), BUCKETED)
+        later = materialize(_dealt(fetched, n).mapInArrow(_sort_runs(n), BUCKETED), "windows")
+        if not found.unionByName(later).where(F.col("kind") == LIE).limit(1).count():
+            break
+    spans = found.unionByName(later).where(F.col("kind") == SPANS)
+    return _dealt(spans.unionByName(texts), n).mapInArrow(_remove, REMOVED)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -150,8 +150,13 @@ def _removed(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def _check_removal(spark, rows: list[tuple[int, str | None]]) -> None:
-    got = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+def _check_removal(spark, rows: list[tuple[int, str | None]], bases=None) -> None:
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    if bases is None:
+        out = suffix_dedup.remove_repeats(docs)
+    else:
+        out = suffix_dedup._remove_repeats(docs.select(F.col("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("text")), spark, 1, bases).withColumnRenamed("key", "doc_id")
+    got = {r["doc_id"]: r for r in out.collect()}
     ordered = sorted(rows)
     texts = [(t or "").encode() for _, t in ordered]
     for (k, _), b, cover in zip(ordered, texts, _removed(texts), strict=True):
@@ -161,7 +166,7 @@ def _check_removal(spark, rows: list[tuple[int, str | None]]) -> None:
         assert [(s["start"], s["end"]) for s in got[k]["spans"]] == list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)), k
 
 
-def test_repeats_are_removed_as_by_brute_force(spark, monkeypatch):
+def _repeating() -> list[tuple[int, str | None]]:
     base = _random_texts(6, 7, 80)
     rng = np.random.default_rng(8)
     rows = [(0, base[0]), (1, base[0][50:260] + base[1]), (2, "ab" * 400), (3, "a" * 1000), (4, base[1][3:103]), (5, base[1][3:102]), (6, None), (7, ""), (8, base[2] * 3), (9, base[0])]
@@ -170,20 +175,68 @@ def test_repeats_are_removed_as_by_brute_force(spark, monkeypatch):
         for at in rng.integers(0, len(t), 3):
             t[at] = "Z"
         rows.append((k, "".join(t)))
-    monkeypatch.setattr(suffix_dedup, "SEGMENT", 1 << 30)
-    _check_removal(spark, rows)
+    return rows
+
+
+def test_repeats_are_removed_as_by_brute_force(spark):
+    _check_removal(spark, _repeating())
+
+
+#: Different texts whose runs have equal anchors and equal hashes of their contents under BASE_B.
+COLLIDE = ("mmmmmmmmmmmmmmmmmmmmmmmmhsreltpuscta pirhgwpr rpmuehueqmxavycfysbjya iptxmwznmxzsoeldbepgivnyujnq ms", "kmojiiknpomqnmonklqlknmmhsreltpuscta pirhgwpr rpmuehueqmxavycfysbjya iptxmwznmxzsoeldbepgivnyujnq ms")
+
+
+def test_different_texts_with_equal_hashes_stay(spark):
+    hashes = [suffix_dedup.runs_of(np.frombuffer(t.encode(), np.uint8), np.array([0, 100]), np.array([k]))[0] for k, t in enumerate(COLLIDE)]
+    assert all(hashes[0][c] == hashes[1][c] for c in ("anchor", "content"))
+    plain = _random_texts(3, 43, 60)
+    rows = [(0, COLLIDE[0]), (1, COLLIDE[1]), (2, plain[0]), (3, COLLIDE[1] + plain[1]), (4, plain[0]), (5, COLLIDE[0])]
+    for order in (rows, rows[:2], [rows[0], *rows[2:], rows[1]]):
+        _check_removal(spark, order)
+        _check_removal(spark, order, (int(suffix_dedup.BASE_B), None))
+
+
+def test_contents_are_told_apart_by_bytes_wherever_a_hash_lies(spark):
+    words = "abcd efgh ijkl mnop qrst".split()
+    rng = np.random.default_rng(47)
+    rows = [*_repeating(), *((100 + k, " ".join(rng.permutation(words * 8))) for k in range(40))]
+    swapped = [(200 + k, t[:50] + t[51] + t[50] + t[52:] if len(t or "") > 60 else t) for k, t in rows]  # sums of bytes stay
+    _check_removal(spark, rows + swapped, (1, None))
+    _check_removal(spark, rows, (None,))
+
+
+def test_windows_of_a_hot_anchor_are_dealt_by_distance(monkeypatch):
+    rng = np.random.default_rng(53)
+    text = _random_texts(1, 59, 120)[0]
+    texts = []
+    for _ in range(60):
+        t = list(text)
+        t[int(rng.integers(0, len(t)))] = "#"
+        texts.append("".join(t).encode())
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    offsets = np.r_[0, np.cumsum([len(t) for t in texts])]
+    runs, place = suffix_dedup.runs_of(data, offsets, np.arange(len(texts)))
+    parts = suffix_dedup.split_by_distance(runs)
+    windows = lambda x: Counter((a, k, o + i) for a, k, o, n in zip(x["anchor"].tolist(), x["key"].tolist(), x["lo"].tolist(), x["n"].tolist(), strict=True) for i in range(n))
+    assert windows(parts) == windows(runs) and len(parts) > 2 * len(runs)
+    at = suffix_dedup.WINDOW // suffix_dedup.PARTS
+    assert all(a // at == (a - n + 1) // at for a, n in zip(parts["at"].tolist(), parts["n"].tolist(), strict=True))
+    padded = np.concatenate([data, np.zeros(suffix_dedup.LENGTH, np.uint8)])
+    whole = suffix_dedup.repeats(runs, padded, place)
+    found = [suffix_dedup.repeats(x, padded, offsets[x["key"]] + x["lo"]) for k in range(suffix_dedup.PARTS) for x in [parts[parts["at"] // at == k]]]
+    assert suffix_dedup.merged(np.concatenate(found)).tolist() == suffix_dedup.merged(whole).tolist()
 
 
 def test_long_texts_are_cut_into_segments():
     data = np.frombuffer((_random_texts(1, 9, 900)[0] * 2).encode(), np.uint8)
-    whole = suffix_dedup.runs_of(data, np.array([0, len(data)]), np.array([3]))
+    whole, _ = suffix_dedup.runs_of(data, np.array([0, len(data)]), np.array([3]))
     old, suffix_dedup.SEGMENT = suffix_dedup.SEGMENT, 1000
     try:
-        cut = suffix_dedup.runs_of(data, np.array([0, len(data)]), np.array([3]))
+        cut, place = suffix_dedup.runs_of(data, np.array([0, len(data)]), np.array([3]))
     finally:
         suffix_dedup.SEGMENT = old
     windows = lambda runs: Counter(int(lo) + k for lo, n in zip(runs["lo"], runs["n"], strict=True) for k in range(n))
-    assert windows(whole) == windows(cut) == Counter(range(len(data) - suffix_dedup.LENGTH + 1))
+    assert windows(whole) == windows(cut) == Counter(range(len(data) - suffix_dedup.LENGTH + 1)) and cut["lo"].tolist() == place.tolist()
 
 
 def test_a_hash_that_lies_is_found_out(monkeypatch):
