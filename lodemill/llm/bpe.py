@@ -1,16 +1,22 @@
 """Byte-level BPE by replaying the merges over all distinct words of a slice of the corpus at once.
 
-Each map task takes the words of its documents once. An inverted index holds, for each mergeable pair, the positions in
-these words where it stands; pairs are merged in the order of their ranks, and only the neighbours of a merged position
-are looked up anew. Words that a task has seen are kept in a bounded table, so a corpus costs its distinct words, not
-its length. There is no shuffle, and a lost task is simply run again.
+Each map task takes the distinct words of its documents. An inverted index holds, for each rank (that is, for the pairs
+that make this token), the positions in all these words where such a pair stands. Ranks are taken in order, least first,
+and of a rank the positions from left to right; a merge unlinks one position and looks up anew only the two pairs at its
+neighbours, which go into the index. So a word of n bytes costs O(n log n), also one of a million letters.
+
+Words that a task has met are kept in a bounded table, so a corpus costs its distinct words, not its length. There is no
+shuffle, and a lost task is simply run again. The index spans the slice that a task holds, not the corpus: a word encodes
+alike everywhere, and one index for all would shuffle every word of every text.
 """
 
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from heapq import heapify, heappop, heappush
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +30,6 @@ from .common import slices
 KEPT_WORDS = 250_000
 #: Bytes of text that are encoded at a time, and the largest vocabulary file that is broadcast.
 SLICE, MAX_VOCABULARY = 3 << 20, 64 << 20
-#: Where no token is made of two neighbours: after every rank.
-NONE = (1 << 31) - 1
 
 
 class Replay:
@@ -39,89 +43,75 @@ class Replay:
             raise ValueError("the vocabulary lacks single bytes")
         self.single = np.array(single, np.int64)
         get = ranks.get
-        made = [(x << 32 | y, r) for b, r in ranks.items() for k in range(1, len(b)) if (x := get(b[:k])) is not None and (y := get(b[k:])) is not None]
-        self.bits = max(4, (4 * len(made)).bit_length())
-        keys, self.made = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int64)
-        self.probes = 1
-        todo = np.array(made, np.int64).reshape(-1, 2)
-        slot = self._slot(todo[:, 0])
-        while len(todo):  # open addressing: of those that want a free slot, one gets it, the rest step on
-            free = keys[slot] == -1
-            keys[slot[free]] = todo[free, 0]
-            got = keys[slot] == todo[:, 0]
-            self.made[slot[got]] = todo[got, 1]
-            todo, slot = todo[~got], (slot[~got] + 1) & ((1 << self.bits) - 1)
-            self.probes += bool(len(todo))
-        self.keys = keys
-
-    def _slot(self, key: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The rank of the token that two neighbours make, NONE if there is none."""
-        key = a << 32 | b
-        slot = self._slot(key)
-        out = np.full(len(key), NONE, np.int64)
-        left = np.arange(len(key))
-        for _ in range(self.probes):
-            there = self.keys[slot]
-            got = there == key
-            out[left[got]] = self.made[slot[got]]
-            go = ~got & (there != -1)
-            if not go.any():
-                break
-            left, key, slot = left[go], key[go], (slot[go] + 1) & ((1 << self.bits) - 1)
-        return out
+        #: The rank of the token that two tokens make, by both of them in one number.
+        self.made = {x << 32 | y: r for b, r in ranks.items() for k in range(1, len(b)) if (x := get(b[:k])) is not None and (y := get(b[k:])) is not None}
+
+    def index(self, symbols: np.ndarray, inner: np.ndarray) -> dict[int, list[int]]:
+        """For each rank the ascending positions whose symbol makes it with the next; ``inner`` are those with a next in the word."""
+        ranks = np.fromiter(map(self.made.get, (symbols[inner] << 32 | symbols[inner + 1]).tolist(), repeat(-1)), np.int64, len(inner))
+        inner, ranks = inner[ranks >= 0], ranks[ranks >= 0]
+        order = np.argsort(ranks, kind="stable")
+        found, cuts = np.unique(ranks[order], return_index=True)
+        positions = inner[order].tolist()
+        return {r: positions[a:b] for r, a, b in zip(found.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(positions)], strict=False)}
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all words, one after another, and where each word's begin; a word that is itself a token is that token.
-
-        ``index`` lists the positions of all words by rank, as rank and position in one number; a sweep takes the
-        first entry of every word, merges there, and looks up the ranks of the two pairs beside it anew.
-        """
+        """The ids of all words, one after another, and where each word's begin; a word that is itself a token is that token."""
         n = len(words)
         whole = np.fromiter((self.ranks.get(w, -1) for w in words), np.int64, n)
-        sizes = np.fromiter(map(len, words), np.int64, n)
-        sizes[whole >= 0] = 0
-        data = np.frombuffer(b"".join([w for w, x in zip(words, whole.tolist(), strict=True) if x < 0]), np.uint8)
-        symbols = self.single[data]
-        word = np.repeat(np.arange(n), sizes)
-        final = [np.stack([np.flatnonzero(whole >= 0), np.zeros(int((whole >= 0).sum()), np.int64), whole[whole >= 0]])]
-        pairs = np.full(len(symbols), NONE, np.int64)
-        inner = np.flatnonzero(word[1:] == word[:-1])
-        pairs[inner] = self.rank(symbols[inner], symbols[inner + 1])
-        while len(symbols):
-            starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            index = pairs << 32 | np.arange(len(symbols))
-            first = np.minimum.reduceat(index, starts)
-            lengths = np.diff(np.r_[starts, len(symbols)])
-            done = first >> 32 == NONE
-            if done.any():  # nothing is left to merge in these words
-                out = np.repeat(done, lengths)
-                final.append(np.stack([word[out], np.arange(len(symbols))[out], symbols[out]]))
-                symbols, word, pairs = symbols[~out], word[~out], pairs[~out]
-                if not len(symbols):
-                    break
-                at = (first[~done] & 0xFFFFFFFF) - np.cumsum(np.where(done, lengths, 0))[~done]
-                ranks = first[~done] >> 32
-            else:
-                at, ranks = first & 0xFFFFFFFF, first >> 32
-            symbols[at] = ranks
-            keep = np.ones(len(symbols), bool)
-            keep[at + 1] = False
-            at = at - np.arange(len(at))  # each merge before it has taken a position away
-            symbols, word, pairs = symbols[keep], word[keep], pairs[keep]
-            for p in (at[at > 0] - 1, at[at < len(word) - 1]):
-                p = p[word[p] == word[p + 1]]
-                pairs[p] = self.rank(symbols[p], symbols[p + 1])
-            last = at[np.r_[word, -1][at + 1] != word[at]]
-            pairs[last] = NONE
-        owner, place, ids = np.concatenate(final, axis=1)
-        order = np.argsort(owner * (1 << 32) + place, kind="stable")
+        split = np.flatnonzero(whole < 0)
+        data = np.frombuffer(b"".join([words[i] for i in split.tolist()]), np.uint8)
+        word = np.repeat(split, np.fromiter((len(words[i]) for i in split.tolist()), np.int64, len(split)))
+        start = self.single[data]
+        index = self.index(start, np.flatnonzero(word[1:] == word[:-1]))
+        symbols = np.frombuffer(_replayed(index, start, word, self.made), np.int32)
+        left = symbols >= 0
+        owner = np.concatenate([np.flatnonzero(whole >= 0), word[left]])
+        ids = np.concatenate([whole[whole >= 0], symbols[left]])
         offsets = np.zeros(n + 1, np.int64)
         np.cumsum(np.bincount(owner, minlength=n), out=offsets[1:])
-        return ids[order].astype(np.int32), offsets
+        return ids[np.argsort(owner, kind="stable")].astype(np.int32), offsets
+
+
+def _replayed(index: dict[int, list[int]], start: np.ndarray, word: np.ndarray, made: dict[int, int]) -> array:
+    """Symbols after all merges, -1 where a position was merged into one before it."""
+    edge = word[1:] != word[:-1]
+    symbols, places = array("i", start.astype(np.int32).tobytes()), np.arange(len(start), dtype=np.int32)
+    after = array("i", np.where(np.r_[edge, True][: len(start)], -1, places + 1).astype(np.int32).tobytes())
+    before = array("i", np.where(np.r_[True, edge][: len(start)], -1, places - 1).astype(np.int32).tobytes())
+    ranks = list(index)
+    heapify(ranks)
+    get = made.get
+    while ranks:
+        rank = ranks[0]
+        positions = index[rank]
+        while positions:
+            at = heappop(positions)
+            right = after[at]
+            if right < 0 or get(symbols[at] << 32 | symbols[right]) != rank:
+                continue  # a merge has taken one of the two since
+            after[at] = beyond = after[right]
+            symbols[at], symbols[right], after[right] = rank, -1, -1
+            if beyond >= 0:
+                before[beyond] = at
+                if (new := get(rank << 32 | symbols[beyond])) is not None:
+                    if new in index:
+                        heappush(index[new], at)
+                    else:
+                        index[new] = [at]
+                        heappush(ranks, new)
+            if (left := before[at]) >= 0 and (new := get(symbols[left] << 32 | rank)) is not None:
+                if new in index:
+                    heappush(index[new], left)
+                else:
+                    index[new] = [left]
+                    heappush(ranks, new)
+            if ranks[0] != rank:
+                break  # a pair that goes first has come up
+        else:
+            heappop(ranks)
+            del index[rank]
+    return symbols
 
 
 class Known(dict):
