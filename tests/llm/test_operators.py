@@ -509,33 +509,66 @@ def test_warc_files(spark, tmp_path):
 # ---- 10: lines
 
 
+WHITE = " \t\r\x0b\x0c"
+
+
 def _kept_lines(rows: list[tuple[int, str | None]], least: int, words: int) -> dict[int, str | None]:
     seen: set = set()
     gone: dict[int, set[int]] = {}
     for k, t in sorted(rows):
-        lines = [(i, x) for i, x in enumerate((t or "").split("\n")) if x.strip(" ")]
+        lines = [(i, x) for i, x in enumerate((t or "").split("\n")) if x.strip(WHITE)]
         for j in range(len(lines)):
             run = tuple(x for _, x in lines[j : j + least])
             one = (lines[j][1],)
-            for own, n, counts in ((run, least, len(run) == least), (one, 1, len(one[0].split()) >= words)):
+            for own, n, counts in ((run, least, len(run) == least), (one, 1, least > 1 and len(one[0].split()) >= words)):
                 if counts and (n, own) in seen:
                     gone.setdefault(k, set()).update(i for i, _ in lines[j : j + n])
                 if counts:
                     seen.add((n, own))
-    return {k: t if k not in gone else (lambda s: s if s.strip(" \r\n\t") else "")("\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[k])) for k, t in rows}
+    return {k: t if k not in gone else (lambda s: s if s.strip(WHITE + "\n") else "")("\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[k])) for k, t in rows}
+
 
+def _maximal_runs(rows: list[tuple[int, str | None]], least: int) -> dict[int, tuple[int, int]]:
+    """The number and the greatest length of each text's maximal repeated runs, by holding all positions against all."""
+    texts = {k: [x for x in (t or "").split("\n") if x.strip(WHITE)] for k, t in rows}
+    places = [(k, i) for k, x in texts.items() for i in range(len(x))]
 
-@pytest.mark.parametrize("least", [2, 3, 5])
+    def common(a, b):
+        x, y = texts[a[0]][a[1] :], texts[b[0]][b[1] :]
+        n = next((n for n, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+        return n
+
+    shared = {a: max((common(a, b) for b in places if a != b), default=0) for a in places}
+    out = {}
+    for k, x in texts.items():
+        runs = [shared[k, i] for i in range(len(x)) if shared[k, i] >= least and (i == 0 or shared[k, i - 1] < least or i - 1 + shared[k, i - 1] < i + shared[k, i])]
+        out[k] = (len(runs), max(runs, default=0))
+    return out
+
+
+@pytest.mark.parametrize("least", [1, 2, 3, 5])
 def test_line_runs_as_by_brute_force(spark, least):
     rng = np.random.default_rng(29)
-    pool = [f"line {k} of words" for k in range(12)] + [" ".join(["long"] * 55), "", " "]
-    rows = [(k, "\n".join(rng.choice(pool, rng.integers(1, 25)))) for k in range(40)] + [(50, None), (51, ""), (52, "\n\n")]
-    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_lines=least).collect()}
-    assert got == _kept_lines(rows, least, line_dedup.MIN_WORDS)
+    pool = [f"line {k} of words" for k in range(12)] + [" ".join(["long"] * 55), "", " ", "\r", "line 1 of words\r", "\t"]
+    rows = [(k, "\n".join(rng.choice(pool, rng.integers(1, 25)))) for k in range(25)] + [(50, None), (51, ""), (52, "\n\n"), (53, "one\r\n\r\n\r\ntwo"), (54, "three\r\n\r\n\r\nfour")]
+    rows += [(60, rows[3][1]), (61, rows[3][1] + "\nend"), (62, "start\n" + rows[3][1]), (63, "\n".join(["again"] * 9)), (64, "\n".join([f"own {k}" for k in range(19)])), (65, "\n".join([f"own {k}" for k in range(2, 18)]))]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_lines=least, runs=True).collect()
+    assert {r["doc_id"]: r["text"] for r in out} == _kept_lines(rows, least, line_dedup.MIN_WORDS)
+    assert {r["doc_id"]: (r["n_runs"], r["longest_run"]) for r in out} == _maximal_runs(rows, least)
+
+
+def test_string_keys(spark):
+    rows = [("b", "x y\nz w\nlast"), ("a", "x y\nz w"), (None, "other"), ("a", "x y\nz w")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter([("b", "last"), ("a", "x y\nz w"), ("a", "x y\nz w"), (None, "other")])
+    base = _random_texts(2, 61, 60)
+    docs = spark.createDataFrame([("y", base[0]), ("x", base[1] + base[0])], "doc_id string, text string")
+    assert {r["doc_id"]: len(r["spans"]) for r in suffix_dedup.remove_repeats(docs).collect()} == {"x": 0, "y": 1}
 
 
 def test_line_dedup_on_odd_rows(spark, odd, none):
     got = line_dedup.dedup_lines(odd.withColumn("removed", F.lit("clash")))
+    assert line_dedup.dedup_lines(odd.withColumn("__id", F.lit("c")).withColumn("__gone", F.lit("c")), runs=True).where("__id = 'c' and __gone = 'c'").count() == odd.count()
     assert got.count() == odd.count() and line_dedup.dedup_lines(none).count() == 0 and got.columns[: len(odd.columns)] == odd.columns
 
 
