@@ -1,10 +1,12 @@
 """SimHash near-duplicates, found by a vantage-point tree over the fingerprints.
 
-The levels of the tree measure the Hamming distance to the vantage point on disjoint blocks of bits. By the triangle
-inequality two fingerprints differ by at least the sum, over the blocks, of how far their distances to the vantage
-point lie apart; so a query with radius r goes only to branches where this sum is r at most. The upper levels name the
-shards into which fingerprints are dealt, a fingerprint goes as a query to all shards that its ball overlaps, and the
-lower levels prune within a shard. What remains is compared bit by bit, so the pairs are exact.
+Each node of the tree has a vantage point of its own and parts its fingerprints by their Hamming distance to it, on one
+block of bits; the levels below a node measure other blocks. By the triangle inequality two fingerprints differ by at
+least the sum, over the levels, of how far their distances to the vantage points lie apart, since the blocks are disjoint.
+So a ball of radius r goes on only to branches where this sum is r at most. The upper tree is built from a bounded
+sample, which says where a node is too full for a task; its leaves are the shards into which fingerprints are dealt. A
+fingerprint goes as a query to all later shards that its ball overlaps. Within a shard a second tree, of smaller blocks
+and built from what is there, prunes again, and what remains is compared bit by bit, so the pairs are exact.
 
 The pipeline's stage (``keep_first``) asks for word shingles of similarity 0.8, which lie up to some 12 of 64 bits apart.
 No ball of that size leaves a branch of bits out, so its tree measures sizes of sets of shingles from the empty set,
@@ -14,7 +16,8 @@ wide fingerprints find candidates, and their sets are compared exactly.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain, product, repeat
+from dataclasses import dataclass, field
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +36,12 @@ STAGE_WORDS, SIMILAR, WIDE, NEAR, WIDE_NEAR = 5, (4, 5), 4, 22, 72
 #: Ratio of sizes that a level spans (over 5/4, so that similar sets are at most one level apart), sets of a block at most.
 LEVEL, BLOCK = 1.3, 1 << 17
 ROW = np.dtype([("fp", np.int64), ("n", np.int64), ("wide", np.uint64, (WIDE,))])
+#: Bits that the levels of the tree over shards measure, and of the tree within a shard.
+COARSE, FINE = (16, 16, 8, 8, 4, 4, 4, 4), (8, 8, 8, 8, *(4,) * 8)
+#: Fingerprints from which the tree over shards is built, by a hash; how many a shard is to hold at most; candidates for a vantage point.
+SAMPLE, LEAF, TRIED = 20_000, 1 << 16, 16
 #: Bytes of text whose shingles are held at a time, fingerprints dealt at a time, comparisons made at a time.
-SLICE, DEALT, COMPARED = 2 << 20, 100_000, 1 << 20
+SLICE, DEALT, COMPARED = 2 << 20, 100_000, 1 << 18
 #: For each byte, its bits as eight bytes: sums of up to 255 of them do not run over.
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
@@ -81,15 +88,76 @@ def fingerprints(docs: DataFrame, text: str = "text", words: int = WORDS, out: s
     return kept.mapInArrow(run, kept.drop(text).withColumn(out, F.lit(0).cast("long")).schema)
 
 
-def blocks(n: int) -> list[np.uint64]:
-    """Masks that cut 64 bits into ``n`` disjoint blocks of nearly equal size."""
-    cuts = [round(64 * k / n) for k in range(n + 1)]
+def blocks(widths: tuple[int, ...]) -> list[np.uint64]:
+    """Masks of disjoint blocks of bits, from the lowest up."""
+    cuts = np.cumsum([0, *widths]).tolist()
     return [np.uint64(((1 << (b - a)) - 1) << a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def _codes(fps: np.ndarray, vantage: np.uint64, masks: list[np.uint64]) -> np.ndarray:
-    """Distances to the vantage point, a column for each block."""
-    return np.stack([np.bitwise_count((fps ^ vantage) & m) for m in masks], axis=1).astype(np.int64)
+def distances(fps: np.ndarray, vantage: np.uint64, mask: np.uint64) -> np.ndarray:
+    return np.bitwise_count((fps ^ vantage) & mask).astype(np.int64)
+
+
+def vantage_of(fps: np.ndarray, mask: np.uint64) -> np.uint64:
+    """Of some fingerprints, evenly taken from ``fps``, the one whose distances to all spread most."""
+    tried, held = fps[:: max(1, len(fps) // TRIED)], fps[:: max(1, len(fps) // 1024)]
+    return tried[int(np.argmax([distances(held, v, mask).var() for v in tried]))]
+
+
+@dataclass
+class Node:
+    """A vantage point, the block that it looks at, and children by ranges of distance; a leaf has a number and ``parts`` instead."""
+
+    leaf: int = -1
+    parts: int = 1
+    vantage: np.uint64 = np.uint64(0)
+    mask: np.uint64 = np.uint64(0)
+    children: list[tuple[int, int, Node]] = field(default_factory=list)
+
+
+class Tree:
+    """A tree over shards, from a sample in which each fingerprint stands for ``weight`` of them.
+
+    A node that stands for more than ``leaf`` is parted on, until all blocks are used; a leaf that is still too full is
+    cut into parts by a hash, and each pair of its parts is a shard.
+    """
+
+    def __init__(self, sample: np.ndarray, weight: float, leaf: int, widths: tuple[int, ...] = COARSE) -> None:
+        self.leaves: list[Node] = []
+        self.root = self._grown(sample, weight, leaf, blocks(widths))
+
+    def _grown(self, fps: np.ndarray, weight: float, leaf: int, masks: list[np.uint64]) -> Node:
+        if len(fps) * weight <= leaf or not masks or len(fps) < 2:
+            node = Node(len(self.leaves), max(1, -(-int(len(fps) * weight) // leaf)))
+            self.leaves.append(node)
+            return node
+        node = Node(vantage=vantage_of(fps, masks[0]), mask=masks[0])
+        d = distances(fps, node.vantage, masks[0])
+        counts, a = np.bincount(d, minlength=65), 0
+        for b in range(65):  # an eighth of the fingerprints or more to each range, so that no shard is tiny
+            if counts[a : b + 1].sum() * 8 >= len(fps) and counts[b + 1 :].sum() * 8 >= len(fps) or b == 64:
+                node.children.append((a, b, self._grown(fps[(d >= a) & (d <= b)], weight, leaf, masks[1:])))
+                a = b + 1
+        return node
+
+    def overlaps(self, fps: np.ndarray, radius: int) -> list[tuple[Node, np.ndarray, np.ndarray]]:
+        """The leaves that the balls of ``fps`` overlap, which these are, and whether each one is at home there."""
+        out = []
+
+        def go(node: Node, own: np.ndarray, left: np.ndarray, home: np.ndarray) -> None:
+            if not len(own):
+                return
+            if node.leaf >= 0:
+                out.append((node, own, home))
+                return
+            d = distances(fps[own], node.vantage, node.mask)
+            for a, b, child in node.children:
+                rest = left - np.maximum(np.maximum(a - d, d - b), 0)
+                near = rest >= 0
+                go(child, own[near], rest[near], home[near] & (d[near] >= a) & (d[near] <= b))
+
+        go(self.root, np.arange(len(fps)), np.full(len(fps), radius), np.ones(len(fps), bool))
+        return out
 
 
 def _union(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -105,55 +173,80 @@ def _union(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             labels[:] = short
 
 
-def _search(fps: np.ndarray, fine: np.ndarray, home: np.ndarray, asked: np.ndarray, left: np.ndarray, level: int, radius: int, labels: np.ndarray) -> None:
-    """Join every pair of a member of ``home`` and one of ``asked`` within the radius. left: what the levels above leave of the radius, by pair of values only."""
+def _search(fps: np.ndarray, home: np.ndarray, asked: np.ndarray, left: np.ndarray, masks: list[np.uint64], radius: int, labels: np.ndarray) -> int:
+    """Join every pair of a member of ``home`` and one of ``asked`` within the radius, of which the nodes above leave ``left``.
+
+    Returns how many pairs were compared bit by bit.
+    """
     if not len(home) or not len(asked):
-        return
-    if level < fine.shape[1] and len(home) * len(asked) > COMPARED:
-        h, q = fine[home, level], fine[asked, level]
+        return 0
+    if masks and len(home) * len(asked) > COMPARED:
+        vantage = vantage_of(fps[home], masks[0])
+        h, q = distances(fps[home], vantage, masks[0]), distances(fps[asked], vantage, masks[0])
+        compared = 0
         for value in np.unique(h):
             rest = left - np.abs(q - value)
             near = rest >= 0
-            _search(fps, fine, home[h == value], asked[near], rest[near], level + 1, radius, labels)
-        return
+            compared += _search(fps, home[h == value], asked[near], rest[near], masks[1:], radius, labels)
+        return compared
     step = max(1, COMPARED // len(asked))
     for k in range(0, len(home), step):
         part = home[k : k + step]
         i, j = np.nonzero(np.bitwise_count(fps[part][:, None] ^ fps[asked][None, :]) <= radius)
         _union(labels, part[i], asked[j])
+    return len(home) * len(asked)
 
 
-def _groups(fps: np.ndarray, at_home: np.ndarray, vantage: np.uint64, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of one shard: members of groups and each one's first member. fps may repeat, as a query beside itself."""
+def _groups(fps: np.ndarray, at_home: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Of one shard: members of groups, each one's first member, and how many pairs were compared. fps may repeat, as a query beside itself."""
     labels = np.arange(len(fps))
-    fine = _codes(fps, vantage, blocks(16))
     everything = np.arange(len(fps))
-    _search(fps, fine, np.flatnonzero(at_home), everything, np.full(len(fps), radius), 0, radius, labels)
+    compared = _search(fps, np.flatnonzero(at_home), everything, np.full(len(fps), radius), blocks(FINE), radius, labels)
     tied = np.flatnonzero(labels != everything)
-    return fps[tied], fps[labels[tied]]
-
-
-def links(fps: DataFrame, radius: int = RADIUS, levels: int | None = None) -> DataFrame:
+    return fps[tied], fps[labels[tied]], compared
+
+
+def shards_of(tree: Tree, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shard, fingerprint, and whether it is at home there: in its own leaf and, as a query, in every later one that its ball overlaps."""
+    begin = np.cumsum([0, *(x.parts * (x.parts + 1) // 2 for x in tree.leaves)])
+    found = tree.overlaps(fps, radius)
+    homes = np.full(len(fps), -1)
+    for node, own, home in found:
+        homes[own[home]] = node.leaf
+    shards, values, kinds = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
+
+    def add(shard: np.ndarray | int, x: np.ndarray, home: np.ndarray | bool) -> None:
+        shards.append(np.broadcast_to(np.asarray(shard, np.int64), x.shape))
+        values.append(x)
+        kinds.append(np.broadcast_to(home, x.shape))
+
+    for node, own, home in found:
+        first, n = int(begin[node.leaf]), node.parts
+        keep = home | (homes[own] < node.leaf)
+        x, home = fps[own[keep]], home[keep]
+        if n == 1:
+            add(first, x, home)
+            continue
+        part = (mix64(x) % np.uint64(n)).astype(np.int64)
+        for b in range(n):  # shard (b, b): a part and all queries; (b, c): a part, and another one as queries
+            for c in range(b, n):
+                add(first + b * n - b * (b - 1) // 2 + c - b, x[home & (part == b)], True)
+                add(first + b * n - b * (b - 1) // 2 + c - b, x[~home if b == c else home & (part == c)], False)
+    return np.concatenate(shards), np.concatenate(values), np.concatenate(kinds)
+
+
+def links(fps: DataFrame, radius: int = RADIUS, leaf: int = LEAF, sample: int = SAMPLE) -> DataFrame:
     """Links ``a``, ``b`` that connect all values of ``fps.fp`` within ``radius`` bits of each other.
 
     Of each group that a shard holds, only ties to one of its members are returned: as many as it has members, so no
-    table grows with the square of a group. ``fp`` is to be distinct; nulls are ignored.
+    table grows with the square of a group. ``fp`` is to be distinct; nulls are ignored. The tree over shards is built on
+    the driver from some ``sample`` fingerprints, whichever those are; they decide how even the shards are, not what is found.
     """
-    spark = fps.sparkSession
     fps = fps.where("fp is not null").select("fp")
-    sample = np.array([r[0] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(1000).collect()], np.int64).view(np.uint64)
-    if not len(sample):
-        return spark.createDataFrame([], "a long, b long")
-    if levels is None:
-        n = fps.count()
-        levels = 3 if n < 20_000_000 else 4 if n < 500_000_000 else 6
-    masks = blocks(levels)
-    spread = [sum(np.bitwise_count((sample ^ v) & m).astype(float).var() for m in masks) for v in sample[:64]]
-    vantage = sample[int(np.argmax(spread))]
-    widths = [int(np.bitwise_count(m)) for m in masks]
-    place = np.cumprod([1, *[w + 1 for w in widths[:-1]]])
-    ball = [o for o in product(range(-radius, radius + 1), repeat=levels) if sum(map(abs, o)) <= radius]
-    onward = [o for o in ball if int(np.dot(o, place)) > 0]  # of two shards, the later one holds the query
+    n = fps.count()
+    every = max(1, n // sample)
+    taken = fps.where(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0).orderBy("fp").toArrow().column(0).to_numpy()
+    tree = Tree(np.ascontiguousarray(taken).view(np.uint64), every, leaf)
 
     def deal(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -161,20 +254,11 @@ def links(fps: DataFrame, radius: int = RADIUS, levels: int | None = None) -> Da
             if batch is not None:
                 held.append(np.asarray(batch.column(0)).view(np.uint64))
             if held and (batch is None or sum(map(len, held)) >= DEALT):
-                x = np.concatenate(held)
+                cell, value, kind = shards_of(tree, np.concatenate(held), radius)
                 held = []
-                codes = _codes(x, vantage, masks)
-                cells, values, kinds = [codes @ place], [x], [np.ones(len(x), bool)]
-                for o in onward:
-                    to = codes + np.array(o)
-                    ok = ((to >= 0) & (to <= np.array(widths))).all(axis=1)
-                    cells.append(to[ok] @ place)
-                    values.append(x[ok])
-                    kinds.append(np.zeros(int(ok.sum()), bool))
-                cell, value, kind = np.concatenate(cells), np.concatenate(values), np.concatenate(kinds)
                 order = np.argsort(cell * 2 + kind, kind="stable")
                 cell, value, kind = cell[order], value[order], kind[order]
-                cuts = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (kind[1:] != kind[:-1])])
+                cuts = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (kind[1:] != kind[:-1])][: len(cell)])
                 off = pa.py_buffer((np.r_[cuts, len(cell)] * 8).astype(np.int32).tobytes())
                 blobs = pa.BinaryArray.from_buffers(pa.binary(), len(cuts), [None, off, pa.py_buffer(value.tobytes())])
                 yield pa.RecordBatch.from_arrays([pa.array(cell[cuts]), pa.array(kind[cuts]), blobs], ["cell", "home", "fps"])
@@ -183,7 +267,7 @@ def links(fps: DataFrame, radius: int = RADIUS, levels: int | None = None) -> Da
         cell, held, homes = None, [], []
 
         def close() -> pa.RecordBatch:
-            a, b = _groups(np.concatenate(held), np.concatenate(homes), vantage, radius)
+            a, b, _ = _groups(np.concatenate(held), np.concatenate(homes), radius)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
         for batch in rows:

@@ -324,21 +324,47 @@ def test_fingerprints_and_components(spark, odd, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_first(odd).columns == odd.columns
 
 
-def test_links_reach_every_pair_whatever_the_levels(spark, monkeypatch):
+def _linked(found, values: np.ndarray, radius: int) -> None:
+    groups = {r["node"]: r["root"] for r in components.components(found).collect()}
+    signed = values.view(np.int64).tolist()
+    for i in range(len(values)):
+        for j in np.flatnonzero(np.bitwise_count(values[i + 1 :] ^ values[i]) <= radius):
+            assert groups[signed[i]] == groups[signed[i + 1 + j]]
+    assert found.count() <= 4 * len(values)
+
+
+def _crowd(n: int, seed: int, base: int = 0x0123456789ABCDEF, flips: int = 6) -> np.ndarray:
+    """Fingerprints that lie within a few bits of one."""
+    rng = np.random.default_rng(seed)
+    return np.unique(np.array([base ^ sum(1 << int(x) for x in rng.choice(64, rng.integers(0, flips + 1), replace=False)) for _ in range(n)], np.uint64))
+
+
+def test_links_reach_every_pair_whatever_the_tree(spark):
     rng = np.random.default_rng(19)
     base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
     near = [b ^ np.uint64(sum(1 << int(x) for x in rng.choice(64, rng.integers(1, 5), replace=False))) for b in base for _ in range(5)]
-    values = np.unique(np.concatenate([base, np.array(near, np.uint64)]))
-    monkeypatch.setattr(simhash, "COMPARED", 50)
-    for levels in (1, 3, 4):
-        found = simhash.links(spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long"), 3, levels)
-        groups = {r["node"]: r["root"] for r in components.components(found).collect()}
-        for i, a in enumerate(values):
-            for b in values[i + 1 :]:
-                if (int(a) ^ int(b)).bit_count() <= 3:
-                    x, y = (int(np.uint64(v).view(np.int64)) for v in (a, b))
-                    assert groups[x] == groups[y]
-        assert found.count() <= 3 * len(values)
+    for values in (np.unique(np.concatenate([base, np.array(near, np.uint64)])), _crowd(400, 63)):
+        for leaf, sample in ((1 << 16, 1000), (40, 1000), (3, 60)):
+            found = simhash.links(spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long"), 3, leaf, sample)
+            _linked(found, values, 3)
+    assert simhash.links(spark.createDataFrame([], "fp long")).count() == 0
+
+
+def test_the_tree_meets_each_pair_in_one_shard_and_compares_few(monkeypatch):
+    monkeypatch.setattr(simhash, "COMPARED", 1 << 10)
+    rng = np.random.default_rng(67)
+    for make in (lambda n: np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)), lambda n: _crowd(n, 71, flips=12)):
+        cost = []
+        for n in (3_000, 30_000):
+            values = make(n)
+            tree = simhash.Tree(values[:: n // 1000], n / 1000, 500)
+            shard, fps, home = simhash.shards_of(tree, values, 3)
+            assert max(x.parts for x in tree.leaves) == 1 and np.array_equal(np.sort(fps[home]), values) and np.bincount(shard[home]).max() < n / 4
+            compared = 0
+            for s in np.unique(shard)[:: 1 if n == 3_000 else 10]:
+                compared += simhash._groups(fps[shard == s], home[shard == s], 3)[2] * (1 if n == 3_000 else 10)
+            cost.append(compared)
+        assert cost[1] < 30 * cost[0]  # ten times the input; the square would be a hundred
 
 
 def test_the_stage_finds_texts_of_similar_shingles(spark, odd, none, monkeypatch):
