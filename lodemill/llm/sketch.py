@@ -2,29 +2,34 @@
 
 A sketch has three tables of cells; a digest is counted into one cell of each. Two sketches of equal size subtract cell
 by cell, what both documents hold falls away, and peeling the cells that hold one digest recovers those in which the
-documents differ. Where peeling gets stuck, the pair is sketched again with twice the cells. All pairs of an Arrow
-batch are sketched, subtracted and peeled together in numpy.
+documents differ. A fingerprint holds sketches of 12, 48, 192, ... cells, as far as the text's paragraphs ask for, and a
+last one that is large enough to be peeled alone. Two fingerprints are compared by their smallest sketches; where peeling
+gets stuck, the next larger ones are subtracted; where one of the two has none left, the last ones are peeled, each alone,
+and the digests themselves are held against each other. So the likeness of two documents follows from their fingerprints.
+All documents of an Arrow batch are sketched, subtracted and peeled together in numpy.
 """
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, slices
+from .common import identified, mix64, slices
 
-#: Cells of a document's stored sketch, in three tables, and the bytes that are written of a cell's sums.
-CELLS, TABLES = 12, 3
+#: Cells of a fingerprint's smallest sketch, in three tables, how many times as many the next one has, and the cells of
+#: the last one for each paragraph.
+CELLS, TABLES, MORE, OWN = 12, 3, 4, 1.5
 #: Words after which a paragraph without sentence ends is cut, on average, by a word's hash.
 LONG = 16
-#: Ranges of keys at most; their bounds are what reaches the driver.
-MAX_RANGES = 4096
+#: Bytes of a range of documents, and the documents from which the ranges are cut.
+RANGE, SAMPLE = 64 << 20, 50_000
+#: What is written of a cell: how many digests, the digests' sum and the checks' sum (by exclusive or).
+CELL = np.dtype([("count", "<i4"), ("keys", "<u8"), ("checks", "<u4")])
 #: Bytes of text that a task sketches at a time.
 SLICE = 4 << 20
 #: Ends of a paragraph: a line's end, or a sentence's.
@@ -71,14 +76,16 @@ def digests(text: str) -> np.ndarray:
     return x
 
 
+def check_of(keys: np.ndarray) -> np.ndarray:
+    return (mix64(keys ^ np.uint64(0xA5A5A5A5A5A5A5A5)) >> np.uint64(32)).astype(np.uint32)
+
+
 class Sketches:
     """Sketches of several documents, document i with ``cells[i]`` cells (a multiple of TABLES)."""
 
-    def __init__(self, keys: np.ndarray, owner: np.ndarray, sign: np.ndarray, cells: np.ndarray) -> None:
+    def __init__(self, cells: np.ndarray, table: np.ndarray | None = None) -> None:
         self.cells, self.start = cells, np.cumsum(cells) - cells
-        n = int(cells.sum())
-        self.count, self.keys, self.checks = np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-        self.add(keys, owner, sign)
+        self.table = np.zeros(int(cells.sum()), CELL) if table is None else table
 
     def places(self, keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
         """The cells of each digest, a row for each table."""
@@ -86,108 +93,185 @@ class Sketches:
         with np.errstate(over="ignore"):
             return np.stack([self.start[owner] + k * width.astype(np.int64) + (mix64(keys + np.uint64(k + 1)) % width).astype(np.int64) for k in range(TABLES)])
 
-    def add(self, keys: np.ndarray, owner: np.ndarray, sign: np.ndarray) -> None:
-        check = mix64(keys ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+    def add(self, keys: np.ndarray, owner: np.ndarray, sign: np.ndarray | int) -> Sketches:
+        check = check_of(keys)
         for at in self.places(keys, owner):
-            np.add.at(self.count, at, sign)
-            np.bitwise_xor.at(self.keys, at, keys)
-            np.bitwise_xor.at(self.checks, at, check)
+            np.add.at(self.table["count"], at, sign)
+            np.bitwise_xor.at(self.table["keys"], at, keys)
+            np.bitwise_xor.at(self.table["checks"], at, check)
+        return self
+
+    def part(self, which: np.ndarray) -> Sketches:
+        """The sketches of some documents."""
+        n = self.cells[which]
+        ends = np.cumsum(n)
+        return Sketches(n, self.table[np.repeat(self.start[which] - ends + n, n) + np.arange(int(n.sum()))])
+
+    def minus(self, other: Sketches) -> Sketches:
+        """Sketches of equal sizes, subtracted."""
+        out = Sketches(self.cells, np.zeros(len(self.table), CELL))
+        out.table["count"] = self.table["count"] - other.table["count"]
+        for name in ("keys", "checks"):
+            out.table[name] = self.table[name] ^ other.table[name]
+        return out
 
     def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Digests that were recovered, their documents, and for each document whether its sketch came out empty."""
+        """Digests that were recovered, their documents, and for each document whether its sketch came out empty. The table is used up."""
         owner_of = np.repeat(np.arange(len(self.cells)), self.cells)
         found, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        look = np.arange(len(self.count))
-        for _ in range(10_000):
-            look = look[(np.abs(self.count[look]) == 1)]
-            look = look[mix64(self.keys[look] ^ np.uint64(0xA5A5A5A5A5A5A5A5)) == self.checks[look]]
-            if not len(look):
-                break
-            owner, keys = owner_of[look], self.keys[look]
+        look = np.arange(len(self.table))
+        while len(look):
+            look = look[np.abs(self.table["count"][look]) == 1]
+            look = look[check_of(self.table["keys"][look]) == self.table["checks"][look]]
+            owner, keys = owner_of[look], self.table["keys"][look]
             order = np.lexsort((keys, owner))
             look, owner, keys = look[order], owner[order], keys[order]
-            new = np.r_[True, (owner[1:] != owner[:-1]) | (keys[1:] != keys[:-1])]
+            new = np.ones(len(look), bool)
+            new[1:] = (owner[1:] != owner[:-1]) | (keys[1:] != keys[:-1])
             look, owner, keys = look[new], owner[new], keys[new]
-            self.add(keys, owner, -self.count[look])
+            # a sum that passes for a digest by chance could be taken out and put back for ever
+            if sum(map(len, found)) > 4 * len(self.table):
+                break
             found.append(keys)
             owners.append(owner)
+            self.add(keys, owner, -self.table["count"][look])
             look = np.unique(self.places(keys, owner))
-        left = (self.count != 0) | (self.keys != 0) | (self.checks != 0)
+        left = (self.table["count"] != 0) | (self.table["keys"] != 0) | (self.table["checks"] != 0)
         return np.concatenate(found), np.concatenate(owners), np.bincount(owner_of[left], minlength=len(self.cells)) == 0
 
-    def written(self, sizes: np.ndarray) -> list[str]:
-        """Each document's sketch in hex: how many paragraphs, then for each cell the count, the digests' and the checks' sums."""
-        row = np.zeros(len(self.count), [("count", "<i4"), ("keys", "<u8"), ("checks", "<u4")])
-        row["count"], row["keys"], row["checks"] = self.count, self.keys, self.checks & np.uint64(0xFFFFFFFF)
-        data, size = row.tobytes(), row.itemsize
-        return [f"{n:x}:" + data[a * size : (a + c) * size].hex() for n, a, c in zip(sizes.tolist(), self.start.tolist(), self.cells.tolist(), strict=True)]
-
-
-def differences(a: list[np.ndarray], b: list[np.ndarray], cells: int = CELLS) -> np.ndarray:
-    """How many digests are in one of a[i] and b[i] only, by sketches that double until they peel."""
-    out = np.zeros(len(a), np.int64)
-    sizes = np.array([[len(x), len(y)] for x, y in zip(a, b, strict=True)], np.int64).reshape(-1, 2)
-    room = np.full(len(a), cells, np.int64)
-    gap = np.abs(sizes[:, 0] - sizes[:, 1])  # at least so many differ
-    while (small := room * 3 < gap * 4).any():
-        room[small] *= 2
-    todo = np.arange(len(a))
-    while len(todo):
-        n = sizes[todo].sum(axis=1)
-        keys = np.concatenate([x for i in todo.tolist() for x in (a[i], b[i])]) if len(todo) else np.zeros(0, np.uint64)
-        sign = np.repeat(np.tile([1, -1], len(todo)), sizes[todo].ravel())
-        sketches = Sketches(keys, np.repeat(np.arange(len(todo)), n), sign, room[todo])
-        _, owner, whole = sketches.peel()
-        counts = np.bincount(owner, minlength=len(todo))
-        out[todo[whole]] = counts[whole]
-        todo = todo[~whole]
-        room[todo] *= 2
+
+class Fingerprints:
+    """Fingerprints of several documents: the numbers of their paragraphs; their sketches of each size, with each document's
+    place among them (-1 if it has none of that size); and the last ones."""
+
+    def __init__(self, sizes: np.ndarray, levels: list[tuple[Sketches, np.ndarray]], last: Sketches) -> None:
+        self.sizes, self.levels, self.last = sizes, levels, last
+
+    @classmethod
+    def of(cls, documents: list[np.ndarray]) -> Fingerprints:
+        """From the digests of each document."""
+        sizes = np.array([len(x) for x in documents], np.int64)
+        keys = np.concatenate([*documents, np.zeros(0, np.uint64)])
+        owner = np.repeat(np.arange(len(documents)), sizes)
+        levels, cells = [], CELLS
+        while (has := sizes * OWN > cells).any():
+            place = np.where(has, np.cumsum(has) - 1, -1)
+            mine = has[owner]
+            levels.append((Sketches(np.full(int(has.sum()), cells, np.int64)).add(keys[mine], place[owner[mine]], 1), place))
+            cells *= MORE
+        room = np.where(sizes > 0, -(-np.maximum(sizes * OWN, CELLS).astype(np.int64) // TABLES) * TABLES, 0)
+        while True:  # until each can be peeled alone
+            last = Sketches(room).add(keys, owner, 1)
+            whole = Sketches(room, last.table.copy()).peel()[2]
+            if whole.all():
+                return cls(sizes, levels, last)
+            room = np.where(whole, room, 2 * room)
+
+    def part(self, which: np.ndarray) -> Fingerprints:
+        levels = []
+        for sketches, place in self.levels:
+            own = place[which]
+            levels.append((sketches.part(own[own >= 0]), np.where(own >= 0, np.cumsum(own >= 0) - 1, -1)))
+        return Fingerprints(self.sizes[which], levels, self.last.part(which))
+
+    def written(self) -> list[str]:
+        """Each as a string: the number of paragraphs, then each sketch's cells in hex, smallest first."""
+        out = [[f"{n:x}"] for n in self.sizes.tolist()]
+        for sketches, place in [*self.levels, (self.last, np.arange(len(self.sizes)))]:
+            data = sketches.table.tobytes()
+            for i in np.flatnonzero(place >= 0).tolist():
+                a, n = int(sketches.start[place[i]]), int(sketches.cells[place[i]])
+                out[i].append(data[a * CELL.itemsize : (a + n) * CELL.itemsize].hex())
+        return [":".join(x) for x in out]
+
+    @classmethod
+    def read(cls, written: list[str]) -> Fingerprints:
+        """What ``written`` gave."""
+        split = [x.split(":") for x in written]
+        sizes = np.array([int(x[0], 16) for x in split], np.int64)
+
+        def tables(hexes: list[str]) -> Sketches:
+            parts = [np.frombuffer(bytes.fromhex(h), CELL) for h in hexes]
+            return Sketches(np.array([len(p) for p in parts], np.int64), np.concatenate([*parts, np.zeros(0, CELL)]))
+
+        levels = []
+        for k in range(1, max(map(len, split), default=2) - 1):
+            has = np.array([len(x) > k + 1 for x in split])
+            levels.append((tables([x[k] for x in split if len(x) > k + 1]), np.where(has, np.cumsum(has) - 1, -1)))
+        return cls(sizes, levels, tables([x[-1] for x in split]))
+
+
+def differences(a: Fingerprints, b: Fingerprints) -> np.ndarray:
+    """How many digests are in one of a[i] and b[i] only."""
+    out, todo = np.zeros(len(a.sizes), np.int64), np.arange(len(a.sizes))
+    for (x, at), (y, to) in zip(a.levels, b.levels, strict=False):
+        both = todo[(at[todo] >= 0) & (to[todo] >= 0)]
+        _, owner, whole = x.part(at[both]).minus(y.part(to[both])).peel()
+        out[both[whole]] = np.bincount(owner, minlength=len(both))[whole]
+        todo = np.setdiff1d(todo, both[whole], assume_unique=True)
+    sides = [f.last.part(todo).peel()[:2] for f in (a, b)]
+    # every digest of a document once; those that are in both documents come up twice
+    pairs = np.concatenate([np.stack([owner.astype(np.uint64), keys], axis=1) for keys, owner in sides])
+    found, often = np.unique(pairs, axis=0, return_counts=True)
+    out[todo] = np.bincount(found[often == 1, 0].astype(np.int64), minlength=len(todo))
     return out
 
 
-def likeness(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+def likeness(a: Fingerprints, b: Fingerprints) -> np.ndarray:
     """Shared paragraphs over all paragraphs of two documents; 1 for two without any."""
-    apart = differences(a, b)
-    both = np.array([len(x) + len(y) for x, y in zip(a, b, strict=True)], np.int64)
+    apart, both = differences(a, b), a.sizes + b.sizes
     union = (both + apart) / 2
     return np.where(both == 0, 1.0, (union - apart) / np.maximum(union, 0.5))
 
 
-def _longs(values: list[int | None]) -> Column:
-    """A constant array."""
-    return F.from_json(F.lit(json.dumps(values)), "array<long>") if values else F.array().cast("array<long>")
-
-
-def _count_up_to(bounds: list[int], key: Column, step: int = 64) -> Column:
-    """How many of the ascending ``bounds`` are ``key`` at most, by every 64th of them and then the 64 in question."""
-    n = F.size(F.filter(_longs(bounds[::step]), lambda b: b <= key))
-    block = F.slice(_longs(bounds), F.greatest(n - 1, F.lit(0)) * step + 1, step)
-    return F.greatest(n - 1, F.lit(0)) * step + F.size(F.filter(block, lambda b: b <= key))
+def likeness_of(a: str, b: str) -> float:
+    """The likeness of two documents, from their fingerprints as they are stored."""
+    return float(likeness(Fingerprints.read([a]), Fingerprints.read([b]))[0])
 
 
 def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``part``, ``key``, ``text``, ``own``: documents dealt by ranges of ``key``; every range also has the first document of
-    the next (of the first range, after the last), with ``own`` false. Only the bounds of the ranges reach the driver.
+    """``part``, ``id``, ``key``, ``text``, ``own``: documents dealt by ranges in the order of their keys; every range also has
+    the first document of the next (the last range that of the first), with ``own`` false.
+
+    Ranges are of nearly equal bytes, cut by a bounded sample. Their bounds, 16 bytes for each ``RANGE`` bytes of text, and
+    their first documents' numbers are what reaches the driver and goes out to the tasks.
     """
     spark = docs.sparkSession
-    table = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    n_bytes = table.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes >> 24, 1), MAX_RANGES)
-    bounds = sorted(set(table.where("key is not null").agg(F.percentile_approx("key", [k / n for k in range(1, n)], 10_000)).first()[0] or [])) if n > 1 else []
-    marked = table.withColumn("part", F.when(F.col("key").isNull(), 0).otherwise(_count_up_to(bounds, F.col("key"))).cast("int"))
-    heads = {r["part"]: r["head"] for r in marked.groupBy("part").agg(F.min(F.struct("key", F.xxhash64("text").alias("print"))).alias("head")).collect()}
-    parts = sorted(heads)
-    before = dict(zip(parts, [*parts[-1:], *parts[:-1]], strict=True))
-    all_parts = range(parts[-1] + 1 if parts else 0)
-    of_part = lambda x, kind: F.get(_longs([x(p) if p in heads else None for p in all_parts]), F.col("part")).cast(kind)
-    is_head = F.col("key").eqNullSafe(of_part(lambda p: heads[p]["key"], "long")) & (F.xxhash64("text") == of_part(lambda p: heads[p]["print"], "long"))
-    copies = F.when(is_head, of_part(before.get, "int"))
-    places = F.array(F.struct(F.col("part").alias("part"), F.lit(True).alias("own")), F.struct(copies.alias("part"), F.lit(False).alias("own")))
-    dealt = marked.select("key", "text", F.explode(F.filter(places, lambda x: x["part"].isNotNull())).alias("to")).select(F.col("to.part").alias("part"), "key", "text", F.col("to.own").alias("own"))
-    return dealt.repartitionByRange(max(len(parts), 1), "part").sortWithinPartitions("part", F.col("own").desc(), F.col("key").asc_nulls_first(), F.xxhash64("text"))
-
-
-SKETCHED = "key long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    table = identified(docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")), "key", "text", "id")
+    count, n_bytes = table.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (n_bytes or 0) // RANGE, 1)
+    sampled = table.where(F.pmod(F.xxhash64("id"), F.lit(max(1, count // SAMPLE))) == 0).groupBy("id").agg(F.sum(F.octet_length("text") + 64).alias("size")).orderBy("id").toArrow()
+    ids, size = sampled.column("id").to_numpy(), np.cumsum(sampled.column("size").to_numpy())
+    bounds = np.unique(ids[np.searchsorted(size, size[-1] * np.arange(1, n) / n)]) if len(ids) else np.zeros(0, np.int64)
+
+    def heads(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            own = np.sort(np.asarray(batch.column(0)))
+            part = np.searchsorted(bounds, own, "right")
+            first = np.r_[True, part[1:] != part[:-1]][: len(part)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[first]), pa.array(own[first])], ["part", "id"])
+
+    found = table.select("id").mapInArrow(heads, "part long, id long").groupBy("part").agg(F.min("id").alias("id")).orderBy("part").toArrow()
+    parts, first = found.column("part").to_numpy(), found.column("id").to_numpy()
+    before = np.roll(parts, 1)
+    at = table.columns.index("id")
+
+    def deal(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            own = np.asarray(batch.column(at))
+            part = np.searchsorted(bounds, own, "right")
+            place = np.searchsorted(parts, part)
+            for to, which, mine in ((part, slice(None), True), (before[place], own == first[place], False)):
+                x = batch if mine else batch.filter(pa.array(which))
+                if x.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(to[which].astype(np.int32)), x.column("id"), x.column("key"), x.column("text"), pa.array(np.full(x.num_rows, mine))], ["part", "id", "key", "text", "own"])
+
+    kept = table.schema["key"].dataType.simpleString()
+    dealt = table.mapInArrow(deal, f"part int, id long, key {kept}, text string, own boolean")
+    return dealt.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", F.col("own").desc(), "id")
+
+
+SKETCHED = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
 def compare_versions(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -195,10 +279,14 @@ def compare_versions(docs: DataFrame, key: str = "doc_id", text: str = "text") -
 
     The edited text of a document has its last quarter of code points (rounded down) replaced by as many from the start
     of the next document's text, or all of it if it has fewer. Next is the next key in ascending order, after the last
-    the first; rows of one key follow each other by a hash of the text, null keys come first. A null text is empty. The
-    only document is its own next. Likeness is shared over all paragraphs, from the peeled difference of two sketches,
-    1 for two empty texts. Texts are taken whole, 4 MB or one text at a time. Other columns are ignored.
+    the first; rows of one key follow each other by a hash of the text, null keys come first. Keys may be of any type that
+    can be ordered. A null text is empty. The only document is its own next. Likeness is shared over all paragraphs, from
+    the two fingerprints alone, 1 for two empty texts. Texts are taken whole, 4 MB or one text at a time. Other columns are
+    ignored. An empty table gives an empty result.
     """
+    dealt = with_next(docs, key, text)
+    names = ["key", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    key_type = pa.schema(dealt.select("key").limit(0).toArrow().schema).field(0).type
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, keys, texts = None, [], []  # the last document waits for its next
@@ -209,13 +297,13 @@ def compare_versions(docs: DataFrame, key: str = "doc_id", text: str = "text") -
             n = len(following) - 1
             if n <= 0:
                 return None
-            out = _sketched(keys[:n], following)
+            out = pa.RecordBatch.from_arrays([pa.array(keys[:n], key_type), *_sketched(following)], names)
             keys, texts = keys[n:], texts[n:]
             return out
 
         for batch in rows:
             for piece in slices(batch, "text", SLICE):
-                for p, k, x, own in zip(*(piece.column(i).to_pylist() for i in range(4)), strict=True):
+                for p, _, k, x, own in zip(*(piece.column(i).to_pylist() for i in range(5)), strict=True):
                     if own:
                         part = p
                         keys.append(k)
@@ -225,29 +313,25 @@ def compare_versions(docs: DataFrame, key: str = "doc_id", text: str = "text") -
                 if len(texts) > 1 and (out := close(False, None)):
                     yield out
 
-    return with_next(docs, key, text).mapInArrow(run, SKETCHED).withColumnRenamed("key", key)
+    return dealt.mapInArrow(run, f"key {dealt.schema['key'].dataType.simpleString()}, {SKETCHED}").withColumnRenamed("key", key)
 
 
-def _sketched(keys: list, texts: list[str]) -> pa.RecordBatch:
-    """Rows for all texts but the last, each with the one after it."""
+def _sketched(texts: list[str]) -> list[pa.Array]:
+    """Columns for all texts but the last, each with the one after it."""
     from hashlib import sha256
 
-    n = len(keys)
+    n = len(texts) - 1
     edited = [x[: len(x) - len(x) // 4] + y[: len(x) // 4] for x, y in zip(texts[:n], texts[1:], strict=True)]
-    own = [digests(x) for x in texts]
-    new = [digests(x) for x in edited]
-    prints = [Sketches(np.concatenate(d) if d else np.zeros(0, np.uint64), np.repeat(np.arange(n), [len(x) for x in d]), np.ones(sum(map(len, d)), np.int64), np.full(n, CELLS)).written(np.array([len(x) for x in d])) for d in (own[:n], new)]
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(keys, pa.int64()),
-            pa.array([len(x) for x in texts[:n]], pa.int64()),
-            pa.array([sha256(x.encode()).hexdigest() for x in edited]),
-            *map(pa.array, prints),
-            pa.array(likeness(own[:n], new)),
-            pa.array(likeness(own[:n], own[1:])),
-        ],
-        ["key", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
-    )
+    both = Fingerprints.of([digests(x) for x in texts])
+    own, following, new = both.part(np.arange(n)), both.part(np.arange(1, n + 1)), Fingerprints.of([digests(x) for x in edited])
+    return [
+        pa.array([len(x) for x in texts[:n]], pa.int64()),
+        pa.array([sha256(x.encode()).hexdigest() for x in edited]),
+        pa.array(own.written()),
+        pa.array(new.written()),
+        pa.array(likeness(own, new)),
+        pa.array(likeness(own, following)),
+    ]
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -273,6 +273,31 @@ def test_likeness_as_by_counting(spark):
 
         assert got[k]["n_chars"] == len(t) and got[k]["edited_sha256"] == hashlib.sha256(e.encode()).hexdigest()
         assert abs(got[k]["near_edited"] - near(t, e)) < 1e-9 and abs(got[k]["near_next"] - near(t, y)) < 1e-9
+        following = got[rows[(i + 1) % len(rows)][0]]["fingerprint"]
+        # from the stored strings alone
+        assert sketch.likeness_of(got[k]["fingerprint"], got[k]["edited_fingerprint"]) == got[k]["near_edited"]
+        assert sketch.likeness_of(got[k]["fingerprint"], following) == got[k]["near_next"]
+
+
+def test_few_changes_are_found_in_a_small_sketch():
+    rng = np.random.default_rng(73)
+    base = rng.integers(1, 1 << 63, 5000, dtype=np.uint64)
+    other = np.concatenate([base[3:], rng.integers(1, 1 << 63, 2, dtype=np.uint64)])
+    a, b = sketch.Fingerprints.of([base]), sketch.Fingerprints.of([other])
+    assert [int(x.cells[0]) for x, _ in a.levels] == [12, 48, 192, 768, 3072] and a.last.cells[0] >= 7500
+    keys, _, whole = a.levels[0][0].minus(b.levels[0][0]).peel()
+    assert whole.all() and set(keys.tolist()) == set(base[:3].tolist()) | set(other[-2:].tolist())
+    assert sketch.differences(a, b).tolist() == [5] and sketch.differences(a, a).tolist() == [0]
+    assert sketch.Fingerprints.read(a.written()).written() == a.written()
+
+
+def test_ranges_pass_their_first_document_on(spark):
+    rows = [(None if k % 3 == 0 else "hot" if k % 3 == 1 else f"k{k:03d}", f"{k:04d}" * 4) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(7)
+    got = sketch.compare_versions(docs).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(k for k, _ in rows) and len({r["edited_sha256"] for r in got}) == 300
+    dealt = sketch.with_next(docs, "doc_id", "text").where("own").groupBy("part").count().collect()
+    assert len(dealt) == 4 and max(r["count"] for r in dealt) < 100
 
 
 def test_sketches_on_odd_rows(spark, odd, none):
