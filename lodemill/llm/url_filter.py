@@ -3,7 +3,8 @@
 A list of keys (rules, blocked hosts) is matched against every key that the corpus's urls can ask for. Level 0 holds
 the listed keys. Level 1 holds the corpus keys that pass level 0 without being listed, level 2 the listed keys that
 pass level 1, and so on until nothing passes wrongly. As the levels were built over all keys of the corpus, asking them
-in turn is exact for every one of these keys, and a url is judged without a join.
+in turn is exact for every one of these keys, and a url is judged without a join. Of a long list only what the corpus asks
+for is encoded, so that a filter's size goes by the listed keys that occur.
 
 Null urls and urls without ``://`` have an empty host and path, fit no rule and are allowed. Empty tables give empty
 results. Repeated urls are judged alike. Columns that the judged table brings along are kept; ``host``, ``path``,
@@ -18,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, spare
 
 #: Rules of the production query: the action and the rule, a host and a path.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -26,17 +27,18 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 BLOCKED_HOSTS = (
     "ads-track.example.com", "adult-x.example.com", "casino-win.example.net", "cheap-pills.example.net", "free-bets.example.net", "spam-farm.example.org",
 )
-#: A word of a filter has 32 bits.
-WORD = 32
-#: Bits of a filter that may go to the executors with the plan (4 MB); beyond it keys are matched by a shuffled join.
-MAX_BITS = 1 << 25
+#: A word of a filter has 64 bits.
+WORD = 64
+#: Bits of a filter that may go to the executors with the plan (16 MB, for 11 million listed keys that occur in the corpus);
+#: beyond it keys are matched by a shuffled join.
+MAX_BITS = 1 << 27
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 @dataclass
 class Level:
-    """One filter: its words as a foldable array, its size and the salt of its hashes."""
+    """One filter: its words, its size and the salt of its hashes. The words are one constant of the plan."""
 
     words: list[int]
     n_bits: int
@@ -44,12 +46,12 @@ class Level:
     n_hashes: int
 
     def has(self, key: Column) -> Column:
-        literal = F.expr("array(" + ",".join(f"{w}L" for w in self.words) + ")")
-        return reduce(lambda a, b: a & b, (F.get(literal, word_of(p)).bitwiseAND(bit_of(p)) != 0 for p in positions(key, self)))
+        words = F.from_json(F.lit("[" + ",".join(map(str, self.words)) + "]"), "array<bigint>")
+        return F.forall(F.array(*positions(key, self)), lambda p: F.call_function("getbit", F.get(words, word_of(p)), (p % WORD).cast("int")) == 1)
 
 
 def word_of(position: Column) -> Column:
-    return F.shiftright(position, 5).cast("int")
+    return F.shiftright(position, 6).cast("int")
 
 
 def bit_of(position: Column) -> Column:
@@ -92,23 +94,21 @@ def build_level(keys: DataFrame, n: int, salt: int, bits_per_key: int, n_hashes:
     return level
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, bits_per_key: int = 12, n_hashes: int = 4, max_bits: int = MAX_BITS, max_levels: int = 32) -> Cascade:
+def build_cascade(listed: DataFrame, universe: DataFrame, bits_per_key: int = 12, n_hashes: int = 4, max_bits: int = MAX_BITS) -> Cascade:
     """A cascade that holds ``listed.key`` and rejects every other ``universe.key``. Null keys are never held."""
     cascade = Cascade()
-    inside = listed.where("key is not null").select("key").distinct()
-    if (n := inside.count()) == 0:
-        return cascade
-    for depth in range(max_levels):
+    universe = universe.where("key is not null").select("key")
+    inside = materialize(listed.where("key is not null").select("key").distinct().join(universe, "key", "left_semi"), "listed")
+    known = inside
+    while (n := inside.count()) > 0:
+        depth = len(cascade.levels)
         level = build_level(inside, n, 1000 + 2 * depth, bits_per_key, n_hashes, max_bits)
         cascade.levels.append(level)
-        outside = universe.where("key is not null").where(level.has(F.col("key")))
+        outside = universe.where(level.has(F.col("key")))
         if depth == 0:
-            outside = outside.join(listed.select("key"), "key", "left_anti").distinct()
-        outside = materialize(outside.select("key"), "cascade")
-        if (n := outside.count()) == 0:
-            return cascade
-        inside, universe = outside, inside
-    raise TooLarge("the levels do not come to an end")
+            outside = outside.join(known, "key", "left_anti").distinct()
+        inside, universe = materialize(outside.select("key"), "cascade"), inside
+    return cascade
 
 
 def host_of(url: Column) -> Column:
@@ -137,7 +137,7 @@ def judge(pages: DataFrame, rules: DataFrame, blocked: DataFrame, url: str = "ur
     hosts that are blocked with their subdomains where no rule fits. A rule fits its host and all subdomains if the
     path starts with the rule's path; of those that fit, the longest string wins. A rule listed with both actions
     blocks. Rules' hosts are to be in lower case. Memory on the driver and in the plan is bounded by ``max_bits`` for
-    each level; a longer list is matched by a shuffled join on the same candidate keys instead.
+    each level; where more listed keys than that occur, they are matched by a shuffled join on the same candidate keys.
     """
     rules = rules.where("rule is not null and rule != ''").select("action", "rule")
     blocked = blocked.where("key is not null and key != ''").select("key").distinct()
@@ -145,7 +145,8 @@ def judge(pages: DataFrame, rules: DataFrame, blocked: DataFrame, url: str = "ur
     shapes = rules.select(F.length(rule_path).alias("n"), F.size(F.split(rule_host, r"\.", -1)).alias("labels")).union(blocked.select(F.lit(0), F.size(F.split("key", r"\.", -1))))
     shape = shapes.agg(F.collect_set("n").alias("n"), F.max("labels").alias("labels")).first()
     lengths, max_labels = sorted(shape["n"]) or [0], shape["labels"] or 1
-    kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict", "_keys")]
+    kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    asked_keys = spare([*kept, "host", "path", "rule", "verdict"], "__keys")
     base = pages.select(*[F.col(f"`{c}`") for c in kept], host_of(F.col(f"`{url}`")).alias("host"), path_of(F.col(f"`{url}`")).alias("path"))
     asked = base.select("host", F.substring("path", 1, max(lengths)).alias("path")).distinct()
     keys = candidates(F.col("host"), F.col("path"), max_labels, lengths)
@@ -157,9 +158,9 @@ def judge(pages: DataFrame, rules: DataFrame, blocked: DataFrame, url: str = "ur
         in_rules, in_block = build_cascade(listed, universe, max_bits=max_bits), build_cascade(blocking, universe, max_bits=max_bits)
     except TooLarge:
         return _judge_by_join(base, rules, blocked, keys)
-    fits = base.withColumn("_keys", keys).withColumn("_keys", F.transform("_keys", lambda k: F.struct(F.length(k).alias("n"), k.alias("k"), in_rules.has(k).alias("rule"), in_block.has(k).alias("block"))))
-    best = F.array_max(F.filter("_keys", lambda k: k["rule"]))
-    hosts = F.exists("_keys", lambda k: k["block"] & ~k["rule"] & ~F.contains(k["k"], F.lit("/")))
+    fits = base.withColumn(asked_keys, keys).withColumn(asked_keys, F.transform(asked_keys, lambda k: F.struct(F.length(k).alias("n"), k.alias("k"), in_rules.has(k).alias("rule"), in_block.has(k).alias("block"))))
+    best = F.array_max(F.filter(asked_keys, lambda k: k["rule"]))
+    hosts = F.exists(asked_keys, lambda k: k["block"] & ~k["rule"] & ~F.contains(k["k"], F.lit("/")))
     verdict = F.when(F.coalesce(best["block"], best.isNull() & hosts), F.lit("block")).otherwise(F.lit("allow"))
     return fits.select(*[F.col(f"`{c}`") for c in kept], "host", "path", best["k"].alias("rule"), verdict.alias("verdict"))
 

@@ -79,6 +79,18 @@ def test_cascade_is_exact_with_tiny_filters(spark):
     assert {r[0] for r in universe.where(cascade.has(F.col("key"))).collect()} == {f"k{i}" for i in range(300)}
 
 
+def test_a_long_list_is_encoded_as_far_as_it_occurs(spark):
+    name = lambda i: F.concat(F.lit("h"), i.cast("string"), F.lit(".example.com"))
+    blocked = spark.range(200_000).select(name(F.col("id")).alias("key"))
+    pages = spark.range(4000).select((F.col("id") * 100).alias("page_id"), F.concat(F.lit("x://www."), name(F.col("id") * 100), F.lit("/")).alias("url"), F.lit("own").alias("__keys"))
+    got = url_filter.judge(pages, spark.createDataFrame([], "action string, rule string"), blocked)
+    assert got.groupBy("verdict", "__keys").count().orderBy("verdict").collect() == [("allow", "own", 2000), ("block", "own", 2000)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    keys = pages.select(name(F.col("page_id")).alias("key"))
+    assert [x.n_bits for x in url_filter.build_cascade(blocked, keys).levels][0] == 2000 * 12
+
+
 # ---- 2 and 5: classifiers
 
 
