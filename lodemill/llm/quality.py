@@ -83,11 +83,13 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
 def fit(featured: DataFrame, labels: DataFrame, key: str, label: str, sample: int = SAMPLE) -> Column:
     """The log odds that a row of ``featured`` is good, as a column of its ``features``.
 
-    Fitted on at most ``sample`` rows that have a label of 0 or 1; without both kinds the odds are even.
+    Fitted on at most ``sample`` different labels of 0 or 1, each with one row: of several with its key, the one of the
+    least features. Without both kinds of labels the odds are even.
     """
-    chosen = labels.where(F.col(f"`{label}`").isin(0, 1)).select(F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").alias("y")).where("k is not null")
+    chosen = labels.where(F.col(f"`{label}`").isin(0, 1)).select(F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").alias("y")).where("k is not null").distinct()
     chosen = chosen.orderBy(F.xxhash64("k"), "k", "y").limit(sample)
-    rows = featured.join(F.broadcast(chosen), F.col(f"`{key}`") == F.col("k")).select("features", "y").limit(2 * sample).collect()
+    joined = featured.join(F.broadcast(chosen), F.col(f"`{key}`") == F.col("k")).groupBy("k", "y").agg(F.min("features").alias("features"))
+    rows = joined.orderBy("k", "y").collect()
     y = np.array([r["y"] for r in rows], float)
     if not 0 < y.sum() < len(y):
         return F.lit(0.0)

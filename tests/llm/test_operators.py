@@ -109,6 +109,30 @@ def test_sparse_sites_shrink_to_their_host_and_to_the_corpus(spark):
     assert bad["host_posterior"] < tiny["host_posterior"] <= tiny["prior"] and b["path_posterior"] > 0.15
 
 
+def test_posteriors_as_by_closed_form(spark):
+    rng = np.random.default_rng(79)
+    rows = [(f"h{h}" if h else None, f"p{p}", round(float(np.clip(rng.normal(0.3 + 0.05 * h + 0.02 * p, 0.1), 0, 1)), 6)) for h in range(8) for p in range(5) for _ in range(int(rng.integers(1, 40)))]
+    got = {(r["host"], r["path"]): r for r in quality.sites(spark.createDataFrame(rows, "host string, path string, p double")).collect()}
+    table: dict = {}
+    for h, p, x in rows:
+        table.setdefault(h, {}).setdefault(p, []).append(x)
+    everything = np.array([x for *_, x in rows])
+    n, mean = len(everything), everything.mean()
+
+    def strength(groups: list[tuple[list[float], float]]) -> float:
+        sizes = np.array([len(g) for g, _ in groups])
+        squares = sum(len(g) * (np.mean(g) - centre) ** 2 for g, centre in groups)
+        spread = (squares - (len(groups) - 1) * mean * (1 - mean)) / (n - (sizes**2).sum() / n)
+        return 10_000.0 if spread <= 0 else min(max(mean * (1 - mean) / spread - 1, 1.0), 10_000.0)
+
+    hosts = {h: [x for g in paths.values() for x in g] for h, paths in table.items()}
+    over, inside = strength([(g, mean) for g in hosts.values()]), strength([(g, np.mean(hosts[h])) for h, paths in table.items() for g in paths.values()])
+    for h, paths in table.items():
+        host = (sum(hosts[h]) + over * mean) / (len(hosts[h]) + over)
+        for p, g in paths.items():
+            assert abs(got[h, p]["host_posterior"] - host) < 1e-6 and abs(got[h, p]["path_posterior"] - (sum(g) + inside * host) / (len(g) + inside)) < 1e-6
+
+
 def test_many_sites_are_joined_in_shards(spark, monkeypatch):
     rows = spark.createDataFrame([(i, "h" if i % 3 else None, "p") for i in range(60)], "__id long, host string, path string")
     table = spark.createDataFrame([("h", "p", 0.5), (None, "p", 0.25)], "host string, path string, path_posterior double")
@@ -128,21 +152,58 @@ def test_classifiers_on_odd_rows(spark, odd, none, labels):
 
 def test_toxicity_on_held_out_documents(spark):
     folder = "/root/testdata/sf0.1"
-    docs, labels = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", (1 - F.col("quality")).alias("junk"), "toxic")
-    out = toxicity.classify(docs, labels.where("doc_id % 4 != 1"), ["junk", "toxic"]).join(labels.where("doc_id % 4 = 1"), "doc_id")
-    toxic, clean = out.where("toxic = 1"), out.where("toxic = 0")
-    hit = toxic.where(F.col("p_toxic") >= toxicity.THRESHOLD).count()
-    assert hit >= 0.9 * toxic.count() and clean.where(F.col("p_toxic") >= toxicity.THRESHOLD).count() <= 0.01 * clean.count()
-
-
-def test_later_models_use_earlier_probabilities():
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic")
+    out = toxicity.classify(docs, labels.where("doc_id % 4 != 1"), ["toxic"], kinds=toxicity.KINDS).join(labels.where("doc_id % 4 = 1"), "doc_id")
+    out = out.join(docs, "doc_id").toPandas()
+    toxic, clean = out[out.toxic == 1], out[out.toxic == 0]
+    hit = toxicity.THRESHOLD
+    assert (toxic.p_toxic >= hit).mean() >= 0.9 and (clean.p_toxic >= hit).mean() <= 0.01
+    for kind, seeds in toxicity.KINDS.items():
+        own = toxic.text.str.lower().str.contains("|".join(seeds))
+        assert (toxic[own][f"p_{kind}"] >= hit).mean() >= 0.9 and (clean[f"p_{kind}"] >= hit).mean() <= 0.01
+
+
+def test_a_chain_as_by_plain_loops():
     rng = np.random.default_rng(5)
-    n = 600
-    hidden = rng.random(n) < 0.5
-    chain_rows, chain_columns = np.flatnonzero(hidden), np.zeros(int(hidden.sum()), np.int64)
-    first = np.where(hidden, 3.0, -3.0)[:, None]
-    w, link, _ = toxicity._fit_one(chain_rows, chain_columns, np.array([False]), first, hidden.astype(float))
-    assert link[0] > 0.3 and w[0] == 0
+    n, terms = 300, [f"t{k}" for k in range(6)]
+    held = rng.random((n, 6)) < 0.3
+    first = (held[:, 0] | (rng.random(n) < 0.1)).astype(float)
+    ys = np.column_stack([first, ((first > 0) & (rng.random(n) < 0.9)).astype(float)])
+    rows, columns = np.nonzero(held)
+    fold = np.arange(n) % 3
+    masks = {(0, None): [0, 1], (0, 0): [0, 2], (0, 1): [0, 3], (0, 2): [0], (1, None): [4, 5]}
+    chosen = {k: np.isin(np.arange(6), v) for k, v in masks.items()}
+    chain = toxicity.fit_chain(rows, columns, fold, ys, terms, chosen)
+    outside = np.zeros(n)
+    for f in range(3):
+        train = fold != f
+        r, c = np.nonzero(held[train])
+        w, _, b = toxicity._fit_one(r, c, chosen[0, f], np.zeros((int(train.sum()), 0)), ys[train, 0])
+        outside[~train] = held[~train] @ w + b
+    w, link, b = toxicity._fit_one(rows, columns, chosen[1, None], outside[:, None], ys[:, 1])
+    assert np.allclose(chain.weights[1], w) and np.allclose(chain.links[1], link) and np.isclose(chain.bias[1], b)
+    assert set(np.flatnonzero(chain.weights[0])) == {0, 1} and set(np.flatnonzero(chain.weights[1])) <= {4, 5} and link.sum() > 1
+    # prediction with the model that was fitted, by plain loops
+    got = chain.log_odds(rows, columns, n)
+    for i in range(n):
+        a = chain.bias[0] + sum(chain.weights[0][k] for k in range(6) if held[i, k])
+        z = chain.bias[1] + sum(chain.weights[1][k] for k in range(6) if held[i, k]) + sum(link[j] for j, s in enumerate(toxicity.STEPS) if a >= s)
+        assert abs(got[i, 0] - a) < 1e-9 and abs(got[i, 1] - z) < 1e-9
+
+
+def test_terms_are_chosen_without_the_fold_that_they_predict(spark):
+    rows = [(f, f"common only{f}" if y else "common", y) for f in range(3) for y in (0, 1) for _ in range(5)]
+    counted = toxicity.count_terms(spark.createDataFrame(rows, "fold int, text string, toxic int"), ["toxic"], 3)
+    totals = np.array([[10, 5]] * 3)
+    assert "only1" in toxicity.choose_terms(counted, totals, 0, None, 50) and "only1" not in toxicity.choose_terms(counted, totals, 0, 1, 50)
+    assert {"only0", "only2"} <= set(toxicity.choose_terms(counted, totals, 0, 1, 50))
+
+
+def test_repeated_documents_do_not_swell_the_sample(spark):
+    docs = spark.createDataFrame([(1, "you idiot " + str(k)) for k in range(50)] + [(2, "fine day"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    assert toxicity.classify(docs, labels, ["toxic"], kinds=toxicity.KINDS).count() == 52
+    assert quality.score(docs.selectExpr("*", "'s' source", "'en' lang"), labels.withColumnRenamed("toxic", "quality")).count() == 52
 
 
 # ---- 3: repeated strings
