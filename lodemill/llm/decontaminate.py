@@ -1,14 +1,16 @@
 """Benchmark decontamination by template windows, with DataFrame functions alone.
 
-Texts are cut into words and numbers; numbers, names (capitals inside a sentence) and units after a number become typed
-placeholders. Windows of eight such tokens are hashed and joined with the benchmark's. Windows that match on one
-diagonal (the distance between the places in document and item) are one occurrence; there every value of a slot in the
-item has to stand for one value in the document, so a question with other numbers and names is caught, and prose that
-shares a few common turns is not. An item that numbers and names leave without enough windows of words is matched
-by its own words as they are.
+Texts are cut into words and numbers, and into single signs in scripts that put no spaces between words. Numbers, names
+(runs of capitalised words other than a list of common ones) and units after a number become typed placeholders, one for
+a whole run, so that a name of another length shifts nothing. Windows of eight such tokens are hashed and joined with the
+benchmark's. Windows that match on one diagonal (the distance between the places in document and item) are one
+occurrence; there every value of a slot in the item has to stand for one value in the document, so a question with other
+numbers and names is caught, and prose that shares a few common turns is not. An item that numbers and names leave without
+enough windows of words is matched by its own words as they are; one of fewer than four tokens by a text that is no more
+than the item.
 
 The benchmark's window hashes go to the executors as a constant bitmap of bounded size, so that only windows that may
-match leave a document's row; a larger benchmark is joined by a shuffle of all windows.
+match leave a document's row. A very large benchmark fills the bitmap, which then lets more windows pass.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import identified, materialize
+from .common import identified, materialize, spare
 
 #: Tokens of a window, and how many of them have to be words.
 WINDOW, LEAST_WORDS = 8, 4
@@ -24,8 +26,8 @@ WINDOW, LEAST_WORDS = 8, 4
 FEW = 3
 #: An occurrence needs this share of an item's windows, or so many windows, and this share of slots that are consistent.
 SHARE, ENOUGH, CONSISTENT = 0.5, 13, 0.8
-#: Windows of a benchmark whose bitmap (16 bits each) and rows are broadcast at most.
-BROADCAST_WINDOWS = 500_000
+#: Windows of a benchmark that are broadcast at most (more are joined by a shuffle of what the bitmap lets pass), and bits of the bitmap.
+BROADCAST_WINDOWS, MAX_BITS = 500_000, 1 << 27
 #: Every so many tokens at most a text is held against the benchmark's bitmap.
 STRIDE = 4
 #: Units of measure, in lower case.
@@ -36,28 +38,43 @@ UNITS = (
 )
 #: Placeholders of numbers, names and units, and the mark at both ends of a text.
 NUMBER, NAME, UNIT, EDGE = "\u0001", "\u0002", "\u0003", "\u0004"
-#: A capital inside a sentence begins a name: a letter, number or comma stands before its space.
-NAMES = r"(?<=[\p{L}\p{N},;] )\p{Lu}\p{L}*"
-NUMBERS = r"\p{N}+(?:[.,]\p{N}+)*"
-#: What parts the tokens of a template, and the tokens of a text as it is.
-GAPS, WORDS = r"[^\p{L}\x01-\x04]+", rf"\p{{L}}+|{NUMBERS}"
+#: Words that begin sentences and are no names.
+COMMON = (
+    "A", "About", "After", "All", "Also", "Although", "An", "And", "Are", "As", "At", "Because", "Before", "But", "By", "Calculate", "Can", "Choose", "Compute", "Consider", "Did", "Do", "Does", "During", "Each",
+    "Every", "Evaluate", "Explain", "Find", "For", "From", "Give", "Given", "Had", "Has", "Have", "He", "Her", "Here", "His", "How", "However", "I", "If", "In", "Is", "It", "Its", "Let", "Many", "More",
+    "Most", "Must", "My", "No", "Not", "Now", "Of", "On", "Once", "One", "Or", "Our", "Over", "Please", "Prove", "Select", "Several", "She", "Should", "Show", "Since", "So", "Solve", "Some", "Sort", "Suppose",
+    "That", "The", "Then", "There", "These", "They", "This", "Those", "To", "True", "Two", "Under", "Until", "Use", "Was", "We", "Were", "What", "When", "Where", "Which", "While", "Who", "Whose", "Why",
+    "Will", "With", "Would", "Write", "Yes", "You", "Your", "Das", "Dem", "Den", "Der", "Die", "Ein", "Eine", "Es", "Ist", "Sie", "Und", "Was", "Wenn", "Wer", "Wie", "Wo", "Zu", "Dans", "Des", "Elle",
+    "En", "Et", "Il", "La", "Le", "Les", "Quel", "Quelle", "Un", "Une", "Con", "El", "Las", "Los", "Para", "Por", "Que", "Una",
+)
+#: Signs of scripts without spaces: Thai to Myanmar, Khmer, Japanese and Chinese.
+SIGN = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
+CAPITAL = rf"(?!(?:{'|'.join(sorted(set(COMMON)))})(?!\p{{L}}))\p{{Lu}}\p{{L}}*+"
+#: A run of up to eight capitalised words, and a number with up to 32 groups of digits (bounded, as a longer one may overflow the stack).
+NAMES = rf"(?=\p{{Lu}})(?<!\p{{L}}){CAPITAL}(?: {{1,3}}+{CAPITAL}){{0,7}}+"
+NUMBERS = r"\p{N}++(?:[.,]\p{N}++){0,31}+"
+LETTERS = rf"[{SIGN}&&\p{{L}}]|[\p{{L}}&&[^{SIGN}]]++"
+#: The tokens of a template, and those of a text as it is, which are as many.
+TOKENS, WORDS = rf"[\x01-\x04]|{LETTERS}", rf"{NAMES}|{NUMBERS}|{LETTERS}"
 
 
-def templates_of(text: Column) -> Column:
-    """The tokens of a text's template, with an edge mark at either end: whole-text replacements, then one split.
+def _text(text: Column) -> Column:
+    """Null as empty, without the signs that mark placeholders and without the dot that lower-casing parts from a capital I."""
+    return F.translate(F.coalesce(text, F.lit("")), f"{NUMBER}{NAME}{UNIT}{EDGE}\u0307", "    ")
 
-    The dot that lower-casing parts from a capital I is dropped here and in ``words_of``, so that both have equal tokens.
-    """
-    text = F.regexp_replace(F.coalesce(text, F.lit("")), NAMES, f" {NAME} ")
-    text = F.lower(F.regexp_replace(text, NUMBERS, f" {NUMBER} "))
-    text = F.regexp_replace(text, rf"{NUMBER}\s+(?:{'|'.join(UNITS)})(?!\p{{L}})", f"{NUMBER} {UNIT} ")
-    return F.split(F.concat(F.lit(f"{EDGE} "), F.replace(text, F.lit("\u0307"), F.lit("")), F.lit(f" {EDGE}")), GAPS, -1)
+
+def templates_of(text: Column) -> Column:
+    """The tokens of a text's template, with an edge mark at either end: whole-text replacements, then one extraction."""
+    text = F.regexp_replace(_text(text), NAMES, f" {NAME} ")
+    text = F.replace(F.lower(F.regexp_replace(text, NUMBERS, f" {NUMBER} ")), F.lit("\u0307"), F.lit(""))
+    text = F.regexp_replace(text, rf"{NUMBER} {{1,3}}(?:{'|'.join(UNITS)})(?!\p{{L}})", f"{NUMBER} {UNIT} ")
+    return F.regexp_extract_all(F.concat(F.lit(f"{EDGE} "), text, F.lit(f" {EDGE}")), F.lit(TOKENS), F.lit(0))
 
 
 def words_of(text: Column) -> Column:
-    """The words and numbers of a text as they are, with the edge marks."""
+    """The names, words and numbers of a text as they are, with the edge marks."""
     edge = F.array(F.lit(EDGE))
-    return F.concat(edge, F.regexp_extract_all(F.replace(F.coalesce(text, F.lit("")), F.lit("\u0307"), F.lit("")), F.lit(WORDS), F.lit(0)), edge)
+    return F.concat(edge, F.regexp_extract_all(_text(text), F.lit(WORDS), F.lit(0)), edge)
 
 
 def tokenized(rows: DataFrame, text: str, literal: bool = False) -> DataFrame:
@@ -66,6 +83,10 @@ def tokenized(rows: DataFrame, text: str, literal: bool = False) -> DataFrame:
     return rows.withColumn("templates", tokens).withColumn("hashes", F.transform("templates", lambda t: F.xxhash64(t)))
 
 
+def items_of(items: DataFrame, key: str, text: str) -> DataFrame:
+    return items.select(F.col(f"`{key}`").alias("item"), F.col(f"`{text}`").alias("text")).where("item is not null and text is not null").distinct()
+
+
 def benchmark_windows(items: DataFrame, key: str, text: str) -> DataFrame:
     """``literal``, ``item``, ``n`` (tokens of a window), ``at``, ``h``, ``pairs``, ``words``, ``template``, ``of``.
 
@@ -73,7 +94,7 @@ def benchmark_windows(items: DataFrame, key: str, text: str) -> DataFrame:
     with fewer than ``FEW`` windows left have all their windows over their own words too (``literal``), and these alone
     if some were left out.
     """
-    items = items.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{key}`").alias("item"), F.col(f"`{text}`").alias("text")).where("item is not null").distinct()
+    items = items_of(items, key, text)
     plain = lambda t: ~t.isin(NUMBER, NAME, UNIT)
     found = None
     for literal in (False, True):
@@ -97,38 +118,57 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     """``__id``, ``key``, ``item``, ``windows`` (matched), ``consistent`` (share of slots) for each document and item that it leaks.
 
     ``__id`` tells rows of one key with different texts apart; repeated rows are one document. Null texts hold nothing;
-    items with a null key or text, or of fewer than four tokens, match nothing; items of fewer than eight tokens are one
-    window. A match holds for one occurrence, or for several parts of one; a part that repeats counts once.
-    Empty tables give an empty result. Texts are taken whole; other columns are ignored.
+    items with a null key or text, or without any token, match nothing; items of fewer than eight tokens are one window,
+    and of fewer than four they match texts of just these tokens. A match holds for one occurrence, or for several parts
+    of one; a part that repeats counts once. Empty tables give an empty result. Texts are taken whole; other columns are
+    ignored. Keys may be of any type that can be ordered.
     """
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    return _leaks(identified(rows, "key", "text"), items, item, item_text)
+
+
+def _leaks(docs: DataFrame, items: DataFrame, item: str, item_text: str) -> DataFrame:
+    """As ``leaks``, for ``docs(__id, key, text)``."""
+    docs = docs.select("__id", "key", "text")
     bench = materialize(benchmark_windows(items, item, item_text), "benchmark")
     kinds = [(r["literal"], r["n"], r["count"]) for r in bench.groupBy("literal", "n").count().collect()]
-    docs = identified(docs, key, text).select("__id", F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     small = sum(count for *_, count in kinds) <= BROADCAST_WINDOWS
+    out = _equal_texts(docs, items_of(items, item, item_text))
     found = None
     for literal, n, _ in sorted(kinds):
         rows = tokenized(docs, "text", literal)
-        starts = starts_of(F.col("hashes"), n, _may_hold(bench.where(F.col("literal") == literal), n) if small else None)
+        starts = starts_of(F.col("hashes"), n, _may_hold(bench.where(F.col("literal") == literal), n))
         part = rows.withColumn("starts", starts).withColumn("own", F.when(F.size("starts") > 0, words_of(F.col("text"))))
         cut = lambda c, i, n=n: F.slice(c, i + 1, n)
         windows = F.transform("starts", lambda i: F.struct(i.alias("at"), F.xxhash64(cut("hashes", i)).alias("h"), cut("templates", i).alias("template"), cut("own", i).alias("own")))
         part = part.select("__id", "key", F.lit(literal).alias("literal"), F.lit(n).alias("n"), F.explode(windows).alias("w")).select("__id", "key", "literal", "n", "w.*")
         found = part if found is None else found.unionByName(part)
     if found is None:
-        return docs.select("__id", "key", F.lit(None).cast(items.schema[item].dataType).alias("item"), F.lit(0).cast("long").alias("windows"), F.lit(0.0).alias("consistent")).limit(0)
+        return out
     right = bench.select("literal", "item", "n", "h", "of", "words", F.col("at").alias("item_at"), F.col("template").alias("item_template"))
     matched = found.join(F.broadcast(right) if small else right, ["literal", "n", "h"]).where(F.col("template") == F.col("item_template"))
     matched = materialize(matched.select("__id", "key", "literal", "item", "of", (F.col("at") - F.col("item_at")).alias("diagonal"), "item_at", "template", "words", "own").distinct(), "matches")
-    place = ["__id", "key", "literal", "item", "of", "diagonal"]
+    place = ["__id", "literal", "item", "of", "diagonal"]
     slots = matched.select(*place, F.explode(F.filter(F.arrays_zip("template", "words", "own"), lambda s: s["template"].isin(NUMBER, NAME, UNIT))).alias("s"))
     slots = slots.groupBy(*place, F.col("s.template").alias("kind"), F.col("s.words").alias("value")).agg((F.min("s.own") == F.max("s.own")).cast("double").alias("same"))
     slots = slots.groupBy(*place).agg(F.avg("same").alias("consistent"))
-    counts = matched.groupBy(*place).agg(F.collect_set("item_at").alias("ats"))
+    counts = matched.groupBy(*place).agg(F.first("key").alias("key"), F.collect_set("item_at").alias("ats"))
     joined = counts.join(slots, place, "left").withColumn("consistent", F.coalesce("consistent", F.lit(1.0))).where(F.col("consistent") >= CONSISTENT)
     joined = joined.select("__id", "key", "literal", "item", "of", "consistent", F.explode("ats").alias("item_at"))
-    out = joined.groupBy("__id", "key", "literal", "item", "of").agg(F.count_distinct("item_at").alias("windows"), F.min("consistent").alias("consistent"))
+    held = joined.groupBy("__id", "literal", "item", "of").agg(F.first("key").alias("key"), F.count_distinct("item_at").alias("windows"), F.min("consistent").alias("consistent"))
     need = F.least(F.ceil(F.col("of") * SHARE), F.lit(ENOUGH))
-    return out.where(F.col("windows") >= need).groupBy("__id", "key", "item").agg(F.max("windows").alias("windows"), F.min("consistent").alias("consistent"))
+    held = held.where(F.col("windows") >= need).select("__id", "key", "item", "windows", "consistent").unionByName(out)
+    return held.groupBy("__id", "item").agg(F.first("key").alias("key"), F.max("windows").alias("windows"), F.min("consistent").alias("consistent")).select("__id", "key", "item", "windows", "consistent")
+
+
+def _equal_texts(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Documents that are no more than an item of fewer than ``LEAST_WORDS`` tokens."""
+    own = tokenized(items, "text", True).where(F.size("hashes").between(3, LEAST_WORDS + 1)).select("item", F.col("templates").alias("item_tokens"))
+    none = docs.select("__id", "key").limit(0).crossJoin(own.select("item").limit(0)).select("__id", "key", "item", F.lit(1).cast("long").alias("windows"), F.lit(1.0).alias("consistent"))
+    if own.isEmpty():
+        return none
+    rows = tokenized(docs, "text", True).where(F.size("hashes").between(3, LEAST_WORDS + 1)).select("__id", "key", "templates")
+    return rows.join(own, F.col("templates") == F.col("item_tokens")).select("__id", "key", "item", F.lit(1).cast("long").alias("windows"), F.lit(1.0).alias("consistent")).distinct()
 
 
 def stride_of(n: int) -> int:
@@ -136,12 +176,10 @@ def stride_of(n: int) -> int:
     return min(STRIDE, n - 1)
 
 
-def starts_of(hashes: Column, n: int, may_hold=None) -> Column:
-    """Where windows of ``n`` tokens begin. If ``may_hold`` is given, only those around tokens that it lets pass: it is
-    asked at every ``stride_of(n)``-th token, and each window has exactly one of these among as many first tokens."""
+def starts_of(hashes: Column, n: int, may_hold) -> Column:
+    """Where windows of ``n`` tokens begin that lie around tokens that ``may_hold`` lets pass: it is asked at every
+    ``stride_of(n)``-th token, and each window has exactly one of these among as many first tokens."""
     last, stride = F.size(hashes) - 1 - n, stride_of(n)
-    if may_hold is None:
-        return F.when(last >= 1, F.sequence(F.lit(1), last))
     asked = F.sequence(F.lit(1), F.size(hashes) - 2, F.lit(stride))
     found = F.filter(asked, lambda i: may_hold(hashes, i))
     around = F.flatten(F.transform(found, lambda i: F.sequence(F.greatest(i - (stride - 1), F.lit(1)), F.least(i, last))))
@@ -155,13 +193,14 @@ def _pair(hashes: Column, i: Column) -> Column:
 
 def _may_hold(bench: DataFrame, n: int, least_bits: int = 1 << 16):
     """Whether one of these windows may have a token among its first: a bitmap over the pairs that begin there, with 16
-    bits or more for each pair. Its size is bounded by the caller's count of windows."""
-    pairs = [r[0] for r in bench.where(F.col("n") == n).select(F.explode(F.slice("pairs", 1, stride_of(n)))).distinct().collect()]
-    bits = max(least_bits, 1 << (16 * len(pairs)).bit_length())
+    bits or more for each pair, up to ``MAX_BITS``."""
+    pairs = bench.where(F.col("n") == n).select(F.explode(F.slice("pairs", 1, stride_of(n))).alias("pair")).distinct()
+    bits = min(MAX_BITS, max(least_bits, 1 << (16 * pairs.count()).bit_length()))
+    place = F.col("pair").bitwiseAND(F.lit(bits - 1)).cast("int")
+    marks = pairs.select(F.shiftright(place, 5).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(31))).alias("b"))
     words = [0] * (bits // 32)
-    for h in pairs:
-        p = h & (bits - 1)
-        words[p >> 5] |= 1 << (p & 31)
+    for w, b in marks.groupBy("w").agg(F.bit_or("b")).collect():
+        words[w] = b
     bitmap = F.from_json(F.lit("[" + ",".join(map(str, words)) + "]"), "array<long>")
 
     def test(hashes: Column, i: Column) -> Column:
@@ -173,13 +212,16 @@ def _may_hold(bench: DataFrame, n: int, least_bits: int = 1 << 16):
 
 def drop_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` that leak no item, with their columns."""
-    found = leaks(docs, items, key, text, item, item_text).select("__id").distinct()
-    return identified(docs, key, text).join(found, "__id", "left_anti").select(*docs.columns)
+    own, gone = spare(docs.columns, "__id"), spare(docs.columns, "__gone")
+    marked = identified(docs, key, text, own)
+    found = _leaks(marked.select(F.col(own).alias("__id"), F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")), items, item, item_text)
+    return marked.join(found.select(F.col("__id").alias(gone)).distinct(), F.col(own) == F.col(gone), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, whether it leaks items of ``benchmark``, and which."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).groupBy("__id").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    out = identified(docs, "doc_id", "text").select("__id", "doc_id").join(found, "__id", "left")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("key"), "text")
+    marked = identified(docs, "key", "text")
+    found = _leaks(marked, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id", "text").groupBy("__id").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    out = marked.select("__id", F.col("key").alias("doc_id")).join(found, "__id", "left")
     return out.select("doc_id", F.col("items").isNotNull().alias("leaked"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"))

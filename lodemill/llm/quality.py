@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import identified, materialize, slices, string_bytes
+from .common import identified, materialize, slices, spare, string_bytes
 from .linear import fit_dense
 
 #: Labelled rows that the model is fitted on at most; they are taken by a hash of the key.
@@ -159,10 +159,16 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     unknown documents, are ignored; without good and bad ones nothing is known and everything is kept. An empty table
     gives an empty result.
     """
-    docs = identified(docs, key, text)
-    narrow = docs.select("__id", F.col(f"`{key}`").alias("key"), F.col(f"`{host}`").cast("string").alias("host"), F.col(f"`{path}`").cast("string").alias("path"), F.col(f"`{text}`").alias("text"))
+    names = {"key": key, "host": host, "path": path, "text": text}
+    rows = docs.select(*[F.col(f"`{c}`").alias(name) for name, c in names.items()])
+    return _score(identified(rows, "key", "text"), labels.select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").alias("label")), sample, threshold)
+
+
+def _score(docs: DataFrame, labels: DataFrame, sample: int, threshold: float) -> DataFrame:
+    """As ``score``, for ``docs(__id, key, host, path, text)`` and ``labels(key, label)``."""
+    narrow = docs.select("__id", "key", F.col("host").cast("string").alias("host"), F.col("path").cast("string").alias("path"), "text")
     featured = materialize(features(narrow), "features")
-    own = F.greatest(F.least(fit(featured, labels.select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").alias("label")), "key", "label", sample), F.lit(OWN_LIMIT)), F.lit(-OWN_LIMIT))
+    own = F.greatest(F.least(fit(featured, labels, "key", "label", sample), F.lit(OWN_LIMIT)), F.lit(-OWN_LIMIT))
     rows = featured.select("__id", "key", "host", "path", F.round(1 / (1 + F.exp(-own)), 9).alias("own"))
     rows = with_sites(rows, sites(rows.select("host", "path", F.col("own").alias("p"))))
     shift = log_odds(F.col("path_posterior")) - log_odds(F.col("prior"))
@@ -170,10 +176,14 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return rows.withColumn("quality", F.round(quality, 6)).withColumn("keep", F.col("quality") >= threshold).drop("prior")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang", label: str = "quality", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that ``score`` keeps, with their columns."""
-    bad = score(docs, labels, key, text, **how).where("not keep").select("__id").distinct()
-    return identified(docs, key, text).join(bad, "__id", "left_anti").select(*docs.columns)
+    own, bad = spare(docs.columns, "__id"), spare(docs.columns, "__bad")
+    marked = identified(docs, key, text, own)
+    names = {"__id": own, "key": key, "host": host, "path": path, "text": text}
+    scored = _score(marked.select(*[F.col(f"`{c}`").alias(name) for name, c in names.items()]), labels.select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").alias("label")), sample, threshold)
+    gone = scored.where("not keep").select(F.col("__id").alias(bad)).distinct()
+    return marked.join(gone, F.col(own) == F.col(bad), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

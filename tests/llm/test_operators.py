@@ -546,6 +546,120 @@ def test_a_repeated_turn_is_no_leak(spark):
     assert {(r["key"], r["windows"]) for r in found.collect()} == {(2, 7), (3, 7)}
 
 
+def _plain_tokens(text: str) -> list[tuple[str, str]]:
+    """Template and own form of each token, by a scan from left to right."""
+    import unicodedata
+
+    letter = lambda c: unicodedata.category(c).startswith("L")
+    number = lambda c: unicodedata.category(c).startswith("N")
+    sign = lambda c: letter(c) and any(a <= c <= b for a, b in ("\u0e00\u0eff", "\u3040\u30ff", "\u3400\u9fff"))
+
+    def word(i: int) -> int:
+        while i < len(text) and letter(text[i]):
+            i += 1
+        return i
+
+    def name(i: int) -> int:
+        """The end of a capitalised word that is no common one, or i."""
+        j = word(i)
+        return j if j > i and unicodedata.category(text[i]) == "Lu" and text[i:j] not in decontaminate.COMMON else i
+
+    out, i = [], 0
+    while i < len(text):
+        if letter(text[i]) and (end := name(i)) > i and (i == 0 or not letter(text[i - 1])):
+            for _ in range(7):
+                j = end
+                while j < len(text) and text[j] == " " and j - end < 3:
+                    j += 1
+                if j == end or (k := name(j)) == j:
+                    break
+                end = k
+            out.append((decontaminate.NAME, text[i:end]))
+            i = end
+        elif sign(text[i]):
+            out.append((text[i], text[i]))
+            i += 1
+        elif letter(text[i]):
+            j = i
+            while j < len(text) and letter(text[j]) and not sign(text[j]):
+                j += 1
+            unit = bool(out) and out[-1][0] == decontaminate.NUMBER and text[i:j].lower() in decontaminate.UNITS and text[:i].rstrip(" ").endswith(out[-1][1])
+            out.append((decontaminate.UNIT if unit else text[i:j].lower(), text[i:j]))
+            i = j
+        elif number(text[i]):
+            j = i
+            while j < len(text) and (number(text[j]) or (text[j] in ".," and j + 1 < len(text) and number(text[j + 1]))):
+                j += 1
+            out.append((decontaminate.NUMBER, text[i:j]))
+            i = j
+        else:
+            i += 1
+    return out
+
+
+def _plain_leaks(docs: dict[int, str], items: dict[int, str]) -> set[tuple[int, int]]:
+    kinds = (decontaminate.NUMBER, decontaminate.NAME, decontaminate.UNIT)
+    out = set()
+    for i, item in items.items():
+        tokens = _plain_tokens(item)
+        n = min(len(tokens), decontaminate.WINDOW)
+        starts = list(range(len(tokens) - n + 1))
+        left = [a for a in starts if sum(t not in kinds for t, _ in tokens[a : a + n]) >= decontaminate.LEAST_WORDS]
+        forms = [(False, left)] if len(left) >= decontaminate.FEW or len(left) == len(starts) else []
+        if len(left) < decontaminate.FEW:
+            forms.append((True, starts))
+        for d, text in docs.items():
+            own = _plain_tokens(text)
+            if len(tokens) < decontaminate.LEAST_WORDS:
+                if tokens and [x.lower() for _, x in own] == [x.lower() for _, x in tokens]:
+                    out.add((d, i))
+                continue
+            for literal, at in forms:
+                form = lambda pair, literal=literal: pair[1].lower() if literal else pair[0]
+                diagonals: dict[int, list[int]] = {}
+                for a in at:
+                    for b in range(len(own) - n + 1):
+                        if all(form(own[b + k]) == form(tokens[a + k]) for k in range(n)):
+                            diagonals.setdefault(b - a, []).append(a)
+                held = set()
+                for shift, places in diagonals.items():
+                    values: dict[tuple, set] = {}
+                    for a in places:
+                        for k in range(n):
+                            if not literal and tokens[a + k][0] in kinds:
+                                values.setdefault(tokens[a + k], set()).add(own[a + shift + k][1])
+                    if sum(len(v) == 1 for v in values.values()) >= decontaminate.CONSISTENT * len(values):
+                        held.update(places)
+                if at and len(held) >= min(-(-len(at) // 2), decontaminate.ENOUGH):
+                    out.add((d, i))
+    return out
+
+
+def test_leaks_as_by_plain_loops(spark):
+    rng = np.random.default_rng(83)
+    words = "the a box ball red holds gives of and with then green takes km kg 5 12 3,5 7.25 Anna Tom Lyon New York The What I 中 文 字 é ü".split()
+    items = {k: " ".join(rng.choice(words, rng.integers(1, 30))) for k in range(40)}
+    items |= {50: ITEM, 51: "这是一个关于火车速度的问题请回答", 52: "What is love", 53: "Yes", 54: "!!!", 55: "Paris, Rome and Tom Jones"}
+    docs = {}
+    for k in range(120):
+        item = items[int(rng.choice(list(items)))]
+        if k % 3 == 0:
+            item = item.replace("Anna", "Mary Ann").replace("12", "99").replace("Tom", "Bob").replace("Paris", "New Orleans")
+        if k % 5 == 0:
+            item = re.sub(r"\d+", lambda m: str(rng.integers(1, 9)), item)
+        docs[k] = " ".join([*rng.choice(words, rng.integers(0, 25)), item, *rng.choice(words, rng.integers(0, 25))])
+    docs |= {200: items[51], 201: "前面" + items[51] + "后面", 202: "what is love?", 203: "Yes", 204: "Yes, yes", 205: ITEM.replace("Paris", "New York").replace("Anna", "Tom Jones"), 206: "Tell me: " + ITEM, 207: "中" * 30}
+    found = decontaminate.leaks(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string"))
+    got, expected = {(r["key"], r["item"]) for r in found.collect()}, _plain_leaks(docs, items)
+    assert got == expected and {(200, 51), (201, 51), (202, 52), (203, 53), (205, 50), (206, 50)} <= got and len(got) >= 100
+
+
+def test_very_long_numbers_and_names_do_not_overflow(spark):
+    docs = [(1, ",".join(map(str, range(30_000)))), (2, " ".join(["Aa"] * 50_000)), (3, "x" * 500_000), (4, "1" * 300_000), (5, "Zz" * 200_000), (6, ITEM)]
+    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([("i", ITEM)], "item_id string, text string"))
+    assert [(r["key"], r["item"]) for r in found.collect()] == [(6, "i")]
+
+
 def test_a_large_benchmark_is_joined(spark, sf, monkeypatch):
     docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     pairs = lambda: {(r["key"], r["item"]) for r in decontaminate.leaks(docs, items).collect()}
