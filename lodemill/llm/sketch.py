@@ -12,6 +12,7 @@ All documents of an Arrow batch are sketched, subtracted and peeled together in
 from __future__ import annotations
 
 import re
+from binascii import a2b_base64, b2a_base64
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +29,10 @@ CELLS, TABLES, MORE, OWN = 12, 3, 4, 1.5
 LONG = 16
 #: Bytes of a range of documents, and the documents from which the ranges are cut.
 RANGE, SAMPLE = 64 << 20, 50_000
-#: What is written of a cell: how many digests, the digests' sum and the checks' sum (by exclusive or).
-CELL = np.dtype([("count", "<i4"), ("keys", "<u8"), ("checks", "<u4")])
+#: A cell: how many digests, the digests' sum and the checks' sum (by exclusive or); and the ten bytes that are written of
+#: it: the count modulo 2**16, a digest of 48 bits, a check of 16.
+CELL = np.dtype([("count", "<i4"), ("keys", "<u8"), ("checks", "<u2")])
+DIGEST, WRITTEN = np.uint64((1 << 48) - 1), [0, 1, *range(4, 10), 12, 13]
 #: Bytes of text that a task sketches at a time.
 SLICE = 4 << 20
 #: Ends of a paragraph: a line's end, or a sentence's.
@@ -61,7 +64,7 @@ def paragraphs(text: str) -> list[str]:
 
 
 def digests(text: str) -> np.ndarray:
-    """A 64-bit digest of each paragraph and its number among equal ones, so that repeats count."""
+    """A digest of 48 bits of each paragraph and its number among equal ones, so that repeats count."""
     from xxhash import xxh64_intdigest
 
     x = np.array([xxh64_intdigest(p.encode()) for p in paragraphs(text)], np.uint64)
@@ -73,11 +76,11 @@ def digests(text: str) -> np.ndarray:
         number[order] = place - np.maximum.accumulate(np.where(new, place, 0))
         with np.errstate(over="ignore"):
             x = mix64(x + number * np.uint64(0x9E3779B97F4A7C15))
-    return x
+    return x & DIGEST
 
 
 def check_of(keys: np.ndarray) -> np.ndarray:
-    return (mix64(keys ^ np.uint64(0xA5A5A5A5A5A5A5A5)) >> np.uint64(32)).astype(np.uint32)
+    return (mix64(keys ^ np.uint64(0xA5A5A5A5A5A5A5A5)) >> np.uint64(48)).astype(np.uint16)
 
 
 class Sketches:
@@ -154,7 +157,7 @@ class Fingerprints:
         keys = np.concatenate([*documents, np.zeros(0, np.uint64)])
         owner = np.repeat(np.arange(len(documents)), sizes)
         levels, cells = [], CELLS
-        while (has := sizes * OWN > cells).any():
+        while (has := sizes > cells).any():
             place = np.where(has, np.cumsum(has) - 1, -1)
             mine = has[owner]
             levels.append((Sketches(np.full(int(has.sum()), cells, np.int64)).add(keys[mine], place[owner[mine]], 1), place))
@@ -175,13 +178,13 @@ class Fingerprints:
         return Fingerprints(self.sizes[which], levels, self.last.part(which))
 
     def written(self) -> list[str]:
-        """Each as a string: the number of paragraphs, then each sketch's cells in hex, smallest first."""
+        """Each as a string: the number of paragraphs, then each sketch's cells in base 64, smallest first."""
         out = [[f"{n:x}"] for n in self.sizes.tolist()]
         for sketches, place in [*self.levels, (self.last, np.arange(len(self.sizes)))]:
-            data = sketches.table.tobytes()
+            data = np.ascontiguousarray(sketches.table.view(np.uint8).reshape(-1, CELL.itemsize)[:, WRITTEN]).tobytes()
             for i in np.flatnonzero(place >= 0).tolist():
                 a, n = int(sketches.start[place[i]]), int(sketches.cells[place[i]])
-                out[i].append(data[a * CELL.itemsize : (a + n) * CELL.itemsize].hex())
+                out[i].append(b2a_base64(data[a * len(WRITTEN) : (a + n) * len(WRITTEN)], newline=False).decode())
         return [":".join(x) for x in out]
 
     @classmethod
@@ -190,9 +193,14 @@ class Fingerprints:
         split = [x.split(":") for x in written]
         sizes = np.array([int(x[0], 16) for x in split], np.int64)
 
-        def tables(hexes: list[str]) -> Sketches:
-            parts = [np.frombuffer(bytes.fromhex(h), CELL) for h in hexes]
-            return Sketches(np.array([len(p) for p in parts], np.int64), np.concatenate([*parts, np.zeros(0, CELL)]))
+        def tables(parts: list[str]) -> Sketches:
+            data = [np.frombuffer(a2b_base64(x), np.uint8).reshape(-1, len(WRITTEN)) for x in parts]
+            cells = np.concatenate([*data, np.zeros((0, len(WRITTEN)), np.uint8)])
+            table = np.zeros((len(cells), CELL.itemsize), np.uint8)
+            table[:, WRITTEN] = cells
+            table = table.view(CELL).ravel()
+            table["count"] = (table["count"] & 0xFFFF).astype(np.uint16).astype(np.int16)
+            return Sketches(np.array([len(x) for x in data], np.int64), table)
 
         levels = []
         for k in range(1, max(map(len, split), default=2) - 1):

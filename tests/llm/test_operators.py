@@ -354,8 +354,8 @@ def test_likeness_as_by_counting(spark):
 
 def test_few_changes_are_found_in_a_small_sketch():
     rng = np.random.default_rng(73)
-    base = rng.integers(1, 1 << 63, 5000, dtype=np.uint64)
-    other = np.concatenate([base[3:], rng.integers(1, 1 << 63, 2, dtype=np.uint64)])
+    base = rng.integers(1, 1 << 48, 5000, dtype=np.uint64)
+    other = np.concatenate([base[3:], rng.integers(1, 1 << 48, 2, dtype=np.uint64)])
     a, b = sketch.Fingerprints.of([base]), sketch.Fingerprints.of([other])
     assert [int(x.cells[0]) for x, _ in a.levels] == [12, 48, 192, 768, 3072] and a.last.cells[0] >= 7500
     keys, _, whole = a.levels[0][0].minus(b.levels[0][0]).peel()
