@@ -82,11 +82,13 @@ class TooLarge(ValueError):
     """A level would be larger than what may be broadcast."""
 
 
-def build_level(keys: DataFrame, n: int, salt: int, bits_per_key: int, n_hashes: int, max_bits: int) -> Level:
-    """A filter of the ``key`` column. What reaches the driver is bounded by ``max_bits``."""
+def build_level(keys: DataFrame, n: int, salt: int, bits_per_key: int, n_hashes: int, max_bits: int, clip: bool = False) -> Level:
+    """A filter of the ``key`` column. What reaches the driver is bounded by ``max_bits``; more raises, or, if ``clip`` is
+    set, is pressed into so many bits, and more keys pass that are none."""
     n_bits = -(-max(n * bits_per_key, 64) // WORD) * WORD
-    if n_bits > max_bits:
+    if n_bits > max_bits and not clip:
         raise TooLarge(f"{n} keys need {n_bits} bits")
+    n_bits = min(n_bits, max_bits)
     level = Level([0] * (n_bits // WORD), n_bits, salt, n_hashes)
     bits = keys.select(F.explode(F.array(*positions(F.col("key"), level))).alias("p"))
     for w, b in bits.groupBy(word_of(F.col("p")).alias("w")).agg(F.bit_or(bit_of(F.col("p"))).alias("b")).collect():

@@ -2,7 +2,8 @@
 
 The as-of join is a window over narrow rows, dealt by URL and by slice of time, so that one URL with a third of all
 captures is spread over the slices; the last full response of each slice is then carried forward over the few slices of
-a URL. Bodies are joined once, by the record that was found.
+a URL. Only then bodies come in: a Bloom filter of the responses that were found keeps the others from being shuffled, and
+what passes is joined once, by the record.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
+from .url_filter import MAX_BITS, build_level
 
 #: Headers that a 304 answer may replace in the stored response (RFC 9110, 15.4.5, and Last-Modified).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
@@ -73,7 +75,14 @@ def resolve_revisits(records: DataFrame, slices: int = SLICES) -> DataFrame:
     found = found.join(carried, ["canonical_url", "slice"], "left").select("record_id", "canonical_url", "warc_date", "entries", F.coalesce("near", "far").alias("source"))
     lost = narrow.where("not full and (canonical_url is null or warc_date is null or record_id is null)").select("record_id", "canonical_url", "warc_date", "entries", F.lit(None).cast(found.schema["source"].dataType).alias("source"))
     found = found.unionByName(lost).select("record_id", "canonical_url", "warc_date", F.map_from_entries("entries").alias("own"), F.col("source.id").alias("source_id"), F.col("source.date").alias("source_date"))
+    found = materialize(found, "found")
     full = records.where("record_type = 'response' and status = 200").select(F.col("record_id").alias("source_id"), url.alias("_url"), F.col("warc_date").alias("source_date"), headers.alias("stored"), "body")
+    chosen = found.where("source_id is not null").select(F.to_json(F.struct("source_id", F.unix_micros("source_date").alias("at"))).alias("key")).distinct()
+    if (n := chosen.count()) > 0:
+        wanted = build_level(chosen, n, 900, 12, 4, MAX_BITS, clip=True)
+        full = full.where(wanted.has(F.to_json(F.struct("source_id", F.unix_micros("source_date").alias("at")))))
+    else:
+        full = full.limit(0)
     full = full.groupBy("source_id", "_url", "source_date").agg(F.min_by(F.struct("stored", "body"), F.xxhash64(F.to_json("stored"), "body")).alias("kept"))
     on = (F.col("f.source_id") == F.col("s.source_id")) & (F.col("f.canonical_url") == F.col("s._url")) & (F.col("f.source_date") == F.col("s.source_date"))
     joined = found.alias("f").join(full.alias("s"), on, "left").select("f.*", F.col("s.kept.stored").alias("stored"), F.col("s.kept.body").alias("body"))
@@ -86,111 +95,176 @@ def resolve_revisits(records: DataFrame, slices: int = SLICES) -> DataFrame:
     return joined.withColumn("outcome", outcome).select("record_id", "canonical_url", "warc_date", "source_id", "source_date", "outcome", F.when(ok, merged).alias("merged_headers"), F.when(ok, F.col("body")).alias("body"))
 
 
-def _parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (names in lower case) and block of each record of a WARC file's bytes, whether or not it is compressed."""
-    import gzip
+#: Bytes that are unpacked at a time.
+PIECE = 1 << 20
 
-    if content[:2] == b"\x1f\x8b":
-        content = gzip.decompress(content)
+
+def _unpacked(content: bytes) -> Iterator[bytes | str]:
+    """The bytes of a WARC file in pieces, whether or not it is compressed; an error is told as a string and ends it."""
+    import zlib
+
+    if content[:2] != b"\x1f\x8b":
+        yield from (content[a : a + PIECE] for a in range(0, len(content), PIECE))
+        return
     at = 0
-    while (at := content.find(b"WARC/", at)) >= 0:
-        end = content.find(b"\r\n\r\n", at)
+    while at < len(content):
+        member = zlib.decompressobj(31)
+        try:
+            while not member.eof and at < len(content):
+                fed = content[at : at + PIECE]
+                out = member.decompress(fed, PIECE)
+                at += len(fed) - len(member.unconsumed_tail) - len(member.unused_data)
+                if out:
+                    yield out
+            while not member.eof and (out := member.decompress(member.unconsumed_tail, PIECE)):
+                yield out
+        except zlib.error as error:
+            yield f"broken compression: {error}"
+            return
+        if not member.eof:
+            yield "truncated compression"
+
+
+def _parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
+    """Header fields (names in lower case), block and error of each record; a file is unpacked as far as a record goes.
+
+    A record whose length is no number has no block, and reading goes on at the next record; one that the file ends in has
+    what there is of it. Both say so in their error.
+    """
+    held, pieces, error = bytearray(), _unpacked(content), None
+
+    def more() -> bool:
+        nonlocal error
+        piece = next(pieces, None)
+        if isinstance(piece, str):
+            error = piece
+        elif piece is not None:
+            held.extend(piece)
+            return True
+        return False
+
+    while True:
+        while (at := held.find(b"WARC/")) < 0 and more():
+            del held[: max(0, len(held) - PIECE - 5)]
+        if at < 0:
+            break
+        del held[:at]
+        while (end := held.find(b"\r\n\r\n")) < 0 and more():
+            pass
         if end < 0:
+            yield {}, b"", error or "truncated header"
             return
-        lines = content[at:end].decode("utf-8", "replace").split("\r\n")[1:]
+        lines = bytes(held[:end]).decode("utf-8", "replace").split("\r\n")[1:]
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(fields.get("content-length") or 0)
-        yield fields, content[end + 4 : end + 4 + size]
-        at = end + 4 + size
+        del held[: end + 4]
+        length = fields.get("content-length") or "0"
+        if not (length.isascii() and length.isdigit()):
+            yield fields, b"", f"content length {length[:40]!r}"
+            continue
+        size = int(length)
+        while len(held) < size and more():
+            pass
+        yield fields, bytes(held[:size]), None if len(held) >= size else error or "truncated block"
+        del held[:size]
+    if error:
+        yield {}, b"", error
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of WARC files as ``RECORDS``; a file is read whole by one task. Blocks that hold no HTTP answer have a null status."""
+    """The records of WARC files as ``RECORDS`` and ``error``; blocks that hold no HTTP answer have a null status.
+
+    A file is read by one task, which unpacks it piece by piece, so that only the file as it is stored (2 GB at most) and a
+    record are in memory. Records with a bad length, broken or truncated ones are rows with an ``error``, and with type
+    ``broken``, so that nothing is resolved to them; an empty file has no rows.
+    """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("record_id", pa.string()), ("url", pa.string()), ("date", pa.string()), ("record_type", pa.string()), ("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())), ("body", pa.binary())])
+        schema = pa.schema([("record_id", pa.string()), ("url", pa.string()), ("date", pa.string()), ("record_type", pa.string()), ("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())), ("body", pa.binary()), ("error", pa.string())])
         for batch in rows:
             for content in batch.column(0).to_pylist():
-                held = []
-                for fields, block in _parse(content):
+                held, size = [], 0
+                for fields, block, error in _parse(content):
                     head, _, body = block.partition(b"\r\n\r\n") if block[:5] == b"HTTP/" else (b"", b"", block)
                     first, *lines = head.decode("utf-8", "replace").split("\r\n")
                     own = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines) if k}
                     status = first.split(" ")[1] if first.count(" ") else ""
-                    held.append((fields.get("warc-record-id"), fields.get("warc-target-uri"), fields.get("warc-date"), fields.get("warc-type"), int(status) if status.isdigit() else None, list(own.items()), body))
-                    if len(held) >= 256:
+                    kind = "broken" if error else fields.get("warc-type")
+                    held.append((fields.get("warc-record-id"), fields.get("warc-target-uri"), fields.get("warc-date"), kind, int(status) if status.isascii() and status.isdigit() and len(status) < 9 else None, list(own.items()), body, error))
+                    size += len(body)
+                    if len(held) >= 256 or size > 8 * PIECE:
                         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
-                        held = []
+                        held, size = [], 0
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
 
-    files = spark.read.format("binaryFile").load(path).select("content")
-    got = files.mapInArrow(run, RECORDS.replace("warc_date timestamp", "date string"))
-    return got.select("record_id", "url", F.try_to_timestamp("date").alias("warc_date"), "record_type", "status", "headers", "body")
+    files = spark.read.format("binaryFile").load(path).select("content").where("length(content) > 0")
+    got = files.mapInArrow(run, RECORDS.replace("warc_date timestamp", "date string") + ", error string")
+    return got.select("record_id", "url", F.try_to_timestamp("date").alias("warc_date"), "record_type", "status", "headers", "body", "error")
 
 
 def captures_of_pages(pages: DataFrame) -> DataFrame:
-    """Capture records of ``pages``: each page as a full response, and a day later a not-modified answer for it.
+    """Capture records of ``pages``: each page as full responses of its URL on three of sixty days, and not-modified answers on three others.
 
-    Of the answers, those of ids that end in 3 have a weak entity tag, in 7 one of other content, in 5 no validator.
+    The days of responses and answers of a URL lie among each other, so that some answers come before the first response
+    and others between two. Each response has an entity tag of its own day for ids that end in 9, else of its content. Of
+    the answers, those of ids that end in 3 have a weak entity tag, in 7 one of other content, in 5 no validator.
     """
     start = F.lit("2024-01-01 00:00:00").cast("timestamp")
-    tag = F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit("")).cast("binary")), F.lit('"'))
-    last = F.col("page_id") % 10
-    shared = [F.col("url"), F.col("page_id")]
+    last, text, number = F.col("page_id") % 10, F.coalesce("html", F.lit("")), F.col("page_id").cast("string")
+    days = lambda step, first: F.explode(F.array(*[F.struct(F.lit(k).alias("k"), ((F.col("page_id") * step + first + 20 * k) % 60).alias("day")) for k in range(3)]))
+    tag = lambda more: F.concat(F.lit('"'), F.md5(F.concat(text, more).cast("binary")), F.lit('"'))
+    full = pages.select("page_id", "url", "html", days(7, 3).alias("at")).select("*", "at.k", "at.day")
     stored = F.map_from_arrays(
         F.array(*map(F.lit, ("content-type", "content-length", "etag", "last-modified", "cache-control", "date"))),
-        F.array(F.lit("text/html"), F.octet_length(F.coalesce("html", F.lit(""))).cast("string"), tag, F.lit("Mon, 01 Jan 2024 00:00:00 GMT"), F.lit("max-age=60"), F.concat(F.lit("day 0, "), F.col("page_id").cast("string"))),
+        F.array(F.lit("text/html"), F.octet_length(text).cast("string"), tag(F.when(last == 9, F.col("day").cast("string")).otherwise("")), F.lit("Mon, 01 Jan 2024 00:00:00 GMT"), F.lit("max-age=60"), F.concat(F.lit("response "), F.col("day").cast("string"))),
     )
-    full = pages.select(F.concat(F.lit("r"), F.col("page_id").cast("string")).alias("record_id"), *shared, F.lit("response").alias("record_type"), F.lit(200).alias("status"), stored.alias("headers"), F.col("html").cast("binary").alias("body"), F.lit(0).alias("day"))
-    names = ("cache-control", "content-length", "date", "x-cache")
-    values = (F.lit("max-age=120"), F.lit("0"), F.concat(F.lit("day 1, "), F.col("page_id").cast("string")), F.lit("HIT"))
-    plain = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*values))
-    own = F.when(last == 3, F.concat(F.lit("W/"), tag)).when(last == 7, F.concat(F.lit('"'), F.md5(F.concat(F.coalesce("html", F.lit("")), F.lit("new")).cast("binary")), F.lit('"'))).otherwise(tag)
+    shared = ["url", "day", "page_id"]
+    full = full.select(F.concat(F.lit("r"), number, F.lit("."), F.col("k").cast("string")).alias("record_id"), *shared, F.lit("response").alias("record_type"), F.lit(200).alias("status"), stored.alias("headers"), F.concat(text, F.lit(" on day "), F.col("day").cast("string")).cast("binary").alias("body"))
+    again = pages.select("page_id", "url", "html", days(11, 8).alias("at")).select("*", "at.k", "at.day")
+    plain = F.map_from_arrays(F.array(*map(F.lit, ("cache-control", "content-length", "date", "x-cache"))), F.array(F.lit("max-age=120"), F.lit("0"), F.concat(F.lit("answer "), F.col("day").cast("string")), F.lit("HIT")))
+    own = F.when(last == 3, F.concat(F.lit("W/"), tag(F.lit("")))).when(last == 7, tag(F.lit("new"))).when(last == 9, tag(F.lit("23"))).otherwise(tag(F.lit("")))
     answer = F.when(last == 5, plain).otherwise(F.map_concat(plain, F.create_map(F.lit("etag"), own)))
-    again = pages.select(F.concat(F.lit("v"), F.col("page_id").cast("string")).alias("record_id"), *shared, F.lit("revisit").alias("record_type"), F.lit(304).alias("status"), answer.alias("headers"), F.lit(None).cast("binary").alias("body"), F.lit(1).alias("day"))
-    both = full.unionByName(again)
-    date = F.timestamp_micros(F.unix_micros(start) + (F.col("day") * 86_400_000 + F.col("page_id")) * 1000)
-    return both.select("record_id", "url", date.alias("warc_date"), "record_type", "status", "headers", "body")
+    again = again.select(F.concat(F.lit("v"), number, F.lit("."), F.col("k").cast("string")).alias("record_id"), *shared, F.lit("revisit").alias("record_type"), F.lit(304).alias("status"), answer.alias("headers"), F.lit(None).cast("binary").alias("body"))
+    date = F.timestamp_micros(F.unix_micros(start) + (F.col("day") * 86_400_000 + F.col("page_id") % 86_400_000) * 1000)
+    return full.unionByName(again).select("record_id", "url", date.alias("warc_date"), "record_type", "status", "headers", "body")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's later not-modified answer, resolved against the pages' full responses."""
+    """Every page's not-modified answers, resolved against the pages' full responses."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     out = resolve_revisits(captures_of_pages(pages))
     lines = F.array_join(F.transform(F.array_sort(F.map_entries("merged_headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n")
-    return out.select(
-        F.substring("record_id", 2, 30).cast("long").alias("page_id"),
-        "canonical_url",
-        F.substring("source_id", 2, 30).cast("long").alias("source_page_id"),
-        "outcome",
-        lines.alias("headers"),
-        F.octet_length("body").cast("long").alias("n_bytes"),
-        F.sha2("body", 256).alias("body_sha256"),
-    )
+    return out.select("record_id", "canonical_url", "source_id", "outcome", lines.alias("headers"), F.octet_length("body").cast("long").alias("n_bytes"), F.sha2("body", 256).alias("body_sha256"))
 
 
-#: The same by an as-of join over the pages.
+#: The same by an as-of join of answers and responses.
 ORACLE = rf"""
 with u as (
-  select page_id, html, regexp_replace(regexp_replace(trim(url, ' '), '(?s)#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') as rest from pages),
+  select page_id, coalesce(html, '') as html, regexp_replace(regexp_replace(trim(url, ' '), '(?s)#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') as rest from pages),
 c as (
   select page_id, html,
     regexp_replace(regexp_replace(translate(regexp_extract(rest, '^([^/?]*)', 1), '{UPPER}', '{LOWER}'), ':(80|443)$', ''), '^www[0-9]*[.]', '')
     || regexp_replace(regexp_extract(rest, '(?s)^[^/?]*([^?]*)', 1), '/+$', '') as base,
     list_sort(list_filter(string_split(regexp_extract(rest, '(?s)^[^?]*[?](.*)$', 1), '&'), lambda p: p != '' and not regexp_matches(p, '{TRACKING}'))) as parts
   from u),
-k as (select page_id, html, base || case when len(parts) > 0 then '?' || array_to_string(parts, '&') else '' end as canonical_url from c),
-j as (
-  select k.page_id, k.canonical_url, k.html, s.page_id as source_page_id, s.html as stored
-  from k left join (select canonical_url, max(page_id) as page_id, max_by(html, page_id) as html from k group by 1) s using (canonical_url)),
+p as (select page_id, html, base || case when len(parts) > 0 then '?' || array_to_string(parts, '&') else '' end as canonical_url from c),
+d as (select *, unnest([0, 1, 2]) as k from p),
+r as (
+  select 'r' || page_id || '.' || k as source_id, canonical_url, (page_id * 7 + 3 + 20 * k) % 60 as day, page_id, html,
+    '"' || md5(html || case when page_id % 10 = 9 then ((page_id * 7 + 3 + 20 * k) % 60)::varchar else '' end) || '"' as tag from d),
+v as (
+  select 'v' || page_id || '.' || k as record_id, canonical_url, (page_id * 11 + 8 + 20 * k) % 60 as day, page_id,
+    case page_id % 10 when 3 then 'W/"' || md5(html) || '"' when 5 then null when 7 then '"' || md5(html || 'new') || '"' when 9 then '"' || md5(html || '23') || '"' else '"' || md5(html) || '"' end as own from d),
+a as (
+  select v.record_id, arg_max(r.source_id, {{'at': r.day * 86400000 + r.page_id % 86400000, 'id': r.source_id}}) as source_id
+  from v join r on r.canonical_url = v.canonical_url and (r.day * 86400000 + r.page_id % 86400000, r.source_id) < (v.day * 86400000 + v.page_id % 86400000, v.record_id) group by v.record_id),
 o as (
-  select *, case when source_page_id is null then 'unmatched' when page_id % 10 = 5 then 'unverified'
-    when page_id % 10 = 7 or md5(html) != md5(stored) then 'mismatch' else 'resolved' end as outcome from j)
-select page_id, canonical_url, source_page_id, outcome,
+  select v.*, a.source_id, r.tag, r.html as stored, r.day as source_day, case when a.source_id is null then 'unmatched' when own is null then 'unverified'
+    when regexp_replace(own, '^W/', '') != r.tag then 'mismatch' else 'resolved' end as outcome
+  from v left join a using (record_id) left join r on r.source_id = a.source_id)
+select record_id, canonical_url, source_id, outcome,
   case when outcome = 'resolved' then 'cache-control: max-age=120' || chr(10) || 'content-length: ' || strlen(stored) || chr(10) || 'content-type: text/html' || chr(10)
-    || 'date: day 1, ' || page_id || chr(10) || 'etag: ' || case when page_id % 10 = 3 then 'W/' else '' end || '"' || md5(html) || '"' || chr(10)
-    || 'last-modified: Mon, 01 Jan 2024 00:00:00 GMT' end as headers,
-  case when outcome = 'resolved' then strlen(stored)::bigint end as n_bytes,
-  case when outcome = 'resolved' then sha256(stored) end as body_sha256
+    || 'date: answer ' || day || chr(10) || 'etag: ' || own || chr(10) || 'last-modified: Mon, 01 Jan 2024 00:00:00 GMT' end as headers,
+  case when outcome = 'resolved' then strlen(stored || ' on day ' || source_day)::bigint end as n_bytes,
+  case when outcome = 'resolved' then sha256(stored || ' on day ' || source_day) end as body_sha256
 from o"""

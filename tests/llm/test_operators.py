@@ -744,6 +744,24 @@ def test_warc_files(spark, tmp_path):
     assert len(got) == 4 and {bytes(r["body"]) for r in got} == {b"body\r\n\r\nmore", b"abc"} and got[0]["headers"] == {"etag": "1", "content-type": "t"} and got[0]["status"] == 200
 
 
+def test_broken_warc_files_are_told(spark, tmp_path):
+    import gzip
+
+    head = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <%s>\r\nContent-Length: %s\r\n\r\n"
+    good = head % (b"a", b"3") + b"abc\r\n\r\n"
+    (tmp_path / "length.warc").write_bytes(head % (b"x", b"many") + b"body\r\n\r\n" + good)
+    (tmp_path / "short.warc").write_bytes(good + head % (b"y", b"99") + b"end")
+    (tmp_path / "head.warc").write_bytes(good + b"WARC/1.0\r\nWARC-Type: resp")
+    (tmp_path / "cut.warc.gz").write_bytes(gzip.compress(good) + gzip.compress(good * 50)[:-20])
+    (tmp_path / "bad.warc.gz").write_bytes(gzip.compress(good) + b"\x1f\x8bnonsense")
+    (tmp_path / "empty.warc").write_bytes(b"")
+    (tmp_path / "other.warc").write_bytes(b"no record at all")
+    got = warc.read_warc(spark, str(tmp_path)).collect()
+    assert sum(r["error"] is None for r in got) >= 5 and all(bytes(r["body"]) == b"abc" for r in got if r["error"] is None)
+    errors = sorted(r["error"] for r in got if r["error"])
+    assert len(errors) == 5 and errors[-1].startswith("truncated") and any("many" in e for e in errors) and all(r["record_type"] == "broken" for r in got if r["error"])
+
+
 # ---- 10: lines
 
 
