@@ -80,15 +80,16 @@ def digests(text: str) -> np.ndarray:
 
 
 def check_of(keys: np.ndarray) -> np.ndarray:
-    return (mix64(keys ^ np.uint64(0xA5A5A5A5A5A5A5A5)) >> np.uint64(48)).astype(np.uint16)
+    return (mix64(keys ^ np.uint64(0xA5A5A5A5A5A5A5A5)) >> np.uint64(48))
 
 
 class Sketches:
     """Sketches of several documents, document i with ``cells[i]`` cells (a multiple of TABLES)."""
 
-    def __init__(self, cells: np.ndarray, table: np.ndarray | None = None) -> None:
+    def __init__(self, cells: np.ndarray, sums: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> None:
         self.cells, self.start = cells, np.cumsum(cells) - cells
-        self.table = np.zeros(int(cells.sum()), CELL) if table is None else table
+        n = int(cells.sum())
+        self.count, self.keys, self.checks = sums or (np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64))
 
     def places(self, keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
         """The cells of each digest, a row for each table."""
@@ -97,51 +98,60 @@ class Sketches:
             return np.stack([self.start[owner] + k * width.astype(np.int64) + (mix64(keys + np.uint64(k + 1)) % width).astype(np.int64) for k in range(TABLES)])
 
     def add(self, keys: np.ndarray, owner: np.ndarray, sign: np.ndarray | int) -> Sketches:
-        check = check_of(keys)
+        check, sign = check_of(keys), np.broadcast_to(np.asarray(sign, np.int64), keys.shape)
         for at in self.places(keys, owner):
-            np.add.at(self.table["count"], at, sign)
-            np.bitwise_xor.at(self.table["keys"], at, keys)
-            np.bitwise_xor.at(self.table["checks"], at, check)
+            np.add.at(self.count, at, sign)
+            np.bitwise_xor.at(self.keys, at, keys)
+            np.bitwise_xor.at(self.checks, at, check)
         return self
 
     def part(self, which: np.ndarray) -> Sketches:
         """The sketches of some documents."""
         n = self.cells[which]
         ends = np.cumsum(n)
-        return Sketches(n, self.table[np.repeat(self.start[which] - ends + n, n) + np.arange(int(n.sum()))])
+        at = np.repeat(self.start[which] - ends + n, n) + np.arange(int(n.sum()))
+        return Sketches(n, (self.count[at], self.keys[at], self.checks[at]))
 
     def minus(self, other: Sketches) -> Sketches:
         """Sketches of equal sizes, subtracted."""
-        out = Sketches(self.cells, np.zeros(len(self.table), CELL))
-        out.table["count"] = self.table["count"] - other.table["count"]
-        for name in ("keys", "checks"):
-            out.table[name] = self.table[name] ^ other.table[name]
-        return out
+        return Sketches(self.cells, (self.count - other.count, self.keys ^ other.keys, self.checks ^ other.checks))
 
     def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Digests that were recovered, their documents, and for each document whether its sketch came out empty. The table is used up."""
+        """Digests that were recovered, their documents, and for each document whether its sketch came out empty. The sums are used up."""
         owner_of = np.repeat(np.arange(len(self.cells)), self.cells)
-        found, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        look = np.arange(len(self.table))
-        while len(look):
-            look = look[np.abs(self.table["count"][look]) == 1]
-            look = look[check_of(self.table["keys"][look]) == self.table["checks"][look]]
-            owner, keys = owner_of[look], self.table["keys"][look]
+        found, owners, most = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 4 * len(self.count)
+        look = np.arange(len(self.count))
+        while len(look) and most > 0:  # a sum that passes for a digest by chance could be taken out and put back for ever
+            look = look[np.abs(self.count[look]) == 1]
+            look = look[check_of(self.keys[look]) == self.checks[look]]
+            owner, keys = owner_of[look], self.keys[look]
             order = np.lexsort((keys, owner))
             look, owner, keys = look[order], owner[order], keys[order]
             new = np.ones(len(look), bool)
             new[1:] = (owner[1:] != owner[:-1]) | (keys[1:] != keys[:-1])
             look, owner, keys = look[new], owner[new], keys[new]
-            # a sum that passes for a digest by chance could be taken out and put back for ever
-            if sum(map(len, found)) > 4 * len(self.table):
-                break
             found.append(keys)
             owners.append(owner)
-            self.add(keys, owner, -self.table["count"][look])
-            look = np.unique(self.places(keys, owner))
-        left = (self.table["count"] != 0) | (self.table["keys"] != 0) | (self.table["checks"] != 0)
+            most -= len(keys)
+            self.add(keys, owner, -self.count[look])
+            look = self.places(keys, owner).ravel()
+        left = (self.count != 0) | (self.keys != 0) | (self.checks != 0)
         return np.concatenate(found), np.concatenate(owners), np.bincount(owner_of[left], minlength=len(self.cells)) == 0
 
+    def written(self) -> np.ndarray:
+        """The ten bytes of each cell."""
+        cells = np.zeros(len(self.count), CELL)
+        cells["count"], cells["keys"], cells["checks"] = self.count, self.keys, self.checks
+        return np.ascontiguousarray(cells.view(np.uint8).reshape(-1, CELL.itemsize)[:, WRITTEN])
+
+    @classmethod
+    def read(cls, written: list[np.ndarray]) -> Sketches:
+        cells = np.zeros((sum(map(len, written)), CELL.itemsize), np.uint8)
+        cells[:, WRITTEN] = np.concatenate([*written, np.zeros((0, len(WRITTEN)), np.uint8)])
+        cells = cells.view(CELL).ravel()
+        sums = (cells["count"] & 0xFFFF).astype(np.uint16).astype(np.int16).astype(np.int64), cells["keys"].astype(np.uint64), cells["checks"].astype(np.uint64)
+        return cls(np.array([len(x) for x in written], np.int64), sums)
+
 
 class Fingerprints:
     """Fingerprints of several documents: the numbers of their paragraphs; their sketches of each size, with each document's
@@ -165,7 +175,7 @@ class Fingerprints:
         room = np.where(sizes > 0, -(-np.maximum(sizes * OWN, CELLS).astype(np.int64) // TABLES) * TABLES, 0)
         while True:  # until each can be peeled alone
             last = Sketches(room).add(keys, owner, 1)
-            whole = Sketches(room, last.table.copy()).peel()[2]
+            whole = Sketches(room, (last.count.copy(), last.keys.copy(), last.checks.copy())).peel()[2]
             if whole.all():
                 return cls(sizes, levels, last)
             room = np.where(whole, room, 2 * room)
@@ -181,7 +191,7 @@ class Fingerprints:
         """Each as a string: the number of paragraphs, then each sketch's cells in base 64, smallest first."""
         out = [[f"{n:x}"] for n in self.sizes.tolist()]
         for sketches, place in [*self.levels, (self.last, np.arange(len(self.sizes)))]:
-            data = np.ascontiguousarray(sketches.table.view(np.uint8).reshape(-1, CELL.itemsize)[:, WRITTEN]).tobytes()
+            data = sketches.written().tobytes()
             for i in np.flatnonzero(place >= 0).tolist():
                 a, n = int(sketches.start[place[i]]), int(sketches.cells[place[i]])
                 out[i].append(b2a_base64(data[a * len(WRITTEN) : (a + n) * len(WRITTEN)], newline=False).decode())
@@ -194,13 +204,7 @@ class Fingerprints:
         sizes = np.array([int(x[0], 16) for x in split], np.int64)
 
         def tables(parts: list[str]) -> Sketches:
-            data = [np.frombuffer(a2b_base64(x), np.uint8).reshape(-1, len(WRITTEN)) for x in parts]
-            cells = np.concatenate([*data, np.zeros((0, len(WRITTEN)), np.uint8)])
-            table = np.zeros((len(cells), CELL.itemsize), np.uint8)
-            table[:, WRITTEN] = cells
-            table = table.view(CELL).ravel()
-            table["count"] = (table["count"] & 0xFFFF).astype(np.uint16).astype(np.int16)
-            return Sketches(np.array([len(x) for x in data], np.int64), table)
+            return Sketches.read([np.frombuffer(a2b_base64(x), np.uint8).reshape(-1, len(WRITTEN)) for x in parts])
 
         levels = []
         for k in range(1, max(map(len, split), default=2) - 1):
