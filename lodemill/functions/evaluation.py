@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -90,6 +91,16 @@ def overall_accuracy(characters: Column, words: Column, tables: Column) -> Colum
     return 0.4 * characters + 0.3 * words + 0.3 * F.coalesce(tables, F.lit(0.0))
 
 
+def full_accuracy(characters: Column, words: Column, tables: Column, compressed: Column) -> Column:
+    """The overall accuracy and its parts, beside what ``compression`` says; ``tables`` is null where either side has none."""
+    return F.struct(characters.alias("characters"), words.alias("words"), F.coalesce(tables, F.lit(0.0)).alias("tables"), overall_accuracy(characters, words, tables).alias("overall"), compressed.alias("compression"))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once for a row, also where it is asked for within a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def normal_words(text: Column) -> Column:
     """Lower-cased words of a trimmed text."""
     return F.split(F.lower(F.regexp_replace(F.regexp_replace(text, r"^\s+|\s+$", ""), r"\s+", " ")), " ", -1)
@@ -98,9 +109,8 @@ def normal_words(text: Column) -> Column:
 def information_retention(original: Column, compressed: Column) -> Column:
     """The share of the original's words of three letters or more that contain, or are contained in, one of the other's."""
     significant = F.filter(normal_words(original), lambda w: F.length(w) > 2)
-    others = F.array_distinct(normal_words(compressed))
-    covered = F.filter(significant, lambda w: F.exists(others, lambda c: F.contains(c, w) | F.contains(w, c)))
-    share = F.when(F.size(significant) > 0, F.size(covered) / F.size(significant)).otherwise(1.0)
+    covered = let(F.array_distinct(normal_words(compressed)), lambda others: F.size(F.filter(significant, lambda w: F.exists(others, lambda c: F.contains(c, w) | F.contains(w, c)))))
+    share = F.when(F.size(significant) > 0, covered / F.size(significant)).otherwise(1.0)
     return F.when(F.coalesce(original == "", F.lit(True)), 1.0).when(F.coalesce(compressed == "", F.lit(True)), 0.0).otherwise(share)
 
 
@@ -114,7 +124,7 @@ def compression(original: Column, compressed: Column) -> Column:
 
 def _covered(text: Column, words: Column) -> Column:
     """The share of words that have three letters or more and stand in the text."""
-    return F.size(F.filter(words, lambda w: (F.length(w) > 2) & F.contains(text, w))) / F.size(words)
+    return let(words, lambda ws: let(text, lambda t: F.size(F.filter(ws, lambda w: (F.length(w) > 2) & F.contains(t, w))) / F.size(ws)))
 
 
 def contains_answer(text: Column, answer: Column) -> Column:

@@ -16,19 +16,18 @@ from pyspark.sql import DataFrame
 
 def levels(tasks: DataFrame) -> DataFrame:
     """``step``, ``level`` of ``tasks(step, dependencies)``: the longest chain of known dependencies before it. Cycles never run and are left out."""
-    spark = tasks.sparkSession
-    tasks.createOrReplaceTempView("_plan_tasks")
-    return spark.sql(
+    return tasks.sparkSession.sql(
         """
         with recursive edges as (
-          select t.step, d.step as dep from (select step, explode(dependencies) as dep from _plan_tasks) t join _plan_tasks d on t.dep = d.step),
+          select t.step, d.step as dep from (select step, explode(dependencies) as dep from {tasks}) t join {tasks} d on t.dep = d.step),
         walk(step, level) as (
-          select step, 0 from _plan_tasks where step not in (select step from edges)
+          select step, 0 from {tasks} where step not in (select step from edges)
           union all
           select e.step, w.level + 1 from walk w join edges e on e.dep = w.step where w.level < 100),
         reached as (select step, max(level) as level from walk group by step),
         blocked as (select e.step from edges e left anti join reached r on e.dep = r.step)
-        select step, level from reached where step not in (select step from blocked)"""
+        select step, level from reached where step not in (select step from blocked)""",
+        tasks=tasks,
     )
 
 

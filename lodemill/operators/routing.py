@@ -34,10 +34,34 @@ def ordered_rules(rules: DataFrame) -> DataFrame:
     return rules.where("is_active").withColumn("seq", F.row_number().over(order))
 
 
+def _forced(rule_type: Column, mode: Column) -> Column:
+    """Whether a rule is a pattern."""
+    return (rule_type == "REGEX") | (F.upper(F.trim(F.coalesce(mode, F.lit("")))) == "REGEX")
+
+
+def with_valid_patterns(rules: DataFrame) -> DataFrame:
+    """``rules`` without the content of those whose pattern is none, so that they match nothing. Rules are a small table."""
+    spark = rules.sparkSession
+    compile = spark.sparkContext._jvm.java.util.regex.Pattern.compile
+    bad = []
+    for r in rules.where(_forced(F.col("rule_type"), F.col("match_mode"))).select("rule_content").where("rule_content is not null").distinct().collect():
+        try:
+            compile(r["rule_content"])
+        except Exception:
+            bad.append(r["rule_content"])
+    if not bad:
+        return rules
+    broken = _forced(F.col("rule_type"), F.col("match_mode")) & F.col("rule_content").isin(bad)
+    return rules.withColumn("rule_content", F.when(~F.coalesce(broken, F.lit(False)), F.col("rule_content")))
+
+
 def rule_matches(text: Column, content: Column, rule_type: Column, mode: Column) -> Column:
-    """Whether a rule fits: keywords are contained unless a mode says otherwise; rules that are patterns are searched."""
+    """Whether a rule fits: keywords are contained unless a mode says otherwise; rules that are patterns are searched.
+
+    Patterns are to be valid (``with_valid_patterns``); a rule without content fits nothing.
+    """
     m = F.upper(F.coalesce(F.nullif(F.trim(mode), F.lit("")), F.lit("CONTAINS")))
-    pattern = (rule_type == "REGEX") | (m == "REGEX")
+    pattern = _forced(rule_type, mode)
     plain = F.when(m == "EXACT", text == content).when(m == "PREFIX", F.startswith(text, content)).when(m == "SUFFIX", F.endswith(text, content)).otherwise(F.contains(text, content))
     fits = F.when(pattern, F.regexp_like(text, F.when(pattern, content).otherwise(F.lit("$^")))).otherwise(plain)
     return F.coalesce((F.trim(content) != "") & fits, F.lit(False))
@@ -48,9 +72,9 @@ def detect_by_rules(queries: DataFrame, rules: DataFrame, query: str = "query",
 
     Keyword rules go first; a hit keeps pattern rules from being asked, unless its rule cascades. Among rules of a stage
     the smaller priority wins, then the larger confidence, then the first; a rule that forbids cascading ends the stage
-    where it stands in the list. Rules are few and are broadcast; patterns are to be valid.
+    where it stands in the list. Rules are a small table, which is broadcast; one whose pattern is none matches nothing.
     """
-    r = ordered_rules(rules).where(F.col("rule_type").isin("KEYWORD", "REGEX"))
+    r = ordered_rules(with_valid_patterns(rules)).where(F.col("rule_type").isin("KEYWORD", "REGEX"))
     r = r.select(F.col("id").alias("rule_id"), "rule_type", "rule_content", "match_mode", "allow_cascade", "task_type", "target_processor", "confidence", "priority", "seq")
     q = queries.select(F.col(query).alias("query"), F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"^\s+|\s+$", "").alias("_text")).where("_text != ''")
     hits = q.join(F.broadcast(r), rule_matches(F.col("_text"), F.col("rule_content"), F.col("rule_type"), F.col("match_mode"))).withColumn("stage", (F.col("rule_type") == "REGEX").cast("int"))
@@ -68,10 +92,14 @@ def detect_by_rules(queries: DataFrame, rules: DataFrame, query: str = "query",
     return best.select("query", "rule_id", "task_type", "target_processor", F.coalesce("confidence", F.lit(0.8)).alias("confidence"), F.when(F.col("stage") == 1, "REGEX").otherwise("KEYWORD").alias("stage"))
 
 
+def with_route(examples: DataFrame) -> DataFrame:
+    """Examples with their route: the rule's own key, else its task type."""
+    return examples.withColumn("route", F.coalesce(F.when(F.trim("route_key") != "", F.col("route_key")), F.col("task_type")))
+
+
 def semantic_routes(examples: DataFrame) -> DataFrame:
-    """Examples by route: the key (the rule's own, else its task type), its vectors, and what its first rule says."""
-    key = F.coalesce(F.when(F.trim("route_key") != "", F.col("route_key")), F.col("task_type"))
-    return examples.withColumn("route", key).groupBy("route").agg(F.collect_list("vector").alias("vectors"), F.min_by("threshold", "id").alias("threshold"), F.min_by("target_processor", "id").alias("target_processor"))
+    """Routes of examples, and what each one's first rule says."""
+    return with_route(examples).groupBy("route").agg(F.min_by("threshold", "id").alias("threshold"), F.min_by("target_processor", "id").alias("target_processor"))
 
 
 def detect_by_examples(similarities: DataFrame, routes: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -87,7 +115,7 @@ PLAN = "struct<taskType:string,domain:string,summary:string,tasks:array<struct<s
 
 def planner_intent(text: Column, plan: Column, cached: Column, short: int = 10) -> Column:
     """What a planner's answer (JSON) says: task type, confidence, whether it has steps and whether to ask back; null if it is none."""
-    p = F.from_json(plan, PLAN)
+    p = F.when(F.startswith(F.ltrim(F.get_json_object(plan, "$")), F.lit("{")), F.from_json(plan, PLAN))  # null where it cannot be read
     is_short = F.length(F.regexp_replace(text, r"^\s+|\s+$", "")) < short
     steps = F.coalesce(F.size(p["tasks"]) > 0, F.lit(False))
     confidence = F.when(cached, 0.85).when(is_short, 0.72).otherwise(0.88)
@@ -111,10 +139,25 @@ def cascade(results: DataFrame, threshold: float = 0.65) -> DataFrame:
     return results.withColumn("decided", decides).withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
 
 
-def trace(results: DataFrame) -> DataFrame:
-    """What each detector said, as one row for each query."""
-    each = F.struct("sort", "detector", (F.col("confidence") > 0).alias("matched"), "confidence")
-    return results.groupBy("query").agg(F.sort_array(F.collect_list(each)).alias("detectors"))
+def trace(results: DataFrame, threshold: float = 0.65) -> DataFrame:
+    """What each detector said, in order, why, and how long it took, and which one decided: a row for each query.
+
+    ``results`` is as for ``cascade``, with ``reason`` and ``latency_ms`` where detectors give them.
+    """
+    for name, kind in (("cascades", "boolean"), ("clarify", "boolean"), ("reason", "string"), ("latency_ms", "long")):
+        if name not in results.columns:
+            results = results.withColumn(name, F.lit(None).cast(kind))
+    each = F.struct("sort", "detector", F.coalesce(F.col("confidence") > 0, F.lit(False)).alias("matched"), "confidence", "reason", "latency_ms")
+    every = results.groupBy("query").agg(F.sort_array(F.collect_list(each)).alias("detectors"), F.sum("latency_ms").alias("latency_ms"))
+    chosen = cascade(results, threshold).select("query", F.col("detector").alias("chosen"))
+    return every.join(chosen, "query", "left")
+
+
+def planned_intents(queries: DataFrame, plans: DataFrame, cached: DataFrame, short: int = 10) -> DataFrame:
+    """``query`` and the intent of a planner that asks its cache first: ``queries(query, text)``, fresh ``plans(query, plan)`` and ``cached(query, plan)``."""
+    joined = queries.join(cached.select("query", F.col("plan").alias("_known")), "query", "left").join(plans.select("query", F.col("plan").alias("_fresh")), "query", "left")
+    intent = planner_intent(F.col("text"), F.coalesce("_known", "_fresh"), F.col("_known").isNotNull(), short)
+    return joined.select("query", intent.alias("i")).where("i is not null").select("query", "i.*")
 
 
 def strategy(task: Column, suggested: Column, locked: Column, has_plan: Column, multi_step: Column) -> Column:

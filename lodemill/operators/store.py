@@ -155,6 +155,20 @@ def latest_of_bucket(rows: DataFrame, bucket: str, order: list[Column], keep: in
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(bucket).orderBy(*order))).where(F.col("_n") <= keep).drop("_n")
 
 
+def bounded_cache(rows: DataFrame, bucket: str, at: str, order: list[Column], keep: int = 10, buckets: int = 1000) -> DataFrame:
+    """At most ``keep`` rows of each bucket, and at most ``buckets`` of these: those with the latest row, the larger name first."""
+    ages = rows.groupBy(bucket).agg(F.max(at).alias("_at")).orderBy(F.desc("_at"), F.desc(bucket)).limit(buckets)
+    return latest_of_bucket(rows.join(ages.select(bucket), bucket, "left_semi"), bucket, order, keep)
+
+
+def evicted(rows: DataFrame, key: str, pattern: str) -> DataFrame:
+    """Rows of a cache whose key does not fit a pattern, in which ``*`` stands for any signs and ``?`` for one. Null keys stay."""
+    import re
+
+    fits = "".join({"*": "(?s).*", "?": "(?s)."}.get(c, re.escape(c)) for c in pattern)
+    return rows.where(~F.coalesce(F.regexp_like(F.col(key), F.lit(f"^{fits}$")), F.lit(False)))
+
+
 def alive(rows: DataFrame, at: Column, now: Column, seconds: int) -> DataFrame:
     """Rows that have not outlived their time."""
     return rows.where(F.unix_micros(now.cast("timestamp")) - F.unix_micros(at.cast("timestamp")) <= seconds * 1_000_000)

@@ -103,7 +103,7 @@ def vector_binary_codec(spark, sf):
 def _similar_routes(spark, sf):
     e = table(spark, sf, "embeddings")
     queries = e.where(PROBES).select(F.col("vec_id").alias("query"), F.col("embedding").alias("query_vector"))
-    examples = e.where("vec_id % 20 != 0").select(F.col("label").alias("route"), F.col("embedding").alias("vector"))
+    examples = e.select(F.col("label").alias("route"), F.col("embedding").alias("vector"))
     return R.routes_by_similarity(queries, examples)
 
 
@@ -115,12 +115,27 @@ def semantic_margin(spark, sf):
     return R.decide_route(_similar_routes(spark, sf).withColumn("route", F.col("route").cast("string")), 0.3, 0.05)
 
 
+def semantic_router(spark, sf):
+    """Queries, some with knobs of their own, and some whose vector is missing."""
+    e = table(spark, sf, "embeddings")
+    vector = F.when(F.col("vec_id") % 60 != 20, F.col("embedding"))
+    queries = e.where(PROBES).select(F.col("vec_id").alias("query"), vector.alias("query_vector"), F.when(F.col("vec_id") % 80 == 0, F.lit(1.1)).alias("threshold"), F.when(F.col("vec_id") % 100 == 0, F.lit(0.9)).alias("margin"))
+    return R.semantic_router(queries, e.select(F.col("label").cast("string").alias("route"), F.col("embedding").alias("vector")), 0.3, 0.05)
+
+
+def _plans_and_queries(spark, sf):
+    """Every vector as a cached plan, and as a query of its own text: a third with the same vector, a third with a first value that leads to another bucket, a third with a text that no plan has."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    plans = e.select(F.col("id").alias("plan_id"), F.concat(F.lit("plan "), F.col("id").cast("string")).alias("text"), F.col("v").alias("vector"))
+    kind = F.col("id") % 3
+    moved = F.transform("v", lambda x, i: F.when((i == 0) & (kind > 0), (x + F.lit(0.25)).cast("float")).otherwise(x))
+    queries = e.select(F.col("id").alias("query"), F.when(kind == 2, F.lit("unknown")).otherwise(F.concat(F.lit("plan "), F.col("id").cast("string"))).alias("text"), moved.alias("vector"))
+    return plans, queries
+
+
 def near_duplicate_cache(spark, sf):
-    e = table(spark, sf, "embeddings").withColumn("bucket", V.bucket_key(F.transform("embedding", lambda x: F.round(x.cast("double"), 0).cast("float")), 2))
-    a = e.where(PROBES).select(F.col("vec_id").alias("query"), F.col("embedding").alias("x"), "bucket")
-    pairs = a.join(e.select("vec_id", "embedding", "bucket"), "bucket").where("vec_id != query")
-    scored = pairs.select("query", F.col("vec_id").alias("match"), F.round(V.cosine(F.col("x"), F.col("embedding")), 6).alias("similarity")).where("similarity >= 0.2")
-    return S.first_seen(scored.withColumn("_o", -F.col("similarity")), ["query"], ["_o", "match"]).drop("_o")
+    plans, queries = _plans_and_queries(spark, sf)
+    return R.similar_plans(queries, plans)
 
 
 def vector_rows(spark, sf):
@@ -136,7 +151,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         knn_topk, knn_by_index, knn_join_context, doc_score_max, doc_score_mean_top2, rerank_full, rerank_threshold, rerank_fallback, vector_similarities, cosine_truncated, l2_norms, vector_text_codec,
-        vector_binary_codec, semantic_route, semantic_margin, near_duplicate_cache, vector_rows,
+        vector_binary_codec, semantic_route, semantic_margin, semantic_router, near_duplicate_cache, vector_rows,
     )
 }
 
@@ -178,7 +193,7 @@ def _rerank(source: str, width: int, top: int, window: int, per_doc: int, contex
 _PAIRS = "from embeddings y, (select * from embeddings where vec_id % 20 = 0) x"
 _ROUTES = f"""
 q as (select vec_id as query, embedding as v from embeddings where vec_id % 20 = 0),
-r as (select label as route, embedding as v from embeddings where vec_id % 20 != 0),
+r as (select label as route, embedding as v from embeddings),
 m as (select query, route, round(greatest(0, max({_COS.format(a="q.v", b="r.v")})), 6) as similarity from q, r group by all)"""
 
 ORACLES = {
@@ -214,10 +229,20 @@ select vec_id, len(v)::int as n, round(v[1]::double, 3) as first, round(sqrt(lis
 with {_ROUTES},
 o as (select *, row_number() over w as place, coalesce(lead(similarity) over w, 0) as second from m window w as (partition by query order by similarity desc, route::varchar))
 select query, case when similarity >= 0.3 and similarity - second >= 0.05 then route::varchar else 'BASIC' end as route, similarity, second from o where place = 1""",
+    "semantic_router": f"""
+with q as (select vec_id as query, case when vec_id % 60 != 20 then embedding end as v, case when vec_id % 80 = 0 then 1.1 else 0.3 end as threshold, case when vec_id % 100 = 0 then 0.9 else 0.05 end as margin
+  from embeddings where vec_id % 20 = 0),
+m as (select query, label::varchar as route, round(greatest(0, max({_COS.format(a="q.v", b="r.embedding")})), 6) as similarity from q, embeddings r where v is not null group by all),
+o as (select *, row_number() over w as place, coalesce(lead(similarity) over w, 0) as second from m window w as (partition by query order by similarity desc, route))
+select query, case when similarity >= threshold and similarity - second >= margin then route else 'BASIC' end as route, coalesce(similarity, 0)::double as similarity from q left join (select * from o where place = 1) using (query)""",
     "near_duplicate_cache": f"""
-with e as (select *, array_to_string(list_transform(embedding[1:2], lambda x: printf('%.2f', round(x::double, 0)::float::double + 0.0)), '') as bucket from embeddings),
-s as (select a.vec_id as query, b.vec_id as match, round({_COS.format(a="a.embedding", b="b.embedding")}, 6) as similarity from e a join e b using (bucket) where a.vec_id % 20 = 0 and a.vec_id != b.vec_id)
-select * from s where similarity >= 0.2 qualify row_number() over (partition by query order by similarity desc, match) = 1""",
+with p as (select vec_id as plan_id, 'plan ' || vec_id as text, embedding as v from embeddings),
+q as (select vec_id as query, case when vec_id % 3 = 2 then 'unknown' else 'plan ' || vec_id end as text, list_transform(embedding, lambda x, i: case when i = 1 and vec_id % 3 > 0 then (x + 0.25)::float else x end) as v from embeddings),
+pb as (select *, array_to_string(list_transform(v[1:5], lambda x: printf('%.2f', x::double)), '') as bucket from p),
+qb as (select *, array_to_string(list_transform(v[1:5], lambda x: printf('%.2f', x::double)), '') as bucket from q),
+s as (select query, plan_id, round({_COS.format(a="qb.v", b="pb.v")}, 6) as similarity, 'bucket' as how from qb join pb using (bucket)
+  union all select query, plan_id, round({_COS.format(a="qb.v", b="pb.v")}, 6), 'text' from qb join pb on qb.text = pb.text where qb.bucket not in (select bucket from pb))
+select * from s where similarity >= 0.95 qualify row_number() over (partition by query order by similarity desc, plan_id) = 1""",
     "vector_rows": """
 select 'chunk-' || doc_id as external_id, 'CHUNK' as vector_type, len(embedding)::int as dimensions, 'default' as index_name,
        round(sqrt(list_inner_product(embedding::double[], embedding::double[])), 6) as vector_norm, case when length(text) > 100 then text[1:100] || '...' else text end as content_summary,

@@ -19,6 +19,7 @@ RULE_ROWS = (
     (6, "REGEX", "ou[a-z]*x", "FACT_LOOKUP", "DECOMPOSITION", 0.6, 3, True, None, False),
     (7, "KEYWORD", "never", "FAQ", "BASIC", 0.9, 0, False, None, None),
     (8, "REGEX", "^[A-Z]", "SUMMARIZATION", "BASIC", 0.5, 2, True, None, None),
+    (9, "REGEX", "([", "FAQ", "BASIC", 0.99, 0, True, None, None),
 )
 RULES_SCHEMA = "id long, rule_type string, rule_content string, task_type string, target_processor string, confidence double, priority int, is_active boolean, match_mode string, allow_cascade boolean"
 #: Words of these queries in place of the Chinese lists.
@@ -50,7 +51,7 @@ def rule_order(spark, sf):
 
 
 def rule_matches(spark, sf):
-    q, r = questions(spark, sf), rules(spark).where("is_active")
+    q, r = questions(spark, sf), R.with_valid_patterns(rules(spark).where("is_active"))
     hit = R.rule_matches(F.trim("text"), F.col("rule_content"), F.col("rule_type"), F.col("match_mode"))
     return q.join(F.broadcast(r), hit).select("query", F.col("id").alias("rule_id"))
 
@@ -101,8 +102,8 @@ def tool_fallback(spark, sf):
 def detector_cascade(spark, sf):
     q = questions(spark, sf)
     by_rule = R.detect_by_rules(q, rules(spark)).select("query", F.lit("rules").alias("detector"), F.lit(-100).alias("sort"), "confidence", (F.col("rule_id") % 2 == 0).alias("cascades"), F.lit(False).alias("clarify"))
-    other = q.where("query % 2 = 0").select("query", F.lit("semantic"), F.lit(-50), F.round(F.length("text") % 100 / 100.0, 2), F.lit(False), F.lit(False))
-    plan = q.where("query % 5 = 0").select("query", F.lit("planner"), F.lit(100), F.lit(0.72), F.lit(False), F.length("text") < 60)
+    other = q.where(F.contains("text", F.lit("ing"))).select("query", F.lit("semantic"), F.lit(-50), F.round(F.length("text") % 100 / 100.0, 2), F.lit(False), F.lit(False))
+    plan = q.where(F.contains("text", F.lit("eau"))).select("query", F.lit("planner"), F.lit(100), F.lit(0.72), F.lit(False), F.length("text") < 60)
     out = R.cascade(by_rule.union(other).union(plan))
     return out.select("query", "detector", "confidence", "decided")
 
@@ -114,6 +115,15 @@ def planner_intents(spark, sf):
     return e.select("query", i.alias("i")).where("i is not null").select("query", "i.task_type", "i.confidence", "i.multi_step", "i.clarify", "i.target_processor")
 
 
+def planner_cached(spark, sf):
+    """A planner that has the plans of some queries in its cache, and no answer for others."""
+    q = questions(spark, sf).select("query", "text", F.length("text").alias("n"))
+    steps = F.lit('{"taskType":"analysis","tasks":[{"step":1,"dependencies":[]}]}')
+    plans = q.select("query", F.when(F.col("n") % 4 == 0, F.lit("no json")).when(F.col("n") % 4 == 1, steps).otherwise(F.lit('{"tasks":[]}')).alias("plan"))
+    cached = q.where("n % 7 = 0").select("query", steps.alias("plan"))
+    return R.planned_intents(q, plans, cached, 40)
+
+
 def fallback_intents(spark, sf):
     i = R.fallback_intent(F.col("text"))
     return questions(spark, sf).select("query", i.alias("i")).select("query", "i.task_type", "i.confidence", "i.complexity")
@@ -144,14 +154,14 @@ def user_sessions(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        rule_listing, rule_order, rule_matches, rule_best, router_first_match, router_scored, strategy_map, downgrade, tool_fallback, detector_cascade, planner_intents, fallback_intents, evaluation_parse,
+        rule_listing, rule_order, rule_matches, rule_best, router_first_match, router_scored, strategy_map, downgrade, tool_fallback, detector_cascade, planner_intents, planner_cached, fallback_intents, evaluation_parse,
         context_merge, hourly_events, user_sessions,
     )
 }
 
 _R = "r as (select * from (values " + ", ".join("(" + ", ".join(map(_sql, r)) + ")" for r in RULE_ROWS) + ") t(id, rule_type, rule_content, task_type, target_processor, confidence, priority, is_active, match_mode, allow_cascade))"
 _Q = "q as (select conv_id * 1000 + turn as query, text, role from conversations)"
-_HIT = """case when rule_type = 'REGEX' then regexp_matches(trim(text, ' '), rule_content) when match_mode = 'PREFIX' then starts_with(trim(text, ' '), rule_content) when match_mode = 'SUFFIX' then ends_with(trim(text, ' '), rule_content)
+_HIT = """case when rule_content = '([' then false when rule_type = 'REGEX' then regexp_matches(trim(text, ' '), rule_content) when match_mode = 'PREFIX' then starts_with(trim(text, ' '), rule_content) when match_mode = 'SUFFIX' then ends_with(trim(text, ' '), rule_content)
   else contains(trim(text, ' '), rule_content) end"""
 _BEST = f"""{_R}, {_Q},
 o as (select *, row_number() over (partition by rule_type order by priority asc nulls last, coalesce(confidence, 0) desc, id) as seq from r where is_active),
@@ -192,13 +202,17 @@ select query, case when query % 4 < 2 then 'RETRY' else 'SWITCH_TOOL' end as act
   case when tool != 'RAG_QUERY' then 'SWITCH_TOOL' when length(trim(text[1:12], ' ')) < 10 then 'CLARIFY' else 'ABORT' end as empty, case when tool != 'RAG_QUERY' then 'RAG_QUERY' end as empty_next from f""",
     "detector_cascade": f"""with {_BEST},
 d as (select query, 'rules' as detector, -100 as sort, coalesce(confidence, 0.8)::double as confidence, id % 2 = 0 as cascades, false as clarify from b
-  union all select query, 'semantic', -50, round((length(text) % 100) / 100.0::double, 2), false, false from q where query % 2 = 0
-  union all select query, 'planner', 100, 0.72::double, false, length(text) < 60 from q where query % 5 = 0),
+  union all select query, 'semantic', -50, round((length(text) % 100) / 100.0::double, 2), false, false from q where contains(text, 'ing')
+  union all select query, 'planner', 100, 0.72::double, false, length(text) < 60 from q where contains(text, 'eau')),
 e as (select *, (confidence >= 0.65 and not cascades) or clarify as decided from d)
 select query, detector, confidence, decided from e qualify row_number() over (partition by query order by decided desc, case when decided then sort end, confidence desc, sort) = 1""",
     "planner_intents": f"""with {_Q}
 select query, case when query % 3 = 0 then 'FAQ' else 'ANALYSIS' end as task_type, case when query % 6 = 1 then 0.85 else 0.72 end::double as confidence, query % 3 = 1 as multi_step, true as clarify,
   case when query % 3 = 0 then 'BASIC' else 'RAG_FUSION' end as target_processor from q where query % 3 != 2""",
+    "planner_cached": f"""with {_Q}, n as (select query, length(text) as n, length(trim(text, ' ')) < 40 as short from q),
+c as (select *, n % 7 = 0 as cached, n % 7 = 0 or n % 4 = 1 as multi_step from n)
+select query, case when multi_step then 'ANALYSIS' else 'UNKNOWN' end as task_type, case when cached then 0.85 when short then 0.72 else 0.88 end::double as confidence, multi_step, short or not multi_step as clarify,
+  case when multi_step then 'RAG_FUSION' else 'BASIC' end as target_processor from c where cached or n % 4 != 0""",
     "fallback_intents": f"with {_Q} select query, 'UNKNOWN' as task_type, 0.3::double as confidence, case when length(text) > 120 then 'HIGH' else 'MEDIUM' end as complexity from q",
     "evaluation_parse": "select doc_id, case when doc_id % 3 = 0 then 5 else quality end::int as faithfulness, 5 as fluency, case when doc_id % 3 = 0 then 5 else 7 end as total from labels",
     "context_merge": "select conv_id as probe, sha256(string_agg(text, chr(10) || chr(10) order by turn, text)) as digest from conversations group by 1",

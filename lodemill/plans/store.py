@@ -146,8 +146,9 @@ def upsert_patch(spark, sf):
 
 
 def upsert_new(spark, sf):
-    base = documents(spark, sf).where("id % 2 = 0").select("id", "title", "status")
-    return S.upserted(base, _patch(spark, sf))
+    """Changes of which some have a key that no document has yet."""
+    base = documents(spark, sf).select("id", "title", "status")
+    return S.upserted(base, _patch(spark, sf).withColumn("id", F.col("id") * 2))
 
 
 def status_reset(spark, sf):
@@ -174,8 +175,8 @@ def idempotent_append(spark, sf):
 
 
 def page_merge(spark, sf):
-    old = table(spark, sf, "documents").where("doc_id % 3 != 0").select(F.col("doc_id").alias("page_no"), F.col("source").alias("content"))
-    new = table(spark, sf, "labels").select(F.col("doc_id").alias("page_no"), F.col("quality").cast("string").alias("content"))
+    old = table(spark, sf, "documents").select(F.col("doc_id").alias("page_no"), F.col("source").alias("content"))
+    new = table(spark, sf, "labels").select((F.col("doc_id") * 2).alias("page_no"), F.col("quality").cast("string").alias("content"))
     return S.merged_by_key(old, new, "page_no")
 
 
@@ -195,6 +196,60 @@ def fifo_bucket(spark, sf):
     return S.latest_of_bucket(events(spark, sf), "user_id", [F.desc("create_time"), F.desc("id")], 10).select("id", "user_id")
 
 
+def fifo_bounded(spark, sf):
+    return S.bounded_cache(events(spark, sf), "user_id", "create_time", [F.desc("create_time"), F.desc("id")], 3, 50).select("id", "user_id")
+
+
+def cache_eviction(spark, sf):
+    """A cache of pages by key, of which one user's and all entries of one kind go."""
+    keyed = events(spark, sf).select("id", F.concat_ws(":", F.lit("page"), F.col("user_id").cast("string"), F.col("status")).alias("key"))
+    return S.evicted(S.evicted(keyed, "key", "page:7:*"), "key", "page:?*:err*").select("id", "key")
+
+
+def count_vectors_by_index(spark, sf):
+    e = table(spark, sf, "embeddings").select(F.concat(F.lit("index"), F.col("label").cast("string")).alias("index_name"), F.when(F.col("vec_id") % 5 == 0, "DOCUMENT").otherwise("CHUNK").alias("vector_type"))
+    return S.counts_by(e, "vector_type", "index_name")
+
+
+def vector_by_external_id(spark, sf):
+    e = table(spark, sf, "embeddings").select(F.concat(F.lit("chunk-"), F.col("vec_id").cast("string")).alias("external_id"), F.size("embedding").alias("dimensions"), F.col("label").cast("string").alias("index_name"))
+    return S.matching(e, external_id="chunk-42")
+
+
+def vector_dynamic_filter(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", F.size("embedding").alias("dimensions"), F.col("label").cast("string").alias("index_name"))
+    return S.matching(e, index_name="3", dimensions=64, vec_id=None).select("vec_id", "index_name")
+
+
+def _settings(spark, sf):
+    """Customers as settings: business key, name, kind, status and time of change."""
+    c = table(spark, sf, "customer")
+    return c.select(F.col("c_custkey").alias("id"), F.concat(F.lit("key-"), F.col("c_custkey").cast("string")).alias("key"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("kind"), F.when(F.col("c_acctbal") > 0, 1).otherwise(0).alias("status"), F.col("c_nationkey").alias("changed"))
+
+
+def config_enabled(spark, sf):
+    return S.newest_first(S.matching(_settings(spark, sf), status=1), "changed").select("key", "kind", "changed")
+
+
+def config_by_kind(spark, sf):
+    return S.matching(_settings(spark, sf), kind="BUILDING", contains={"name": "1"}).select("key", "name")
+
+
+def config_writes(spark, sf):
+    """Settings after a partial update by key, inserts of new keys and a deletion by id."""
+    base = _settings(spark, sf).select("key", "name", "kind", "status")
+    s = table(spark, sf, "supplier")
+    changes = s.select(F.concat(F.lit("key-"), (F.col("s_suppkey") * 20).cast("string")).alias("key"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).alias("name"), F.lit(None).cast("string").alias("kind"), F.lit(0).alias("status"))
+    gone = table(spark, sf, "nation").select(F.concat(F.lit("key-"), F.col("n_nationkey").cast("string")).alias("key"))
+    return S.deleted(S.upserted(base, changes, "key"), gone, "key")
+
+
+def config_prompts(spark, sf):
+    """Enabled prompts of clients, each once, where it is met first."""
+    edges, _, prompts, ids = _graph(spark, sf)
+    return G.prompts_of(edges, prompts.withColumnRenamed("api_id", "prompt_id"), ids).select("client", "prompt_id", "base_url")
+
+
 def memoized_lengths(spark, sf):
     c = table(spark, sf, "conversations").select("conv_id", "turn", "text")
     return S.memoized(c, "text", F.length("text"), "n").select("conv_id", "turn", "n")
@@ -215,6 +270,10 @@ def _graph(spark, sf):
     text = lambda c: F.col(c).cast("string")
     edge = lambda d, st, sid, tt, tid, base: d.select((F.col(base[0]) + base[1]).cast("long").alias("id"), F.lit(st).alias("source_type"), text(sid).alias("source_id"), F.lit(tt).alias("target_type"), text(tid).alias("target_id"), F.when(F.col(base[0]) % 7 == 3, 0).otherwise(1).alias("status"))
     edges = edge(s, "client", "s_suppkey", "model", "s_nationkey", ("s_suppkey", 0)).unionByName(edge(n, "model", "n_nationkey", "tool_mcp", "n_regionkey", ("n_nationkey", 1_000_000)))
+    # client k has prompt k modulo the number of regions, and its neighbour's
+    for step in (0, 1):
+        own = edge(s, "client", "s_suppkey", "system_prompt", "s_suppkey", ("s_suppkey", 2_000_000 + 1_000_000 * step))
+        edges = edges.unionByName(own.withColumn("target_id", F.pmod(F.col("source_id").cast("long") + step, F.lit(5)).cast("string")))
     models = n.select(text("n_nationkey").alias("model_id"), text("n_regionkey").alias("api_id"), F.col("n_name").alias("model_name"), F.when(F.col("n_nationkey") % 5 == 4, 0).otherwise(1).alias("status"))
     interfaces = r.select(text("r_regionkey").alias("api_id"), F.col("r_name").alias("base_url"), F.when(F.col("r_regionkey") == 2, 0).otherwise(1).alias("status"))
     return edges, models, interfaces, s.select(text("s_suppkey").alias("client_id"))
@@ -253,6 +312,7 @@ QUERIES = {
         count_by_status, count_by_type_range, count_half_open, avg_latency, count_unvectorized, doc_dynamic_filter, query_dynamic_filter, chunk_dynamic_filter, point_lookup, newest_by_status, children_by_position,
         keyword_docs, keyword_chunks, in_list, in_short_list, time_range, history_session, history_user, pending_documents, pending_chunks, chunks_of_document, chunk_by_vector, page_slice, page_total,
         chunk_doc_context, upsert_patch, upsert_new, status_reset, flag_vectorized, delete_anti, insert_generated, idempotent_append, page_merge, doc_completion, first_seen_users, ttl_filter, fifo_bucket,
+        fifo_bounded, cache_eviction, count_vectors_by_index, vector_by_external_id, vector_dynamic_filter, config_enabled, config_by_kind, config_writes, config_prompts,
         memoized_lengths, dag_levels, config_models, config_graph_walk, config_tools, config_assembled, region_revenue,
     )
 }
@@ -265,6 +325,7 @@ _PATCH = "(select doc_id as id, case when quality = 1 then 'GOOD' else '' end as
 _EDGES = """
 e as (select s_suppkey::bigint as id, 'client' as source_type, s_suppkey::varchar as source_id, 'model' as target_type, s_nationkey::varchar as target_id, case when s_suppkey % 7 = 3 then 0 else 1 end as status from supplier
   union all select n_nationkey + 1000000, 'model', n_nationkey::varchar, 'tool_mcp', n_regionkey::varchar, case when n_nationkey % 7 = 3 then 0 else 1 end from nation),
+ep as (select s_suppkey + 2000000 + 1000000 * k as id, s_suppkey::varchar as client, ((s_suppkey + k) % 5)::varchar as target_id, case when s_suppkey % 7 = 3 then 0 else 1 end as status from supplier, (select unnest([0, 1]) as k)),
 m as (select n_nationkey::varchar as model_id, n_regionkey::varchar as api_id, n_name as model_name, case when n_nationkey % 5 = 4 then 0 else 1 end as status from nation),
 i as (select r_regionkey::varchar as api_id, r_name as base_url, case when r_regionkey = 2 then 0 else 1 end as status from region),
 c as (select s_suppkey::varchar as client from supplier),
@@ -303,14 +364,14 @@ ORACLES = {
     "chunk_doc_context": f"select document_id, chunk_index, title, source from {_CH} c join {_DOC} d on c.document_id = d.id",
     "upsert_patch": f"select d.id, coalesce(p.title, d.title) as title, coalesce(nullif(p.status, ''), d.status) as status, source from {_DOC} d left join {_PATCH} p using (id)",
     "upsert_new": f"""
-select d.id, coalesce(p.title, d.title) as title, coalesce(p.status, d.status) as status from {_DOC} d left join {_PATCH} p using (id) where d.id % 2 = 0
-union all select id, title, status from {_PATCH} p where id not in (select id from {_DOC} d where id % 2 = 0)""",
+select d.id, coalesce(p.title, d.title) as title, coalesce(p.status, d.status) as status from {_DOC} d left join (select * replace (id * 2 as id) from {_PATCH} p) p using (id)
+union all select id * 2, title, status from {_PATCH} p where id * 2 not in (select id from {_DOC} d)""",
     "status_reset": f"select d.id, case when l.doc_id is null then status else 'PROCESSING' end as status, case when l.doc_id is null then 'old' when quality = 0 then 'bad' end as error_message from {_DOC} d left join labels l on l.doc_id = d.id",
     "flag_vectorized": f"select id, vectorized or id in (select doc_id from labels) as vectorized from {_CH} t",
     "delete_anti": f"select id, status from {_DOC} t where id not in (select doc_id from labels)",
     "insert_generated": "select doc_id as id, source from documents union all select (select max(doc_id) from documents) + row_number() over (order by n_name), n_name from nation",
     "idempotent_append": f"select id, document_id from {_CH} t where document_id not in (select doc_id from labels)",
-    "page_merge": "select coalesce(d.doc_id, l.doc_id) as page_no, case when l.doc_id is not null then quality::varchar else source end as content from (select * from documents where doc_id % 3 != 0) d full join labels l on d.doc_id = l.doc_id",
+    "page_merge": "select coalesce(d.doc_id, l.doc_id * 2) as page_no, case when l.doc_id is not null then quality::varchar else source end as content from documents d full join labels l on d.doc_id = l.doc_id * 2",
     "doc_completion": f"select document_id, bool_and(vectorized) as done from {_CH} t group by 1",
     "first_seen_users": f"select id, user_id, status from {_EV} t qualify row_number() over (partition by user_id, status order by create_time, id) = 1",
     "ttl_filter": f"select id from {_EV} t where timestamp '2024-01-31' - create_time <= interval 7 days",
@@ -336,8 +397,26 @@ f as (select * from ct qualify row_number() over (partition by id order by clien
 select client, api_id as mcp_id, base_url from f join i on i.api_id = f.id where i.status = 1""",
     "config_assembled": f"""
 with {_EDGES}
-select client, coalesce((select list_sort(list(distinct id)) from cm where cm.client = c.client), []) as models, []::varchar[] as prompts,
+select client, coalesce((select list_sort(list(distinct id)) from cm where cm.client = c.client), []) as models, coalesce((select list_sort(list(distinct target_id)) from ep where ep.client = c.client and status = 1), []) as prompts,
        coalesce((select list_sort(list(distinct id)) from ct where ct.client = c.client), []) as tools from c""",
+    "config_prompts": f"""
+with {_EDGES},
+f as (select client, target_id as id from ep where status = 1 qualify row_number() over (partition by target_id order by client, id) = 1)
+select client, id as prompt_id, base_url from f join i on i.api_id = f.id where i.status = 1""",
+    "fifo_bounded": f"""
+with b as (select user_id from {_EV} t group by 1 order by max(create_time) desc, user_id desc limit 50)
+select id, user_id from {_EV} t where user_id in (select user_id from b) qualify row_number() over (partition by user_id order by create_time desc, id desc) <= 3""",
+    "cache_eviction": f"select id, 'page:' || user_id || ':' || status as key from {_EV} t where not (key glob 'page:7:*') and not (key glob 'page:?*:err*')",
+    "count_vectors_by_index": "select case when vec_id % 5 = 0 then 'DOCUMENT' else 'CHUNK' end as vector_type, 'index' || label as index_name, count(*) as n from embeddings group by all",
+    "vector_by_external_id": "select 'chunk-' || vec_id as external_id, len(embedding)::int as dimensions, label::varchar as index_name from embeddings where vec_id = 42",
+    "vector_dynamic_filter": "select vec_id, label::varchar as index_name from embeddings where label = 3 and len(embedding) = 64",
+    "config_enabled": "select 'key-' || c_custkey as key, c_mktsegment as kind, c_nationkey as changed from customer where c_acctbal > 0",
+    "config_by_kind": "select 'key-' || c_custkey as key, c_name as name from customer where c_mktsegment = 'BUILDING' and contains(c_name, '1')",
+    "config_writes": """
+with b as (select 'key-' || c_custkey as key, c_name as name, c_mktsegment as kind, case when c_acctbal > 0 then 1 else 0 end as status from customer),
+x as (select 'key-' || s_suppkey * 20 as key, case when s_suppkey % 2 = 0 then s_name end as name, null::varchar as kind, 0 as status from supplier),
+u as (select b.key, coalesce(x.name, b.name) as name, coalesce(x.kind, b.kind) as kind, coalesce(x.status, b.status) as status from b left join x using (key) union all select * from x where key not in (select key from b))
+select * from u where key not in (select 'key-' || n_nationkey from nation)""",
     "region_revenue": """
 select r_name, o_orderpriority, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, count(*) as n
 from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey

@@ -11,9 +11,11 @@ from lodemill.operators import planner
 from lodemill.operators import routing
 from lodemill.operators import store as S
 from lodemill.sources import json_repair
-from lodemill.sources.tables import shared, table
+from lodemill.sources.tables import shared, table, written
 from lodemill.streaming import ingest
 
+from .routing import _BEST
+
 DOCUMENTS = "id long, content string"
 
 
@@ -25,11 +27,31 @@ def stream_ingest(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
     docs.write.parquet(f"{root}/landing")
     for _ in range(2):
-        ingest.ingest(spark, f"{root}/landing", DOCUMENTS, f"{root}/store", f"{root}/checkpoint", embedder=spi.HashEmbedder(16))
-    chunks = spark.read.schema(ingest.CHUNKS).parquet(f"{root}/store/chunks")
-    states = spark.read.schema(ingest.STATES).parquet(f"{root}/store/states")
-    done = chunks.groupBy("document_id").agg(F.count("*").alias("n_chunks"), F.bool_and("vectorized").alias("vectorized"))
-    return states.join(done, "document_id", "left").select("document_id", "status", "n_chunks", "vectorized")
+        ingest.ingest(spark, f"{root}/landing", DOCUMENTS, f"{root}/store", f"{root}/checkpoint", embedder=spi.HashEmbedder(16), strategy="FIXED_LENGTH")
+    done = ingest.chunks(spark, f"{root}/store").groupBy("document_id").agg(F.count("*").alias("n_chunks"), F.sum(F.length("content")).alias("n_chars"))
+    return ingest.states(spark, f"{root}/store").join(done, "document_id", "left").select("document_id", "status", "n_chunks", "n_chars")
+
+
+class Picky(spi.HashEmbedder):
+    """Fails for texts with a ``q`` in them."""
+
+    def _one(self, text: str) -> list[float] | None:
+        if "q" in text:
+            raise ValueError("no q")
+        return super()._one(text)
+
+
+def stream_backfill(spark, sf):
+    """Conversations of which some cannot be embedded at first; they wait, and are indexed when their chunks are filled in."""
+    root = shared(spark, "backfill")
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    docs = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("content"))
+    ingest.process_batch(docs, root, embedder=Picky(16), strategy="FIXED_LENGTH")
+    before = written(ingest.states(spark, root), "before").select("document_id", F.col("status").alias("first"))
+    while ingest.backfill(spark, root, spi.HashEmbedder(16), limit=100_000):
+        pass
+    return ingest.states(spark, root).join(before, "document_id").select("document_id", "first", F.col("status").alias("last"))
 
 
 def embed_texts(spark, sf):
@@ -38,8 +60,18 @@ def embed_texts(spark, sf):
 
 
 def embed_once(spark, sf):
+    """Each text is embedded once, also where turns repeat it: here by its length, so that SQL can say the same."""
     c = table(spark, sf, "conversations").select("conv_id", "turn", "text")
-    return S.memoized(c, "text", spi.embedding(F.col("text"), spi.HashEmbedder(8)), "v").select("conv_id", "turn", F.size("v").alias("dimensions"))
+    return S.memoized(c, "text", spi.embedding(F.col("text"), Lengths()), "v").select("conv_id", "turn", F.get("v", F.lit(0)).cast("long").alias("length"), F.get("v", F.lit(1)).cast("long").alias("spaces"))
+
+
+class Lengths:
+    """A text's length and spaces as a vector."""
+
+    name, dimensions = "lengths", 2
+
+    def embed(self, texts: list[str]) -> list[list[float] | None]:
+        return [[float(len(t)), float(t.count(" "))] for t in texts]
 
 
 def page_rounds(spark, sf):
@@ -80,15 +112,25 @@ def routing_trace(spark, sf):
     from .routing import questions, rules
 
     q = questions(spark, sf)
-    r = routing.detect_by_rules(q, rules(spark)).select("query", F.lit("rules").alias("detector"), F.lit(-100).alias("sort"), "confidence")
-    f = q.select("query", F.lit("fallback"), F.lit(1000), F.lit(0.3))
-    return routing.trace(r.union(f)).select("query", F.size("detectors").alias("n"), F.get("detectors", F.lit(0))["detector"].alias("first"))
+    r = routing.detect_by_rules(q, rules(spark)).select("query", F.lit("rules").alias("detector"), F.lit(-100).alias("sort"), "confidence", F.concat(F.lit("rule "), F.col("rule_id").cast("string")).alias("reason"), F.col("rule_id").alias("latency_ms"))
+    f = q.select("query", F.lit("fallback"), F.lit(1000), F.lit(0.3), F.lit("nothing fits"), F.lit(1).cast("long"))
+    each = F.transform("detectors", lambda d: F.concat_ws(" ", d["detector"], d["confidence"].cast("string"), d["reason"], d["latency_ms"].cast("string")))
+    return routing.trace(r.union(f)).select("query", F.array_join(each, "; ").alias("detectors"), "latency_ms", "chosen")
 
 
-QUERIES = {f.__name__: f for f in (stream_ingest, embed_texts, embed_once, page_rounds, plan_run, repaired_json, routing_trace)}
+QUERIES = {f.__name__: f for f in (stream_ingest, stream_backfill, embed_texts, embed_once, page_rounds, plan_run, repaired_json, routing_trace)}
 ORACLES = {
     "page_rounds": "select n_nationkey as doc_key, p as page_no, n_nationkey % 2 = 0 or p = 1 as ok from nation, (select unnest([1, 2, 3])::int as p)",
     "plan_run": "with c as (select (select count(*) from region) as a, (select count(*) from nation) as b, (select count(*) from part) as c) select unnest([1, 2, 3, 4]) as step, unnest([a, b, c, b + c]) as result from c",
     "repaired_json": "select event_id, event_type as k, event_id as n, 'true' as first from events",
-    "embed_once": "select conv_id, turn, 8 as dimensions from conversations",
+    "embed_once": "select conv_id, turn, length(text)::bigint as length, (length(text) - length(replace(text, ' ', '')))::bigint as spaces from conversations",
+    "stream_ingest": """
+with c as (select doc_id, text, unnest(range(0, (length(text) - 1) // 400 + 1)) as i from documents where text != ''), n as (select doc_id, count(*) as n_chunks, sum(length(text[i * 400 + 1 : i * 400 + 500]))::bigint as n_chars from c group by 1)
+select d.doc_id as document_id, case when coalesce(text, '') = '' then 'FAILED' else 'INDEXED' end as status, n_chunks, n.n_chars from documents d left join n using (doc_id)""",
+    "stream_backfill": """
+select conv_id * 1000 + turn as document_id, case when coalesce(text, '') = '' then 'FAILED' when contains(text, 'q') then 'PROCESSING' else 'INDEXED' end as first,
+  case when coalesce(text, '') = '' then 'FAILED' else 'INDEXED' end as last from conversations""",
+    "routing_trace": f"""with {_BEST}
+select q.query, coalesce('rules ' || coalesce(confidence, 0.8)::double || ' rule ' || id || ' ' || id || '; ', '') || 'fallback 0.3 nothing fits 1' as detectors, (coalesce(id, 0) + 1)::bigint as latency_ms,
+  case when coalesce(confidence, 0.8) >= 0.3 and b.query is not null then 'rules' else 'fallback' end as chosen from q left join b using (query)""",
 }

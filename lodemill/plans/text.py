@@ -112,7 +112,8 @@ def _pairs(spark, sf):
     """Documents against benchmark items, by number, without what is not ASCII (edit distances of others differ between engines)."""
     ascii = lambda c: F.regexp_replace(c, r"[^\x00-\x7F]", "")
     b = table(spark, sf, "benchmark").select(F.col("item_id").alias("k"), ascii("text").alias("truth"))
-    return docs(spark, sf).select("doc_id", ascii("text").alias("guess"), (F.col("doc_id") % 40).alias("k")).join(F.broadcast(b), "k")
+    n = max(b.count(), 1)  # each item is the truth of every n-th document
+    return docs(spark, sf).select("doc_id", ascii("text").alias("guess"), F.pmod("doc_id", F.lit(n)).alias("k")).join(b, "k")
 
 
 def char_accuracy(spark, sf):
@@ -353,7 +354,7 @@ _WIDE = "case doc_id % 3 when 0 then regexp_replace(text, '([a-z]) ([a-z])', '\\
 _CACHE = "(select user_id as doc_key, (event_id % 6 + 1)::int as page_no, case when user_id % 9 = 0 then 5 else 6 end as page_count, event_type != 'error' as ok, ts as cached_at from events)"
 _FRESH = "timestamp '2024-01-31' - cached_at <= interval 96 hours"
 _HEADS = "(?i)(" + "|".join(P.HEADER_WORDS) + ")"
-_PAIR = """p as (select doc_id, regexp_replace(d.text, '[^\\x00-\\x7F]', '', 'g') as guess, regexp_replace(b.text, '[^\\x00-\\x7F]', '', 'g') as truth from documents d join benchmark b on b.item_id = d.doc_id % 40)"""
+_PAIR = """p as (select doc_id, regexp_replace(d.text, '[^\\x00-\\x7F]', '', 'g') as guess, regexp_replace(b.text, '[^\\x00-\\x7F]', '', 'g') as truth from documents d join benchmark b on b.item_id = d.doc_id % (select count(*) from benchmark))"""
 _QA = """q as (select u.conv_id, u.turn, u.text as question, a.text as answer, d.text as parsed from conversations u join conversations a on a.conv_id = u.conv_id and a.turn = u.turn + 1 and a.role = 'assistant'
   join documents d on d.doc_id = u.conv_id where u.role = 'user'),
 r as (select *, regexp_split_to_array(regexp_replace(lower(answer), '\\s+', ' ', 'g'), ' ') as aw, regexp_split_to_array(lower(question), '\\s+') as qs, regexp_split_to_array(lower(answer), '\\s+') as ws,

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lodemill.functions.splitting import chunk_rows
 from lodemill.operators.store import not_yet
+from lodemill.sources.tables import written
 from lodemill.spi import Embedder, HashEmbedder, embedding
 
 
@@ -41,25 +42,49 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 CHUNKS = "document_id long, chunk_index int, content string, start_position long, end_position long, overlap_length int, quality_score double, vectorized boolean, external_id string, embedding array<float>"
-STATES = "document_id long, status string, error_message string"
+STATES = "document_id long, status string, error_message string, version int"
+FILLED = "document_id long, chunk_index int, embedding array<float>"
 
 
-def process_batch(docs: DataFrame, store: str, size: int = 500, overlap: int = 100, embedder: Embedder | None = None) -> None:
-    """Chunks and states of the documents of a batch that are not done; those without content fail."""
+def states(spark: SparkSession, store: str) -> DataFrame:
+    """``document_id``, ``status``, ``error_message``: each document's last state."""
+    last = F.max_by(F.struct("status", "error_message"), "version")
+    return _read(spark, f"{store}/states", STATES).groupBy("document_id").agg(last.alias("s")).select("document_id", "s.*")
+
+
+def chunks(spark: SparkSession, store: str) -> DataFrame:
+    """All chunks, with the vectors that were filled in later."""
+    filled = _read(spark, f"{store}/filled", FILLED).dropDuplicates(["document_id", "chunk_index"]).withColumnRenamed("embedding", "_later")
+    both = _read(spark, f"{store}/chunks", CHUNKS).join(filled, ["document_id", "chunk_index"], "left")
+    vector = F.coalesce("embedding", "_later")
+    return both.withColumn("vectorized", vector.isNotNull()).withColumn("embedding", vector).select(*[c.split()[0] for c in CHUNKS.split(", ")])
+
+
+def process_batch(docs: DataFrame, store: str, size: int = 500, overlap: int = 100, embedder: Embedder | None = None, strategy: str = "RECURSIVE_CHARACTER", batch: int | None = None) -> None:
+    """Chunks and states of the documents of a batch that are not done.
+
+    Those without content are FAILED; those of which every chunk has a vector are INDEXED, others are PROCESSING until
+    ``backfill`` has filled the rest in. A batch is a partition of the store, named by its number (else by its documents),
+    so that one that was broken off is overwritten when it is run again, and no history of chunks is read.
+    """
     spark = docs.sparkSession
     done = _read(spark, f"{store}/states", STATES).select("document_id")
-    fresh = not_yet(docs.select(F.col("id").alias("document_id"), "content").dropDuplicates(["document_id"]), done, "document_id").persist()
+    fresh = not_yet(docs.select(F.col("id").alias("document_id"), "content").where("id is not null").dropDuplicates(["document_id"]), done, "document_id").persist()
     try:
+        n, name = fresh.agg(F.count("*"), F.bit_xor(F.xxhash64("document_id"))).first()
+        if not n:
+            return
+        part = f"batch={name if batch is None else batch}"
         good = fresh.where("content is not null and content != ''")
-        chunks = chunk_rows(good, "document_id", "content", size, overlap)
-        # what a run that was broken off has written is not written again
-        chunks = chunks.join(_read(spark, f"{store}/chunks", CHUNKS).select("document_id").distinct(), "document_id", "left_anti")
-        vectors = chunks.withColumn("embedding", embedding(F.col("content"), embedder or HashEmbedder()))
+        vectors = chunk_rows(good, "document_id", "content", size, overlap, strategy).withColumn("embedding", embedding(F.col("content"), embedder or HashEmbedder()))
         key = F.concat(F.lit("chunk-"), F.col("document_id").cast("string"), F.lit("-"), F.col("chunk_index").cast("string"))
         rows = vectors.withColumn("vectorized", F.col("embedding").isNotNull()).withColumn("external_id", key)
-        rows.select(*[c.split()[0] for c in CHUNKS.split(", ")]).write.mode("append").parquet(f"{store}/chunks")
-        states = fresh.select("document_id", F.when(F.coalesce(F.col("content") != "", F.lit(False)), "INDEXED").otherwise("FAILED").alias("status"), F.when(F.coalesce(F.col("content") != "", F.lit(False)), F.lit(None).cast("string")).otherwise("no content").alias("error_message"))
-        states.write.mode("append").parquet(f"{store}/states")
+        rows.select(*[c.split()[0] for c in CHUNKS.split(", ")]).write.mode("overwrite").parquet(f"{store}/chunks/{part}")
+        whole = spark.read.schema(CHUNKS).parquet(f"{store}/chunks/{part}").groupBy("document_id").agg(F.bool_and("vectorized").alias("whole"))
+        empty = ~F.coalesce(F.col("content") != "", F.lit(False))
+        status = F.when(empty, "FAILED").when(F.coalesce("whole", F.lit(True)), "INDEXED").otherwise("PROCESSING")
+        found = fresh.join(whole, "document_id", "left").select("document_id", status.alias("status"), F.when(empty, "no content").alias("error_message"), F.lit(0).alias("version"))
+        found.write.mode("overwrite").parquet(f"{store}/states/{part}")
     finally:
         fresh.unpersist()
 
@@ -67,14 +92,28 @@ def process_batch(docs: DataFrame, store: str, size: int = 500, overlap: int = 1
 def ingest(spark: SparkSession, source: str, schema: str, store: str, checkpoint: str, files_per_trigger: int = 64, **how) -> None:
     """Take all Parquet files of ``source`` that are new, and wait until they are done."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
-    query = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda batch, _: with_retries(lambda: process_batch(batch, store, **how))).start()
+    query = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda rows, batch: with_retries(lambda: process_batch(rows, store, batch=batch, **how))).start()
     query.awaitTermination()
 
 
-def backfill(spark: SparkSession, store: str, embedder: Embedder | None = None, limit: int = 1000) -> DataFrame:
-    """The oldest chunks without a vector, with one now."""
-    todo = _read(spark, f"{store}/chunks", CHUNKS).where("not vectorized").orderBy("document_id", "chunk_index").limit(limit)
-    return todo.withColumn("embedding", embedding(F.col("content"), embedder or HashEmbedder())).withColumn("vectorized", F.col("embedding").isNotNull())
+def backfill(spark: SparkSession, store: str, embedder: Embedder | None = None, limit: int = 1000) -> int:
+    """Fill in the vectors of the oldest chunks without one, and mark documents INDEXED that have none left; how many were filled.
+
+    Vectors and states are appended, and the last state of a document counts, so that a run that was broken off is made
+    good by the next one.
+    """
+    todo = chunks(spark, store).where("not vectorized").orderBy("document_id", "chunk_index").limit(limit)
+    filled = written(todo.select("document_id", "chunk_index", embedding(F.col("content"), embedder or HashEmbedder()).alias("embedding")).where("embedding is not null"), "filled")
+    n = filled.count()
+    if n:
+        filled.write.mode("append").parquet(f"{store}/filled")
+    waiting = states(spark, store).where("status = 'PROCESSING'").select("document_id")
+    left = chunks(spark, store).join(waiting, "document_id", "left_semi").groupBy("document_id").agg(F.bool_and("vectorized").alias("whole"))
+    last = _read(spark, f"{store}/states", STATES).groupBy("document_id").agg(F.max("version").alias("v"))
+    ready = written(left.where("whole").join(last, "document_id").select("document_id", F.lit("INDEXED").alias("status"), F.lit(None).cast("string").alias("error_message"), (F.col("v") + 1).alias("version")), "ready")
+    if ready.count():
+        ready.write.mode("append").parquet(f"{store}/states/batch=-1")
+    return n
 
 
 def windowed_counts(events: DataFrame, length: str = "1 hour", late: str = "10 minutes", slide: str | None = None) -> DataFrame:

@@ -230,10 +230,58 @@ def test_ingest_runs_once(spark, tmp_path):
     for _ in range(2):
         ingest.ingest(spark, str(tmp_path / "in"), "id long, content string", store_path, str(tmp_path / "cp"), size=6, overlap=2)
     ingest.process_batch(docs, store_path, 6, 2)
-    states = {r["document_id"]: r["status"] for r in spark.read.parquet(f"{store_path}/states").collect()}
-    chunks = spark.read.parquet(f"{store_path}/chunks")
+    states = {r["document_id"]: r["status"] for r in ingest.states(spark, store_path).collect()}
+    chunks = ingest.chunks(spark, store_path)
     assert states == {1: "INDEXED", 2: "FAILED", 3: "FAILED"} and chunks.select("external_id").distinct().count() == chunks.count() > 1
-    assert ingest.backfill(spark, store_path).count() == 0
+    assert ingest.backfill(spark, store_path) == 0
+
+
+class Failing(spi.HashEmbedder):
+    def embed(self, texts):
+        raise ValueError("no model")
+
+
+def test_documents_wait_for_all_of_their_vectors(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "one two. three"), (2, "four")], "id long, content string")
+    store_path = str(tmp_path / "store")
+    for _ in range(2):  # a batch that is run again is written over
+        ingest.process_batch(docs, store_path, 6, 2, Failing(), batch=0)
+    status = lambda: {r["document_id"]: r["status"] for r in ingest.states(spark, store_path).collect()}
+    n = ingest.chunks(spark, store_path).where("not vectorized").count()
+    assert status() == {1: "PROCESSING", 2: "PROCESSING"} and n == ingest.chunks(spark, store_path).count()
+    assert ingest.backfill(spark, store_path, Failing()) == 0 and ingest.backfill(spark, store_path, limit=n - 1) == n - 1
+    assert status() == {1: "INDEXED", 2: "PROCESSING"}
+    assert ingest.backfill(spark, store_path) == 1 and status() == {1: "INDEXED", 2: "INDEXED"}
+    assert ingest.chunks(spark, store_path).where("vectorized and embedding is not null").count() == n
+
+
+def test_hash_embeddings_as_by_plain_loops(spark, sf):
+    import hashlib
+    import math
+
+    rows = spark.read.parquet(f"{sf}/conversations.parquet").select("text").limit(50).withColumn("v", spi.embedding(F.col("text"), spi.HashEmbedder(32))).collect()
+    for r in rows:
+        v = [0.0] * 32
+        for w in r["text"].lower().split():
+            h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+            v[h % 32] += 1 if h >> 63 else -1
+        n = math.sqrt(sum(x * x for x in v)) or 1.0
+        assert all(abs(x / n - y) < 1e-6 for x, y in zip(v, r["v"], strict=True))
+
+
+def test_processors_by_route(spark):
+    class Named:
+        def __init__(self, kind):
+            self.kind = kind
+
+        def supports(self, route):
+            return route == self.kind
+
+        def process(self, queries):
+            return queries.select("query", F.lit(self.kind).alias("answer_text"))
+
+    q = spark.createDataFrame([(1, "HYDE"), (2, None), (3, "ODD"), (4, "BASIC")], "query long, route string")
+    assert {tuple(r) for r in spi.processed(q, [Named("HYDE"), Named("BASIC")]).collect()} == {(1, "HYDE"), (2, "BASIC"), (3, "BASIC"), (4, "BASIC")}
 
 
 def test_retries_back_off():
