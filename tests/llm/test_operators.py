@@ -600,6 +600,7 @@ def _plain_tokens(text: str) -> list[tuple[str, str]]:
 def _plain_leaks(docs: dict[int, str], items: dict[int, str]) -> set[tuple[int, int]]:
     kinds = (decontaminate.NUMBER, decontaminate.NAME, decontaminate.UNIT)
     out = set()
+    split = {d: _plain_tokens(text or "") for d, text in docs.items()}
     for i, item in items.items():
         tokens = _plain_tokens(item)
         n = min(len(tokens), decontaminate.WINDOW)
@@ -608,8 +609,7 @@ def _plain_leaks(docs: dict[int, str], items: dict[int, str]) -> set[tuple[int,
         forms = [(False, left)] if len(left) >= decontaminate.FEW or len(left) == len(starts) else []
         if len(left) < decontaminate.FEW:
             forms.append((True, starts))
-        for d, text in docs.items():
-            own = _plain_tokens(text)
+        for d, own in split.items():
             if len(tokens) < decontaminate.LEAST_WORDS:
                 if tokens and [x.lower() for _, x in own] == [x.lower() for _, x in tokens]:
                     out.add((d, i))
@@ -617,10 +617,12 @@ def _plain_leaks(docs: dict[int, str], items: dict[int, str]) -> set[tuple[int,
             for literal, at in forms:
                 form = lambda pair, literal=literal: pair[1].lower() if literal else pair[0]
                 diagonals: dict[int, list[int]] = {}
+                windows: dict[tuple, list[int]] = {}
+                for b in range(len(own) - n + 1):
+                    windows.setdefault(tuple(map(form, own[b : b + n])), []).append(b)
                 for a in at:
-                    for b in range(len(own) - n + 1):
-                        if all(form(own[b + k]) == form(tokens[a + k]) for k in range(n)):
-                            diagonals.setdefault(b - a, []).append(a)
+                    for b in windows.get(tuple(map(form, tokens[a : a + n])), ()):
+                        diagonals.setdefault(b - a, []).append(a)
                 held = set()
                 for shift, places in diagonals.items():
                     values: dict[tuple, set] = {}
@@ -831,6 +833,70 @@ def test_line_dedup_on_odd_rows(spark, odd, none):
 # ---- the pipeline
 
 
+def _near_groups(texts: dict[int, str | None]) -> dict[int, int]:
+    """The least key that steps of similarity 0.8 or more of sets of five-word shingles lead to; texts without any word are alike."""
+    sets = {}
+    for k, t in texts.items():
+        w = re.findall(rb"[^\x20\x09-\x0d]+", (t or "").encode().lower())
+        sets[k] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else {()}
+    root = {k: k for k in sets}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    keys = sorted(sets)
+    for i, a in enumerate(keys):
+        for b in keys[:i]:
+            small, large = sorted((len(sets[a]), len(sets[b])))
+            if 5 * small >= 4 * large and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {k: find(k) for k in keys}
+
+
+def test_pipeline_stage_by_stage(spark, sf):
+    import corpus_pipeline
+    import public_tokenizers
+    import tiktoken
+
+    stages = [f for _, f in corpus_pipeline.STAGES]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = lambda d: {r["doc_id"]: r["text"] for r in d.select("doc_id", "text").collect()}
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    good = corpus_pipeline.materialize(stages[0](spark, docs, sf), "test")
+    assert set(texts(good)) == {r["key"] for r in quality.score(docs, labels).where("keep").collect()}
+    bad = {r["doc_id"] for r in labels.where("quality = 0").collect()}
+    assert len(bad & set(texts(good))) <= 0.05 * len(bad) and len(texts(good)) >= 0.6 * docs.count()
+    lines = corpus_pipeline.materialize(stages[1](spark, good, sf), "test")
+    assert texts(lines) == _kept_lines(list(texts(good).items()), line_dedup.MIN_LINES, line_dedup.MIN_WORDS)
+    alone = corpus_pipeline.materialize(stages[2](spark, lines, sf), "test")
+    groups = _near_groups(texts(lines))
+    assert set(texts(alone)) == {k for k, first in groups.items() if k == first}
+    clean = corpus_pipeline.materialize(stages[3](spark, alone, sf), "test")
+    items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    leaking = {d for d, _ in _plain_leaks(texts(alone), items)}
+    assert set(texts(clean)) == set(texts(alone)) - leaking
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(f.read()), special_tokens={})
+    out = stages[4](spark, clean, sf).collect()
+    assert {r["doc_id"]: r["text"] for r in out} == texts(clean) and all(r["ids"] == known.encode_ordinary(r["text"]) and r["n_tokens"] == len(r["ids"]) for r in out)
+
+
+def test_stages_on_odd_rows_and_on_none(spark, sf, odd, none):
+    import corpus_pipeline
+
+    for docs, n in ((odd, odd.count()), (none, 0)):
+        docs = docs.withColumn("n_chars", F.length("text").cast("long")).withColumn("__id", F.lit("own"))
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, sf)
+            rows = out.collect()
+            assert out.columns[:5] == list(corpus_pipeline.COLUMNS)[:5] and len(rows) <= n, name
+            if name in ("line dedup", "byte-level bpe", "benchmark decontamination"):
+                assert len(rows) == n, name  # these lose no row of this fixture
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
