@@ -48,7 +48,7 @@ def chunk_rows_positions(spark, sf):
 
 def _chunks(strategy):
     def run(spark, sf):
-        return C.chunk_rows(docs(spark, sf), "doc_id", "text", SIZE, OVERLAP, strategy).select("doc_id", "chunk_index", "start_position", F.length("content").alias("n"), F.round("quality_score", 6).alias("quality_score"))
+        return C.chunk_rows(docs(spark, sf), "doc_id", "text", SIZE, OVERLAP, strategy).select("doc_id", "chunk_index", "start_position", F.length("content").alias("n"), F.md5(F.col("content").cast("binary")).alias("digest"))
 
     return run
 
@@ -238,7 +238,9 @@ def chunk_strategy(spark, sf):
 
 def list_and_table(spark, sf):
     d = docs(spark, sf).select("doc_id", F.col("text").alias("t"))
-    return d.select("doc_id", L.list_marked(F.col("t")).alias("list"), F.length(L.to_table("t")).alias("table_length"))
+    """Lines with marks; and as a table, after every second space has become a tab."""
+    tabbed = F.regexp_replace("t", r"([^ \n]+) ([^ \n]+) ", "$1 $2\t")
+    return d.select("doc_id", L.list_marked(F.col("t")).alias("list"), F.sha2(L.to_table(tabbed), 256).alias("table_sha256"))
 
 
 def table_merge(spark, sf):
@@ -371,7 +373,35 @@ _RET = """case when len(list_filter(wa, lambda w: length(w) > 2)) = 0 then 1 els
   len(list_filter(wa, lambda w: length(w) > 2 and len(list_filter(wb, lambda c: contains(c, w) or contains(w, c))) > 0)) / len(list_filter(wa, lambda w: length(w) > 2))::double end"""
 _EXT = "case when contains(name, '.') then lower(string_split(name, '.')[-1]) else 'txt' end"
 
+
+
+def _packed(segments: str) -> str:
+    """Segments of each document (a list, by SQL), packed one after another: what is held, and what each step gives out."""
+    over, big = f"r.held != '' and length(r.held) + 1 + length(g.x) > {SIZE}", f"length(g.x) > {SIZE}"
+    kept = f"(case when {over} then case when {OVERLAP} < length(r.held) then right(r.held, {OVERLAP}) else '' end else r.held end)"
+    spaced = f"(case when {kept} != '' then {kept} || ' ' else '' end)"
+    cut = f"list_transform(range(0, length(g.x), {SIZE - OVERLAP}), lambda i: trim(g.x[i + 1 : i + {SIZE}], {WS}))"
+    return f"""
+with recursive s as (select doc_id, {segments} as xs from documents where text != ''),
+t as (select doc_id, list_slice(xs, 1, coalesce(len(xs) - list_position(list_reverse(list_transform(xs, lambda x: x != '')), true) + 1, 0)) as xs from s),
+g as (select doc_id, unnest(xs) as x, generate_subscripts(xs, 1) as k, len(xs) as n from t),
+r as (
+  select doc_id, 0 as k, '' as held, []::varchar[] as given, len(xs) as n from t
+  union all
+  select r.doc_id, r.k + 1, case when {big} then '' else {spaced} || g.x end,
+    (case when {over} then [trim(r.held, {WS})] else [] end) || (case when {big} and {spaced} != '' then [trim({spaced}, {WS})] else [] end) || (case when {big} then {cut} else [] end), r.n
+  from r join g on g.doc_id = r.doc_id and g.k = r.k + 1),
+e as (select doc_id, k, unnest(given) as content, generate_subscripts(given, 1) as j from r union all select doc_id, k + 1, trim(held, {WS}), 1 from r where k = n and held != ''),
+c as (select doc_id, (row_number() over w - 1)::int as chunk_index, length(content)::int as n, md5(content) as digest, coalesce(sum(length(content)) over (partition by doc_id order by k, j rows between unbounded preceding and 1 preceding), 0)::bigint as before
+  from e window w as (partition by doc_id order by k, j))
+select doc_id, chunk_index, before - chunk_index * {OVERLAP} as start_position, n, digest from c"""
+
+
 ORACLES = {
+    "chunk_sentence": _packed(r"string_split(regexp_replace(text, '([.!?。！？])\s*', '\1' || chr(1), 'g'), chr(1))"),
+    "chunk_token": _packed(r"regexp_split_to_array(text, '\s+')"),
+    "chunk_cjk": _packed(r"regexp_extract_all(text, '[一-龥]|[^\s一-龥]+')"),
+    "chunk_paragraph": _packed(r"regexp_split_to_array(text, '\n\s*\n')"),
     "text_quality_metrics": f"with {_M} select doc_id, round(gibberish, 6) as gibberish, round(mean_word, 6) as mean_word, round(words_per_char, 6) as words_per_char, round(chinese, 6) as chinese, chinese > 0 as has_chinese from m",
     "quality_gate": f"with {_M} select doc_id, {_GOOD} as good from m",
     "quality_score": f"""with {_M} select doc_id, round(0.3 * least(1.0::double, n / 1000) + 0.4 * greatest(0.0::double, 1 - 2 * gibberish) + 0.3 * least(1.0::double, 10 * words_per_char), 6) as score,
@@ -402,6 +432,24 @@ with {_PAIR}, d as (select doc_id, {_words_sql('guess')} as wa, {_words_sql('tru
 select doc_id, original_tokens, compressed_tokens, round(original_tokens / compressed_tokens::double, 6) as ratio, round(original_tokens / compressed_tokens::double * {_RET}, 6) as effective from d""",
     "qa_pairs": f"with {_QA} select * from f",
     "qa_coverage": f"with {_QA} select conv_id, count(*) as n, count(*) filter (found) as answerable, round(sum(relevancy), 6) as relevancy from f group by 1",
+    "chunkable_units": f"""
+with {_LAY}, y as (select *, case when kind in ('title', 'heading') then i % 3 + 1 end as level from x),
+z as (select *, count(level) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding) as before, level - count(level) over (partition by doc_id order by i) as gap from y),
+d as (select *, before + least(0, coalesce(min(gap) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0)) as depth from z)
+select doc_id, (row_number() over (partition by doc_id order by d.i) - 1)::int as i, 'e' || d.i as element_id, kind as type, page_no, level::int as heading_level, kind in ('title', 'heading', 'table', 'code') as is_boundary, depth::int as depth from d where t != ''""",
+    "table_merge": """
+with n as (select doc_id, length(length(text)::varchar) as k, length(text) % 2 = 0 as even from documents)
+select doc_id, 2 as n_pages, case when even then (44 + 2 * k) || ',' || (34 + k) else (34 + k) || ',' || (44 + 2 * k) end as lengths from n""",
+    "list_and_table": rf"""
+with t as (select doc_id, text, regexp_replace(text, '([^ \n]+) ([^ \n]+) ', '\1 \2' || chr(9), 'g') as tabbed from documents),
+m as (select doc_id, array_to_string(list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, {WS})), lambda x: x != ''), lambda x: case when regexp_matches(x, '^([-*+]|[0-9]+\.)\s') then x else '- ' || x end), chr(10)) as list from t),
+l as (select doc_id, unnest(string_split(rtrim(tabbed, chr(10)), chr(10))) as line, generate_subscripts(string_split(rtrim(tabbed, chr(10)), chr(10)), 1) as i from t),
+c as (select *, regexp_split_to_array(line, '\t|\s{{2,}}') as raw from l),
+e as (select *, list_slice(raw, 1, coalesce(len(raw) - list_position(list_reverse(list_transform(raw, lambda x: x != '')), true) + 1, 1)) as cells from c),
+r as (select *, len(cells) >= 2 as row, case when len(cells) >= 2 then row_number() over (partition by doc_id, len(cells) >= 2 order by i) end as place from e),
+o as (select doc_id, i, case when row then '| ' || array_to_string(list_transform(cells, lambda x: trim(x, {WS})), ' | ') || ' |' || case when place = 1 then chr(10) || '|' || repeat('---|', len(cells)) else '' end else line end as x from r),
+w as (select doc_id, string_agg(x, chr(10) order by i) as x, count(*) as n from o group by 1)
+select t.doc_id, list, sha256(case when n < 2 then tabbed else trim(x, {WS}) end) as table_sha256 from t join m using (doc_id) join w using (doc_id)""",
     "overall_score": """
 with d as (select doc_id, quality::double as q, toxic::double as t, case when doc_id % 3 != 0 then quality::double end as k, case when doc_id % 2 = 0 then toxic::double end as c from labels)
 select doc_id, round((coalesce(k * 0.3, 0) + (q + 0.9) / 2 * 0.2 + least(1.0::double, (4.0 + t) / 10) * 0.7 * 0.2 + coalesce((c + 0.5) / 2 * 0.3, 0)) / (case when k is null then 0 else 0.3 end + 0.4 + case when c is null then 0 else 0.3 end), 6) as score,
