@@ -242,6 +242,39 @@ def merge_tables_across_pages(docs: DataFrame, key: str, pages: str = "pages", s
     left = F.transform(p["layout"], lambda e, i: F.when(i == c["a"] - 1, table).otherwise(e))
     right = F.filter(q["layout"], lambda e, i: i != c["b"] - 1)
     page = F.when(F.col("z.s") == 1, p.withField("layout", F.concat(left, right))).otherwise(p)
-    out = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_i", page.alias("page")))).alias("_pages"))
+    out = rows.groupBy(key).agg(in_order("_i", page).alias("_pages"))
     whole = docs.select(key).join(out, key, "left")
-    return whole.select(key, F.coalesce(F.transform("_pages", lambda s: s["page"]), F.array().cast(field)).alias(pages))
+    return whole.select(key, F.coalesce("_pages", F.array().cast(field)).alias(pages))
+
+
+def in_order(number: str, value: Column) -> Column:
+    """An aggregate: values as an array in the order of their different numbers; values need not be comparable."""
+    found = F.map_from_entries(F.collect_list(F.struct(F.col(number).alias("n"), value.alias("v"))))
+    return F.transform(F.array_sort(F.map_keys(found)), lambda n: F.element_at(found, n))
+
+
+def ocr_documents(expected: DataFrame, cache: DataFrame, parse: Callable[[DataFrame], DataFrame], now: Column, rounds: int = 3, hours: int = 24, wait: Callable[[float], None] = time.sleep) -> tuple[DataFrame, DataFrame]:
+    """Whole documents from their pages, and the rows that go into the page cache.
+
+    ``expected(doc_key, page_count)``; ``cache(doc_key, page_no, page_count, ok, cached_at, page)``; ``parse`` turns pages
+    into ``doc_key, page_no, ok, page`` (a structured page, null where it failed), and is asked again in rounds for what
+    failed. Pages that the cache has are not parsed. A document has its tables merged over pages, its Markdown, its counts
+    and quality, and is COMPLETE if all pages are there, PARTIAL if some are, and FAILED if none is.
+    """
+    from lodemill.functions import layout
+    from lodemill.sources.tables import written
+
+    got = written(parse_in_rounds(pending_pages(expected, cache, now, hours), parse, rounds, wait).select("doc_key", "page_no", "ok", "page"), "ocr")
+    fresh = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("cached_at").cast("timestamp")) <= hours * 3_600_000_000
+    known = cache.where(F.col("ok") & fresh).join(expected, ["doc_key", "page_count"], "left_semi").where(F.col("page_no").between(1, F.col("page_count"))).select("doc_key", "page_no", "page").dropDuplicates(["doc_key", "page_no"])
+    pages = known.unionByName(got.where("ok").select("doc_key", "page_no", "page"))
+    whole = expected.join(pages.groupBy("doc_key").agg(in_order("page_no", F.col("page")).alias("pages")), "doc_key", "left")
+    whole = written(whole.withColumn("pages", F.coalesce("pages", F.array().cast(f"array<{layout.PAGE}>"))), "documents")
+    merged = merge_tables_across_pages(whole.select("doc_key", "pages"), "doc_key")
+    counted = layout.stats(whole.select("doc_key", "pages"), "doc_key").select("doc_key", "total_elements", "average_confidence")
+    n = F.size("w.pages")
+    status = F.when(n == F.col("page_count"), "COMPLETE").when(n > 0, "PARTIAL").otherwise("FAILED")
+    out = whole.alias("w").join(counted, "doc_key").join(merged.select("doc_key", F.col("pages").alias("merged")), "doc_key")
+    quality = layout.ocr_quality(F.col("total_elements"), F.col("average_confidence"))
+    out = out.select("doc_key", status.alias("status"), n.alias("pages_ok"), "page_count", "total_elements", quality.alias("quality"), layout.markdown(F.col("merged")).alias("markdown"), F.col("merged").alias("pages"))
+    return out, got.join(expected, "doc_key").select("doc_key", "page_no", "page_count", "ok", now.cast("timestamp").alias("cached_at"), "page")

@@ -11,7 +11,7 @@ from lodemill.functions import splitting as C
 from lodemill.functions import text as X
 from lodemill.operators import parsing as P
 from lodemill.sources import html as H
-from lodemill.sources.tables import table
+from lodemill.sources.tables import table, written
 
 SIZE, OVERLAP = 500, 100
 
@@ -253,6 +253,21 @@ def table_merge(spark, sf):
     return merged.select("doc_id", F.size("pages").alias("n_pages"), F.array_join(F.transform("pages", lambda p: F.length(p["layout"][0]["md_text"]).cast("string")), ",").alias("lengths"))
 
 
+def ocr_pipeline(spark, sf):
+    """Documents from pages of which some never pass and some are in the cache, by a stand-in that reads structured pages."""
+    pages = structured(spark, sf).select(F.col("doc_id").alias("doc_key"), F.size("pages").alias("page_count"), F.posexplode("pages").alias("i", "page"))
+    pages = written(pages.select("doc_key", "page_count", (F.col("i") + 1).alias("page_no"), "page"), "pages")
+    now = F.lit("2024-01-31 00:00:00").cast("timestamp")
+    fails = (F.col("doc_key") + F.col("page_no")) % 5 == 0
+    cache = pages.where((F.col("doc_key") + F.col("page_no")) % 10 == 0).select("doc_key", "page_no", "page_count", F.lit(True).alias("ok"), now.alias("cached_at"), "page")
+
+    def parse(rows):
+        return rows.join(pages, ["doc_key", "page_no"]).select("doc_key", "page_no", (~fails).alias("ok"), F.when(~fails, F.col("page")).alias("page"))
+
+    out, _ = P.ocr_documents(pages.select("doc_key", "page_count").distinct(), cache, parse, now, 1, wait=lambda _: None)
+    return out.select("doc_key", "status", "pages_ok", "total_elements", *_round(quality=F.col("quality")), F.sha2("markdown", 256).alias("markdown_sha256"))
+
+
 def header_similarities(spark, sf):
     n = table(spark, sf, "nation").select("n_nationkey", F.concat(F.lit("| Name | "), F.when(F.col("n_nationkey") % 2 == 0, "Qty").otherwise("n_name"), F.lit(" | name |\n|---|---|---|\n| 1 | 2 | 3 |")).alias("md"))
     return n.select("n_nationkey", P.header_line(F.col("md")).alias("head"), *_round(similarity=P.header_similarity(P.header_line(F.col("md")), F.lit("| name | qty |"))))
@@ -323,7 +338,7 @@ QUERIES = {
     for f in (
         text_quality_metrics, quality_gate, quality_score, chunk_fixed, chunk_rows_positions, chunk_paragraph_counts, token_counts, summaries, file_extensions, cache_keys, metadata_parse, first_filled,
         image_formats, html_title_lang, html_body, char_accuracy, word_accuracy, table_edit_similarity, retention, compression, qa_pairs, qa_coverage, overall_score, doc_stats, confidence_hist,
-        structure_scores, document_markdown, json_round_trip, chunkable_units, unit_boundaries, table_chunks, table_row_context, element_ids, chunk_strategy, list_and_table, table_merge,
+        structure_scores, document_markdown, json_round_trip, chunkable_units, unit_boundaries, table_chunks, table_row_context, element_ids, chunk_strategy, list_and_table, table_merge, ocr_pipeline,
         header_similarities, table_indicators, table_score, parsing_modes, dynamic_timeout, slow_mode, total_timeouts, pending_pages, page_cache_stats,
     )
 } | {f"chunk_{n}": _chunks(s) for n, s in (("recursive", "RECURSIVE_CHARACTER"), ("sentence", "SENTENCE"), ("paragraph", "PARAGRAPH"), ("token", "TOKEN"), ("cjk", "CHINESE_WORD"))}
@@ -432,6 +447,15 @@ with {_PAIR}, d as (select doc_id, {_words_sql('guess')} as wa, {_words_sql('tru
 select doc_id, original_tokens, compressed_tokens, round(original_tokens / compressed_tokens::double, 6) as ratio, round(original_tokens / compressed_tokens::double * {_RET}, 6) as effective from d""",
     "qa_pairs": f"with {_QA} select * from f",
     "qa_coverage": f"with {_QA} select conv_id, count(*) as n, count(*) filter (found) as answerable, round(sum(relevancy), 6) as relevancy from f group by 1",
+    "ocr_pipeline": f"""
+with {_LAY}, o as (select * from x where (doc_id + page_no) % 5 != 0 or (doc_id + page_no) % 10 = 0), e as (select *, {_MD} as md from o),
+p as (select doc_id, page_no, string_agg(md, chr(10) || chr(10) order by i) filter (md != '') as body from e group by all),
+h as (select *, count(body) over w as nb, count(*) over w as np from p window w as (partition by doc_id order by page_no rows between unbounded preceding and 1 preceding)),
+g as (select doc_id, string_agg(case when np > 0 then {_RULE} else '' end || case when nb > 0 and body is not null then {_GAP} else '' end || coalesce(body, ''), '' order by page_no) as m, count(*) as pages_ok from h group by 1),
+s as (select doc_id, count(*) as total, coalesce(avg(confidence), 0) as sure from o group by 1),
+n as (select doc_id, max(page_no) as page_count from x group by 1)
+select doc_id as doc_key, case when coalesce(pages_ok, 0) = page_count then 'COMPLETE' when pages_ok > 0 then 'PARTIAL' else 'FAILED' end as status, coalesce(pages_ok, 0)::int as pages_ok, coalesce(total, 0)::bigint as total_elements,
+  round(0.3 * least(1.0::double, coalesce(total, 0) / 10.0::double) + 0.7 * coalesce(sure, 0), 6) as quality, sha256(coalesce(trim(m, {WS}), '')) as markdown_sha256 from n left join g using (doc_id) left join s using (doc_id)""",
     "chunkable_units": f"""
 with {_LAY}, y as (select *, case when kind in ('title', 'heading') then i % 3 + 1 end as level from x),
 z as (select *, count(level) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding) as before, level - count(level) over (partition by doc_id order by i) as gap from y),
