@@ -203,24 +203,24 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def captures_of_pages(pages: DataFrame) -> DataFrame:
-    """Capture records of ``pages``: each page as full responses of its URL on three of sixty days, and not-modified answers on three others.
+    """Capture records of ``pages``: two full responses of each URL, one of them with a short text, and three not-modified answers.
 
-    The days of responses and answers of a URL lie among each other, so that some answers come before the first response
-    and others between two. Each response has an entity tag of its own day for ids that end in 9, else of its content. Of
+    Their days lie among each other, so that some answers come before the first response, some between the two, and some
+    after both. Each response has an entity tag of its own day for ids that end in 9, else of its content. Of
     the answers, those of ids that end in 3 have a weak entity tag, in 7 one of other content, in 5 no validator.
     """
     start = F.lit("2024-01-01 00:00:00").cast("timestamp")
     last, text, number = F.col("page_id") % 10, F.coalesce("html", F.lit("")), F.col("page_id").cast("string")
-    days = lambda step, first: F.explode(F.array(*[F.struct(F.lit(k).alias("k"), ((F.col("page_id") * step + first + 20 * k) % 60).alias("day")) for k in range(3)]))
+    days = lambda n, step, first: F.explode(F.array(*[F.struct(F.lit(k).alias("k"), ((F.col("page_id") * step + first + 20 * k) % 60).alias("day")) for k in range(n)]))
     tag = lambda more: F.concat(F.lit('"'), F.md5(F.concat(text, more).cast("binary")), F.lit('"'))
-    full = pages.select("page_id", "url", "html", days(7, 3).alias("at")).select("*", "at.k", "at.day")
+    full = pages.select("page_id", "url", "html", days(2, 7, 3).alias("at")).select("page_id", "url", F.when(F.col("at.k") == 0, F.concat(F.lit("page "), number)).otherwise(F.col("html")).alias("html"), "at.k", "at.day")
     stored = F.map_from_arrays(
         F.array(*map(F.lit, ("content-type", "content-length", "etag", "last-modified", "cache-control", "date"))),
         F.array(F.lit("text/html"), F.octet_length(text).cast("string"), tag(F.when(last == 9, F.col("day").cast("string")).otherwise("")), F.lit("Mon, 01 Jan 2024 00:00:00 GMT"), F.lit("max-age=60"), F.concat(F.lit("response "), F.col("day").cast("string"))),
     )
     shared = ["url", "day", "page_id"]
     full = full.select(F.concat(F.lit("r"), number, F.lit("."), F.col("k").cast("string")).alias("record_id"), *shared, F.lit("response").alias("record_type"), F.lit(200).alias("status"), stored.alias("headers"), F.concat(text, F.lit(" on day "), F.col("day").cast("string")).cast("binary").alias("body"))
-    again = pages.select("page_id", "url", "html", days(11, 8).alias("at")).select("*", "at.k", "at.day")
+    again = pages.select("page_id", "url", "html", days(3, 11, 8).alias("at")).select("*", "at.k", "at.day")
     plain = F.map_from_arrays(F.array(*map(F.lit, ("cache-control", "content-length", "date", "x-cache"))), F.array(F.lit("max-age=120"), F.lit("0"), F.concat(F.lit("answer "), F.col("day").cast("string")), F.lit("HIT")))
     own = F.when(last == 3, F.concat(F.lit("W/"), tag(F.lit("")))).when(last == 7, tag(F.lit("new"))).when(last == 9, tag(F.lit("23"))).otherwise(tag(F.lit("")))
     answer = F.when(last == 5, plain).otherwise(F.map_concat(plain, F.create_map(F.lit("etag"), own)))
@@ -249,9 +249,8 @@ c as (
   from u),
 p as (select page_id, html, base || case when len(parts) > 0 then '?' || array_to_string(parts, '&') else '' end as canonical_url from c),
 d as (select *, unnest([0, 1, 2]) as k from p),
-r as (
-  select 'r' || page_id || '.' || k as source_id, canonical_url, (page_id * 7 + 3 + 20 * k) % 60 as day, page_id, html,
-    '"' || md5(html || case when page_id % 10 = 9 then ((page_id * 7 + 3 + 20 * k) % 60)::varchar else '' end) || '"' as tag from d),
+b as (select page_id, canonical_url, k, case when k = 0 then 'page ' || page_id else html end as html, (page_id * 7 + 3 + 20 * k) % 60 as day from d where k < 2),
+r as (select 'r' || page_id || '.' || k as source_id, canonical_url, day, page_id, html, '"' || md5(html || case when page_id % 10 = 9 then day::varchar else '' end) || '"' as tag from b),
 v as (
   select 'v' || page_id || '.' || k as record_id, canonical_url, (page_id * 11 + 8 + 20 * k) % 60 as day, page_id,
     case page_id % 10 when 3 then 'W/"' || md5(html) || '"' when 5 then null when 7 then '"' || md5(html || 'new') || '"' when 9 then '"' || md5(html || '23') || '"' else '"' || md5(html) || '"' end as own from d),
