@@ -10,8 +10,8 @@ from lodemill.operators import parsing as P
 from lodemill.operators import planner
 from lodemill.operators import routing
 from lodemill.operators import store as S
-from lodemill.sources import json_repair
-from lodemill.sources.tables import shared, table, written
+from lodemill.sources import files, json_repair
+from lodemill.sources.tables import append, shared, table, written
 from lodemill.streaming import ingest
 
 from .routing import _BEST
@@ -74,6 +74,55 @@ class Lengths:
         return [[float(len(t)), float(t.count(" "))] for t in texts]
 
 
+class Reader:
+    """Stands in for an OCR provider: its answer is an image's length, and breaks off for those with an ``!``."""
+
+    def __init__(self, name: str, priority: int, refuses: bytes) -> None:
+        self.name, self.priority, self.refuses = name, priority, refuses
+
+    def available(self) -> bool:
+        return True
+
+    def recognize(self, image: bytes) -> str:
+        if self.refuses in image:
+            raise ValueError("not this one")
+        return '{"blocks": [' if b"!" in image else f'{{"length": {len(image)}, "prompt": "full"}}'
+
+    def recognize_simply(self, image: bytes) -> str:
+        return f'{{"length": {len(image)}, "prompt": "simple"}}'
+
+
+def ocr_providers(spark, sf):
+    """Texts as images: the provider of larger priority refuses some, the other one others."""
+    c = table(spark, sf, "documents").select("doc_id", F.col("text").cast("binary").alias("image"))
+    r = c.select("doc_id", spi.recognition(F.col("image"), [Reader("second", 1, b"the"), Reader("first", 2, b"und")]).alias("r"))
+    return r.select("doc_id", "r.provider", F.get_json_object("r.json", "$.length").cast("long").alias("length"), F.get_json_object("r.json", "$.prompt").alias("prompt"))
+
+
+def load_files(spark, sf):
+    """Regions and nations, written as text files and loaded again by their extension, as documents of one batch."""
+    root = shared(spark, "files")
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("key"), F.concat_ws(" ", "n_name", F.col("n_regionkey").cast("string"), F.lit("é")).alias("value"))
+    n.repartition(32, "key").write.partitionBy("key").text(root)
+    docs = files.as_documents(files.load(spark, root), "batch-1", F.create_map(F.lit("encoding"), F.lit("mine"), F.lit("k"), F.lit("v")))
+    whole = files.read_texts(spark, f"{root}/*").select("path", "size")
+    key = lambda c: F.regexp_extract(c, r"key=(\d+)", 1).cast("int")
+    return docs.select(key("source").alias("key"), "document_type", "status", "batch_id", F.trim(F.regexp_replace("content", "\n", "")).alias("content"), F.array_join(F.transform(F.array_sort(F.map_entries("metadata")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("metadata")).join(whole.select(key("path").alias("key"), "size"), "key")
+
+
+def append_rows(spark, sf):
+    """Vectors written in two batches to a table that is partitioned by their index, and read again."""
+    root = shared(spark, "vectors")
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    e = table(spark, sf, "embeddings").select("vec_id", F.size("embedding").alias("dimensions"), "label")
+    append(e.where("label < 5"), root, ["label"])
+    append(e.where("label >= 5"), root, ["label"])
+    return spark.read.parquet(root).select("vec_id", "dimensions", "label")
+
+
 def page_rounds(spark, sf):
     """Pages that fail at first and pass in a later round; those of odd documents never do."""
     pages = table(spark, sf, "nation").select(F.col("n_nationkey").alias("doc_key"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("page_no"))
@@ -118,12 +167,19 @@ def routing_trace(spark, sf):
     return routing.trace(r.union(f)).select("query", F.array_join(each, "; ").alias("detectors"), "latency_ms", "chosen")
 
 
-QUERIES = {f.__name__: f for f in (stream_ingest, stream_backfill, embed_texts, embed_once, page_rounds, plan_run, repaired_json, routing_trace)}
+QUERIES = {f.__name__: f for f in (stream_ingest, stream_backfill, ocr_providers, load_files, append_rows, embed_texts, embed_once, page_rounds, plan_run, repaired_json, routing_trace)}
 ORACLES = {
     "page_rounds": "select n_nationkey as doc_key, p as page_no, n_nationkey % 2 = 0 or p = 1 as ok from nation, (select unnest([1, 2, 3])::int as p)",
     "plan_run": "with c as (select (select count(*) from region) as a, (select count(*) from nation) as b, (select count(*) from part) as c) select unnest([1, 2, 3, 4]) as step, unnest([a, b, c, b + c]) as result from c",
     "repaired_json": "select event_id, event_type as k, event_id as n, 'true' as first from events",
     "embed_once": "select conv_id, turn, length(text)::bigint as length, (length(text) - length(replace(text, ' ', '')))::bigint as spaces from conversations",
+    "append_rows": "select vec_id, len(embedding)::int as dimensions, label from embeddings",
+    "load_files": """
+select n_nationkey as key, 'txt' as document_type, 'PENDING' as status, 'batch-1' as batch_id, n_name || ' ' || n_regionkey || ' é' as content, 'encoding=UTF-8,k=v' as metadata,
+  (strlen(n_name) + 6)::bigint as size from nation""",
+    "ocr_providers": """
+with p as (select doc_id, text, case when not contains(text, 'und') then 'first' when not contains(text, 'the') then 'second' end as provider from documents)
+select doc_id, provider, case when provider is not null then strlen(text) end::bigint as length, case when provider is not null then case when contains(text, '!') then 'simple' else 'full' end end as prompt from p""",
     "stream_ingest": """
 with c as (select doc_id, text, unnest(range(0, (length(text) - 1) // 400 + 1)) as i from documents where text != ''), n as (select doc_id, count(*) as n_chunks, sum(length(text[i * 400 + 1 : i * 400 + 500]))::bigint as n_chars from c group by 1)
 select d.doc_id as document_id, case when coalesce(text, '') = '' then 'FAILED' else 'INDEXED' end as status, n_chunks, n.n_chars from documents d left join n using (doc_id)""",
