@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodemill.functions.evaluation import TABLE_RULE
+from lodemill.functions.evaluation import TABLE_RULE, let
 from lodemill.functions.text import is_high_quality
 
 #: Words that head a table.
@@ -33,13 +33,16 @@ def aligned_rows(pages: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 def table_indicators(text: Column, aligned: Column) -> Column:
     """Counts of what tables leave in a text, their weighted sum, and whether the page has a table."""
-    tabs, spaces = F.regexp_count(text, F.lit(r"\t")), F.regexp_count(text, F.lit(" {3,}"))
-    numbers = F.regexp_count(text, F.lit(r"\d+\.?\d*\s{2,}\d+\.?\d*"))
     heads = F.regexp_count(text, F.lit("(?i)(" + "|".join(HEADER_WORDS) + ")"))
+    counts = F.struct(F.regexp_count(text, F.lit(r"\t")).alias("tabs"), F.regexp_count(text, F.lit(" {3,}")).alias("spaces"), F.regexp_count(text, F.lit(r"\d+\.?\d*\s{2,}\d+\.?\d*")).alias("numbers"), heads.alias("heads"))
     from_ = lambda n, least, value: F.when(n > least, value).otherwise(0)
-    total = from_(tabs, 2, tabs) + from_(spaces, 5, F.floor(spaces / 2)) + from_(numbers, 2, numbers * 2) + from_(heads, 2, heads * 3) + from_(aligned, 3, aligned * 2)
-    has = (total > 10) | ((heads >= 2) & ((spaces > 3) | (aligned > 2)))
-    return F.struct(tabs.alias("tabs"), spaces.alias("spaces"), numbers.alias("numbers"), heads.alias("heads"), total.cast("long").alias("indicators"), has.alias("has_table"))
+
+    def weighed(c: Column) -> Column:
+        total = from_(c["tabs"], 2, c["tabs"]) + from_(c["spaces"], 5, F.floor(c["spaces"] / 2)) + from_(c["numbers"], 2, c["numbers"] * 2) + from_(c["heads"], 2, c["heads"] * 3) + from_(aligned, 3, aligned * 2)
+        has = (total > 10) | ((c["heads"] >= 2) & ((c["spaces"] > 3) | (aligned > 2)))
+        return F.struct(*[c[n].alias(n) for n in ("tabs", "spaces", "numbers", "heads")], total.cast("long").alias("indicators"), has.alias("has_table"))
+
+    return let(counts, weighed)  # each pattern is looked for once
 
 
 def document_table_score(pages: DataFrame, key: str) -> DataFrame:
