@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, line_dedup, quality, simhash, sketch, suffix_dedup, toxicity, url_filter, warc
+from . import bpe, decontaminate, fill_in_middle, hard_negatives, line_dedup, pieces, quality, simhash, sketch, suffix_dedup, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_url_filters": url_filter.query,
@@ -15,5 +15,14 @@ QUERIES = {
     "op8_byte_bpe": bpe.query,
     "op9_warc_revisits": warc.query,
     "op10_line_dedup": line_dedup.query,
+    "op11_fill_in_middle": fill_in_middle.query,
+    "op12_pieces": pieces.query,
+    "op13_hard_negatives": hard_negatives.query,
+}
+ORACLES = {
+    "op1_url_filters": url_filter.ORACLE,
+    "op9_warc_revisits": warc.ORACLE,
+    "op10_line_dedup": line_dedup.ORACLE,
+    "op11_fill_in_middle": fill_in_middle.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
 }
-ORACLES = {"op1_url_filters": url_filter.ORACLE, "op9_warc_revisits": warc.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
