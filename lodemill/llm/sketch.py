@@ -27,12 +27,12 @@ from .common import identified, mix64, slices
 CELLS, TABLES, MORE, OWN = 12, 3, 4, 1.5
 #: Words after which a paragraph without sentence ends is cut, on average, by a word's hash.
 LONG = 16
-#: Bytes of a range of documents, and the documents from which the ranges are cut.
-RANGE, SAMPLE = 64 << 20, 50_000
-#: A cell: how many digests, the digests' sum and the checks' sum (by exclusive or); and the ten bytes that are written of
-#: it: the count modulo 2**16, a digest of 48 bits, a check of 16.
-CELL = np.dtype([("count", "<i4"), ("keys", "<u8"), ("checks", "<u2")])
-DIGEST, WRITTEN = np.uint64((1 << 48) - 1), [0, 1, *range(4, 10), 12, 13]
+#: Bytes of a range of documents, and the documents from which the ranges are cut: so many at least, and so many for each range.
+RANGE, SAMPLE, SAMPLE_OF_RANGE = 64 << 20, 50_000, 4
+#: A cell: how many digests, the digests' sum and the checks' sum (by exclusive or); and the fourteen bytes that are written
+#: of it: the count modulo 2**16, a digest of 64 bits, a check of 32.
+CELL = np.dtype([("count", "<i4"), ("keys", "<u8"), ("checks", "<u4")])
+WRITTEN = [0, 1, *range(4, 16)]
 #: Bytes of text that a task sketches at a time.
 SLICE = 4 << 20
 #: Ends of a paragraph: a line's end, or a sentence's.
@@ -64,7 +64,7 @@ def paragraphs(text: str) -> list[str]:
 
 
 def digests(text: str) -> np.ndarray:
-    """A digest of 48 bits of each paragraph and its number among equal ones, so that repeats count."""
+    """A digest of 64 bits of each paragraph and its number among equal ones, so that repeats count."""
     from xxhash import xxh64_intdigest
 
     x = np.array([xxh64_intdigest(p.encode()) for p in paragraphs(text)], np.uint64)
@@ -76,11 +76,11 @@ def digests(text: str) -> np.ndarray:
         number[order] = place - np.maximum.accumulate(np.where(new, place, 0))
         with np.errstate(over="ignore"):
             x = mix64(x + number * np.uint64(0x9E3779B97F4A7C15))
-    return x & DIGEST
+    return x
 
 
 def check_of(keys: np.ndarray) -> np.ndarray:
-    return (mix64(keys ^ np.uint64(0xA5A5A5A5A5A5A5A5)) >> np.uint64(48))
+    return mix64(keys ^ np.uint64(0xA5A5A5A5A5A5A5A5)) >> np.uint64(32)
 
 
 class Sketches:
@@ -117,29 +117,47 @@ class Sketches:
         return Sketches(self.cells, (self.count - other.count, self.keys ^ other.keys, self.checks ^ other.checks))
 
     def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Digests that were recovered, their documents, and for each document whether its sketch came out empty. The sums are used up."""
-        owner_of = np.repeat(np.arange(len(self.cells)), self.cells)
-        found, owners, most = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 4 * len(self.count)
+        """Digests that were recovered, their documents, and for each document whether its sketch came out empty. The sums are used up.
+
+        A cell holds one digest if its count is one of either sign, the check is the digest's, and the cell is one of the
+        digest's own: a sum of several passes for one with a chance of 3 in 2**32 times the cells of the sketch. A digest that
+        is taken out and put back later was none; one that would have to be taken out twice breaks the sketch. A document is
+        given up after four digests for each of its cells, whatever the others of the batch need.
+        """
+        n = len(self.cells)
+        owner_of = np.repeat(np.arange(n), self.cells)
+        found, owners, signs, left = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 4 * self.cells
         look = np.arange(len(self.count))
-        while len(look) and most > 0:  # a sum that passes for a digest by chance could be taken out and put back for ever
+        while len(look):
             look = look[np.abs(self.count[look]) == 1]
             look = look[check_of(self.keys[look]) == self.checks[look]]
+            look = look[left[owner_of[look]] > 0]
+            look = look[(self.places(self.keys[look], owner_of[look]) == look).any(axis=0)]
             owner, keys = owner_of[look], self.keys[look]
             order = np.lexsort((keys, owner))
             look, owner, keys = look[order], owner[order], keys[order]
             new = np.ones(len(look), bool)
             new[1:] = (owner[1:] != owner[:-1]) | (keys[1:] != keys[:-1])
             look, owner, keys = look[new], owner[new], keys[new]
+            sign = self.count[look]
             found.append(keys)
             owners.append(owner)
-            most -= len(keys)
-            self.add(keys, owner, -self.count[look])
-            look = self.places(keys, owner).ravel()
-        left = (self.count != 0) | (self.keys != 0) | (self.checks != 0)
-        return np.concatenate(found), np.concatenate(owners), np.bincount(owner_of[left], minlength=len(self.cells)) == 0
+            signs.append(sign)
+            left = left - np.bincount(owner, minlength=n)
+            self.add(keys, owner, -sign)
+            look = np.unique(self.places(keys, owner))
+        keys, owner, sign = np.concatenate(found), np.concatenate(owners), np.concatenate(signs)
+        order = np.lexsort((keys, owner))
+        keys, owner, sign = keys[order], owner[order], sign[order]
+        first = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (keys[1:] != keys[:-1])][: len(keys)])
+        times = np.add.reduceat(sign, first) if len(first) else sign
+        keys, owner = keys[first], owner[first]
+        whole = np.bincount(owner_of[(self.count != 0) | (self.keys != 0) | (self.checks != 0)], minlength=n) == 0
+        whole[owner[np.abs(times) > 1]] = False
+        return keys[times != 0], owner[times != 0], whole
 
     def written(self) -> np.ndarray:
-        """The ten bytes of each cell."""
+        """The fourteen bytes of each cell."""
         cells = np.zeros(len(self.count), CELL)
         cells["count"], cells["keys"], cells["checks"] = self.count, self.keys, self.checks
         return np.ascontiguousarray(cells.view(np.uint8).reshape(-1, CELL.itemsize)[:, WRITTEN])
@@ -167,7 +185,7 @@ class Fingerprints:
         keys = np.concatenate([*documents, np.zeros(0, np.uint64)])
         owner = np.repeat(np.arange(len(documents)), sizes)
         levels, cells = [], CELLS
-        while (has := sizes > cells).any():
+        while (has := sizes * OWN > cells).any():
             place = np.where(has, np.cumsum(has) - 1, -1)
             mine = has[owner]
             levels.append((Sketches(np.full(int(has.sum()), cells, np.int64)).add(keys[mine], place[owner[mine]], 1), place))
@@ -245,14 +263,15 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``part``, ``id``, ``key``, ``text``, ``own``: documents dealt by ranges in the order of their keys; every range also has
     the first document of the next (the last range that of the first), with ``own`` false.
 
-    Ranges are of nearly equal bytes, cut by a bounded sample. Their bounds, 16 bytes for each ``RANGE`` bytes of text, and
-    their first documents' numbers are what reaches the driver and goes out to the tasks.
+    Ranges are of nearly equal bytes, cut by a sample of four documents for each ``RANGE`` bytes of text or 50 000. The
+    sample, 16 bytes for each of its documents, is what reaches the driver; the ranges' bounds and first documents go out to
+    the tasks.
     """
     spark = docs.sparkSession
     table = identified(docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")), "key", "text", "id")
     count, n_bytes = table.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (n_bytes or 0) // RANGE, 1)
-    sampled = table.where(F.pmod(F.xxhash64("id"), F.lit(max(1, count // SAMPLE))) == 0).groupBy("id").agg(F.sum(F.octet_length("text") + 64).alias("size")).orderBy("id").toArrow()
+    sampled = table.where(F.pmod(F.xxhash64("id"), F.lit(max(1, count // max(SAMPLE, SAMPLE_OF_RANGE * n)))) == 0).groupBy("id").agg(F.sum(F.octet_length("text") + 64).alias("size")).orderBy("id").toArrow()
     ids, size = sampled.column("id").to_numpy(), np.cumsum(sampled.column("size").to_numpy())
     bounds = np.unique(ids[np.searchsorted(size, size[-1] * np.arange(1, n) / n)]) if len(ids) else np.zeros(0, np.int64)
 

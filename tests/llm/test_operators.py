@@ -364,6 +364,37 @@ def test_few_changes_are_found_in_a_small_sketch():
     assert sketch.Fingerprints.read(a.written()).written() == a.written()
 
 
+def test_small_differences_as_by_exact_counts():
+    """Random differences of 1 to 9 digests in sketches of 12 cells: whatever comes out whole is exact."""
+    rng, n = np.random.default_rng(79), 400_000
+    sizes = rng.integers(1, 10, n)
+    owner = np.repeat(np.arange(n), sizes)
+    keys, sign = rng.integers(0, 1 << 64, len(owner), dtype=np.uint64), rng.choice([-1, 1], len(owner))
+    got, of, whole = sketch.Sketches(np.full(n, 12)).add(keys, owner, sign).peel()
+    assert (np.bincount(of, minlength=n)[whole] == sizes[whole]).all() and whole[sizes < 3].mean() > 0.8
+    wanted = {(k, o) for k, o in zip(keys.tolist(), owner.tolist(), strict=True)}
+    assert all((k, o) in wanted for k, o, w in zip(got.tolist(), of.tolist(), whole[of].tolist(), strict=True) if w)
+
+
+def test_a_document_is_peeled_alike_whatever_stands_beside_it():
+    rng = np.random.default_rng(83)
+    documents = [rng.integers(0, 1 << 64, k, dtype=np.uint64) for k in (2, 7, 5, 900, 3)]
+    build = lambda some: sketch.Sketches(np.full(len(some), 12)).add(np.concatenate(some), np.repeat(np.arange(len(some)), [len(x) for x in some]), 1)
+    keys, owner, whole = build(documents).peel()
+    for i, d in enumerate(documents):
+        alone = build([d]).peel()
+        assert sorted(keys[owner == i].tolist()) == sorted(alone[0].tolist()) and whole[i] == alone[2][0]
+
+
+def test_a_digest_that_is_taken_out_and_put_back_is_none(monkeypatch):
+    """With checks that always fit, false digests come up; they may leave a sketch unpeeled, and may not be counted."""
+    monkeypatch.setattr(sketch, "check_of", lambda keys: np.zeros(len(keys), np.uint64))
+    rng, n = np.random.default_rng(89), 20_000
+    owner = np.repeat(np.arange(n), 5)
+    got, of, whole = sketch.Sketches(np.full(n, 12)).add(rng.integers(0, 1 << 64, 5 * n, dtype=np.uint64), owner, rng.choice([-1, 1], 5 * n)).peel()
+    assert len(np.unique(np.stack([of.astype(np.uint64), got], axis=1), axis=0)) == len(got) and whole.any() and not whole.all()
+
+
 def test_ranges_pass_their_first_document_on(spark):
     rows = [(None if k % 3 == 0 else "hot" if k % 3 == 1 else f"k{k:03d}", f"{k:04d}" * 4) for k in range(300)]
     docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(7)
