@@ -2,8 +2,8 @@
 
 The as-of join is a window over narrow rows, dealt by URL and by slice of time, so that one URL with a third of all
 captures is spread over the slices; the last full response of each slice is then carried forward over the few slices of
-a URL. Only then bodies come in: a Bloom filter of the responses that were found keeps the others from being shuffled, and
-what passes is joined once, by the record.
+a URL. Validators are compared there too. Only then bodies come in: a Bloom filter of the responses that resolved answers
+stand for keeps the others from being shuffled, and what passes is joined once, by the record.
 """
 
 from __future__ import annotations
@@ -56,14 +56,19 @@ def resolve_revisits(records: DataFrame, slices: int = SLICES) -> DataFrame:
     with the smaller hash of headers and body is taken. Columns beside these are ignored. Empty tables give empty results.
     """
     url = canonical_url(F.col("url")).alias("canonical_url")
-    headers = F.coalesce("headers", F.create_map().cast("map<string,string>"))
-    known = records.select("record_id", url, "warc_date", (F.col("record_type") == "revisit").alias("revisit"), ((F.col("record_type") == "response") & (F.col("status") == 200)).alias("full"), F.array_sort(F.map_entries(headers)).alias("entries"))
-    narrow = known.where("revisit or full").select("record_id", "canonical_url", "warc_date", "full", F.when(F.col("revisit"), F.col("entries")).alias("entries")).distinct()
+    entries = F.array_sort(F.map_entries(F.coalesce("headers", F.create_map().cast("map<string,string>"))))
+    mark = F.xxhash64(F.to_json(entries), "body")
+    full = (F.col("record_type") == "response") & (F.col("status") == 200)
+    columns = ["record_id", "canonical_url", "warc_date"]
+    answers = records.where("record_type = 'revisit'").select("record_id", url, "warc_date", entries.alias("entries")).distinct()
+    responses = records.where(full).select("record_id", url, "warc_date", F.struct(mark.alias("mark"), entries.alias("entries")).alias("first"))
+    responses = responses.groupBy(*columns).agg(F.min("first").alias("first"), F.count("*").alias("copies")).select(*columns, "first.*", "copies")
+    narrow = responses.withColumn("full", F.lit(True)).unionByName(answers.withColumn("full", F.lit(False)), allowMissingColumns=True)
     narrow = materialize(narrow, "captures")
-    able = narrow.where("canonical_url is not null and warc_date is not null and record_id is not null")
+    able = narrow.where("canonical_url is not null and warc_date is not null and record_id is not null").drop("mark", "copies")
     bounds = able.agg(F.percentile_approx(F.unix_micros("warc_date"), [k / slices for k in range(1, slices)], 1000)).first()[0] or []
     edges = F.array(*[F.lit(b) for b in sorted(set(bounds))]).cast("array<bigint>")
-    able = able.withColumn("slice", F.size(F.filter(edges, lambda b: b <= F.unix_micros("warc_date"))))
+    able = able.withColumn("slice", F.size(F.filter(edges, lambda b: b <= F.unix_micros("warc_date")))).withColumn("entries", F.when(~F.col("full"), F.col("entries")))
     place = F.struct(F.col("warc_date").alias("date"), F.col("record_id").alias("id"))
     source = F.when(F.col("full"), place)
     inside = Window.partitionBy("canonical_url", "slice").orderBy("warc_date", "record_id").rowsBetween(Window.unboundedPreceding, -1)
@@ -72,27 +77,46 @@ def resolve_revisits(records: DataFrame, slices: int = SLICES) -> DataFrame:
     ends = ends.unionByName(found.select("canonical_url", "slice").distinct().withColumn("end", F.lit(None).cast(ends.schema["end"].dataType))).groupBy("canonical_url", "slice").agg(F.max("end").alias("end"))
     before = Window.partitionBy("canonical_url").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select("canonical_url", "slice", F.last("end", ignorenulls=True).over(before).alias("far"))
-    found = found.join(carried, ["canonical_url", "slice"], "left").select("record_id", "canonical_url", "warc_date", "entries", F.coalesce("near", "far").alias("source"))
-    lost = narrow.where("not full and (canonical_url is null or warc_date is null or record_id is null)").select("record_id", "canonical_url", "warc_date", "entries", F.lit(None).cast(found.schema["source"].dataType).alias("source"))
-    found = found.unionByName(lost).select("record_id", "canonical_url", "warc_date", F.map_from_entries("entries").alias("own"), F.col("source.id").alias("source_id"), F.col("source.date").alias("source_date"))
-    found = materialize(found, "found")
-    full = records.where("record_type = 'response' and status = 200").select(F.col("record_id").alias("source_id"), url.alias("_url"), F.col("warc_date").alias("source_date"), headers.alias("stored"), "body")
-    chosen = found.where("source_id is not null").select(F.to_json(F.struct("source_id", F.unix_micros("source_date").alias("at"))).alias("key")).distinct()
-    if (n := chosen.count()) > 0:
-        wanted = build_level(chosen, n, 900, 12, 4, MAX_BITS, clip=True)
-        full = full.where(wanted.has(F.to_json(F.struct("source_id", F.unix_micros("source_date").alias("at")))))
-    else:
-        full = full.limit(0)
-    full = full.groupBy("source_id", "_url", "source_date").agg(F.min_by(F.struct("stored", "body"), F.xxhash64(F.to_json("stored"), "body")).alias("kept"))
-    on = (F.col("f.source_id") == F.col("s.source_id")) & (F.col("f.canonical_url") == F.col("s._url")) & (F.col("f.source_date") == F.col("s.source_date"))
-    joined = found.alias("f").join(full.alias("s"), on, "left").select("f.*", F.col("s.kept.stored").alias("stored"), F.col("s.kept.body").alias("body"))
-    same = [_validator(F.col("own"), v) == _validator(F.col("stored"), v) for v in ("etag", "last-modified")]
+    found = found.join(carried, ["canonical_url", "slice"], "left").select(*columns, "entries", F.coalesce("near", "far").alias("source"))
+    lost = narrow.where("not full and (canonical_url is null or warc_date is null or record_id is null)").select(*columns, "entries", F.lit(None).cast(found.schema["source"].dataType).alias("source"))
+    found = found.unionByName(lost).select(*columns, "entries", F.col("source.id").alias("source_id"), F.col("source.date").alias("source_date"))
+    known = narrow.where("full").select(F.col("record_id").alias("_id"), F.col("canonical_url").alias("_url"), F.col("warc_date").alias("_date"), F.col("entries").alias("stored"), "mark", "copies")
+    on = (F.col("source_id") == F.col("_id")) & (F.col("canonical_url") == F.col("_url")) & (F.col("source_date") == F.col("_date"))
+    told = found.join(known, on, "left").select(*columns, "source_id", "source_date", F.map_from_entries("entries").alias("own"), F.map_from_entries("stored").alias("stored"), "mark", "copies")
+    told = materialize(told.withColumn("outcome", _outcome(F.col("own"), F.col("stored"), F.col("source_id"))), "found")
+    return _with_bodies(told, records.where(full).select(F.col("record_id").alias("_id"), url.alias("_url"), F.col("warc_date").alias("_date"), mark.alias("_mark"), "body"))
+
+
+def _outcome(own: Column, stored: Column, source: Column) -> Column:
+    same = [_validator(own, v) == _validator(stored, v) for v in ("etag", "last-modified")]
     agree = F.coalesce(same[0], F.lit(True)) & F.coalesce(same[1], F.lit(True))
-    outcome = F.when(F.col("source_id").isNull(), "unmatched").when(~agree, "mismatch").when(F.coalesce(*same).isNull(), "unverified").otherwise("resolved")
+    return F.when(source.isNull(), "unmatched").when(~agree, "mismatch").when(F.coalesce(*same).isNull(), "unverified").otherwise("resolved")
+
+
+def _with_bodies(told: DataFrame, bodies: DataFrame) -> DataFrame:
+    """``told`` with merged headers, and the bodies of responses that a resolved answer stands for: only these are shuffled, each once.
+
+    A Bloom filter holds the marks of the responses that are asked for; what passes meets the narrow rows in a hash join that
+    is built on these, so that bodies are neither sorted nor grouped.
+    """
+    out = ["record_id", "canonical_url", "warc_date", "source_id", "source_date", "outcome"]
     fresh = F.map_filter("own", lambda k, v: k.isin(*PERMITTED))
     merged = F.map_concat(F.map_filter("stored", lambda k, v: ~F.map_contains_key(fresh, k)), fresh)
-    ok = F.col("outcome") == "resolved"
-    return joined.withColumn("outcome", outcome).select("record_id", "canonical_url", "warc_date", "source_id", "source_date", "outcome", F.when(ok, merged).alias("merged_headers"), F.when(ok, F.col("body")).alias("body"))
+    resolved = told.where("outcome = 'resolved'").withColumn("merged_headers", merged)
+    without = told.where("outcome != 'resolved'").select(*out, F.lit(None).cast("map<string,string>").alias("merged_headers"), F.lit(None).cast("binary").alias("body"))
+    key = lambda mark, at: F.to_json(F.struct(F.col(mark).alias("mark"), F.unix_micros(at).alias("at")))
+    chosen = resolved.select(key("mark", "source_date").alias("key")).distinct()
+    n, most = chosen.count(), resolved.agg(F.max("copies")).first()[0]
+    if not n:
+        return without
+    wanted = bodies.where(build_level(chosen, n, 900, 12, 4, MAX_BITS, clip=True).has(key("_mark", "_date")))
+    on = (F.col("source_id") == F.col("_id")) & (F.col("canonical_url") == F.col("_url")) & (F.col("source_date") == F.col("_date")) & (F.col("mark") == F.col("_mark"))
+    joined = wanted.join(resolved.hint("shuffle_hash"), on)
+    once = joined.where("copies = 1").select(*out, "merged_headers", "body")
+    if most > 1:  # responses that stand there several times
+        several = joined.where("copies > 1").groupBy(*out).agg(F.first("merged_headers").alias("merged_headers"), F.first("body").alias("body"))
+        once = once.unionByName(several)
+    return once.unionByName(without)
 
 
 #: Bytes that are unpacked at a time.
@@ -203,24 +227,24 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def captures_of_pages(pages: DataFrame) -> DataFrame:
-    """Capture records of ``pages``: two full responses of each URL, one of them with a short text, and three not-modified answers.
+    """Capture records of ``pages``: each page as full responses of its URL on three of sixty days, and not-modified answers on three others.
 
-    Their days lie among each other, so that some answers come before the first response, some between the two, and some
-    after both. Each response has an entity tag of its own day for ids that end in 9, else of its content. Of
+    The days of responses and answers of a URL lie among each other, so that some answers come before the first response
+    and others between two. Each response has an entity tag of its own day for ids that end in 9, else of its content. Of
     the answers, those of ids that end in 3 have a weak entity tag, in 7 one of other content, in 5 no validator.
     """
     start = F.lit("2024-01-01 00:00:00").cast("timestamp")
     last, text, number = F.col("page_id") % 10, F.coalesce("html", F.lit("")), F.col("page_id").cast("string")
-    days = lambda n, step, first: F.explode(F.array(*[F.struct(F.lit(k).alias("k"), ((F.col("page_id") * step + first + 20 * k) % 60).alias("day")) for k in range(n)]))
+    days = lambda step, first: F.explode(F.array(*[F.struct(F.lit(k).alias("k"), ((F.col("page_id") * step + first + 20 * k) % 60).alias("day")) for k in range(3)]))
     tag = lambda more: F.concat(F.lit('"'), F.md5(F.concat(text, more).cast("binary")), F.lit('"'))
-    full = pages.select("page_id", "url", "html", days(2, 7, 3).alias("at")).select("page_id", "url", F.when(F.col("at.k") == 0, F.concat(F.lit("page "), number)).otherwise(F.col("html")).alias("html"), "at.k", "at.day")
+    full = pages.select("page_id", "url", "html", days(7, 3).alias("at")).select("*", "at.k", "at.day")
     stored = F.map_from_arrays(
         F.array(*map(F.lit, ("content-type", "content-length", "etag", "last-modified", "cache-control", "date"))),
         F.array(F.lit("text/html"), F.octet_length(text).cast("string"), tag(F.when(last == 9, F.col("day").cast("string")).otherwise("")), F.lit("Mon, 01 Jan 2024 00:00:00 GMT"), F.lit("max-age=60"), F.concat(F.lit("response "), F.col("day").cast("string"))),
     )
     shared = ["url", "day", "page_id"]
     full = full.select(F.concat(F.lit("r"), number, F.lit("."), F.col("k").cast("string")).alias("record_id"), *shared, F.lit("response").alias("record_type"), F.lit(200).alias("status"), stored.alias("headers"), F.concat(text, F.lit(" on day "), F.col("day").cast("string")).cast("binary").alias("body"))
-    again = pages.select("page_id", "url", "html", days(3, 11, 8).alias("at")).select("*", "at.k", "at.day")
+    again = pages.select("page_id", "url", "html", days(11, 8).alias("at")).select("*", "at.k", "at.day")
     plain = F.map_from_arrays(F.array(*map(F.lit, ("cache-control", "content-length", "date", "x-cache"))), F.array(F.lit("max-age=120"), F.lit("0"), F.concat(F.lit("answer "), F.col("day").cast("string")), F.lit("HIT")))
     own = F.when(last == 3, F.concat(F.lit("W/"), tag(F.lit("")))).when(last == 7, tag(F.lit("new"))).when(last == 9, tag(F.lit("23"))).otherwise(tag(F.lit("")))
     answer = F.when(last == 5, plain).otherwise(F.map_concat(plain, F.create_map(F.lit("etag"), own)))
@@ -249,8 +273,9 @@ c as (
   from u),
 p as (select page_id, html, base || case when len(parts) > 0 then '?' || array_to_string(parts, '&') else '' end as canonical_url from c),
 d as (select *, unnest([0, 1, 2]) as k from p),
-b as (select page_id, canonical_url, k, case when k = 0 then 'page ' || page_id else html end as html, (page_id * 7 + 3 + 20 * k) % 60 as day from d where k < 2),
-r as (select 'r' || page_id || '.' || k as source_id, canonical_url, day, page_id, html, '"' || md5(html || case when page_id % 10 = 9 then day::varchar else '' end) || '"' as tag from b),
+r as (
+  select 'r' || page_id || '.' || k as source_id, canonical_url, (page_id * 7 + 3 + 20 * k) % 60 as day, page_id, html,
+    '"' || md5(html || case when page_id % 10 = 9 then ((page_id * 7 + 3 + 20 * k) % 60)::varchar else '' end) || '"' as tag from d),
 v as (
   select 'v' || page_id || '.' || k as record_id, canonical_url, (page_id * 11 + 8 + 20 * k) % 60 as day, page_id,
     case page_id % 10 when 3 then 'W/"' || md5(html) || '"' when 5 then null when 7 then '"' || md5(html || 'new') || '"' when 9 then '"' || md5(html || '23') || '"' else '"' || md5(html) || '"' end as own from d),
