@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import SLICE, Known, _broadcast, _by_ids, list_offsets
+from .bpe import Known, _broadcast, _by_ids, list_offsets
 from .common import slices
 
 #: The sign for a space, what an unknown id decodes to, and a code point that no text holds.
@@ -30,7 +30,9 @@ SPACE, UNKNOWN, APART = "▁", " ⁇ ", "\ud800"
 PIECES, TRAINER, NORMALIZER, MERGES = 1, 2, 3, 2
 NORMAL, UNK, CONTROL, BYTE = 1, 2, 3, 6
 #: Characters whose strings are encoded together; strings and answers about pairs of pieces that a worker keeps from task to task.
-TOGETHER, KEPT_STRINGS, KEPT_PAIRS = 1 << 18, 500_000, 1_000_000
+TOGETHER, KEPT_STRINGS, KEPT_PAIRS = 1 << 18, 250_000, 500_000
+#: Bytes of text that are cut at a time.
+SLICE = 1 << 20
 
 
 def fields(content: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -57,7 +59,7 @@ def fields(content: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 
 class Pieces:
-    """The vocabulary of a model: merges of characters, with bytes for characters that have no piece."""
+    """The pieces of a model: their names and kinds, all that decoding needs."""
 
     def __init__(self, content: bytes) -> None:
         messages = list(fields(content))
@@ -68,18 +70,25 @@ class Pieces:
         if normalizer.get(2) or normalizer.get(4, 1) or not normalizer.get(5, 1):
             raise ValueError("the model must not change texts but for the signs of spaces")
         self.dummy_prefix = bool(normalizer.get(3, 1))
-        self.names, self.kinds, scores = [], [], []
+        self.names, self.kinds, self.scores = [], [], []
         for message in (dict(fields(v)) for k, v in messages if k == PIECES):
             self.names.append(message[1].decode())
-            scores.append(float(np.frombuffer(message.get(2, bytes(4)), np.float32)[0]))
+            self.scores.append(float(np.frombuffer(message.get(2, bytes(4)), np.float32)[0]))
             self.kinds.append(message.get(3, NORMAL))
         if set(self.kinds) - {NORMAL, UNK, CONTROL, BYTE}:
             raise ValueError("the model has pieces of its user, or unused ones")
         self.bytes = [i for i, kind in enumerate(self.kinds) if kind == BYTE]
         self.end = self.names.index("</s>")
+
+
+class Merges(Pieces):
+    """Encoding by the pieces of a model: merges of characters, with bytes for characters that have no piece."""
+
+    def __init__(self, content: bytes) -> None:
+        super().__init__(content)
         #: The order of merges: a piece's score, best first, as a whole number that ties share.
-        place = {s: k for k, s in enumerate(sorted(set(scores), reverse=True))}
-        self.order = {name: place[s] for name, s, kind in zip(self.names, scores, self.kinds, strict=True) if kind == NORMAL}
+        place = {s: k for k, s in enumerate(sorted(set(self.scores), reverse=True))}
+        self.order = {name: place[s] for name, s, kind in zip(self.names, self.scores, self.kinds, strict=True) if kind == NORMAL}
         self.ids = {name: i for i, (name, kind) in enumerate(zip(self.names, self.kinds, strict=True)) if kind == NORMAL}
         self._letters()
         self._reachable()
@@ -219,20 +228,21 @@ class Pieces:
 class KnownStrings(Known):
     """Strings between cuts that a worker has met. If a task is broken off between two lines, what it left half done is done again or thrown away with the worker."""
 
-    def take(self, pieces: Pieces) -> None:
+    def take(self, pieces: Merges) -> None:
         ids, offsets = pieces.encode(self.fresh)
         self.ids, self.starts = np.concatenate([self.ids, ids]), np.concatenate([self.starts, self.starts[-1] + offsets[1:]])
         self.fresh = []
 
 
-_models: dict[int, Pieces] = {}
+_models: dict[tuple[str, int], Pieces] = {}
 
 
-def _model(content: bytes) -> Pieces:
-    key = hash(content)
+def _model(content: bytes, kind: type[Pieces]) -> Pieces:
+    """A model, read once by each worker."""
+    key = kind.__name__, hash(content)
     if key not in _models:
         _models.clear()
-        _models[key] = Pieces(content)
+        _models[key] = kind(content)
     return _models[key]
 
 
@@ -240,8 +250,8 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", en
     """Add ``ids``, the piece ids of ``text`` as array<int>, to every row, with the end id last if ``end``; an input column of that name is replaced.
 
     ``model`` is a file that the driver can open: of merge type, with byte pieces and no normalisation but for spaces; other
-    models raise. A null or empty text has the end id alone. A text of any length is encoded whole; a task holds 3 MB of
-    texts or one longer text at a time, and 500 000 different strings. Repeated rows are kept and encoded alike.
+    models raise. A null or empty text has the end id alone. A text of any length is encoded whole; a task holds 1 MB of
+    texts or one longer text at a time, and 250 000 different strings. Repeated rows are kept and encoded alike.
     """
     content = _broadcast(docs.sparkSession, model)
     others = [c for c in docs.columns if c != ids]
@@ -249,7 +259,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", en
     at = others.index(text)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _model(content.value)
+        pieces = _model(content.value, Merges)
         for whole in rows:
             for batch in slices(whole, text, SLICE):
                 if len(pieces.known) > KEPT_STRINGS:
@@ -279,7 +289,7 @@ def decode(docs: DataFrame, model: str, ids: str = "ids", out: str = "decoded")
     at = others.index(ids)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        surface = Surface(_model(content.value))
+        surface = Surface(_model(content.value, Pieces))
         for whole in rows:
             for batch in _by_ids(whole, at):
                 yield pa.RecordBatch.from_arrays([*batch.columns, surface.texts(batch.column(at))], [*others, out])

@@ -26,7 +26,7 @@ def library():
 @pytest.fixture(scope="module")
 def own():
     with open(MODEL, "rb") as f:
-        return pieces.Pieces(f.read())
+        return pieces.Merges(f.read())
 
 
 def encoded(own, texts: list[str]) -> list[list[int]]:
@@ -98,14 +98,14 @@ def test_other_models_are_refused(own):
     trainer, plain = (2, message((3, 2)) + bytes([35 << 3 & 127 | 128, 2, 1])), (3, message((3, 1), (4, 0)))
     base = [piece("<unk>", 0, 2), piece("</s>", 0, 3), *[piece(f"<0x{b:02X}>", 0, 6) for b in range(256)]]
     wrap = lambda *parts: b"".join(bytes([n << 3 | 2, len(v)]) + v for n, v in parts)
-    small = pieces.Pieces(wrap(*base, piece("▁a", -1, 1), piece("ab", -2, 1), piece("▁ab", -3, 1), piece("▁", -4, 1), piece("a", -5, 1), trainer, plain))
+    small = pieces.Merges(wrap(*base, piece("▁a", -1, 1), piece("ab", -2, 1), piece("▁ab", -3, 1), piece("▁", -4, 1), piece("a", -5, 1), trainer, plain))
     assert [[small.names[i] for i in x] for x in encoded(small, ["ab", "aab", "b"])] == [["▁ab"], ["▁a", "ab"], ["▁", "<0x62>"]]  # b is no piece, but merges
     for bad in ([piece("x", 0, 4)], [piece("x", 0, 5)], [piece("abc", -1, 1), piece("ab", -2, 1), piece("a", -3, 1), piece("b", -4, 1), piece("c", -5, 1)]):
         with pytest.raises(ValueError):
-            pieces.Pieces(wrap(*base, *bad, trainer, plain))
+            pieces.Merges(wrap(*base, *bad, trainer, plain))
     for heads in ([(2, message((3, 1))), plain], [(2, message((3, 2))), plain], [trainer, (3, message((4, 1)))]):
         with pytest.raises(ValueError):
-            pieces.Pieces(wrap(*base, *heads))
+            pieces.Merges(wrap(*base, *heads))
 
 
 def test_rows(spark, sf, library):
