@@ -6,9 +6,9 @@ import re
 import time
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodemill.functions.evaluation import TABLE_RULE, let
 from lodemill.functions.text import is_high_quality
@@ -170,90 +170,70 @@ def _first_table(layout: Column, height: Column, bottom: bool, ratio: float) ->
     return F.array_min(F.array_compact(marks))
 
 
-def merged_markdown(first: str, second: str) -> str:
-    """Two Markdown tables as one: of the second, the header and the rule go, and blank lines."""
-    out, head, rule = first.split("\n"), False, False
-    for line in second.split("\n"):
-        bare = line.strip()
-        is_rule = re.fullmatch(TABLE_RULE[1:-1], bare) is not None
-        if not head and bare.startswith("|") and not is_rule:
-            head = True
-        elif not rule and is_rule:
-            rule = True
-        elif bare:
-            out.append(line)
-    return "\n".join(out).strip()
+def merged_markdown(first: Column, second: Column) -> Column:
+    """Two Markdown tables as one: of the second, the first row and the first rule go, and blank lines."""
+    bare = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    rule, row = lambda x: bare(x).rlike(TABLE_RULE), lambda x: bare(x).startswith("|") & ~bare(x).rlike(TABLE_RULE)
+    place = lambda lines, of: F.array_min(F.array_compact(F.transform(lines, lambda x, i: F.when(of(x), i))))
+    lines = F.split(F.coalesce(second, F.lit("")), "\n", -1)
+    head, line = F.coalesce(place(lines, row), F.lit(-1)), F.coalesce(place(lines, rule), F.lit(-1))
+    kept = F.filter(lines, lambda x, i: (i != head) & (i != line) & (bare(x) != ""))
+    return bare(F.array_join(F.concat(F.array(F.coalesce(first, F.lit(""))), kept), "\n"))
 
 
-def merge_tables_across_pages(docs: DataFrame, key: str, pages: str = "pages", similarity: float = 0.7, bottom: float = 0.85, top: float = 0.15) -> DataFrame:
-    """``key``, ``pages`` with a table at a page's bottom and its continuation at the next page's top as one table.
+def merged_pages(pages: Column, page: T.StructType, similarity: float = 0.7, bottom: float = 0.85, top: float = 0.15) -> Column:
+    """``pages`` with a table at a page's bottom and its continuation at the next page's top as one table; none for null.
 
-    The heads of the two have to be alike. The page takes in the next one, which is not looked at again: a table over
-    three pages is merged for its first two. The pages of a document are one row, so nothing is shuffled.
+    The heads of the two have to be alike. The page takes in the next one, which is not looked at again, so that in a run of
+    pages that could each take in the next it is the first, third, fifth ... that do. All of it is said of one value, so
+    rows may repeat or have no key, and nothing is shuffled. ``page`` is the type of a page.
     """
-    from pyspark.sql import types as T
-
-    field = docs.schema[pages].dataType
-    arr = docs.select(key, pages).withColumn("_next", F.transform(F.col(pages), lambda p, i: F.get(F.col(pages), i + 1)))
     height = lambda p: F.coalesce(F.when(F.size(p["image_size"]) > 1, F.get(p["image_size"], F.lit(1))), F.lit(1000))
 
-    def candidate(p: Column, q: Column) -> Column:
-        a, b = _first_table(p["layout"], height(p), True, bottom), _first_table(q["layout"], height(p), False, top)
-        x, y = F.get(p["layout"], a - 1), F.get(q["layout"], b - 1)
-        alike = header_similarity(header_line(x["md_text"]), header_line(y["md_text"]))
-        return F.when(F.coalesce((alike >= similarity) & header_line(x["md_text"]).isNotNull() & header_line(y["md_text"]).isNotNull(), F.lit(False)), F.struct(a.alias("a"), b.alias("b")))
-
-    found = arr.withColumn("_pair", F.transform(F.arrays_zip(F.col(pages).alias("p"), F.col("_next").alias("q")), lambda z: candidate(z["p"], z["q"])))
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def starts(pairs: pd.Series) -> pd.Series:
-        """Which pages begin a merge, as a walk from the first page on."""
-
-        def one(has) -> list[int]:
-            out, skip = [], False
-            for k in range(0 if has is None else len(has)):
-                skip = not skip and bool(has[k])
-                out.append(int(skip))
-            return out
-
-        return pairs.map(one)
-
-    @F.pandas_udf(T.StringType())
-    def joined(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([merged_markdown(x or "", y or "") for x, y in zip(a, b, strict=True)])
-
-    marked = found.withColumn("_start", starts(F.transform("_pair", lambda c: c.isNotNull().cast("int"))))
-    rows = marked.select(key, F.posexplode(F.arrays_zip(F.col(pages).alias("p"), F.col("_next").alias("q"), F.col("_pair").alias("c"), F.col("_start").alias("s"))).alias("_i", "z"))
-    before = F.lag("z.s").over(Window.partitionBy(key).orderBy("_i"))
-    rows = rows.withColumn("_taken", F.coalesce(before == 1, F.lit(False))).where("not _taken")
-    p, q, c = F.col("z.p"), F.col("z.q"), F.col("z.c")
-    x, y = F.get(p["layout"], c["a"] - 1), F.get(q["layout"], c["b"] - 1)
-    rows = rows.withColumn("_md", joined(x["md_text"], y["md_text"]))
-    nothing = F.coalesce
-    table = F.struct(
-        *[
-            {
-                "type": F.lit("table"),
-                "bbox": x["bbox"],
-                "text": F.concat(nothing(x["text"], F.lit("")), F.lit("\n"), nothing(y["text"], F.lit(""))),
-                "md_text": F.col("_md"),
-                "confidence": F.greatest(nothing(x["confidence"], F.lit(0.0)), nothing(y["confidence"], F.lit(0.0))),
-            }.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name)
-            for f in field.elementType["layout"].dataType.elementType.fields
-        ]
-    )
-    left = F.transform(p["layout"], lambda e, i: F.when(i == c["a"] - 1, table).otherwise(e))
-    right = F.filter(q["layout"], lambda e, i: i != c["b"] - 1)
-    page = F.when(F.col("z.s") == 1, p.withField("layout", F.concat(left, right))).otherwise(p)
-    out = rows.groupBy(key).agg(in_order("_i", page).alias("_pages"))
-    whole = docs.select(key).join(out, key, "left")
-    return whole.select(key, F.coalesce("_pages", F.array().cast(field)).alias(pages))
+    def pair(p: Column, q: Column) -> Column:
+        """The places of the two tables, if they are one."""
+        a, b = _first_table(p["layout"], height(p), True, bottom), _first_table(q["layout"], height(q), False, top)
+        x, y = header_line(F.get(p["layout"], a - 1)["md_text"]), header_line(F.get(q["layout"], b - 1)["md_text"])
+        alike = (header_similarity(x, y) >= similarity) & x.isNotNull() & y.isNotNull()
+        return F.when(F.coalesce(alike, F.lit(False)), F.struct(a.alias("a"), b.alias("b")))
+
+    def whole(p: Column, q: Column, places: Column) -> Column:
+        x, y = F.get(p["layout"], places["a"] - 1), F.get(q["layout"], places["b"] - 1)
+        said = {
+            "type": F.lit("table"),
+            "bbox": x["bbox"],
+            "text": F.concat(F.coalesce(x["text"], F.lit("")), F.lit("\n"), F.coalesce(y["text"], F.lit(""))),
+            "md_text": merged_markdown(x["md_text"], y["md_text"]),
+            "confidence": F.greatest(F.coalesce(x["confidence"], F.lit(0.0)), F.coalesce(y["confidence"], F.lit(0.0))),
+        }
+        table = F.struct(*[said.get(f.name, F.lit(None).cast(f.dataType)).cast(f.dataType).alias(f.name) for f in page["layout"].dataType.elementType.fields])
+        rest = F.filter(q["layout"], lambda e, i: i != places["b"] - 1)
+        return p.withField("layout", F.concat(F.transform(p["layout"], lambda e, i: F.when(i == places["a"] - 1, table).otherwise(e)), rest))
+
+    pairs = F.transform(pages, lambda p, i: pair(p, F.get(pages, i + 1)))
+    walk = F.aggregate(pairs, F.array().cast("array<boolean>"), lambda done, c: F.concat(done, F.array(c.isNotNull() & ~F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(False)))))
+
+    def taken(found: Column) -> Column:
+        """From pages, pairs and marks of those that take in the next: what is left of the pages."""
+        p, c, marks = found["p"], found["c"], found["m"]
+        left = F.filter(F.transform(p, lambda x, i: F.struct(x.alias("page"), i.alias("i"))), lambda z: (z["i"] == 0) | ~F.get(marks, z["i"] - 1))
+        return F.transform(left, lambda z: F.when(F.get(marks, z["i"]), whole(z["page"], F.get(p, z["i"] + 1), F.get(c, z["i"]))).otherwise(z["page"]))
+
+    # the array of one struct keeps pairs and marks from being worked out again for every page
+    return F.coalesce(F.flatten(F.transform(F.array(F.struct(pages.alias("p"), pairs.alias("c"), walk.alias("m"))), taken)), F.array().cast(T.ArrayType(page)))
+
+
+def merge_tables_across_pages(docs: DataFrame, key: str, pages: str = "pages", similarity: float = 0.7, bottom: float = 0.85, top: float = 0.15) -> DataFrame:
+    """``key``, ``pages`` of each row, as by ``merged_pages``; null and repeated keys are kept as they are."""
+    whole = merged_pages(F.col(pages), docs.schema[pages].dataType.elementType, similarity, bottom, top)
+    return docs.select(key, whole.alias(pages))
 
 
 def in_order(number: str, value: Column) -> Column:
-    """An aggregate: values as an array in the order of their different numbers; values need not be comparable."""
-    found = F.map_from_entries(F.collect_list(F.struct(F.col(number).alias("n"), value.alias("v"))))
-    return F.transform(F.array_sort(F.map_keys(found)), lambda n: F.element_at(found, n))
+    """An aggregate: values as an array in the order of their numbers, those of one number in any order; values need not be comparable."""
+    found = F.collect_list(F.struct(F.col(number).alias("n"), value.alias("v")))
+    ordered = F.array_sort(found, lambda x, y: F.when(x["n"] < y["n"], -1).when(x["n"] > y["n"], 1).otherwise(0))
+    return F.transform(ordered, lambda z: z["v"])
 
 
 def ocr_documents(expected: DataFrame, cache: DataFrame, parse: Callable[[DataFrame], DataFrame], now: Column, rounds: int = 3, hours: int = 24, wait: Callable[[float], None] = time.sleep) -> tuple[DataFrame, DataFrame]:
@@ -262,22 +242,23 @@ def ocr_documents(expected: DataFrame, cache: DataFrame, parse: Callable[[DataFr
     ``expected(doc_key, page_count)``; ``cache(doc_key, page_no, page_count, ok, cached_at, page)``; ``parse`` turns pages
     into ``doc_key, page_no, ok, page`` (a structured page, null where it failed), and is asked again in rounds for what
     failed. Pages that the cache has are not parsed. A document has its tables merged over pages, its Markdown, its counts
-    and quality, and is COMPLETE if all pages are there, PARTIAL if some are, and FAILED if none is.
+    and quality, and is COMPLETE if all pages are there, PARTIAL if some are, and FAILED if none is. A document that is
+    expected twice counts once, with the larger number of pages; one without a key has no pages.
     """
     from lodemill.functions import layout
     from lodemill.sources.tables import written
 
+    expected = expected.groupBy("doc_key").agg(F.max("page_count").alias("page_count"))
     got = written(parse_in_rounds(pending_pages(expected, cache, now, hours), parse, rounds, wait).select("doc_key", "page_no", "ok", "page"), "ocr")
     fresh = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("cached_at").cast("timestamp")) <= hours * 3_600_000_000
     known = cache.where(F.col("ok") & fresh).join(expected, ["doc_key", "page_count"], "left_semi").where(F.col("page_no").between(1, F.col("page_count"))).select("doc_key", "page_no", "page").dropDuplicates(["doc_key", "page_no"])
-    pages = known.unionByName(got.where("ok").select("doc_key", "page_no", "page"))
-    whole = expected.join(pages.groupBy("doc_key").agg(in_order("page_no", F.col("page")).alias("pages")), "doc_key", "left")
+    pages = known.unionByName(got.where("ok").select("doc_key", "page_no", "page").dropDuplicates(["doc_key", "page_no"]))
+    whole = expected.join(pages.where("doc_key is not null").groupBy("doc_key").agg(in_order("page_no", F.col("page")).alias("pages")), "doc_key", "left")
     whole = written(whole.withColumn("pages", F.coalesce("pages", F.array().cast(f"array<{layout.PAGE}>"))), "documents")
-    merged = merge_tables_across_pages(whole.select("doc_key", "pages"), "doc_key")
-    counted = layout.stats(whole.select("doc_key", "pages"), "doc_key").select("doc_key", "total_elements", "average_confidence")
-    n = F.size("w.pages")
+    counted = layout.stats(whole.where("doc_key is not null").select("doc_key", "pages"), "doc_key").select("doc_key", "total_elements", "average_confidence")
+    n = F.size("pages")
     status = F.when(n == F.col("page_count"), "COMPLETE").when(n > 0, "PARTIAL").otherwise("FAILED")
-    out = whole.alias("w").join(counted, "doc_key").join(merged.select("doc_key", F.col("pages").alias("merged")), "doc_key")
+    out = whole.join(counted, "doc_key", "left").fillna(0, ["total_elements", "average_confidence"]).withColumn("merged", merged_pages(F.col("pages"), whole.schema["pages"].dataType.elementType))
     quality = layout.ocr_quality(F.col("total_elements"), F.col("average_confidence"))
     out = out.select("doc_key", status.alias("status"), n.alias("pages_ok"), "page_count", "total_elements", quality.alias("quality"), layout.markdown(F.col("merged")).alias("markdown"), F.col("merged").alias("pages"))
     return out, got.join(expected, "doc_key").select("doc_key", "page_no", "page_count", "ok", now.cast("timestamp").alias("cached_at"), "page")
