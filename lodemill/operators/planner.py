@@ -1,34 +1,133 @@
-"""Plans of steps that depend on each other: their levels as a query, and their execution.
+"""Plans of steps that depend on each other: their levels, what each step is told, and their execution.
 
-Levels are found by one recursive query over the steps; a plan has a handful of steps, however large the data that a step
-works on. Execution submits the steps of a level together, each of which may start Spark jobs of its own.
+Levels of all plans of a table are found together, by peeling: a step leaves when all of its dependencies have left, and the
+round in which it leaves is its level. Plans of an ordinary size are peeled each in one go where their steps are gathered;
+steps of plans that are too large for that leave round by round, by anti-joins on the dependencies that are left.
+Execution submits the steps of a level together, each of which may start Spark jobs of its own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import defaultdict
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+#: Steps and dependencies of a plan that one task may hold.
+GATHERED = 100_000
 
-def levels(tasks: DataFrame) -> DataFrame:
-    """``step``, ``level`` of ``tasks(step, dependencies)``: the longest chain of known dependencies before it. Cycles never run and are left out."""
-    return tasks.sparkSession.sql(
-        """
-        with recursive edges as (
-          select t.step, d.step as dep from (select step, explode(dependencies) as dep from {tasks}) t join {tasks} d on t.dep = d.step),
-        walk(step, level) as (
-          select step, 0 from {tasks} where step not in (select step from edges)
-          union all
-          select e.step, w.level + 1 from walk w join edges e on e.dep = w.step where w.level < 100),
-        reached as (select step, max(level) as level from walk group by step),
-        blocked as (select e.step from edges e left anti join reached r on e.dep = r.step)
-        select step, level from reached where step not in (select step from blocked)""",
-        tasks=tasks,
-    )
+
+def levels(tasks: DataFrame, plan: str | None = None, gathered: int = GATHERED) -> DataFrame:
+    """``step``, ``level`` (and ``plan`` before them, if there is one) of ``tasks(step, dependencies)``.
+
+    A step's level is the longest chain of dependencies before it, 0 without any. Steps on a cycle, and all behind one, have
+    no level and no row. Dependencies that are no steps of the plan are ignored, as are null ones; rows of one step add up
+    their dependencies; a step on itself is a cycle. Null steps are left out; rows whose plan is null are one plan.
+    """
+    from lodemill.sources.tables import written
+
+    own = [plan] if plan else []
+    part = [F.col(f"`{c}`").alias("plan") for c in own] or [F.lit(0).alias("plan")]
+    rows = tasks.select(*part, F.col("step"), F.explode_outer("dependencies").alias("dep")).where("step is not null").distinct()
+    rows = written(rows, "steps")  # (plan, step, dep), dep null for steps without; dealt anew below
+    nodes = rows.select("plan", "step").distinct()
+    same = lambda x, y, on: x["plan"].eqNullSafe(y["plan"]) & on
+    known = nodes.withColumnRenamed("step", "known")
+    edges = rows.where("dep is not null").join(known, same(rows, known, rows["dep"] == known["known"]), "left_semi")
+    both = nodes.withColumn("dep", F.lit(None).cast(rows.schema["dep"].dataType)).unionByName(edges)
+    sizes = both.groupBy("plan").agg(F.count("*").alias("n"))
+    large = written(sizes.where(F.col("n") > gathered).select("plan"), "large")
+    named = lambda out: out.select(*[F.col("plan").alias(c) for c in own], "step", "level")
+    if large.isEmpty():
+        return named(_peeled(both))
+    small = both.join(large, both["plan"].eqNullSafe(large["plan"]), "left_anti")
+    big = both.join(large, both["plan"].eqNullSafe(large["plan"]), "left_semi")
+    return named(_peeled(small).unionByName(_peeled_in_rounds(big.where("dep is null").select("plan", "step"), big.where("dep is not null"))))
+
+
+def _peeled(both: DataFrame) -> DataFrame:
+    """Levels of plans that are gathered each in a row, from ``plan, step, dep`` with a row without ``dep`` for each step."""
+    kinds = {f.name: f.dataType.simpleString() for f in both.schema.fields}
+    rows = both.groupBy("plan").agg(F.collect_list(F.struct("step", "dep")).alias("edges")).select("plan", "edges.step", "edges.dep")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, steps, level = [], [], []
+            for k, (s, d) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                for step, at in _peel(zip(s, d, strict=True)):
+                    owner.append(k)
+                    steps.append(step)
+                    level.append(at)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), pa.array(steps, batch.column(1).type.value_type), pa.array(level, pa.int32())], ["plan", "step", "level"])
+
+    return rows.mapInArrow(run, f"plan {kinds['plan']}, step {kinds['step']}, level int")
+
+
+def _peel(edges: Iterable[tuple]) -> Iterator[tuple]:
+    """Each step and its level, from pairs of a step and a dependency, none for the step itself."""
+    waits, behind, level = {}, defaultdict(list), 0
+    for step, dep in edges:
+        waits.setdefault(step, 0)
+        if dep is not None:
+            waits[step] += 1
+            behind[dep].append(step)
+    ready = [s for s, n in waits.items() if not n]
+    while ready:
+        yield from ((s, level) for s in ready)
+        after = []
+        for s in (s for d in ready for s in behind[d]):
+            waits[s] -= 1
+            if not waits[s]:
+                after.append(s)
+        ready, level = after, level + 1
+
+
+def _peeled_in_rounds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Levels of plans of any size: in each round the dependencies on what has just left go, and steps with none left leave.
+
+    Rounds are as many as the longest chain has steps. Each reads the dependencies that are left, and writes those that it
+    has not used up.
+    """
+    from lodemill.sources.tables import written
+
+    on = lambda x, y, a, b: x["plan"].eqNullSafe(y["plan"]) & (x[a] == y[b])
+    ready = written(nodes.join(edges, on(nodes, edges, "step", "step"), "left_anti"), "level0")
+    found, level, left = [ready.withColumn("level", F.lit(0))], 0, edges
+    while not ready.isEmpty():
+        level += 1
+        used = ready.select(F.col("plan").alias("_plan"), F.col("step").alias("_step"), F.lit(True).alias("used"))
+        marked = written(left.join(used, left["plan"].eqNullSafe(used["_plan"]) & (left["dep"] == used["_step"]), "left").select("plan", "step", "dep", "used"), f"edges{level}")
+        left = marked.where("used is null").drop("used")
+        freed = marked.where("used").select("plan", "step").distinct()
+        ready = written(freed.join(left, on(freed, left, "step", "step"), "left_anti"), f"level{level}")
+        found.append(ready.withColumn("level", F.lit(level)))
+    return reduce(DataFrame.unionByName, found)
+
+
+def prompts(tasks: DataFrame, results: DataFrame, questions: DataFrame, plan: str = "plan") -> DataFrame:
+    """``plan``, ``step`` and ``prompt``: what a model is told of each step whose dependencies have given results.
+
+    ``tasks(plan, step, description, dependencies)``, ``results(plan, step, result)``, ``questions(plan, question)``. A prompt
+    holds the question, the results of the step's dependencies in their order, and what is to do; a step with a dependency
+    that is known but has no result has no row. Dependencies that are no steps of the plan are ignored. Rows of one step add
+    up their dependencies; of several descriptions, or results, the least is taken.
+    """
+    steps = tasks.groupBy(plan, "step").agg(F.min("description").alias("description"), F.array_distinct(F.flatten(F.collect_list(F.coalesce("dependencies", F.array())))).alias("dependencies"))
+    known = results.groupBy(plan, "step").agg(F.min("result").alias("result"))
+    there = steps.select(plan, "step").join(known, [plan, "step"], "left").withColumnRenamed("step", "dep")
+    line = F.concat(F.lit("step "), F.col("dep").cast("string"), F.lit(": "), F.col("result").cast("string"))
+    said = steps.select(plan, "step", F.explode("dependencies").alias("dep")).join(there, [plan, "dep"]).groupBy(plan, "step")
+    said = said.agg(F.array_sort(F.collect_list(F.struct("dep", line.alias("line")))).alias("earlier"), F.bool_and(F.col("result").isNotNull()).alias("whole"))
+    asked = steps.select(plan, "step", "description").join(said, [plan, "step"], "left").where("coalesce(whole, true)").join(questions, plan)
+    earlier = F.array_join(F.transform("earlier", lambda e: e["line"]), "\n")
+    text = F.concat(F.lit("question: "), F.col("question"), F.coalesce(F.concat(F.lit("\n"), earlier), F.lit("")), F.lit("\ntask: "), F.col("description"))
+    return asked.select(plan, "step", text.alias("prompt"))
 
 
 @dataclass

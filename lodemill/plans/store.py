@@ -255,13 +255,23 @@ def memoized_lengths(spark, sf):
     return S.memoized(c, "text", F.length("text"), "n").select("conv_id", "turn", "n")
 
 
-#: Literal steps: a diamond, a chain, an unknown dependency, and a cycle that never runs.
-TASKS = "values (1, array()), (2, array(1)), (3, array(1)), (4, array(2, 3)), (5, array(4, 99)), (6, array(8)), (7, array(6)), (8, array(7))"
+def _steps(spark, sf):
+    """The lines of an order as the steps of a plan: a line depends on others by its values, some of which make cycles."""
+    line = table(spark, sf, "lineitem")
+    n, q = F.col("l_linenumber"), F.col("l_quantity")
+    deps = F.array_compact(F.array(F.when(q > 20, n - 1), F.when(F.col("l_discount") > 0.04, n - 2), F.when(q % 5 == 0, n + 3), F.when(F.col("l_tax") > 0.07, n + 40)))
+    return line.select(F.col("l_orderkey").alias("plan"), n.alias("step"), deps.alias("dependencies"), F.concat(F.lit("ship "), F.col("l_returnflag")).alias("description"), F.when(q > 3, q).alias("result"))
 
 
 def dag_levels(spark, sf):
-    tasks = spark.sql(f"select cast(step as int) step, cast(deps as array<int>) dependencies from ({TASKS}) as t(step, deps)")
-    return P.levels(tasks)
+    return P.levels(_steps(spark, sf), "plan")
+
+
+def step_prompts(spark, sf):
+    """What a model is told of each line, of which those with a quantity have given results."""
+    steps = _steps(spark, sf)
+    asked = table(spark, sf, "orders").select(F.col("o_orderkey").alias("plan"), F.concat(F.lit("what of "), F.col("o_orderpriority")).alias("question"))
+    return P.prompts(steps, steps.where("result is not null").select("plan", "step", F.col("result").cast("int").alias("result")), asked)
 
 
 def _graph(spark, sf):
@@ -306,6 +316,11 @@ def region_revenue(spark, sf):
     return j.groupBy("r_name", "o_orderpriority").agg(F.round(F.sum("revenue"), 2).alias("revenue"), F.count("*").alias("n"))
 
 
+_STEPS = """steps as (
+  select l_orderkey as plan, l_linenumber as step, 'ship ' || l_returnflag as description, case when l_quantity > 3 then l_quantity end as result,
+    list_filter([case when l_quantity > 20 then l_linenumber - 1 end, case when l_discount > 0.04 then l_linenumber - 2 end, case when l_quantity % 5 = 0 then l_linenumber + 3 end, case when l_tax > 0.07 then l_linenumber + 40 end], lambda x: x is not null) as deps
+  from lineitem)"""
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -313,7 +328,7 @@ QUERIES = {
         keyword_docs, keyword_chunks, in_list, in_short_list, time_range, history_session, history_user, pending_documents, pending_chunks, chunks_of_document, chunk_by_vector, page_slice, page_total,
         chunk_doc_context, upsert_patch, upsert_new, status_reset, flag_vectorized, delete_anti, insert_generated, idempotent_append, page_merge, doc_completion, first_seen_users, ttl_filter, fifo_bucket,
         fifo_bounded, cache_eviction, count_vectors_by_index, vector_by_external_id, vector_dynamic_filter, config_enabled, config_by_kind, config_writes, config_prompts,
-        memoized_lengths, dag_levels, config_models, config_graph_walk, config_tools, config_assembled, region_revenue,
+        memoized_lengths, dag_levels, step_prompts, config_models, config_graph_walk, config_tools, config_assembled, region_revenue,
     )
 }
 
@@ -377,11 +392,23 @@ union all select id * 2, title, status from {_PATCH} p where id * 2 not in (sele
     "ttl_filter": f"select id from {_EV} t where timestamp '2024-01-31' - create_time <= interval 7 days",
     "fifo_bucket": f"select id, user_id from {_EV} t qualify row_number() over (partition by user_id order by create_time desc, id desc) <= 10",
     "memoized_lengths": "select conv_id, turn, length(text)::int as n from conversations",
-    "dag_levels": """
-with recursive t(step, deps) as (values (1, []::int[]), (2, [1]), (3, [1]), (4, [2, 3]), (5, [4, 99]), (6, [8]), (7, [6]), (8, [7])),
-d as (select step, unnest(deps) as dep from t), e as (select d.step, d.dep from d join t on t.step = d.dep),
-w as (select step, 0 as level from t where step not in (select step from e) union all select e.step, level + 1 from w join e on e.dep = w.step)
-select step::int as step, max(level)::int as level from w group by 1""",
+    "dag_levels": f"""
+with recursive {_STEPS},
+edges as (select distinct s.plan, s.step, s.dep from (select plan, step, unnest(deps) as dep from steps) s join steps d on d.plan = s.plan and d.step = s.dep),
+reach as (select plan, dep as a, step as b from edges union select r.plan, r.a, e.step from reach r join edges e on e.plan = r.plan and e.dep = r.b),
+blocked as (select plan, b as step from reach where (plan, a) in (select (plan, a) from reach where a = b) union select plan, a from reach where a = b),
+free as (select plan, step from steps where (plan, step) not in (select (plan, step) from blocked)),
+walk as (
+  select plan, step, 0 as level from free
+  union select w.plan, e.step, w.level + 1 from walk w join edges e on e.plan = w.plan and e.dep = w.step join free f on f.plan = e.plan and f.step = e.step)
+select plan, step, max(level)::int as level from walk group by 1, 2""",
+    "step_prompts": f"""
+with {_STEPS},
+g as (select plan, step, min(description) as description, min(result)::int as result from steps group by 1, 2),
+e as (select distinct plan, step, unnest(deps) as dep from steps),
+d as (select e.plan, e.step, string_agg('step ' || e.dep || ': ' || t.result, chr(10) order by e.dep) as earlier, bool_and(t.result is not null) as whole from e join g t on t.plan = e.plan and t.step = e.dep group by 1, 2)
+select plan, step, 'question: what of ' || o_orderpriority || coalesce(chr(10) || earlier, '') || chr(10) || 'task: ' || description as prompt
+from g left join d using (plan, step) join orders on o_orderkey = plan where coalesce(whole, true)""",
     "config_models": f"""
 with {_EDGES},
 f as (select * from cm qualify row_number() over (partition by id order by client, ord) = 1)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodemill import spi
@@ -137,17 +140,16 @@ def page_rounds(spark, sf):
 
 
 def plan_run(spark, sf):
-    """A diamond of steps, each a count over a table; a step of an unknown tool fails and blocks what follows."""
-    tasks = [planner.Task(1, "COUNT", "region"), planner.Task(2, "COUNT", "nation", (1,)), planner.Task(3, "COUNT", "part", (1,)), planner.Task(4, "SUM", "", (2, 3)), planner.Task(5, "NONE", "", (4,)), planner.Task(6, "SUM", "", (5,))]
+    """A diamond of steps, each a count over a table that stays a DataFrame; a step of an unknown tool fails and blocks what follows."""
+    tasks = [planner.Task(1, "COUNT", "orders"), planner.Task(2, "COUNT", "lineitem", (1,)), planner.Task(3, "COUNT", "part", (1,)), planner.Task(4, "SUM", "", (2, 3)), planner.Task(5, "NONE", "", (4,)), planner.Task(6, "SUM", "", (5,))]
     tools = planner.ToolRegistry()
-    tools.register("COUNT", lambda name: table(spark, sf, name).count())
+    tools.register("COUNT", lambda name: table(spark, sf, name).agg(F.count("*").alias("result")))
 
     def run(task, before):
-        return sum(before.values()) if task.tool == "SUM" else tools.run(task.tool, task.description)
+        return reduce(DataFrame.union, before.values()).agg(F.sum("result").alias("result")) if task.tool == "SUM" else tools.run(task.tool, task.description)
 
     out = planner.execute(tasks, run)
-    rows = ", ".join(f"({k}, cast({v} as bigint))" for k, v in sorted(out.results.items()))
-    return spark.sql(f"select * from values {rows} as t(step, result)")
+    return reduce(DataFrame.union, [df.select(F.lit(step).alias("step"), "result") for step, df in sorted(out.results.items())])
 
 
 def repaired_json(spark, sf):
@@ -170,7 +172,7 @@ def routing_trace(spark, sf):
 QUERIES = {f.__name__: f for f in (stream_ingest, stream_backfill, ocr_providers, load_files, append_rows, embed_texts, embed_once, page_rounds, plan_run, repaired_json, routing_trace)}
 ORACLES = {
     "page_rounds": "select n_nationkey as doc_key, p as page_no, n_nationkey % 2 = 0 or p = 1 as ok from nation, (select unnest([1, 2, 3])::int as p)",
-    "plan_run": "with c as (select (select count(*) from region) as a, (select count(*) from nation) as b, (select count(*) from part) as c) select unnest([1, 2, 3, 4]) as step, unnest([a, b, c, b + c]) as result from c",
+    "plan_run": "with c as (select (select count(*) from orders) as a, (select count(*) from lineitem) as b, (select count(*) from part) as c) select unnest([1, 2, 3, 4]) as step, unnest([a, b, c, b + c]) as result from c",
     "repaired_json": "select event_id, event_type as k, event_id as n, 'true' as first from events",
     "embed_once": "select conv_id, turn, length(text)::bigint as length, (length(text) - length(replace(text, ' ', '')))::bigint as spaces from conversations",
     "append_rows": "select vec_id, len(embedding)::int as dimensions, label from embeddings",
