@@ -57,7 +57,7 @@ def resolve_revisits(records: DataFrame, slices: int = SLICES) -> DataFrame:
     """
     url = canonical_url(F.col("url")).alias("canonical_url")
     entries = F.array_sort(F.map_entries(F.coalesce("headers", F.create_map().cast("map<string,string>"))))
-    mark = F.xxhash64(F.to_json(entries), "body")
+    mark = F.xxhash64(entries, "body")
     full = (F.col("record_type") == "response") & (F.col("status") == 200)
     columns = ["record_id", "canonical_url", "warc_date"]
     answers = records.where("record_type = 'revisit'").select("record_id", url, "warc_date", entries.alias("entries")).distinct()
@@ -84,7 +84,7 @@ def resolve_revisits(records: DataFrame, slices: int = SLICES) -> DataFrame:
     on = (F.col("source_id") == F.col("_id")) & (F.col("canonical_url") == F.col("_url")) & (F.col("source_date") == F.col("_date"))
     told = found.join(known, on, "left").select(*columns, "source_id", "source_date", F.map_from_entries("entries").alias("own"), F.map_from_entries("stored").alias("stored"), "mark", "copies")
     told = materialize(told.withColumn("outcome", _outcome(F.col("own"), F.col("stored"), F.col("source_id"))), "found")
-    return _with_bodies(told, records.where(full).select(F.col("record_id").alias("_id"), url.alias("_url"), F.col("warc_date").alias("_date"), mark.alias("_mark"), "body"))
+    return _with_bodies(told, records.where(full), url, mark)
 
 
 def _outcome(own: Column, stored: Column, source: Column) -> Column:
@@ -93,10 +93,11 @@ def _outcome(own: Column, stored: Column, source: Column) -> Column:
     return F.when(source.isNull(), "unmatched").when(~agree, "mismatch").when(F.coalesce(*same).isNull(), "unverified").otherwise("resolved")
 
 
-def _with_bodies(told: DataFrame, bodies: DataFrame) -> DataFrame:
+def _with_bodies(told: DataFrame, full: DataFrame, url: Column, mark: Column) -> DataFrame:
     """``told`` with merged headers, and the bodies of responses that a resolved answer stands for: only these are shuffled, each once.
 
-    A Bloom filter holds the marks of the responses that are asked for; what passes meets the narrow rows in a hash join that
+    A Bloom filter holds ids and dates of the responses that are asked for, so that the others are neither hashed nor given a
+    canonical URL; what passes meets the narrow rows in a hash join that
     is built on these, so that bodies are neither sorted nor grouped.
     """
     out = ["record_id", "canonical_url", "warc_date", "source_id", "source_date", "outcome"]
@@ -104,12 +105,12 @@ def _with_bodies(told: DataFrame, bodies: DataFrame) -> DataFrame:
     merged = F.map_concat(F.map_filter("stored", lambda k, v: ~F.map_contains_key(fresh, k)), fresh)
     resolved = told.where("outcome = 'resolved'").withColumn("merged_headers", merged)
     without = told.where("outcome != 'resolved'").select(*out, F.lit(None).cast("map<string,string>").alias("merged_headers"), F.lit(None).cast("binary").alias("body"))
-    key = lambda mark, at: F.to_json(F.struct(F.col(mark).alias("mark"), F.unix_micros(at).alias("at")))
-    chosen = resolved.select(key("mark", "source_date").alias("key")).distinct()
+    chosen = resolved.select(F.xxhash64("source_id", "source_date").alias("key")).distinct()
     n, most = chosen.count(), resolved.agg(F.max("copies")).first()[0]
     if not n:
         return without
-    wanted = bodies.where(build_level(chosen, n, 900, 12, 4, MAX_BITS, clip=True).has(key("_mark", "_date")))
+    wanted = full.where(build_level(chosen, n, 900, 12, 4, MAX_BITS, clip=True).has(F.xxhash64("record_id", "warc_date")))
+    wanted = wanted.select(F.col("record_id").alias("_id"), url.alias("_url"), F.col("warc_date").alias("_date"), mark.alias("_mark"), "body")
     on = (F.col("source_id") == F.col("_id")) & (F.col("canonical_url") == F.col("_url")) & (F.col("source_date") == F.col("_date")) & (F.col("mark") == F.col("_mark"))
     joined = wanted.join(resolved.hint("shuffle_hash"), on)
     once = joined.where("copies = 1").select(*out, "merged_headers", "body")
