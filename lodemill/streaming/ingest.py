@@ -1,13 +1,15 @@
 """Ingestion as a stream: new documents are chunked, embedded and marked, each once, however often a batch is run again.
 
-State is in tables by business key: a document's chunks are written before the document counts as done, and a batch
-begins with an anti-join against what is done. The trigger takes what is there and stops, so it also serves to back-fill.
+State is in tables by business key, in buckets: a document's chunks are written before the document counts as done, and a
+batch begins with an anti-join against what is done in the buckets of its documents. The trigger takes what is there and
+stops, so it also serves to back-fill.
 """
 
 from __future__ import annotations
 
 import random
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lodemill.functions.splitting import chunk_rows
 from lodemill.operators.store import not_yet
+from lodemill.sources.buckets import Buckets
 from lodemill.sources.tables import written
 from lodemill.spi import Embedder, HashEmbedder, embedding
 
@@ -33,29 +36,27 @@ def with_retries(run: Callable[[], object], recover: Callable[[Exception], objec
     return None
 
 
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A table that may not be there yet."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    there = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
-
-
 CHUNKS = "document_id long, chunk_index int, content string, start_position long, end_position long, overlap_length int, quality_score double, vectorized boolean, external_id string, embedding array<float>"
-STATES = "document_id long, status string, error_message string, version int"
+STATES = "document_id long, status string, error_message string"
 FILLED = "document_id long, chunk_index int, embedding array<float>"
+WAITING = "document_id long, chunk_index int, content string, batch string"
+#: Buckets by document of each table of a store.
+BUCKETS = 64
+
+
+def _table(spark: SparkSession, store: str, name: str, schema: str) -> Buckets:
+    return Buckets(spark, f"{store}/{name}", schema, "document_id", BUCKETS)
 
 
 def states(spark: SparkSession, store: str) -> DataFrame:
-    """``document_id``, ``status``, ``error_message``: each document's last state."""
-    last = F.max_by(F.struct("status", "error_message"), "version")
-    return _read(spark, f"{store}/states", STATES).groupBy("document_id").agg(last.alias("s")).select("document_id", "s.*")
+    """``document_id``, ``status``, ``error_message`` of each document."""
+    return _table(spark, store, "states", STATES).read()
 
 
 def chunks(spark: SparkSession, store: str) -> DataFrame:
     """All chunks, with the vectors that were filled in later."""
-    filled = _read(spark, f"{store}/filled", FILLED).dropDuplicates(["document_id", "chunk_index"]).withColumnRenamed("embedding", "_later")
-    both = _read(spark, f"{store}/chunks", CHUNKS).join(filled, ["document_id", "chunk_index"], "left")
+    filled = _table(spark, store, "filled", FILLED).read().dropDuplicates(["document_id", "chunk_index"]).withColumnRenamed("embedding", "_later")
+    both = _table(spark, store, "chunks", CHUNKS).read().join(filled, ["document_id", "chunk_index"], "left")
     vector = F.coalesce("embedding", "_later")
     return both.withColumn("vectorized", vector.isNotNull()).withColumn("embedding", vector).select(*[c.split()[0] for c in CHUNKS.split(", ")])
 
@@ -64,29 +65,33 @@ def process_batch(docs: DataFrame, store: str, size: int = 500, overlap: int = 1
     """Chunks and states of the documents of a batch that are not done.
 
     Those without content are FAILED; those of which every chunk has a vector are INDEXED, others are PROCESSING until
-    ``backfill`` has filled the rest in. A batch is a partition of the store, named by its number (else by its documents),
-    so that one that was broken off is overwritten when it is run again, and no history of chunks is read.
+    ``backfill`` has filled the rest in. Of rows that share an id the one with the least content counts. Only the states of
+    the buckets that the documents fall into are read. Chunks are put beside those that are there, in folders named by the
+    batch's number (else by its documents), so that a batch that was broken off writes over what it left; states come last.
     """
     spark = docs.sparkSession
-    done = _read(spark, f"{store}/states", STATES).select("document_id")
-    fresh = not_yet(docs.select(F.col("id").alias("document_id"), "content").where("id is not null").dropDuplicates(["document_id"]), done, "document_id").persist()
-    try:
-        n, name = fresh.agg(F.count("*"), F.bit_xor(F.xxhash64("document_id"))).first()
-        if not n:
-            return
-        part = f"batch={name if batch is None else batch}"
-        good = fresh.where("content is not null and content != ''")
-        vectors = chunk_rows(good, "document_id", "content", size, overlap, strategy).withColumn("embedding", embedding(F.col("content"), embedder or HashEmbedder()))
-        key = F.concat(F.lit("chunk-"), F.col("document_id").cast("string"), F.lit("-"), F.col("chunk_index").cast("string"))
-        rows = vectors.withColumn("vectorized", F.col("embedding").isNotNull()).withColumn("external_id", key)
-        rows.select(*[c.split()[0] for c in CHUNKS.split(", ")]).write.mode("overwrite").parquet(f"{store}/chunks/{part}")
-        whole = spark.read.schema(CHUNKS).parquet(f"{store}/chunks/{part}").groupBy("document_id").agg(F.bool_and("vectorized").alias("whole"))
-        empty = ~F.coalesce(F.col("content") != "", F.lit(False))
-        status = F.when(empty, "FAILED").when(F.coalesce("whole", F.lit(True)), "INDEXED").otherwise("PROCESSING")
-        found = fresh.join(whole, "document_id", "left").select("document_id", status.alias("status"), F.when(empty, "no content").alias("error_message"), F.lit(0).alias("version"))
-        found.write.mode("overwrite").parquet(f"{store}/states/{part}")
-    finally:
-        fresh.unpersist()
+    known, table = _table(spark, store, "states", STATES), _table(spark, store, "chunks", CHUNKS)
+    asked = docs.select(F.col("id").alias("document_id"), "content").where("id is not null")
+    ids = written(asked.select("document_id").distinct(), "asked")
+    new = written(not_yet(ids, known.of(ids), "document_id"), "new")
+    n, name = new.count(), ids.agg(F.bit_xor(F.xxhash64("document_id"))).first()[0]
+    if not n:
+        return
+    name = str(name if batch is None else batch)
+    fresh = asked.join(new, "document_id", "left_semi").groupBy("document_id").agg(F.min("content").alias("content"))
+    good = fresh.where("content != ''")
+    vectors = chunk_rows(good, "document_id", "content", size, overlap, strategy).withColumn("embedding", embedding(F.col("content"), embedder or HashEmbedder()))
+    key = F.concat(F.lit("chunk-"), F.col("document_id").cast("string"), F.lit("-"), F.col("chunk_index").cast("string"))
+    table.insert(vectors.withColumn("vectorized", F.col("embedding").isNotNull()).withColumn("external_id", key), name)
+    own = table.inserted(name)
+    pending = written(own.where("not vectorized").select("document_id", "chunk_index", "content").withColumn("batch", F.lit(name)), "pending")
+    if not pending.isEmpty():
+        pending.write.mode("append").partitionBy("batch").parquet(f"{store}/waiting")
+    whole = own.groupBy("document_id").agg(F.bool_and("vectorized").alias("whole"))
+    empty = ~F.coalesce(F.col("content") != "", F.lit(False))
+    status = F.when(empty, "FAILED").when(F.coalesce("whole", F.lit(True)), "INDEXED").otherwise("PROCESSING")
+    found = fresh.join(whole, "document_id", "left").select("document_id", status.alias("status"), F.when(empty, "no content").alias("error_message"))
+    known.change(found, lambda old, rows: old.unionByName(rows))
 
 
 def ingest(spark: SparkSession, source: str, schema: str, store: str, checkpoint: str, files_per_trigger: int = 64, **how) -> None:
@@ -96,23 +101,45 @@ def ingest(spark: SparkSession, source: str, schema: str, store: str, checkpoint
     query.awaitTermination()
 
 
+def _waiting(spark: SparkSession, store: str) -> list[str]:
+    """The folders of chunks that wait for vectors, oldest first."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store}/waiting")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [(f.getModificationTime(), f.getPath().getName()) for f in fs.listStatus(at) if f.isDirectory()] if fs.exists(at) else []
+    return [name for _, name in sorted(found) if name.startswith("batch=")]
+
+
 def backfill(spark: SparkSession, store: str, embedder: Embedder | None = None, limit: int = 1000) -> int:
-    """Fill in the vectors of the oldest chunks without one, and mark documents INDEXED that have none left; how many were filled.
+    """Fill in vectors of up to ``limit`` chunks without one, oldest batches first, and mark documents INDEXED that have none left; how many were filled.
 
-    Vectors and states are appended, and the last state of a document counts, so that a run that was broken off is made
-    good by the next one.
+    What waits is a queue beside the store, a folder for each batch: as many folders are read as the limit asks for, and
+    written anew without what was filled. Of the store only the states of the documents' buckets are read. The queue is
+    shortened last, so that a run that was broken off is made good by the next one; a vector that is filled in twice counts once.
     """
-    todo = chunks(spark, store).where("not vectorized").orderBy("document_id", "chunk_index").limit(limit)
+    read = lambda names: spark.read.schema(WAITING).option("basePath", f"{store}/waiting").parquet(*[f"{store}/waiting/{x}" for x in names])
+    taken, n = [], 0
+    for name in _waiting(spark, store):
+        taken.append(name)
+        n += read([name]).count()
+        if n >= limit:
+            break
+    if not taken:
+        return 0
+    rows = written(read(taken).dropDuplicates(["document_id", "chunk_index"]), "taken")
+    todo = rows.orderBy("document_id", "chunk_index").limit(limit)
     filled = written(todo.select("document_id", "chunk_index", embedding(F.col("content"), embedder or HashEmbedder()).alias("embedding")).where("embedding is not null"), "filled")
     n = filled.count()
-    if n:
-        filled.write.mode("append").parquet(f"{store}/filled")
-    waiting = states(spark, store).where("status = 'PROCESSING'").select("document_id")
-    left = chunks(spark, store).join(waiting, "document_id", "left_semi").groupBy("document_id").agg(F.bool_and("vectorized").alias("whole"))
-    last = _read(spark, f"{store}/states", STATES).groupBy("document_id").agg(F.max("version").alias("v"))
-    ready = written(left.where("whole").join(last, "document_id").select("document_id", F.lit("INDEXED").alias("status"), F.lit(None).cast("string").alias("error_message"), (F.col("v") + 1).alias("version")), "ready")
-    if ready.count():
-        ready.write.mode("append").parquet(f"{store}/states/batch=-1")
+    if not n:
+        return 0
+    _table(spark, store, "filled", FILLED).insert(filled, uuid.uuid4().hex)
+    left = written(rows.join(filled, ["document_id", "chunk_index"], "left_anti").select("document_id", "chunk_index", "content", "batch"), "left")
+    ready = filled.select("document_id").distinct().join(left, "document_id", "left_anti")
+    _table(spark, store, "states", STATES).set_status(ready.withColumn("status", F.lit("INDEXED")).withColumn("error_message", F.lit(None).cast("string")))
+    left.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{store}/waiting")
+    kept = {f"batch={r[0]}" for r in left.select("batch").distinct().collect()}
+    for name in set(taken) - kept:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{store}/waiting/{name}")
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
     return n
 
 
