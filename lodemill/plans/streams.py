@@ -15,7 +15,7 @@ from lodemill.operators import routing
 from lodemill.operators import store as S
 from lodemill.sources import files, json_repair
 from lodemill.sources.tables import append, shared, table, written
-from lodemill.streaming import ingest
+from lodemill.streaming import caches, ingest, vectors
 
 from .routing import _BEST
 
@@ -35,6 +35,14 @@ def stream_ingest(spark, sf):
     return ingest.states(spark, f"{root}/store").join(done, "document_id", "left").select("document_id", "status", "n_chunks", "n_chars")
 
 
+def _root(spark, name):
+    """A folder that goes when the application ends."""
+    root = shared(spark, name)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return root
+
+
 class Picky(spi.HashEmbedder):
     """Fails for texts with a ``q`` in them."""
 
@@ -57,6 +65,45 @@ def stream_backfill(spark, sf):
     return ingest.states(spark, root).join(before, "document_id").select("document_id", "first", F.col("status").alias("last"))
 
 
+def _landed(spark, root, rows, at, days=(8, 16, 24)):
+    """``rows`` as files of a stream, one for each range of days, in the order of time."""
+    edges = [None, *days, None]
+    day = F.dayofmonth(at)
+    for k, (low, high) in enumerate(zip(edges, edges[1:])):
+        part = rows.where((F.lit(True) if low is None else day > low) & (F.lit(True) if high is None else day <= high))
+        part.coalesce(1).write.parquet(f"{root}/{k}")
+    return spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(root)
+
+
+def cache_lookups(spark, sf):
+    """Events ask a cache that keeps each user's value for a day; errors have none. Some events come twice, and some weeks late."""
+    root = _root(spark, "lookups")
+    e = table(spark, sf, "events").select("event_id", "user_id", "ts", F.when(F.col("event_type") != "error", F.col("event_id").cast("string")).alias("value"))
+    twice = e.where("event_id % 5 = 0")
+    late = e.where("event_id % 7 = 0 and dayofmonth(ts) <= 8").select((F.col("event_id") + 1_000_000_000).alias("event_id"), "user_id", "ts", F.lit("late").alias("value"))
+    rows = e.withColumn("n", F.lit(0)).unionByName(twice.withColumn("n", F.lit(0))).unionByName(late.withColumn("n", F.lit(20)))
+    stream = _landed(spark, f"{root}/in", rows, F.date_add("ts", F.col("n")))
+    with caches.rocksdb(spark):
+        answers = caches.asked(stream, "user_id", "event_id", "ts", "value", 86_400)
+        answers.writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start(f"{root}/out").awaitTermination()
+    return spark.read.schema(answers.schema).parquet(f"{root}/out").select("event_id", "hit", "value")
+
+
+def vector_timeouts(spark, sf):
+    """Events as the chunks of their users' documents; a vector comes up to ninety minutes later, or never, and counts within the hour."""
+    root = _root(spark, "timeouts")
+    e = table(spark, sf, "events").where("event_type = 'purchase'")
+    n = e.groupBy("user_id").agg(F.count("*").cast("int").alias("n_chunks"))
+    chunks = e.join(n, "user_id").select(F.col("user_id").alias("document_id"), F.col("event_id").cast("int").alias("chunk_index"), "n_chunks", F.col("ts").cast("timestamp").alias("at"))
+    sent = chunks.where("chunk_index % 33 != 0").select("document_id", "chunk_index", F.timestamp_micros(F.unix_micros("at") + F.when(F.col("chunk_index") % 20 == 0, 90).otherwise(F.col("chunk_index") % 60).cast("long") * 60_000_000).alias("at"))
+    beat = spark.sql("select cast(null as bigint) document_id, cast(null as int) chunk_index, cast(null as int) n_chunks, timestamp'2024-03-31' at")
+    both = lambda x, name: _landed(spark, f"{root}/{name}", x.unionByName(x.where("chunk_index % 4 = 0")).unionByName(beat.select(*x.columns)), F.when(F.col("at") >= "2024-02-01", F.lit("2024-01-31")).otherwise(F.col("at")))
+    found = vectors.outcomes(both(chunks, "chunks"), both(sent, "vectors"))
+    for _ in range(2):  # the second time finds nothing new
+        vectors.follow(found, f"{root}/store", f"{root}/checkpoint", 16)
+    return vectors.states(spark, f"{root}/store", 16)
+
+
 def embed_texts(spark, sf):
     c = table(spark, sf, "conversations").select("conv_id", "turn", "text").withColumn("v", spi.embedding(F.col("text"), spi.HashEmbedder(32)))
     return c.select("conv_id", "turn", F.size("v").alias("dimensions"), F.round(norm(F.col("v")), 4).alias("norm"))
@@ -169,7 +216,7 @@ def routing_trace(spark, sf):
     return routing.trace(r.union(f)).select("query", F.array_join(each, "; ").alias("detectors"), "latency_ms", "chosen")
 
 
-QUERIES = {f.__name__: f for f in (stream_ingest, stream_backfill, ocr_providers, load_files, append_rows, embed_texts, embed_once, page_rounds, plan_run, repaired_json, routing_trace)}
+QUERIES = {f.__name__: f for f in (stream_ingest, stream_backfill, cache_lookups, vector_timeouts, ocr_providers, load_files, append_rows, embed_texts, embed_once, page_rounds, plan_run, repaired_json, routing_trace)}
 ORACLES = {
     "page_rounds": "select n_nationkey as doc_key, p as page_no, n_nationkey % 2 = 0 or p = 1 as ok from nation, (select unnest([1, 2, 3])::int as p)",
     "plan_run": "with c as (select (select count(*) from orders) as a, (select count(*) from lineitem) as b, (select count(*) from part) as c) select unnest([1, 2, 3, 4]) as step, unnest([a, b, c, b + c]) as result from c",
@@ -188,6 +235,18 @@ select d.doc_id as document_id, case when coalesce(text, '') = '' then 'FAILED'
     "stream_backfill": """
 select conv_id * 1000 + turn as document_id, case when coalesce(text, '') = '' then 'FAILED' when contains(text, 'q') then 'PROCESSING' else 'INDEXED' end as first,
   case when coalesce(text, '') = '' then 'FAILED' else 'INDEXED' end as last from conversations""",
+    "cache_lookups": """
+with recursive e as (select event_id, user_id, ts, case when event_type != 'error' then event_id::varchar end as value from events),
+puts as (
+  select user_id, first.ts as ts, first.event_id as event_id, first.value as value from (select user_id, min({'ts': ts, 'event_id': event_id, 'value': value}) as first from e where value is not null group by 1)
+  union all
+  select user_id, next.ts, next.event_id, next.value from (
+    select p.user_id, min({'ts': e.ts, 'event_id': e.event_id, 'value': e.value}) as next from puts p join e on e.user_id = p.user_id and e.ts >= p.ts + interval 1 day and e.value is not null group by p.user_id, p.event_id)),
+hits as (select e.event_id, max(p.value) as value from e join puts p on p.user_id = e.user_id and (p.ts, p.event_id) < (e.ts, e.event_id) and e.ts < p.ts + interval 1 day group by 1)
+select e.event_id, h.event_id is not null as hit, coalesce(h.value, e.value) as value from e left join hits h using (event_id)""",
+    "vector_timeouts": """
+with c as (select user_id as document_id, event_id % 33 != 0 and event_id % 20 != 0 as ok from events where event_type = 'purchase')
+select document_id, case when bool_and(ok) then 'INDEXED' else 'FAILED' end as status, case when not bool_and(ok) then 'no vector' end as error_message from c group by 1""",
     "routing_trace": f"""with {_BEST}
 select q.query, coalesce('rules ' || coalesce(confidence, 0.8)::double || ' rule ' || id || ' ' || id || '; ', '') || 'fallback 0.3 nothing fits 1' as detectors, (coalesce(id, 0) + 1)::bigint as latency_ms,
   case when coalesce(confidence, 0.8) >= 0.3 and b.query is not null then 'rules' else 'fallback' end as chosen from q left join b using (query)""",

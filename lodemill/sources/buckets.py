@@ -107,4 +107,9 @@ class Buckets:
 
     def inserted(self, number: str) -> DataFrame:
         """The rows that were inserted under ``number``; no other file is read."""
-        return self.spark.read.schema(self.schema).option("recursiveFileLookup", True).parquet(f"{self.path}/bucket=*/batch={number}") if self._there() else self.spark.createDataFrame([], self.schema)
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/bucket=*/batch={number}")
+        found = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+        paths = [f.getPath().toString() for f in found or []]
+        if not paths:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).option("recursiveFileLookup", True).parquet(*paths)
