@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodemill.operators.rule_index import compiles, is_pattern, matches
+
 #: Kinds of processors in the order that decides ties, and the word lists of the rule router.
 PROCESSORS = ("BASIC", "MULTI_QUERY", "DECOMPOSITION", "HYDE", "STEP_BACK", "SELF_RAG", "ADAPTIVE_RAG", "RAG_FUSION")
 MULTI_QUERY_WORDS = ("比较", "对比", "不同", "区别", "多个", "列举", "枚举", "所有", "哪些", "列出")
@@ -34,25 +36,10 @@ def ordered_rules(rules: DataFrame) -> DataFrame:
     return rules.where("is_active").withColumn("seq", F.row_number().over(order))
 
 
-def _forced(rule_type: Column, mode: Column) -> Column:
-    """Whether a rule is a pattern."""
-    return (rule_type == "REGEX") | (F.upper(F.trim(F.coalesce(mode, F.lit("")))) == "REGEX")
-
-
 def with_valid_patterns(rules: DataFrame) -> DataFrame:
-    """``rules`` without the content of those whose pattern is none, so that they match nothing. Rules are a small table."""
-    spark = rules.sparkSession
-    compile = spark.sparkContext._jvm.java.util.regex.Pattern.compile
-    bad = []
-    for r in rules.where(_forced(F.col("rule_type"), F.col("match_mode"))).select("rule_content").where("rule_content is not null").distinct().collect():
-        try:
-            compile(r["rule_content"])
-        except Exception:
-            bad.append(r["rule_content"])
-    if not bad:
-        return rules
-    broken = _forced(F.col("rule_type"), F.col("match_mode")) & F.col("rule_content").isin(bad)
-    return rules.withColumn("rule_content", F.when(~F.coalesce(broken, F.lit(False)), F.col("rule_content")))
+    """``rules`` without the content of those whose pattern is none, so that they match nothing; patterns are tried where the rules are."""
+    pattern = is_pattern(F.col("rule_type"), F.col("match_mode"))
+    return rules.withColumn("rule_content", F.when(~pattern | compiles(F.when(pattern, F.col("rule_content"))), F.col("rule_content")))
 
 
 def rule_matches(text: Column, content: Column, rule_type: Column, mode: Column) -> Column:
@@ -61,7 +48,7 @@ def rule_matches(text: Column, content: Column, rule_type: Column, mode: Column)
     Patterns are to be valid (``with_valid_patterns``); a rule without content fits nothing.
     """
     m = F.upper(F.coalesce(F.nullif(F.trim(mode), F.lit("")), F.lit("CONTAINS")))
-    pattern = _forced(rule_type, mode)
+    pattern = is_pattern(rule_type, mode)
     plain = F.when(m == "EXACT", text == content).when(m == "PREFIX", F.startswith(text, content)).when(m == "SUFFIX", F.endswith(text, content)).otherwise(F.contains(text, content))
     fits = F.when(pattern, F.regexp_like(text, F.when(pattern, content).otherwise(F.lit("$^")))).otherwise(plain)
     return F.coalesce((F.trim(content) != "") & fits, F.lit(False))
@@ -72,12 +59,12 @@ def detect_by_rules(queries: DataFrame, rules: DataFrame, query: str = "query",
 
     Keyword rules go first; a hit keeps pattern rules from being asked, unless its rule cascades. Among rules of a stage
     the smaller priority wins, then the larger confidence, then the first; a rule that forbids cascading ends the stage
-    where it stands in the list. Rules are a small table, which is broadcast; one whose pattern is none matches nothing.
+    where it stands in the list. One whose pattern is none matches nothing. Which rules fit is asked of all together (``rule_index.matches``).
     """
-    r = ordered_rules(with_valid_patterns(rules)).where(F.col("rule_type").isin("KEYWORD", "REGEX"))
-    r = r.select(F.col("id").alias("rule_id"), "rule_type", "rule_content", "match_mode", "allow_cascade", "task_type", "target_processor", "confidence", "priority", "seq")
-    q = queries.select(F.col(query).alias("query"), F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"^\s+|\s+$", "").alias("_text")).where("_text != ''")
-    hits = q.join(F.broadcast(r), rule_matches(F.col("_text"), F.col("rule_content"), F.col("rule_type"), F.col("match_mode"))).withColumn("stage", (F.col("rule_type") == "REGEX").cast("int"))
+    r = ordered_rules(rules).where(F.col("rule_type").isin("KEYWORD", "REGEX"))
+    hits = matches(queries, r, query, text)
+    r = r.select(F.col("id").cast("long").alias("rule_id"), "rule_type", "match_mode", "allow_cascade", "task_type", "target_processor", "confidence", "priority", "seq")
+    hits = hits.join(r, "rule_id").withColumn("stage", (F.col("rule_type") == "REGEX").cast("int"))
     stage = Window.partitionBy("query", "stage")
     hits = hits.withColumn("stop", F.min(F.when(~F.col("allow_cascade"), F.col("seq"))).over(stage))
     hits = hits.where(F.col("stop").isNull() | (F.col("seq") == F.col("stop")))
@@ -106,7 +93,7 @@ def detect_by_examples(similarities: DataFrame, routes: DataFrame, threshold: fl
     """The best route of each query, where it reaches the route's own threshold or the common one."""
     order = Window.partitionBy("query").orderBy(F.desc("similarity"), "route")
     best = similarities.withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
-    joined = best.join(F.broadcast(routes.select("route", "threshold", "target_processor")), "route")
+    joined = best.join(routes.select("route", "threshold", "target_processor"), "route")
     return joined.where(F.col("similarity") >= F.coalesce("threshold", F.lit(threshold))).select("query", "route", "target_processor", F.col("similarity").alias("confidence"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodemill.operators import routing as R
+from lodemill.operators.rule_index import matches
 from lodemill.sources.tables import table
 from lodemill.streaming import ingest as I
 
@@ -42,18 +43,39 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
     return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query"), "text", "role")
 
 
+def _rules_of_parts(spark, sf):
+    """Parts as rules: size is the priority, every fourth one is not active."""
+    p = table(spark, sf, "part")
+    kind = F.element_at(F.array(*map(F.lit, ("KEYWORD", "REGEX", "SEMANTIC_EXAMPLE"))), F.col("p_size") % 3 + 1)
+    return p.select(F.col("p_partkey").alias("id"), kind.alias("rule_type"), F.when(F.col("p_size") % 7 != 0, F.col("p_size")).alias("priority"), F.when(F.col("p_size") % 5 != 0, F.floor("p_retailprice") / 10_000).alias("confidence"), (F.col("p_partkey") % 4 != 0).alias("is_active"))
+
+
 def rule_listing(spark, sf):
-    return R.active_rules(rules(spark)).select("id", "rule_type", "priority")
+    return R.active_rules(_rules_of_parts(spark, sf)).select("id", "rule_type", "priority")
 
 
 def rule_order(spark, sf):
-    return R.ordered_rules(rules(spark)).select("id", "rule_type", "seq")
+    return R.ordered_rules(_rules_of_parts(spark, sf)).select("id", "rule_type", "seq")
 
 
 def rule_matches(spark, sf):
-    q, r = questions(spark, sf), R.with_valid_patterns(rules(spark).where("is_active"))
-    hit = R.rule_matches(F.trim("text"), F.col("rule_content"), F.col("rule_type"), F.col("match_mode"))
-    return q.join(F.broadcast(r), hit).select("query", F.col("id").alias("rule_id"))
+    q, r = questions(spark, sf), rules(spark).where("is_active")
+    return matches(q, r)
+
+
+def _rules_of_words(spark, sf):
+    """Every word of the documents as a rule: contained, at the start, at the end, or as a pattern of its ends, by its length."""
+    w = table(spark, sf, "documents").select(F.explode(F.split("text", r"[^A-Za-z]+", -1)).alias("w")).where("w rlike '^[a-z]{4,}$'").distinct()
+    kind = F.length("w") % 5
+    content = F.when(kind == 4, F.concat(F.substring("w", 1, 3), F.lit("[a-z]*"), F.substring("w", -2, 2))).otherwise(F.col("w"))
+    mode = F.when(kind == 0, "PREFIX").when(kind == 1, " suffix").when(kind == 2, "")
+    return w.select(F.conv(F.substring(F.md5("w"), 1, 15), 16, 10).cast("long").alias("id"), F.when(kind == 4, "REGEX").otherwise("KEYWORD").alias("rule_type"), content.alias("rule_content"), mode.alias("match_mode"))
+
+
+def rules_of_words(spark, sf):
+    """How many of the documents' words fit each question as rules, and which is the first and last."""
+    hits = matches(questions(spark, sf), _rules_of_words(spark, sf))
+    return hits.groupBy("query").agg(F.count("*").alias("n"), F.min("rule_id").alias("first"), F.max("rule_id").alias("last"))
 
 
 def rule_best(spark, sf):
@@ -154,12 +176,14 @@ def user_sessions(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        rule_listing, rule_order, rule_matches, rule_best, router_first_match, router_scored, strategy_map, downgrade, tool_fallback, detector_cascade, planner_intents, planner_cached, fallback_intents, evaluation_parse,
+        rule_listing, rule_order, rule_matches, rules_of_words, rule_best, router_first_match, router_scored, strategy_map, downgrade, tool_fallback, detector_cascade, planner_intents, planner_cached, fallback_intents, evaluation_parse,
         context_merge, hourly_events, user_sessions,
     )
 }
 
 _R = "r as (select * from (values " + ", ".join("(" + ", ".join(map(_sql, r)) + ")" for r in RULE_ROWS) + ") t(id, rule_type, rule_content, task_type, target_processor, confidence, priority, is_active, match_mode, allow_cascade))"
+_PARTS = """r as (select p_partkey as id, ['KEYWORD', 'REGEX', 'SEMANTIC_EXAMPLE'][p_size % 3 + 1] as rule_type, case when p_size % 7 != 0 then p_size end as priority,
+  case when p_size % 5 != 0 then floor(p_retailprice) / 10000 end as confidence, p_partkey % 4 != 0 as is_active from part)"""
 _Q = "q as (select conv_id * 1000 + turn as query, text, role from conversations)"
 _HIT = """case when rule_content = '([' then false when rule_type = 'REGEX' then regexp_matches(trim(text, ' '), rule_content) when match_mode = 'PREFIX' then starts_with(trim(text, ' '), rule_content) when match_mode = 'SUFFIX' then ends_with(trim(text, ' '), rule_content)
   else contains(trim(text, ' '), rule_content) end"""
@@ -175,8 +199,13 @@ _LIKE = lambda ws: "(" + " or ".join(f"contains(low, '{w}')" for w in ws) + ")"
 _TASK = "['FAQ', 'COMPARISON', 'ANALYSIS', 'TROUBLESHOOT', 'DECISION_SUPPORT', 'ORDER_LOOKUP', 'CHAT'][doc_id % 7 + 1]"
 
 ORACLES = {
-    "rule_listing": f"with {_R} select id::bigint as id, rule_type, priority::int as priority from r where is_active",
-    "rule_order": f"with {_R} select id::bigint as id, rule_type, (row_number() over (partition by rule_type order by priority asc nulls last, coalesce(confidence, 0) desc, id))::int as seq from r where is_active",
+    "rule_listing": f"with {_PARTS} select id, rule_type, priority from r where is_active",
+    "rule_order": f"with {_PARTS} select id, rule_type, (row_number() over (partition by rule_type order by priority asc nulls last, coalesce(confidence, 0) desc, id))::int as seq from r where is_active",
+    "rules_of_words": f"""
+with {_Q}, w as (select distinct unnest(regexp_split_to_array(text, '[^A-Za-z]+')) as w from documents),
+r as (select ('0x' || md5(w)[1:15])::bigint as id, length(w) % 5 as kind, w from w where regexp_matches(w, '^[a-z]{{4,}}$')),
+h as (select query, id from (select query, trim(text, ' ') as t from q) q, r where case kind when 0 then starts_with(t, w) when 1 then ends_with(t, w) when 4 then regexp_matches(t, w[1:3] || '[a-z]*' || w[-2:]) else contains(t, w) end)
+select query, count(*) as n, min(id) as first, max(id) as last from h group by 1""",
     "rule_matches": f"with {_R}, {_Q} select query, id::bigint as rule_id from q, r where is_active and {_HIT}",
     "rule_best": f"with {_BEST} select query, id::bigint as rule_id, task_type, target_processor, coalesce(confidence, 0.8)::double as confidence, case when stage = 1 then 'REGEX' else 'KEYWORD' end as stage from b",
     "router_first_match": f"""with {_Q}, k as (select query, text, lower(text) as low from q)
