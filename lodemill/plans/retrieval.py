@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodemill.functions import vectors as V
 from lodemill.operators import retrieval as R
 from lodemill.operators import store as S
+from lodemill.operators import vector_lists
 from lodemill.sources.tables import table
 
 #: Probes are the vectors whose ids 20 divides.
@@ -32,6 +33,11 @@ def knn_topk(spark, sf):
     return R.top_k(corpus(spark, sf), probes(spark, sf), 20).select("probe", "id", "score", "rank")
 
 
+def knn_lists(spark, sf):
+    """The same by lists of vectors, of which those are read that may hold what a probe looks for."""
+    return vector_lists.build(corpus(spark, sf).select("id", "vector"), 20).search(probes(spark, sf), 20)
+
+
 def knn_by_index(spark, sf):
     first = table(spark, sf, "embeddings").where("vec_id = 7").first()
     return R.nearest(corpus(spark, sf), first["embedding"], 10, index_name=str(first["label"]), dimensions=64).select("id", "index_name", "score")
@@ -150,7 +156,7 @@ def vector_rows(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        knn_topk, knn_by_index, knn_join_context, doc_score_max, doc_score_mean_top2, rerank_full, rerank_threshold, rerank_fallback, vector_similarities, cosine_truncated, l2_norms, vector_text_codec,
+        knn_topk, knn_lists, knn_by_index, knn_join_context, doc_score_max, doc_score_mean_top2, rerank_full, rerank_threshold, rerank_fallback, vector_similarities, cosine_truncated, l2_norms, vector_text_codec,
         vector_binary_codec, semantic_route, semantic_margin, semantic_router, near_duplicate_cache, vector_rows,
     )
 }
@@ -198,6 +204,7 @@ m as (select query, route, round(greatest(0, max({_COS.format(a="q.v", b="r.v")}
 
 ORACLES = {
     "knn_topk": _CAND + " select probe, id, score, rank from c where rank <= 20",
+    "knn_lists": _CAND + " select probe, id, score, rank from c where rank <= 20",
     "knn_by_index": f"""
 with p as (select * from embeddings where vec_id = 7)
 select e.vec_id as id, e.label::varchar as index_name, round({_COS.format(a="e.embedding", b="p.embedding")}, 6) as score
