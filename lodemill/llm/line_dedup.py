@@ -44,29 +44,36 @@ def _extended(ranked: DataFrame, by: DataFrame, shift: int, name: str) -> DataFr
 class SuffixArray:
     """Ranks of the repeated runs of 1, 2, 4, ... lines of ``lines(id, pos, line, words)``; ``pos`` counts 0, 1, 2 in a document.
 
-    ``levels[k]`` has the positions whose 2**k lines stand elsewhere too; beyond the last there are none.
+    ``level(k)`` has the positions whose 2**k lines stand elsewhere too. Rounds are made when they are asked for, and kept.
     """
 
     def __init__(self, lines: DataFrame) -> None:
-        self.levels = [_ranked(lines, ["line", "words"], "lines")]
-        while True:
-            k = len(self.levels)
-            following = _extended(self.levels[-1], self.levels[-1], 1 << (k - 1), f"depth{k}")
+        self.levels, self.whole = [_ranked(lines, ["line", "words"], "lines")], False
+
+    def level(self, k: int) -> DataFrame | None:
+        """The positions of round k; none if no 2**k lines stand twice."""
+        while len(self.levels) <= k and not self.whole:
+            n = len(self.levels)
+            following = _extended(self.levels[-1], self.levels[-1], 1 << (n - 1), f"depth{n}")
             if following.isEmpty():
-                return
-            self.levels.append(following)
+                self.whole = True
+            else:
+                self.levels.append(following)
+        return self.levels[k] if k < len(self.levels) else None
 
     def at_depth(self, depth: int) -> DataFrame:
         """The positions whose ``depth`` lines stand elsewhere too: two overlapping runs of a power of two."""
         k = depth.bit_length() - 1
-        if k >= len(self.levels):
+        level = self.level(k)
+        if level is None:
             return self.levels[0].limit(0)
-        level = self.levels[k]
         return level if depth == 1 << k else _extended(level, level, depth - (1 << k), f"lines{depth}")
 
     def shared(self, least: int) -> DataFrame:
         """``id``, ``pos``, ``lines``: how many lines from a position on stand elsewhere too, where it is ``least`` or more."""
         begin, state = least.bit_length() - 1, None  # shorter runs than those of this round do not count
+        while self.level(len(self.levels)) is not None:
+            pass  # rounds go on until nothing is left
         for k in range(len(self.levels) - 1, -1, -1):
             if k >= begin:
                 state = self._dropped(k) if state is None else state.unionByName(self._dropped(k))
