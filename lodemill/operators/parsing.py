@@ -63,11 +63,28 @@ def legacy_parsing_mode(forced: Column, extension: Column, text: Column, has_tab
     return F.when(forced | ((F.lower(extension) == "pdf") & F.coalesce(has_table, F.lit(False))) | ~is_high_quality(F.coalesce(text, F.lit(""))), "OCR").otherwise("SIMPLE")
 
 
-def recent_durations(rows: DataFrame, duration: str, order: list[str], keys: list[str] | None = None, size: int = 20) -> DataFrame:
-    """Adds ``seen``, ``mean``, ``spread`` and ``largest`` of the last ``size`` durations, this one included."""
-    last = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(*order).rowsBetween(1 - size, 0)
+#: Rows of a stretch of a sequence that are looked at together.
+STRETCH = 100_000
+
+
+def recent_durations(rows: DataFrame, duration: str, order: list[str], keys: list[str] | None = None, size: int = 20, stretch: int = STRETCH) -> DataFrame:
+    """Adds ``seen``, ``mean``, ``spread`` and ``largest`` of the last ``size`` durations, this one included, in the order of ``order`` (of each of ``keys``).
+
+    Null durations are in their place but are not counted. Rows that tie in ``order`` follow each other by the rest of their
+    values. Rows are numbered in ranges of that order, and a stretch of the sequence gets the ``size - 1`` rows before it
+    handed on, so that one sequence, or one key with most of the rows, is spread over as many tasks as it has stretches.
+    """
+    from lodemill.operators.store import numbered
+
+    rest = [f.name for f in rows.schema.fields if f.name not in [*(keys or []), *order] and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    placed = numbered(rows, [*(keys or []), *order, *rest]).withColumn("_n", F.col("_n") - 1)
+    own = F.floor(F.col("_n") / stretch)
+    handed = F.sequence(own, F.floor((F.col("_n") + size - 1) / stretch))  # to every stretch with a row that looks back so far
+    dealt = placed.withColumn("_own", own).withColumn("_stretch", F.explode(handed))
+    last = Window.partitionBy("_stretch", *(keys or [])).orderBy("_n").rowsBetween(1 - size, 0)
     d = F.col(duration)
-    return rows.select("*", F.count(d).over(last).alias("seen"), F.avg(d).over(last).alias("mean"), F.stddev_pop(d).over(last).alias("spread"), F.max(d).over(last).alias("largest"))
+    told = dealt.select("*", F.count(d).over(last).alias("seen"), F.avg(d).over(last).alias("mean"), F.stddev_pop(d).over(last).alias("spread"), F.max(d).over(last).alias("largest"))
+    return told.where(F.col("_stretch") == F.col("_own")).drop("_n", "_own", "_stretch")
 
 
 def dynamic_timeout(mean: Column, spread: Column) -> Column:

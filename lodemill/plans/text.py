@@ -124,6 +124,14 @@ def word_accuracy(spark, sf):
     return _pairs(spark, sf).select("doc_id", *_round(accuracy=E.word_accuracy("guess", "truth")))
 
 
+def ocr_overall(spark, sf):
+    """What is read of a part, beside what it says: characters, words and both, and what is kept of the words."""
+    d = table(spark, sf, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand", F.lower("p_type")).alias("guess"), F.concat_ws("  ", F.initcap("p_type"), "p_name", F.when(F.col("p_size") % 2 == 0, F.col("p_brand"))).alias("truth"))
+    full = E.full_accuracy(E.character_accuracy(F.col("guess"), F.col("truth")), E.word_accuracy("guess", "truth"), F.when(F.col("p_partkey") % 3 == 0, 0.5), E.compression(F.col("guess"), F.col("truth")))
+    d = d.select("p_partkey", full.alias("e"))
+    return d.select("p_partkey", *_round(characters=F.col("e.characters"), words=F.col("e.words"), tables=F.col("e.tables"), overall=F.col("e.overall"), effective=F.col("e.compression.effective")))
+
+
 def table_edit_similarity(spark, sf):
     d = docs(spark, sf).select("doc_id", F.concat(F.lit("| a | b |\n|---|---|\n| "), F.regexp_replace("text", r"\s+", " "), F.lit(" | x |")).alias("guess"))
     return d.select("doc_id", *_round(similarity=E.table_similarity("guess", F.lit("| A | **b** |\n|---|---|\n| y | x |\n| z | z |"))))
@@ -309,6 +317,13 @@ def dynamic_timeout(spark, sf):
     return d.select("event_id", P.dynamic_timeout(F.col("mean"), F.col("spread")).alias("timeout"), *_round(mean=F.col("mean"), largest=F.col("largest")))
 
 
+def sequence_statistics(spark, sf):
+    """All events as one sequence, each with what the twenty before it took."""
+    e = table(spark, sf, "events").select("event_id", "ts", F.when(F.col("event_type") != "error", F.col("value") * 1000).alias("ms"))
+    d = P.recent_durations(e, "ms", ["ts", "event_id"], stretch=1000)
+    return d.select("event_id", "seen", *_round(mean=F.col("mean"), spread=F.col("spread"), largest=F.col("largest")))
+
+
 def slow_mode(spark, sf):
     d = _durations(spark, sf).withColumn("mean", F.col("mean") * 2)
     return d.select("event_id", P.is_slow(F.col("seen"), F.col("mean")).alias("slow"), P.network_status(F.col("mean")).alias("status"), P.parallelism(F.col("seen"), F.col("mean"), 4).alias("parallel"), P.remaining_time(F.col("mean"), F.lit(9), F.lit(4)).alias("remaining"))
@@ -339,7 +354,7 @@ QUERIES = {
         text_quality_metrics, quality_gate, quality_score, chunk_fixed, chunk_rows_positions, chunk_paragraph_counts, token_counts, summaries, file_extensions, cache_keys, metadata_parse, first_filled,
         image_formats, html_title_lang, html_body, char_accuracy, word_accuracy, table_edit_similarity, retention, compression, qa_pairs, qa_coverage, overall_score, doc_stats, confidence_hist,
         structure_scores, document_markdown, json_round_trip, chunkable_units, unit_boundaries, table_chunks, table_row_context, element_ids, chunk_strategy, list_and_table, table_merge, ocr_pipeline,
-        header_similarities, table_indicators, table_score, parsing_modes, dynamic_timeout, slow_mode, total_timeouts, pending_pages, page_cache_stats,
+        header_similarities, table_indicators, table_score, parsing_modes, dynamic_timeout, sequence_statistics, ocr_overall, slow_mode, total_timeouts, pending_pages, page_cache_stats,
     )
 } | {f"chunk_{n}": _chunks(s) for n, s in (("recursive", "RECURSIVE_CHARACTER"), ("sentence", "SENTENCE"), ("paragraph", "PARAGRAPH"), ("token", "TOKEN"), ("cjk", "CHINESE_WORD"))}
 
@@ -516,6 +531,18 @@ k as (select doc_id, coalesce(aligned, 0)::int as aligned, len(regexp_extract_al
 i as (select *, (case when tabs > 2 then tabs else 0 end + case when spaces > 5 then spaces // 2 else 0 end + case when numbers > 2 then numbers * 2 else 0 end + case when heads > 2 then heads * 3 else 0 end + case when aligned > 3 then aligned * 2 else 0 end)::bigint as indicators from k)
 select *, indicators > 10 or (heads >= 2 and (spaces > 3 or aligned > 2)) as has_table from i""",
     "dynamic_timeout": f"with {_DUR} select event_id, greatest(15000, least(300000, trunc(2.5 * mean + 2 * spread + 5000)::bigint))::bigint as timeout, round(mean, 6) as mean, round(largest, 6) as largest from d",
+    "sequence_statistics": """
+with m as (select event_id, ts, case when event_type != 'error' then value * 1000 end as ms from events)
+select event_id, count(ms) over w as seen, round(avg(ms) over w, 6) as mean, round(stddev_pop(ms) over w, 6) as spread, round(max(ms) over w, 6) as largest
+from m window w as (order by ts, event_id rows between 19 preceding and current row)""",
+    "ocr_overall": f"""
+with p as (select p_partkey, p_size, concat_ws(' ', p_name, p_brand, lower(p_type)) as guess, concat_ws('  ', upper(p_type[1:1]) || lower(p_type[2:]), p_name, case when p_size % 2 = 0 then p_brand end) as truth from part),
+w as (select *, {_words_sql('guess')} as wa, {_words_sql('truth')} as wb from p),
+n as (select *, list_distinct(list_concat(wa, wb)) as k from w),
+c as (select *, array_to_string(list_transform(wa, lambda x: chr((64 + list_position(k, x))::int)), '') as ca, array_to_string(list_transform(wb, lambda x: chr((64 + list_position(k, x))::int)), '') as cb from n),
+a as (select *, 1 - levenshtein(guess, truth) / greatest(length(guess), length(truth))::double as characters, 1 - levenshtein(ca, cb) / greatest(len(wa), len(wb))::double as words, case when p_partkey % 3 = 0 then 0.5::double else 0 end as tables from c)
+select p_partkey, round(characters, 6) as characters, round(words, 6) as words, round(tables, 6) as tables, round(0.4 * characters + 0.3 * words + 0.3 * tables, 6) as overall,
+  round(ceil(length(guess) / 4.0::double) / ceil(length(truth) / 4.0::double) * {_RET}, 6) as effective from a""",
     "slow_mode": f"""with {_DUR}, k as (select event_id, seen, mean * 2 as mean from d)
 select event_id, seen >= 3 and mean > 90000 as slow, case when mean < 10000 then 'excellent' when mean < 30000 then 'good' when mean < 60000 then 'fair' when mean < 120000 then 'slow' else 'very slow' end as status,
   case when seen >= 3 and mean > 90000 then 2 when mean < 15000 then 8 else 4 end as parallel, floor(mean)::bigint * 3 + 10000 as remaining from k""",

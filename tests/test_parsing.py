@@ -114,3 +114,42 @@ def test_documents_without_key_or_expected_twice(spark):
     out, cache = parsing.ocr_documents(expected.where("page_count > 0").unionByName(spark.createDataFrame([(4, 1)], "doc_key long, page_count int")), empty, parse, F.lit("2024-01-31").cast("timestamp"), 1, wait=lambda _: None)
     got = {r["doc_key"]: (r["status"], r["pages_ok"], r["total_elements"]) for r in out.collect()}
     assert got == {1: ("COMPLETE", 2, 2), None: ("FAILED", 0, 0), 3: ("FAILED", 0, 0), 4: ("COMPLETE", 1, 1)} and out.count() == 4
+
+
+def test_a_sequence_is_the_same_in_any_stretches(spark):
+    rng = random.Random(3)
+    rows = [(k % 3 if k % 5 else None, rng.randint(0, 40), k, None if rng.random() < 0.2 else rng.random() * 100) for k in range(500)]
+    frame = spark.createDataFrame(rows, "k int, at int, id int, ms double").repartition(5)
+
+    def plain(keys: bool) -> dict[int, tuple]:
+        out = {}
+        for group in {r[0] for r in rows} if keys else {0}:
+            own = sorted((r for r in rows if not keys or r[0] == group), key=lambda r: (r[1], r[2]))
+            for i, r in enumerate(own):
+                last = [x[3] for x in own[max(0, i - 19) : i + 1] if x[3] is not None]
+                mean = sum(last) / len(last) if last else None
+                spread = (sum((x - mean) ** 2 for x in last) / len(last)) ** 0.5 if last else None
+                out[r[2]] = (len(last), mean, spread, max(last, default=None))
+        return out
+
+    for keys in (None, ["k"]):
+        want = plain(bool(keys))
+        for stretch in (7, 20, 33, 100_000):
+            got = parsing.recent_durations(frame, "ms", ["at", "id"], keys, stretch=stretch)
+            assert got.columns == [*frame.columns, "seen", "mean", "spread", "largest"]
+            found = {r["id"]: (r["seen"], r["mean"], r["spread"], r["largest"]) for r in got.collect()}
+            assert found.keys() == want.keys() and all(found[k][0] == want[k][0] and found[k][3] == want[k][3] and all((x is None) == (y is None) and (x is None or abs(x - y) < 1e-9) for x, y in zip(found[k][1:3], want[k][1:3], strict=True)) for k in want)
+    plan = parsing.recent_durations(frame, "ms", ["at", "id"])._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_stretch" in plan and plan.count("SinglePartition") <= 1  # that one is of a row for each range
+    assert parsing.recent_durations(frame.limit(0), "ms", ["at"]).count() == 0
+
+
+def test_clarifications_say_what_is_missing(spark):
+    from lodemill.operators import answering
+
+    rows = [(None, None), ("  ", "FAQ"), ("short", "FAQ"), ("How does it differ from the other one?", "FAQ"), ("How do I reset the password of a user?", None), ("it?", "unknown"), ("Compare tables of two documents in full, please, and say why", "COMPARISON")]
+    d = spark.createDataFrame(rows, "text string, task string")
+    got = [r[0] for r in d.select(answering.clarification(F.col("text"), F.col("task"))).collect()]
+    assert got[:2] == [answering.CLARIFICATION] * 2 and got[2] == 'About "short": It is very short; please say more of it.'
+    assert "points to" in got[3] and "explained" not in got[3] and "explained" in got[4] and got[5].count(".") == 2 and "explained" in got[5]
+    assert got[6] == f'About "Compare tables of two documents in full,...": {answering.CLARIFICATION}'
