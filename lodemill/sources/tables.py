@@ -5,8 +5,11 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared(spark: SparkSession, name: str) -> str:
@@ -59,3 +62,73 @@ def read_jdbc(spark: SparkSession, url: str, table: str, properties: dict[str, s
 
 def write_jdbc(df: DataFrame, url: str, table: str, properties: dict[str, str] | None = None, mode: str = "append", batch: int = 1000) -> None:
     df.write.format("jdbc").mode(mode).option("url", url).option("dbtable", table).option("batchsize", batch).options(**(properties or {})).save()
+
+
+def upsert_statement(url: str, table: str, stage: str, keys: list[str], columns: list[str], null_keeps: bool = False) -> str:
+    """The statement by which a database takes ``stage`` into ``table``: rows of known keys are updated, the others inserted.
+
+    With ``null_keeps`` a null leaves what is there.
+    """
+    rest = [c for c in columns if c not in keys]
+    value = lambda c, new, old: f"coalesce({new}.{c}, {old}.{c})" if null_keeps else f"{new}.{c}"
+    if url.startswith(("jdbc:mysql", "jdbc:mariadb")):
+        sets = ", ".join(f"{c} = " + (f"coalesce(values({c}), {table}.{c})" if null_keeps else f"values({c})") for c in rest or keys)
+        return f"insert into {table} ({', '.join(columns)}) select {', '.join(columns)} from {stage} on duplicate key update {sets}"
+    on = " and ".join(f"t.{k} = s.{k}" for k in keys)
+    update = f" when matched then update set {', '.join(f'{c} = {value(c, chr(115), chr(116))}' for c in rest)}" if rest else ""
+    return f"merge into {table} t using {stage} s on {on}{update} when not matched then insert ({', '.join(columns)}) values ({', '.join(f's.{c}' for c in columns)})"
+
+
+def upsert_jdbc(df: DataFrame, url: str, table: str, keys: list[str], properties: dict[str, str] | None = None, batch: int = 1000, null_keeps: bool = False) -> None:
+    """Rows of ``df`` taken into a database's table, all of them or none, each once, however often a task is run again.
+
+    Tasks write to a table beside it, made like the columns of ``table``; when all are done, its different rows are taken over
+    by one statement in one transaction, and it goes, also when something fails. Of rows that share their keys the least
+    counts; rows with a null key are left out. Names are those of the database and are not quoted. To Derby Spark sends null
+    strings as CLOB, which it does not take for VARCHAR.
+    """
+    columns, spark = df.columns, df.sparkSession
+    rest = [c for c in columns if c not in keys]
+    known = df.where(" and ".join(f"`{k}` is not null" for k in keys))
+    once = known.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row")).select(*keys, "_row.*").select(*columns) if rest else known.distinct()
+    mark = uuid.uuid4().hex[:12]
+    stage, different = f"{table}_in_{mark}", f"{table}_once_{mark}"
+    names = ", ".join(columns)
+    like = "as select {0} from {1} with no data" if url.startswith("jdbc:derby") else "as select {0} from {1} where 1 = 0"
+    with _connection(spark, url, properties) as run:
+        try:
+            for name in (stage, different):
+                run([f"create table {name} {like.format(names, table)}"])
+            write_jdbc(once, url, stage, properties, "append", batch)
+            run([f"insert into {different} ({names}) select distinct {names} from {stage}", upsert_statement(url, table, different, keys, columns, null_keeps)])
+        finally:
+            for name in (stage, different):
+                with suppress(Exception):  # it may not have come to be
+                    run([f"drop table {name}"])
+
+
+@contextmanager
+def _connection(spark: SparkSession, url: str, properties: dict[str, str] | None) -> Iterator[Callable[[list[str]], None]]:
+    """What runs statements on the database in one transaction, or takes all of them back."""
+    jvm = spark.sparkContext._jvm
+    own = jvm.java.util.Properties()
+    for k, v in (properties or {}).items():
+        own.setProperty(k, v)
+    connection = jvm.java.sql.DriverManager.getConnection(url, own)
+    connection.setAutoCommit(False)
+
+    def run(statements: list[str]) -> None:
+        try:
+            for text in statements:
+                statement = connection.createStatement()
+                statement.execute(text)
+                statement.close()
+            connection.commit()
+        except Exception:
+            connection.rollback()
+            raise
+
+    try:
+        yield run
+    finally:
+        connection.close()
