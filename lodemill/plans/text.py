@@ -10,6 +10,7 @@ from lodemill.functions import layout as L
 from lodemill.functions import splitting as C
 from lodemill.functions import text as X
 from lodemill.operators import parsing as P
+from lodemill.operators import segmentation as G
 from lodemill.sources import html as H
 from lodemill.sources.tables import table, written
 
@@ -53,6 +54,29 @@ def _chunks(strategy):
     return run
 
 
+#: Chinese signs that stand in for letters, so that the tables have a text without spaces.
+LETTERS, CHINESE = "abcdefghijklmnopqrstuvwxyz", "的一是了我不人在他有这个上们来到时大地为子中你说生国"
+
+
+def _unspaced(spark, sf):
+    """Conversations in signs for letters, without spaces; a sentence's end ends a run."""
+    c = table(spark, sf, "conversations")
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query"), F.translate(F.regexp_replace(F.lower("text"), "[^a-z.]", ""), LETTERS, CHINESE).alias("text"))
+
+
+def chinese_lexicon(spark, sf):
+    """Strings of signs that are words, by their counts."""
+    w = G.lexicon(_unspaced(spark, sf), "text", least=20, information=1.5, entropy=1.0)
+    return w.select("word", "c", *_round(information=F.col("information"), entropy=F.col("entropy")))
+
+
+def chinese_words(spark, sf):
+    """Every text cut into words of its own corpus: how many, how many signs they have, and what they spell."""
+    d = _unspaced(spark, sf)
+    w = G.segmented(d, "text", G.lexicon(d, "text", least=20, information=1.5, entropy=1.0))
+    return w.select("query", F.size("words").alias("n_words"), F.sha2(F.array_join("words", ""), 256).alias("spelled"))
+
+
 def chunk_paragraph_counts(spark, sf):
     """With chunks of a text's size, a paragraph splitter returns the text whole, its blank lines as spaces."""
     whole = C.split(F.col("text"), 10_000_000, 0, "PARAGRAPH")
@@ -354,7 +378,7 @@ QUERIES = {
         text_quality_metrics, quality_gate, quality_score, chunk_fixed, chunk_rows_positions, chunk_paragraph_counts, token_counts, summaries, file_extensions, cache_keys, metadata_parse, first_filled,
         image_formats, html_title_lang, html_body, char_accuracy, word_accuracy, table_edit_similarity, retention, compression, qa_pairs, qa_coverage, overall_score, doc_stats, confidence_hist,
         structure_scores, document_markdown, json_round_trip, chunkable_units, unit_boundaries, table_chunks, table_row_context, element_ids, chunk_strategy, list_and_table, table_merge, ocr_pipeline,
-        header_similarities, table_indicators, table_score, parsing_modes, dynamic_timeout, sequence_statistics, ocr_overall, slow_mode, total_timeouts, pending_pages, page_cache_stats,
+        header_similarities, table_indicators, table_score, parsing_modes, chinese_lexicon, chinese_words, dynamic_timeout, sequence_statistics, ocr_overall, slow_mode, total_timeouts, pending_pages, page_cache_stats,
     )
 } | {f"chunk_{n}": _chunks(s) for n, s in (("recursive", "RECURSIVE_CHARACTER"), ("sentence", "SENTENCE"), ("paragraph", "PARAGRAPH"), ("token", "TOKEN"), ("cjk", "CHINESE_WORD"))}
 
@@ -531,6 +555,16 @@ k as (select doc_id, coalesce(aligned, 0)::int as aligned, len(regexp_extract_al
 i as (select *, (case when tabs > 2 then tabs else 0 end + case when spaces > 5 then spaces // 2 else 0 end + case when numbers > 2 then numbers * 2 else 0 end + case when heads > 2 then heads * 3 else 0 end + case when aligned > 3 then aligned * 2 else 0 end)::bigint as indicators from k)
 select *, indicators > 10 or (heads >= 2 and (spaces > 3 or aligned > 2)) as has_table from i""",
     "dynamic_timeout": f"with {_DUR} select event_id, greatest(15000, least(300000, trunc(2.5 * mean + 2 * spread + 5000)::bigint))::bigint as timeout, round(mean, 6) as mean, round(largest, 6) as largest from d",
+    "chinese_lexicon": f"""
+with r as (select unnest(string_split(translate(regexp_replace(lower(text), '[^a-z.]', '', 'g'), '{LETTERS}', '{CHINESE}'), '.')) as run from conversations),
+s as (select run, unnest([1, 2, 3, 4, 5]) as n from r), a as (select n, run, unnest(range(1, length(run) - n + 2)) as i from s where length(run) >= n),
+g as (select n, substr(run, i, n) as gram, count(*) as c from a group by 1, 2), t as (select n, sum(c)::double as total from g group by 1),
+p as (select gram, g.n, c, c / total as p from g join t using (n) where g.n <= 4 and (c >= 20 or g.n = 1)),
+k as (select gram, n, c, p, unnest(range(1, n)) as cut from p where n > 1),
+i as (select k.gram, min(k.c) as c, round(min(ln(k.p / (x.p * y.p))), 9) as information from k join p x on x.gram = k.gram[1:cut] join p y on y.gram = k.gram[cut + 1:] group by 1),
+e1 as (select gram[1:n - 1] as gram, sum(c * ln(c::double)) as e from g where n > 1 group by 1), e2 as (select gram[2:] as gram, sum(c * ln(c::double)) as e from g where n > 1 group by 1),
+w as (select gram as word, c, information, least(round(ln(c::double) - coalesce(e1.e, 0) / c, 9), round(ln(c::double) - coalesce(e2.e, 0) / c, 9)) as entropy from i left join e1 using (gram) left join e2 using (gram))
+select word, c, round(information, 6) as information, round(entropy, 6) as entropy from w where information >= 1.5 and entropy >= 1 union all select gram, c, null, null from p where n = 1""",
     "sequence_statistics": """
 with m as (select event_id, ts, case when event_type != 'error' then value * 1000 end as ms from events)
 select event_id, count(ms) over w as seen, round(avg(ms) over w, 6) as mean, round(stddev_pop(ms) over w, 6) as spread, round(max(ms) over w, 6) as largest
