@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodemill.functions import text as X
 from lodemill.operators import config_graph as G
+from lodemill.operators import keyword_index as keyword_lists
 from lodemill.operators import planner as P
 from lodemill.operators import store as S
 from lodemill.sources.tables import table
@@ -87,6 +89,16 @@ def keyword_chunks(spark, sf):
     return S.matching(rows, contains={"content": "the th"}).select("id", F.round("quality", 6).alias("quality"))
 
 
+#: Keywords of every length and kind: rare and frequent, too short for a trigram, with wild cards.
+KEYWORDS = ("license", "the th", "hereby granted", "q", "e", "a%license", "zzz", "und _er")
+
+
+def keyword_index(spark, sf):
+    """Which documents hold which keyword, found by their trigrams."""
+    index = keyword_lists.build(documents(spark, sf).select("id", "content"), "content", ["id"])
+    return reduce(DataFrame.unionByName, [index.search(k).select(F.lit(k).alias("keyword"), "id") for k in KEYWORDS])
+
+
 def in_list(spark, sf):
     wanted = table(spark, sf, "labels").where("toxic = 1").select("doc_id")
     return S.among(documents(spark, sf), "id", wanted).select("id", "status")
@@ -325,7 +337,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         count_by_status, count_by_type_range, count_half_open, avg_latency, count_unvectorized, doc_dynamic_filter, query_dynamic_filter, chunk_dynamic_filter, point_lookup, newest_by_status, children_by_position,
-        keyword_docs, keyword_chunks, in_list, in_short_list, time_range, history_session, history_user, pending_documents, pending_chunks, chunks_of_document, chunk_by_vector, page_slice, page_total,
+        keyword_docs, keyword_chunks, keyword_index, in_list, in_short_list, time_range, history_session, history_user, pending_documents, pending_chunks, chunks_of_document, chunk_by_vector, page_slice, page_total,
         chunk_doc_context, upsert_patch, upsert_new, status_reset, flag_vectorized, delete_anti, insert_generated, idempotent_append, page_merge, doc_completion, first_seen_users, ttl_filter, fifo_bucket,
         fifo_bounded, cache_eviction, count_vectors_by_index, vector_by_external_id, vector_dynamic_filter, config_enabled, config_by_kind, config_writes, config_prompts,
         memoized_lengths, dag_levels, step_prompts, config_models, config_graph_walk, config_tools, config_assembled, region_revenue,
@@ -365,6 +377,7 @@ ORACLES = {
     "children_by_position": f"select id, position from {_DOC} t where parent_id = 3",
     "keyword_docs": f"select id, source from {_DOC} t where title like '%license%' or content like '%license%'",
     "keyword_chunks": f"select id, round(quality, 6) as quality from {_QUAL} t where content like '%the th%'",
+    "keyword_index": f"select keyword, id from {_DOC} t, (select unnest({list(KEYWORDS)}) as keyword) k where content like '%' || keyword || '%'",
     "in_list": f"select id, status from {_DOC} t where id in (select doc_id from labels where toxic = 1)",
     "in_short_list": f"select id, status from {_EV} t where id in (1, 5, 77, 99999999)",
     "time_range": f"select id, status from {_EV} t where {_RANGE}",
