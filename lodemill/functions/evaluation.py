@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from bisect import bisect_left
+from collections.abc import Callable, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,25 +23,79 @@ def _by_emptiness(predicted: Column, truth: Column, value: Column) -> Column:
     return F.when(no_truth & no_guess, 1.0).when(no_truth | no_guess, 0.0).otherwise(value)
 
 
-def character_accuracy(predicted: Column, truth: Column) -> Column:
-    """1 less the edit distance over the longer length, in code points."""
-    return _by_emptiness(predicted, truth, 1 - F.levenshtein(predicted, truth) / F.greatest(F.length(predicted), F.length(truth)))
+#: Cells of a table of edit distances from which a pair of texts goes to the bit-parallel way, and columns that share a window.
+LONG, COLUMNS = 4_000_000, 512
 
 
-def edit_distance(a: list, b: list) -> int:
-    """Levenshtein distance of sequences, a row of the table at a time in numpy."""
-    if not a or not b:
+def character_accuracy(predicted: Column, truth: Column) -> Column:
+    """1 less the edit distance over the longer length, in code points; long texts are compared 64 cells a word, within a band."""
+    n, m = F.length(predicted), F.length(truth)
+    long = n.cast("long") * m > LONG
+    far = _long_distance(F.when(long, predicted), F.when(long, truth))
+    return _by_emptiness(predicted, truth, 1 - F.when(long, far).otherwise(F.levenshtein(F.when(~long, predicted), F.when(~long, truth))) / F.greatest(n, m))
+
+
+@F.pandas_udf(T.IntegerType())
+def _long_distance(predicted: pd.Series, truth: pd.Series) -> pd.Series:
+    return pd.Series([None if p is None or t is None else edit_distance(p, t) for p, t in zip(predicted, truth, strict=True)], dtype="Int32")
+
+
+def edit_distance(a: Sequence, b: Sequence) -> int:
+    """Levenshtein distance of strings or lists: within a band about the diagonal, which widens until the distance fits in."""
+    start, stop = 0, min(len(a), len(b))
+    while start < stop and a[start] == b[start]:
+        start += 1
+    end = 0
+    while end < stop - start and a[len(a) - 1 - end] == b[len(b) - 1 - end]:
+        end += 1
+    a, b = a[start : len(a) - end], b[start : len(b) - end]
+    if not len(a) or not len(b):
         return len(a) or len(b)
-    codes: dict = {}
-    x, y = (np.array([codes.setdefault(w, len(codes)) for w in s]) for s in (a, b))
-    place = np.arange(len(y) + 1)
-    row = place.copy()
-    for i, w in enumerate(x):
-        best = np.empty_like(row)
-        best[0] = i + 1
-        best[1:] = np.minimum(row[1:] + 1, row[:-1] + (y != w))
-        row = np.minimum.accumulate(best - place) + place
-    return int(row[-1])
+    band = max(abs(len(a) - len(b)), 64)
+    while True:
+        found = _within(a, b, band)
+        if found <= band or band >= max(len(a), len(b)):
+            return found
+        band *= 4
+
+
+def _within(a: Sequence, b: Sequence, band: int) -> int:
+    """The distance if it is ``band`` or less, else no less than it.
+
+    Columns go over ``b``; a column is the differences of neighbouring rows as two sets of bits, one for +1 and one for -1, in
+    whole numbers of any length. Columns that stand together have a window of rows about the diagonal; below it the distance
+    is taken to grow by one each column, and above it by one each row, which no way within the band depends on.
+    """
+    places: dict = {}
+    for i, x in enumerate(a):
+        places.setdefault(x, []).append(i)
+    low, high = 0, 0
+    up, down, distance = 0, 0, 0  # of the rows from low to high, and the value of the last of them
+    for first in range(0, len(b), COLUMNS):
+        columns = b[first : first + COLUMNS]
+        if (new := max(0, first - band)) > low:
+            up, down, low = up >> (new - low), down >> (new - low), new
+        if (new := min(len(a), first + len(columns) + band)) > high:
+            up |= ((1 << (new - high)) - 1) << (high - low)
+            distance, high = distance + new - high, new
+        every, last, same = (1 << (high - low)) - 1, high - low - 1, {}
+        for x in columns:
+            equal = same.get(x)
+            if equal is None:
+                own = places.get(x, ())
+                bits = bytearray((high - low) // 8 + 1)
+                for i in own[bisect_left(own, low) : bisect_left(own, high)]:
+                    bits[(i - low) >> 3] |= 1 << ((i - low) & 7)
+                equal = same[x] = int.from_bytes(bits, "little")
+            free = equal | down
+            across = (((equal & up) + up) ^ up) | equal
+            plus = down | (every & ~(across | up))
+            minus = up & across
+            distance += (plus >> last & 1) - (minus >> last & 1)
+            plus, minus = (plus << 1 | 1) & every, minus << 1 & every
+            up = minus | (every & ~(free | plus))
+            down = plus & free
+    return distance
 
 
 def _normal(text: str) -> str:
