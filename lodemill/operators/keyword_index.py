@@ -42,6 +42,12 @@ def trigrams(text: str) -> set[str]:
     return {text[k : k + 3] for k in range(len(text) - 2)}
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _grams(texts: pd.Series) -> pd.Series:
+    """The different trigrams of each text."""
+    return texts.map(lambda t: list(trigrams(t)))
+
+
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _summed(gaps: pd.Series) -> pd.Series:
     """The numbers of lists of differences."""
@@ -88,8 +94,7 @@ def build(rows: DataFrame, text: str, order: list[str]) -> KeywordIndex:
 
     placed = written(numbered(rows, order).withColumn("_n", F.col("_n") - 1).repartitionByRange("_n").sortWithinPartitions("_n"), "rows")
     t = F.col(text)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda k: F.substring(t, k, F.lit(3))))
-    each = placed.where(F.length(t) >= 3).select(F.explode(grams).alias("gram"), F.floor(F.col("_n") / SPAN).alias("segment"), (F.col("_n") % SPAN).cast("int").alias("at"))
+    each = placed.where(F.length(t) >= 3).select(F.explode(_grams(t)).alias("gram"), F.floor(F.col("_n") / SPAN).alias("segment"), (F.col("_n") % SPAN).cast("int").alias("at"))
     lists = each.groupBy("gram", "segment").agg(F.sort_array(F.collect_list("at")).alias("at"))
     gaps = F.transform("at", lambda x, i: x - F.when(i > 0, F.get(F.col("at"), i - 1)).otherwise(0))
     postings = lists.select("gram", "segment", gaps.alias("gaps")).repartitionByRange("gram", "segment").sortWithinPartitions("gram", "segment")
