@@ -69,3 +69,32 @@ def test_texts_of_200_kb_take_seconds(spark):
     assert got[2] == 1.0 and abs(got[3] - 2 / 3) < 1e-12 and got[4] == 0.0 and got[5] == 0.0
     assert abs(got[1] - (1 - evaluation.edit_distance(a, near) / max(len(a), len(near)))) < 1e-12 and abs(got[6] - (1 - plain(a[:2100], near[:2100]) / 2100)) < 1e-12
     assert evaluation.edit_distance(a[:40_000], far[:40_000]) > 10_000  # unlike each other: the band is the whole table
+
+
+def test_word_accuracy_of_all_pairs_as_by_the_table(spark, sf):
+    from lodemill.plans import catalog, text
+
+    pairs = {r["doc_id"]: (r["guess"], r["truth"]) for r in text._pairs(spark, sf).collect()}
+    got = {r["doc_id"]: r["accuracy"] for r in catalog.QUERIES["word_accuracy"](spark, sf).collect()}
+    assert got.keys() == pairs.keys()
+    for k, (guess, truth) in pairs.items():
+        a, b = (" ".join(x.lower().split()).split(" ") if x else [] for x in (guess, truth))
+        want = float(not a and not b) if not a or not b else 1 - plain(a, b) / max(len(a), len(b))
+        assert abs(got[k] - want) < 1e-6, k
+
+
+def test_recursive_chunks_hold_all_signs_in_order(spark, sf):
+    """Without overlap chunks are the text, cut; none is longer than asked; a cut lies at the coarsest separator that serves."""
+    from lodemill.functions import splitting
+
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect():
+        for size in (40, 500):
+            chunks = splitting.recursive(r["text"], size, 0)
+            assert all(len(c) <= size for c in chunks)
+            assert "".join("".join(chunks).split()) == "".join(r["text"].split())
+            at = 0
+            for c in chunks:
+                at = r["text"].index(c, at) + len(c)
+    assert splitting.recursive("aa\n\nbb\n\ncc", 8, 0) == ["aa\n\nbb\n\n", "cc"] and splitting.recursive("aa bb\ncc dd", 6, 0) == ["aa bb\n", "cc dd"]
+    assert splitting.recursive("abcdef", 4, 1) == ["abcd", "def"] and splitting.recursive("one two three", 8, 2) == ["one two ", "o three"]
+    assert splitting.recursive("", 4, 1) == [""] and splitting.recursive("   ", 2, 0) == []
