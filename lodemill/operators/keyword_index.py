@@ -7,18 +7,20 @@ looked up in the files that may hold them, and only the rows that all of them sh
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lodemill.sources.tables import written
 
 #: Row numbers of a segment, and row numbers up to which rows are asked for by a filter that files are skipped by.
 SPAN, LISTED = 1 << 15, 4096
+#: Trigrams that a task holds before it hands them on.
+HELD = 200_000
 
 
 def literals(pattern: str) -> list[str]:
@@ -42,16 +44,38 @@ def trigrams(text: str) -> set[str]:
     return {text[k : k + 3] for k in range(len(text) - 2)}
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _grams(texts: pd.Series) -> pd.Series:
-    """The different trigrams of each text."""
-    return texts.map(lambda t: list(trigrams(t)))
+def _each(rows: DataFrame) -> DataFrame:
+    """``gram``, ``_n``: every trigram of every text of ``rows(_n, text)``, once for a text."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, numbers = [], []
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _summed(gaps: pd.Series) -> pd.Series:
-    """The numbers of lists of differences."""
-    return gaps.map(np.cumsum)
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(numbers, pa.int64())], ["gram", "_n"])
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                own = trigrams(batch.column(1)[k].as_py() or "")
+                grams.extend(own)
+                numbers.extend([batch.column(0)[k].as_py()] * len(own))
+                if len(grams) > HELD:
+                    yield out()
+                    grams, numbers = [], []
+        yield out()
+
+    return rows.mapInArrow(run, "gram string, _n long")
+
+
+def _members(lists: DataFrame) -> DataFrame:
+    """``segment``, ``at`` of every number of lists of differences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                at = np.cumsum(np.asarray(batch.column(1)[k].values), dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), batch.column(0)[k].as_py())), pa.array(at)], ["segment", "at"])
+
+    return lists.select("segment", "gaps").mapInArrow(run, "segment long, at int")
 
 
 @dataclass
@@ -68,8 +92,7 @@ class KeywordIndex:
         if not grams:
             return None
         lists = self.postings.where(F.col("gram").isin(grams)).select("gram", "segment", "gaps")
-        hits = lists.select("gram", "segment", F.explode(_summed("gaps")).alias("at"))
-        shared = hits.groupBy("segment", "at").agg(F.count("*").alias("n")).where(F.col("n") == len(grams))
+        shared = _members(lists).groupBy("segment", "at").agg(F.count("*").alias("n")).where(F.col("n") == len(grams))
         return shared.select((F.col("segment") * SPAN + F.col("at")).alias("_n"))
 
     def search(self, keyword: str) -> DataFrame:
@@ -93,8 +116,7 @@ def build(rows: DataFrame, text: str, order: list[str]) -> KeywordIndex:
     from lodemill.operators.store import numbered
 
     placed = written(numbered(rows, order).withColumn("_n", F.col("_n") - 1).repartitionByRange("_n").sortWithinPartitions("_n"), "rows")
-    t = F.col(text)
-    each = placed.where(F.length(t) >= 3).select(F.explode(_grams(t)).alias("gram"), F.floor(F.col("_n") / SPAN).alias("segment"), (F.col("_n") % SPAN).cast("int").alias("at"))
+    each = _each(placed.select("_n", F.col(text).cast("string"))).select("gram", F.floor(F.col("_n") / SPAN).alias("segment"), (F.col("_n") % SPAN).cast("int").alias("at"))
     lists = each.groupBy("gram", "segment").agg(F.sort_array(F.collect_list("at")).alias("at"))
     gaps = F.transform("at", lambda x, i: x - F.when(i > 0, F.get(F.col("at"), i - 1)).otherwise(0))
     postings = lists.select("gram", "segment", gaps.alias("gaps")).repartitionByRange("gram", "segment").sortWithinPartitions("gram", "segment")
