@@ -23,8 +23,8 @@ from lodemill.sources.tables import written
 
 #: Scores have six decimals; inside they are whole numbers of these.
 UNIT = 1_000_000
-#: Vectors that a task scores at a time.
-TILE = 4096
+#: Vectors and probes that a task scores at a time.
+TILE, SIDE = 4096, 128
 
 
 def _units(column: pa.Array, size: int) -> np.ndarray:
@@ -114,17 +114,21 @@ class Lists:
                     lists, offsets, own = (np.asarray(batch.column(c)) for c in range(3))
                     vectors = _units(batch.column(3), size)
                     for c in np.unique(lists):
-                        p, rows = probes_of[int(c)], np.flatnonzero(lists == c)
-                        may = np.abs(away[int(c)][:, None] - offsets[rows]) <= most[p][:, None]
-                        used = rows[may.any(axis=0)]
-                        may = may[:, may.any(axis=0)]
-                        pairs += int(may.sum())
-                        if len(used):
-                            got = np.where(may, np.floor(units[p] @ vectors[used].T * UNIT + 0.5).astype(np.int64), -UNIT * 4)
-                            scores[p], ids[p] = _best(np.hstack([scores[p], got]), np.hstack([ids[p], np.broadcast_to(own[used], got.shape)]), k)
-            at, rank = np.nonzero(scores > -UNIT * 4)
-            kept = names.take(pa.array(at)).combine_chunks() if isinstance(names, pa.ChunkedArray) else names.take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([kept, pa.array(ids[at, rank]), pa.array(scores[at, rank])], ["probe", "id", "score"])
+                        rows = np.flatnonzero(lists == c)
+                        for first in range(0, len(probes_of[int(c)]), SIDE):
+                            here = slice(first, first + SIDE)
+                            p = probes_of[int(c)][here]
+                            may = np.abs(away[int(c)][here, None] - offsets[rows]) <= most[p][:, None]
+                            used = rows[may.any(axis=0)]
+                            may = may[:, may.any(axis=0)]
+                            pairs += int(may.sum())
+                            if len(used):
+                                got = np.where(may, np.floor(units[p] @ vectors[used].T * UNIT + 0.5).astype(np.int64), -UNIT * 4)
+                                scores[p], ids[p] = _best(np.hstack([scores[p], got]), np.hstack([ids[p], np.broadcast_to(own[used], got.shape)]), k)
+            for first in range(0, len(units), TILE):
+                at, rank = np.nonzero(scores[first : first + TILE] > -UNIT * 4)
+                kept = names.take(pa.array(first + at)).combine_chunks() if isinstance(names, pa.ChunkedArray) else names.take(pa.array(first + at))
+                yield pa.RecordBatch.from_arrays([kept, pa.array(ids[first + at, rank]), pa.array(scores[first + at, rank])], ["probe", "id", "score"])
             yield pa.RecordBatch.from_arrays([pa.nulls(1, names.type), pa.nulls(1, pa.int64()), pa.array([pairs])], ["probe", "id", "score"])
 
         rows = self.table.where(F.col("list").isin(wanted.tolist())) if len(wanted) else self.table.limit(0)

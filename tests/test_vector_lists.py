@@ -50,3 +50,11 @@ def test_odd_vectors_and_ties(spark):
     assert {r[3] for r in rows(lists.search(probes, 3)) if r[0] == 4} == {0.0}
     none = vector_lists.build(data.limit(0), 4)
     assert rows(none.search(probes, 3)) == [] and rows(lists.search(probes.limit(0), 3)) == []
+
+
+@pytest.mark.parametrize("side", [1, 7])
+def test_a_task_scores_few_probes_at_a_time(spark, monkeypatch, side):
+    monkeypatch.setattr(vector_lists, "SIDE", side)
+    data = clustered(spark, 400, 5)
+    probes = data.where("id % 20 = 0").select(F.col("id").alias("probe"), F.col("vector").alias("probe_vector"))
+    assert rows(vector_lists.build(data, 8).search(probes, 6)) == rows(retrieval.top_k(data, probes, 6))
