@@ -6,6 +6,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,21 +24,93 @@ def _by_emptiness(predicted: Column, truth: Column, value: Column) -> Column:
     return F.when(no_truth & no_guess, 1.0).when(no_truth | no_guess, 0.0).otherwise(value)
 
 
-#: Cells of a table of edit distances from which a pair of texts goes to the bit-parallel way, and columns that share a window.
+#: Cells of a table of edit distances from which a pair of texts goes to the bit-parallel way alone, and columns that share a window.
 LONG, COLUMNS = 4_000_000, 512
+#: Cells from which pairs go there side by side; pairs of a block at most, and at least; signs of their longer texts; words of the shorter ones.
+SHORT, MOST, LEAST, SIGNS, WORDS = 4096, 1024, 64, 1 << 22, 16
 
 
 def character_accuracy(predicted: Column, truth: Column) -> Column:
-    """1 less the edit distance over the longer length, in code points; long texts are compared 64 cells a word, within a band."""
+    """1 less the edit distance over the longer length, in code points; all but short texts are compared 64 cells a word, many pairs at a time."""
     n, m = F.length(predicted), F.length(truth)
-    long = n.cast("long") * m > LONG
+    long = n.cast("long") * m > SHORT
     far = _long_distance(F.when(long, predicted), F.when(long, truth))
     return _by_emptiness(predicted, truth, 1 - F.when(long, far).otherwise(F.levenshtein(F.when(~long, predicted), F.when(~long, truth))) / F.greatest(n, m))
 
 
 @F.pandas_udf(T.IntegerType())
 def _long_distance(predicted: pd.Series, truth: pd.Series) -> pd.Series:
-    return pd.Series([None if p is None or t is None else edit_distance(p, t) for p, t in zip(predicted, truth, strict=True)], dtype="Int32")
+    there = np.flatnonzero((predicted.notna() & truth.notna()).to_numpy())
+    out = pd.Series([None] * len(predicted), dtype="Int32")
+    out.iloc[there] = edit_distances(list(zip(predicted.iloc[there], truth.iloc[there], strict=True)))
+    return out
+
+
+def edit_distances(pairs: list[tuple[str, str]]) -> list[int]:
+    """``edit_distance`` of many pairs of texts. Pairs whose shorter texts take as many words of 64 bits go side by side, a column at a time."""
+    out, groups = [0] * len(pairs), {}
+    for k, (a, b) in enumerate(pairs):
+        short, long = (a, b) if len(a) <= len(b) else (b, a)
+        words = -(-len(short) // 64)
+        if words > WORDS or not words or len(short) * len(long) > LONG:
+            out[k] = edit_distance(long, short)
+        else:
+            groups.setdefault(words, []).append((len(long), k, short, long))
+    for words, group in groups.items():
+        group.sort(key=lambda x: -x[0])
+        while group:
+            size = min(MOST, max(LEAST, SIGNS // group[0][0]))
+            alone = max(0, LEAST - 1) if len(group) >= LEAST else len(group)
+            # the longest go alone where most of the block would have to wait for them
+            alone = sum(n > 1.25 * group[alone][0] for n, *_ in group[:alone]) if alone < len(group) else alone
+            for _, k, short, long in group[:alone]:
+                out[k] = edit_distance(long, short)
+            block, group = group[alone : alone + size], group[alone + size :]
+            if block:
+                for (_, k, _, _), d in zip(block, _side_by_side([x[2] for x in block], [x[3] for x in block], words), strict=True):
+                    out[k] = int(d)
+    return out
+
+
+def _side_by_side(short: list[str], long: list[str], words: int) -> np.ndarray:
+    """Edit distances of pairs, the longest ``long`` first.
+
+    A column is the differences of neighbouring rows as two sets of bits, in ``words`` words for each pair; what leaves one
+    word at its end enters the next. Columns go over the longer texts, and a pair is done when its own has ended.
+    """
+    points = lambda texts: np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    n, m, k = np.array([len(x) for x in long]), np.array([len(x) for x in short]), len(short)
+    letters, code = np.unique(points(short), return_inverse=True)
+    pair, row = np.repeat(np.arange(k), m), np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+    equal = np.zeros((words, len(letters) + 1, k), np.uint64)  # the last letter stands for all others
+    np.bitwise_or.at(equal, (row >> 6, code, pair), np.uint64(1) << (row & 63).astype(np.uint64))
+    equal = equal.reshape(words, -1)
+    signs = points(long)
+    at = np.minimum(np.searchsorted(letters, signs), len(letters) - 1)
+    place = np.where(letters[at] == signs, at, len(letters))
+    owner, column = np.repeat(np.arange(k), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    columns = np.zeros((n[0], k), np.int32)
+    columns[column, owner] = place * k + owner
+    going = np.searchsorted(-n, -np.arange(n[0]), side="left")  # pairs whose longer text has a column of this number
+    one, top, end = np.uint64(1), np.uint64(63), ((m - 1) & 63).astype(np.uint64)
+    up, down = np.full((words, k), ~np.uint64(0)), np.zeros((words, k), np.uint64)
+    distance = m.astype(np.int64)
+    for j in range(n[0]):
+        g = going[j]
+        more, less = one, np.uint64(0)  # the row above all others grows by one each column
+        for w in range(words):
+            p, q, same = up[w, :g], down[w, :g], equal[w].take(columns[j, :g])
+            across = same | q
+            same |= less
+            steps = (((same & p) + p) ^ p) | same
+            plus, minus = q | ~(steps | p), p & steps
+            if w == words - 1:
+                distance[:g] += ((plus >> end[:g]) & one).astype(np.int64) - ((minus >> end[:g]) & one).astype(np.int64)
+            plus, more = (plus << one) | more, plus >> top
+            minus, less = (minus << one) | less, minus >> top
+            up[w, :g] = minus | ~(across | plus)
+            down[w, :g] = plus & across
+    return distance
 
 
 def edit_distance(a: Sequence, b: Sequence) -> int:

@@ -57,6 +57,21 @@ def test_longer_sequences():
     assert evaluation.edit_distance(a, a[::-1]) == plain(a, a[::-1]) and evaluation.edit_distance(a, "") == len(a)
 
 
+@pytest.mark.parametrize("least", [1, 8])
+def test_many_pairs_side_by_side(monkeypatch, least):
+    monkeypatch.setattr(evaluation, "LEAST", least)
+    rng = random.Random(least)
+    pairs = []
+    for _ in range(300):
+        letters = rng.choice(["ab", "abcdeé😀", "abcdefghijklmnopqrst "])
+        a = "".join(rng.choice(letters) for _ in range(rng.choice([0, 1, 20, 63, 64, 65, 128, 150])))
+        pairs.append((a, changed(rng, a, rng.randint(0, 40), letters) if rng.random() < 0.5 else "".join(rng.choice(letters) for _ in range(rng.randint(0, 300)))))
+    called, own = [], evaluation._side_by_side
+    monkeypatch.setattr(evaluation, "_side_by_side", lambda *a: called.append(len(a[0])) or own(*a))
+    assert evaluation.edit_distances(pairs) == [plain(a, b) for a, b in pairs]
+    assert sum(called) > 200 and evaluation.edit_distances([]) == []
+
+
 def test_texts_of_200_kb_take_seconds(spark):
     rng = random.Random(5)
     a = "".join(rng.choice("abcdefghij klmno.") for _ in range(200_000))
