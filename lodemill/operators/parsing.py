@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,19 +18,52 @@ from lodemill.functions.text import is_high_quality
 #: Words that head a table.
 HEADER_WORDS = ("序号", "编号", "名称", "数量", "金额", "日期", "时间", "姓名", "部门", "合计", "总计", "小计", r"No\.", "ID", "Name", "Date", "Amount", "Total", "Qty")
 
+#: Signs of text that a task looks at together.
+SIGNS = 1 << 20
+
 
 def aligned_rows(pages: DataFrame, keys: list[str], text: str) -> DataFrame:
     """``keys`` and ``aligned``: in how many lines of a page a space stands in the same five columns, the largest such number from 3 on.
 
     Lines under ten characters do not count, nor pages under three lines; a space counts beside a character that is none.
     """
-    lines = pages.select(*keys, F.split(F.regexp_replace(F.col(text), r"\n+$", ""), "\n", -1).alias("lines")).where(F.size("lines") >= 3)
-    rows = lines.select(*keys, F.explode("lines").alias("x")).where(F.length("x") >= 10).select(*keys, F.split("x", "").alias("c"))
-    at = lambda i: F.get(F.col("c"), i)
-    alone = lambda x, i: (x == " ") & (i > 0) & ((at(i - 1) != " ") | (at(i + 1) != " ")) & (i < F.size("c") - 1)
-    places = F.array_distinct(F.array_compact(F.transform("c", lambda x, i: F.when(alone(x, i), F.floor(i / 5)))))
-    rows = rows.select(*keys, F.explode(places).alias("place"))
-    return rows.groupBy(*keys, "place").agg(F.count("*").alias("n")).where("n >= 3").groupBy(*keys).agg(F.max("n").cast("int").alias("aligned"))
+    others = pages.select(*keys, F.regexp_replace(F.col(text), r"\n+$", "").alias("_text")).where("_text is not null")
+    schema = T.StructType([*(others.schema[k] for k in keys), T.StructField("place", T.LongType()), T.StructField("n", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, texts, held = 0, [], 0
+            for k, x in enumerate(batch.column(batch.num_columns - 1)):
+                texts.append(x.as_py())
+                held += len(texts[-1])
+                if held > SIGNS or k == batch.num_rows - 1:
+                    row, place, n = _aligned_places(texts)
+                    yield pa.RecordBatch.from_arrays([*(c.take(pa.array(first + row)) for c in batch.columns[:-1]), pa.array(place), pa.array(n)], schema.fieldNames())
+                    first, texts, held = k + 1, [], 0
+
+    rows = others.mapInArrow(run, schema)
+    return rows.groupBy(*keys, "place").agg(F.sum("n").alias("n")).where("n >= 3").groupBy(*keys).agg(F.max("n").cast("int").alias("aligned"))
+
+
+def _aligned_places(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts, the places (five columns each) where a space stands beside another sign, and in how many lines: text, place, lines."""
+    bare = [x + "\n" for x in texts]
+    signs = np.frombuffer("".join(bare).encode("utf-32-le", "surrogatepass"), np.uint32)
+    ends = np.flatnonzero(signs == 10)
+    begins = np.concatenate([[0], ends[:-1] + 1]).astype(np.int64)
+    owner = np.repeat(np.arange(len(bare)), [x.count("\n") for x in bare])
+    enough = np.bincount(owner, minlength=len(bare))[owner] >= 3
+    counts = enough & (ends - begins >= 10)
+    space = signs == 32
+    at = np.flatnonzero(space[1:-1] & ~(space[:-2] & space[2:])) + 1 if len(signs) > 2 else np.zeros(0, np.int64)
+    line = np.searchsorted(ends, at)
+    inside = counts[line] & (at > begins[line]) & (at < ends[line] - 1)
+    at, line = at[inside], line[inside]
+    place = (at - begins[line]) // 5
+    most = int(place.max(initial=0)) + 1
+    each = np.unique(line * most + place)  # a place counts once in a line
+    found, n = np.unique(owner[each // most] * most + each % most, return_counts=True)
+    return found // most, found % most, n.astype(np.int64)
 
 
 def table_indicators(text: Column, aligned: Column) -> Column:

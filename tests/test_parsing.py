@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -153,3 +154,23 @@ def test_clarifications_say_what_is_missing(spark):
     assert got[:2] == [answering.CLARIFICATION] * 2 and got[2] == 'About "short": It is very short; please say more of it.'
     assert "points to" in got[3] and "explained" not in got[3] and "explained" in got[4] and got[5].count(".") == 2 and "explained" in got[5]
     assert got[6] == f'About "Compare tables of two documents in full,...": {answering.CLARIFICATION}'
+
+
+def test_aligned_rows_as_by_signs(spark, monkeypatch):
+    monkeypatch.setattr(parsing, "SIGNS", 200)
+    rng = random.Random(5)
+    line = lambda: "".join(rng.choice("ab  é😀\r") for _ in range(rng.choice([0, 3, 9, 10, 11, 30])))
+    texts = [(k // 2 if k % 10 else None, rng.choice([None, "", "\n\n", "\n".join(line() for _ in range(rng.randint(1, 9))) + rng.choice(["", "\n", "\n\n", "\n\r"])])) for k in range(200)]
+    want = Counter()
+    for key, t in texts:
+        lines = re.sub(r"\n+(?=(?:\r\n|\r)?\Z)", "", t).split("\n") if t is not None else []
+        for x in lines if len(lines) >= 3 else []:
+            if len(x) >= 10:
+                want.update((key, p) for p in {i // 5 for i in range(1, len(x) - 1) if x[i] == " " and (x[i - 1] != " " or x[i + 1] != " ")})
+    most = {}
+    for (key, _), n in want.items():
+        if n >= 3:
+            most[key] = max(n, most.get(key, 0))
+    found = parsing.aligned_rows(spark.createDataFrame(texts, "k long, t string").repartition(3), ["k"], "t")
+    assert found.dtypes == [("k", "bigint"), ("aligned", "int")] and "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r[0]: r[1] for r in found.collect()} == most and len(most) > 10
