@@ -19,8 +19,8 @@ from lodemill.sources.tables import written
 
 #: Row numbers of a segment, and row numbers up to which rows are asked for by a filter that files are skipped by.
 SPAN, LISTED = 1 << 15, 4096
-#: Trigrams that a task holds before it hands them on.
-HELD = 200_000
+#: Signs of text whose trigrams a task holds before it hands them on.
+HELD = 1_000_000
 
 
 def literals(pattern: str) -> list[str]:
@@ -45,25 +45,43 @@ def trigrams(text: str) -> set[str]:
 
 
 def _each(rows: DataFrame) -> DataFrame:
-    """``gram``, ``_n``: every trigram of every text of ``rows(_n, text)``, once for a text."""
+    """``gram``, ``segment``, ``at``: the trigrams of ``rows(_n, text)``, each with the numbers of the texts that hold it, among those that a task holds at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, numbers = [], []
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(numbers, pa.int64())], ["gram", "_n"])
-
+        numbers, texts, held = [], [], 0
         for batch in batches:
-            for k in range(batch.num_rows):
-                own = trigrams(batch.column(1)[k].as_py() or "")
-                grams.extend(own)
-                numbers.extend([batch.column(0)[k].as_py()] * len(own))
-                if len(grams) > HELD:
-                    yield out()
-                    grams, numbers = [], []
-        yield out()
-
-    return rows.mapInArrow(run, "gram string, _n long")
+            for n, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                numbers.append(n)
+                texts.append(text.as_py() or "")
+                held += len(texts[-1])
+                if held > HELD:
+                    yield _lists(numbers, texts)
+                    numbers, texts, held = [], [], 0
+        yield _lists(numbers, texts)
+
+    return rows.mapInArrow(run, "gram string, segment long, at array<int>")
+
+
+def _lists(numbers: list[int], texts: list[str]) -> pa.RecordBatch:
+    """Trigrams of some texts, by segment, with the places of their texts in it in ascending order."""
+    signs = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    sizes = np.array([len(x) for x in texts], np.int64)
+    order = np.argsort(np.array(numbers, np.int64), kind="stable")
+    n = np.array(numbers, np.int64)[order]
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    grams = signs[:-2] << 42 | signs[1:-1] << 21 | signs[2:] if len(signs) > 2 else np.zeros(0, np.int64)
+    owner, ends = np.repeat(rank, sizes), np.repeat(np.cumsum(sizes), sizes)
+    whole = np.arange(len(grams)) + 2 < ends[: len(grams)]  # within one text
+    different, code = np.unique(grams[whole], return_inverse=True)
+    pairs = np.unique(code * max(1, len(n)) + owner[: len(grams)][whole])
+    code, number = pairs // max(1, len(n)), n[pairs % max(1, len(n))]
+    segment = number // SPAN
+    begins = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (segment[1:] != segment[:-1])]) if len(code) else np.zeros(0, np.int64)
+    spelled = np.stack([different >> 42, different >> 21 & 0x1FFFFF, different & 0x1FFFFF], axis=1).astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+    names = pa.array([spelled[k : k + 3] for k in range(0, len(spelled), 3)], pa.string())
+    at = pa.ListArray.from_arrays(pa.array(np.r_[begins, len(code)], pa.int32()), pa.array((number % SPAN).astype(np.int32)))
+    return pa.RecordBatch.from_arrays([names.take(pa.array(code[begins])), pa.array(segment[begins]), at], ["gram", "segment", "at"])
 
 
 def _members(lists: DataFrame) -> DataFrame:
@@ -111,13 +129,13 @@ class KeywordIndex:
 def build(rows: DataFrame, text: str, order: list[str]) -> KeywordIndex:
     """An index of ``text``; rows are numbered in the order of ``order``. Null texts hold nothing; texts are taken whole.
 
-    A text gives each of its trigrams once. Lists are made by segment with partial sums of sets, at most ``SPAN`` numbers each.
+    A text gives each of its trigrams once. What is dealt out by trigram and segment are lists over many texts, not a row for
+    each text and trigram; a segment's list has at most ``SPAN`` numbers.
     """
     from lodemill.operators.store import numbered
 
     placed = written(numbered(rows, order).withColumn("_n", F.col("_n") - 1).repartitionByRange("_n").sortWithinPartitions("_n"), "rows")
-    each = _each(placed.select("_n", F.col(text).cast("string"))).select("gram", F.floor(F.col("_n") / SPAN).alias("segment"), (F.col("_n") % SPAN).cast("int").alias("at"))
-    lists = each.groupBy("gram", "segment").agg(F.sort_array(F.collect_list("at")).alias("at"))
+    lists = _each(placed.select("_n", F.col(text).cast("string"))).groupBy("gram", "segment").agg(F.sort_array(F.flatten(F.collect_list("at"))).alias("at"))
     gaps = F.transform("at", lambda x, i: x - F.when(i > 0, F.get(F.col("at"), i - 1)).otherwise(0))
     postings = lists.select("gram", "segment", gaps.alias("gaps")).repartitionByRange("gram", "segment").sortWithinPartitions("gram", "segment")
     return KeywordIndex(placed, written(postings, "postings"), text)

@@ -38,3 +38,16 @@ def test_few_documents_are_read(spark, sf):
         assert found <= read <= max(3 * found, 0.25 * n), (keyword, read, found)
     assert index.candidates("th") is None
     assert index.postings.agg(F.max(F.size("gaps"))).first()[0] <= keyword_index.SPAN
+
+
+def test_trigrams_are_dealt_out_as_lists(spark, monkeypatch):
+    monkeypatch.setattr(keyword_index, "SPAN", 4)
+    texts = ["abcabc", "", "ab", None, "xabc\u00e9\U0001f600", "abcabd", "bca"]
+    got = {(r["gram"], r["segment"]): r["at"] for r in keyword_index._lists(list(range(7)), [t or "" for t in texts]).to_pylist()}
+    want = {}
+    for k, t in enumerate(texts):
+        for g in keyword_index.trigrams(t or ""):
+            want.setdefault((g, k // 4), []).append(k % 4)
+    assert got == want and got["abc", 0] == [0] and got["abc", 1] == [0, 1]
+    rows = spark.createDataFrame(list(enumerate(texts)), "_n long, t string").coalesce(1)
+    assert keyword_index._each(rows).count() == len({g for g, _ in want}) and keyword_index._each(rows.limit(0)).count() == 0
