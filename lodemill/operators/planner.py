@@ -9,7 +9,7 @@ Execution submits the steps of a level together, each of which may start Spark j
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
@@ -34,33 +34,31 @@ def levels(tasks: DataFrame, plan: str | None = None, gathered: int = GATHERED)
 
     own = [plan] if plan else []
     part = [F.col(f"`{c}`").alias("plan") for c in own] or [F.lit(0).alias("plan")]
-    rows = tasks.select(*part, F.col("step"), F.explode_outer("dependencies").alias("dep")).where("step is not null").distinct()
-    rows = written(rows, "steps")  # (plan, step, dep), dep null for steps without; dealt anew below
-    nodes = rows.select("plan", "step").distinct()
-    same = lambda x, y, on: x["plan"].eqNullSafe(y["plan"]) & on
-    known = nodes.withColumnRenamed("step", "known")
-    edges = rows.where("dep is not null").join(known, same(rows, known, rows["dep"] == known["known"]), "left_semi")
-    both = nodes.withColumn("dep", F.lit(None).cast(rows.schema["dep"].dataType)).unionByName(edges)
-    sizes = both.groupBy("plan").agg(F.count("*").alias("n"))
-    large = written(sizes.where(F.col("n") > gathered).select("plan"), "large")
+    rows = tasks.select(*part, F.col("step"), F.explode_outer("dependencies").alias("dep")).where("step is not null")
+    rows = written(rows, "steps")  # (plan, step, dep), dep null for steps without
+    large = written(rows.groupBy("plan").agg(F.count("*").alias("n")).where(F.col("n") > gathered).select("plan"), "large")
     named = lambda out: out.select(*[F.col("plan").alias(c) for c in own], "step", "level")
     if large.isEmpty():
-        return named(_peeled(both))
-    small = both.join(large, both["plan"].eqNullSafe(large["plan"]), "left_anti")
-    big = both.join(large, both["plan"].eqNullSafe(large["plan"]), "left_semi")
-    return named(_peeled(small).unionByName(_peeled_in_rounds(big.where("dep is null").select("plan", "step"), big.where("dep is not null"))))
+        return named(_peeled(rows))
+    same = lambda x, y, on: x["plan"].eqNullSafe(y["plan"]) & on
+    small = rows.join(large, same(rows, large, F.lit(True)), "left_anti")
+    big = written(rows.join(large, same(rows, large, F.lit(True)), "left_semi").distinct(), "big")
+    nodes = written(big.select("plan", "step").distinct(), "nodes")
+    known = nodes.withColumnRenamed("step", "known")
+    edges = big.where("dep is not null").join(known, same(big, known, big["dep"] == known["known"]), "left_semi")
+    return named(_peeled(small).unionByName(_peeled_in_rounds(nodes, edges)))
 
 
-def _peeled(both: DataFrame) -> DataFrame:
-    """Levels of plans that are gathered each in a row, from ``plan, step, dep`` with a row without ``dep`` for each step."""
-    kinds = {f.name: f.dataType.simpleString() for f in both.schema.fields}
-    rows = both.groupBy("plan").agg(F.collect_list(F.struct("step", "dep")).alias("edges")).select("plan", "edges.step", "edges.dep")
+def _peeled(steps: DataFrame) -> DataFrame:
+    """Levels of plans that are gathered each in a row, from ``plan, step, dep``, the last null for a step without; rows may repeat."""
+    kinds = {f.name: f.dataType.simpleString() for f in steps.schema.fields}
+    rows = steps.groupBy("plan").agg(F.collect_list(F.struct("step", "dep")).alias("edges")).select("plan", "edges.step", "edges.dep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             owner, steps, level = [], [], []
             for k, (s, d) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                for step, at in _peel(zip(s, d, strict=True)):
+                for step, at in _peel(s, d):
                     owner.append(k)
                     steps.append(step)
                     level.append(at)
@@ -69,12 +67,11 @@ def _peeled(both: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"plan {kinds['plan']}, step {kinds['step']}, level int")
 
 
-def _peel(edges: Iterable[tuple]) -> Iterator[tuple]:
-    """Each step and its level, from pairs of a step and a dependency, none for the step itself."""
-    waits, behind, level = {}, defaultdict(list), 0
-    for step, dep in edges:
-        waits.setdefault(step, 0)
-        if dep is not None:
+def _peel(steps: list, deps: list) -> Iterator[tuple]:
+    """Each step and its level, from steps and a dependency beside each; those that are null or no steps are ignored."""
+    waits, behind, level = dict.fromkeys(steps, 0), defaultdict(list), 0
+    for step, dep in zip(steps, deps, strict=True):
+        if dep in waits:  # a pair that comes twice is waited for, and met, twice
             waits[step] += 1
             behind[dep].append(step)
     ready = [s for s, n in waits.items() if not n]

@@ -64,3 +64,11 @@ def test_prompts_as_of_one_step(spark):
     assert set(got) == {1, 2, 3}
     for step, name, deps in ((1, "one", []), (2, "two", [1]), (3, "three", [1, 2])):
         assert got[step] == planner.step_prompt(planner.Task(step, "T", name), "why?", {d: said[d] for d in deps})
+
+
+def test_plans_are_gathered_by_one_shuffle(spark):
+    rows = [(1, 2, [1, 9, None]), (1, 1, None), (1, 2, [1]), (None, 5, []), (1, 3, [2, 2]), (1, 4, [4])]
+    found = planner.levels(spark.createDataFrame(rows, "plan long, step long, dependencies array<long>"), "plan")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, found.collect()), key=str) == [(1, 1, 0), (1, 2, 1), (1, 3, 2), (None, 5, 0)]
