@@ -1,7 +1,7 @@
 """The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next.
 
 A document that the quality classifier rejects goes; later copies of line runs are deleted from the texts; of each group
-of near-duplicates the document with the least id stays; documents that leak a benchmark item go; what is left is
+of near-duplicates, by SimHash and its tree of vantage points or by similar sets of shingles, the document with the least id stays; documents that leak a benchmark item go; what is left is
 encoded, and its text is what the ids decode to.
 """
 

@@ -8,9 +8,10 @@ sample, which says where a node is too full for a task; its leaves are the shard
 fingerprint goes as a query to all later shards that its ball overlaps. Within a shard a second tree, of smaller blocks
 and built from what is there, prunes again, and what remains is compared bit by bit, so the pairs are exact.
 
-The pipeline's stage (``keep_first``) asks for word shingles of similarity 0.8, which lie up to some 12 of 64 bits apart.
-No ball of that size leaves a branch of bits out, so its tree measures sizes of sets of shingles from the empty set,
-wide fingerprints find candidates, and their sets are compared exactly.
+The pipeline's stage (``keep_first``) takes the groups of this operator, and beside them asks for word shingles of
+similarity 0.8, which lie up to some 12 of 64 bits apart. No ball of that size leaves a branch of bits out, so for these a
+second tree measures sizes of sets of shingles from the empty set, wide fingerprints find candidates, and their sets are
+compared exactly. What one of both ways links is one group.
 """
 
 from __future__ import annotations
@@ -490,9 +491,21 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return marked.join(final, "fp", "left").select(F.col("key").alias(key), "component_id")
 
 
+def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key`` and ``component_id`` for every row: the least key that links of ``near_duplicates`` and of ``similar_documents``,
+    in any order, lead to, the row's own included; a null key counts for nothing in a minimum."""
+    docs = materialize(identified(docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text")), "_key", "_text").select("__id", "_key", "_text"), "documents")
+    pairs = near_duplicates(docs, "__id", "_text").select("__id", "component_id").unionByName(similar_documents(docs, "__id", "_text"))
+    groups = components(pairs.select(F.col("__id").alias("a"), F.col("component_id").alias("b")))
+    rows = docs.select("__id", "_key").join(groups, F.col("__id") == F.col("node"), "left").select("_key", F.coalesce("root", "__id").alias("root"))
+    rows = materialize(rows, "groups")
+    least = rows.groupBy("root").agg(F.min("_key").alias("component_id"))
+    return rows.join(least, "root").select(F.col("_key").alias(key), "component_id")
+
+
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose key is the least of its ``similar_documents``; repeated rows of that key stay. A row with a null key stays."""
-    least = similar_documents(docs, key, text).where(F.col("component_id") != F.col(key)).select(F.col(key)).distinct()
+    """The rows of ``docs`` whose key is the least of its ``duplicates``; repeated rows of that key stay. A row with a null key stays."""
+    least = duplicates(docs, key, text).where(F.col("component_id") != F.col(key)).select(F.col(key)).distinct()
     return docs.join(least, key, "left_anti")
 
 

@@ -520,6 +520,24 @@ def test_the_stage_finds_texts_of_similar_shingles(spark, odd, none, monkeypatch
     assert kept == Counter({1: 3, None: 2, 2: 1, 5: 1, 6: 1, 8: 1, 9: 1})
 
 
+def test_the_stage_takes_the_groups_of_the_operator(spark):
+    """A text whose repeats outweigh what is its own has the fingerprint of another one, though their sets of shingles are not similar; groups of both ways join."""
+    base, other, third = _random_texts(3, 101, 300)
+    repeated = " ".join([base] * 40)
+    near = " ".join([base] * 40 + [other])
+    ends = near.split()
+    ends[-1] = "end"
+    rows = [(7, near), (9, repeated), (11, " ".join(ends)), (4, third), (5, third + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bits = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    sets = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()}
+    assert bits[9] == 7 and sets[9] == 9 and sets[5] == 4
+    assert {r["doc_id"]: r["component_id"] for r in simhash.duplicates(docs).collect()} == {4: 4, 5: 4, 7: 7, 9: 7, 11: 7}
+    assert {r["doc_id"] for r in simhash.keep_first(docs).collect()} == {4, 7}
+    twice = docs.union(docs.where("doc_id in (5, 9)")).union(spark.createDataFrame([(None, third)], docs.schema))
+    assert Counter(r["doc_id"] for r in simhash.keep_first(twice).collect()) == {4: 1, 7: 1, None: 1}
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(k, k + 1) for k in range(50)] + [(1000, 1000 + k) for k in range(1, 30)] + [(5, 5), (None, 1)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
