@@ -65,14 +65,21 @@ def stream_backfill(spark, sf):
     return ingest.states(spark, root).join(before, "document_id").select("document_id", "first", F.col("status").alias("last"))
 
 
+#: Rows of a file that a stream lands, at least where there are several.
+LANDED = 50_000
+
+
 def _landed(spark, root, rows, at, days=(8, 16, 24)):
-    """``rows`` as files of a stream, one for each range of days, in the order of time."""
+    """``rows`` as files of a stream, as many for each range of days as its rows ask for, in the order of time; a range is a batch."""
     edges = [None, *days, None]
     day = F.dayofmonth(at)
-    for k, (low, high) in enumerate(zip(edges, edges[1:])):
-        part = rows.where((F.lit(True) if low is None else day > low) & (F.lit(True) if high is None else day <= high))
-        part.coalesce(1).write.parquet(f"{root}/{k}")
-    return spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(root)
+    ranges = [(F.lit(True) if low is None else day > low) & (F.lit(True) if high is None else day <= high) for low, high in zip(edges, edges[1:])]
+    # every range has the same number of files, none of them empty, so that a batch takes a whole range
+    n = max(1, min(rows.agg(*[F.count_if(r) for r in ranges]).first()) // LANDED)
+    for k, own in enumerate(ranges):
+        part = rows.where(own)
+        (part.coalesce(1) if n == 1 else part.repartition(n)).write.parquet(f"{root}/{k}")
+    return spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", n).parquet(root)
 
 
 def cache_lookups(spark, sf):

@@ -85,3 +85,16 @@ def test_windows_and_sessions_are_those_of_a_table(spark, sf):
 
     e = spark.read.parquet(f"{sf}/events.parquet")
     assert ingest.windowed_counts(e).agg(F.sum("n")).first()[0] == e.count() == ingest.sessions(e).agg(F.sum("n")).first()[0]
+
+
+def test_a_range_of_days_is_landed_by_many_tasks_and_taken_as_one_batch(spark, tmp_path, monkeypatch):
+    from lodemill.plans import streams
+
+    monkeypatch.setattr(streams, "LANDED", 10)
+    rows = spark.range(120).select("id", F.timestamp_seconds(1_704_067_200 + F.col("id") * 21_600).alias("ts"))
+    stream = streams._landed(spark, str(tmp_path / "in"), rows, "ts")
+    assert all(len(list((tmp_path / "in" / str(k)).glob("*.parquet"))) == 2 for k in range(4))
+    took = []
+    stream.writeStream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).foreachBatch(lambda df, k: took.append(sorted(r[0] for r in df.select("id").collect()))).start().awaitTermination()
+    want = [sorted(r[0] for r in rows.where(f"dayofmonth(ts) > {a} and dayofmonth(ts) <= {b}").select("id").collect()) for a, b in ((0, 8), (8, 16), (16, 24), (24, 31))]
+    assert took == want and sum(map(len, took)) == 120
