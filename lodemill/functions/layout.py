@@ -136,6 +136,14 @@ def stats(docs: DataFrame, key: str, pages: str = "pages") -> DataFrame:
     return out.withColumn("estimated_tokens", estimate_tokens(F.col("total_characters")))
 
 
+def counted(pages: Column) -> tuple[Column, Column]:
+    """Elements of a document and their mean confidence, as ``stats`` has them, from its own row; zeros for one without pages."""
+    each = lambda p: F.transform(p["layout"], lambda e: e["confidence"])
+    all_ = F.flatten(F.transform(pages, lambda p: F.coalesce(each(p), F.array().cast("array<double>"))))
+    sure = F.aggregate(F.array_compact(all_), F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n")), lambda s, x: F.struct((s["sum"] + x).alias("sum"), (s["n"] + 1).alias("n")), lambda s: F.when(s["n"] > 0, s["sum"] / s["n"]).otherwise(0.0))
+    return F.coalesce(F.size(F.when(pages.isNotNull(), all_)).cast("long"), F.lit(0)), F.coalesce(sure, F.lit(0.0))
+
+
 def confidence_histogram(docs: DataFrame, key: str, pages: str = "pages") -> DataFrame:
     """How many elements have a confidence of 0.9, of 0.7 and of less; unknown ones count nowhere."""
     c = F.col("e.confidence")

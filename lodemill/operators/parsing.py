@@ -281,10 +281,13 @@ def merge_tables_across_pages(docs: DataFrame, key: str, pages: str = "pages", s
     return docs.select(key, whole.alias(pages))
 
 
-def in_order(number: str, value: Column) -> Column:
-    """An aggregate: values as an array in the order of their numbers, those of one number in any order; values need not be comparable."""
+def in_order(number: str, value: Column, once: bool = False) -> Column:
+    """An aggregate: values as an array in the order of their numbers, those of one number in any order, or one of them if ``once``; values need not be comparable."""
     found = F.collect_list(F.struct(F.col(number).alias("n"), value.alias("v")))
     ordered = F.array_sort(found, lambda x, y: F.when(x["n"] < y["n"], -1).when(x["n"] > y["n"], 1).otherwise(0))
+    if once:
+        first = lambda z: F.filter(z, lambda x, i: (i == 0) | ~x["n"].eqNullSafe(F.get(z, i - 1)["n"]))
+        ordered = F.flatten(F.transform(F.array(ordered), first))  # the array of one keeps it from being sorted for every value
     return F.transform(ordered, lambda z: z["v"])
 
 
@@ -298,19 +301,19 @@ def ocr_documents(expected: DataFrame, cache: DataFrame, parse: Callable[[DataFr
     expected twice counts once, with the larger number of pages; one without a key has no pages.
     """
     from lodemill.functions import layout
-    from lodemill.sources.tables import written
 
     expected = expected.groupBy("doc_key").agg(F.max("page_count").alias("page_count"))
-    got = written(parse_in_rounds(pending_pages(expected, cache, now, hours), parse, rounds, wait).select("doc_key", "page_no", "ok", "page"), "ocr")
+    got = parse_in_rounds(pending_pages(expected, cache, now, hours), parse, rounds, wait).select("doc_key", "page_no", "ok", "page")
     fresh = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("cached_at").cast("timestamp")) <= hours * 3_600_000_000
-    known = cache.where(F.col("ok") & fresh).join(expected, ["doc_key", "page_count"], "left_semi").where(F.col("page_no").between(1, F.col("page_count"))).select("doc_key", "page_no", "page").dropDuplicates(["doc_key", "page_no"])
-    pages = known.unionByName(got.where("ok").select("doc_key", "page_no", "page").dropDuplicates(["doc_key", "page_no"]))
-    whole = expected.join(pages.where("doc_key is not null").groupBy("doc_key").agg(in_order("page_no", F.col("page")).alias("pages")), "doc_key", "left")
-    whole = written(whole.withColumn("pages", F.coalesce("pages", F.array().cast(f"array<{layout.PAGE}>"))), "documents")
-    counted = layout.stats(whole.where("doc_key is not null").select("doc_key", "pages"), "doc_key").select("doc_key", "total_elements", "average_confidence")
+    known = cache.where(F.col("ok") & fresh).join(expected, ["doc_key", "page_count"], "left_semi").where(F.col("page_no").between(1, F.col("page_count"))).select("doc_key", "page_no", "page")
+    pages = known.unionByName(got.where("ok").select("doc_key", "page_no", "page")).where("doc_key is not null")
+    # pages are shuffled once: repeated ones go within their document, and what is counted is counted there
+    whole = expected.join(pages.groupBy("doc_key").agg(in_order("page_no", F.col("page"), once=True).alias("pages")), "doc_key", "left")
+    whole = whole.withColumn("pages", F.coalesce("pages", F.array().cast(f"array<{layout.PAGE}>")))
     n = F.size("pages")
     status = F.when(n == F.col("page_count"), "COMPLETE").when(n > 0, "PARTIAL").otherwise("FAILED")
-    out = whole.join(counted, "doc_key", "left").fillna(0, ["total_elements", "average_confidence"]).withColumn("merged", merged_pages(F.col("pages"), whole.schema["pages"].dataType.elementType))
+    total, confidence = layout.counted(F.col("pages"))
+    out = whole.withColumns({"total_elements": total, "average_confidence": confidence, "merged": merged_pages(F.col("pages"), whole.schema["pages"].dataType.elementType)})
     quality = layout.ocr_quality(F.col("total_elements"), F.col("average_confidence"))
     out = out.select("doc_key", status.alias("status"), n.alias("pages_ok"), "page_count", "total_elements", quality.alias("quality"), layout.markdown(F.col("merged")).alias("markdown"), F.col("merged").alias("pages"))
     return out, got.join(expected, "doc_key").select("doc_key", "page_no", "page_count", "ok", now.cast("timestamp").alias("cached_at"), "page")

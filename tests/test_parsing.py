@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodemill.functions import layout
 from lodemill.operators import parsing
+from lodemill.sources import tables
 
 ELEMENTS = "array<struct<type:string,bbox:array<double>,text:string,md_text:string,confidence:double,extra:map<string,int>>>"
 SCHEMA = f"k long, pages array<struct<page_no:int,image_size:array<int>,layout:{ELEMENTS}>>"
@@ -174,3 +175,21 @@ def test_aligned_rows_as_by_signs(spark, monkeypatch):
     found = parsing.aligned_rows(spark.createDataFrame(texts, "k long, t string").repartition(3), ["k"], "t")
     assert found.dtypes == [("k", "bigint"), ("aligned", "int")] and "Generate" not in found._jdf.queryExecution().executedPlan().toString()
     assert {r[0]: r[1] for r in found.collect()} == most and len(most) > 10
+
+
+def test_pages_of_documents_are_written_by_rounds_and_shuffled_once(spark, monkeypatch):
+    """Repeated pages and repeated cache rows count once, nulls do not count in a mean, and pages are written by the rounds alone."""
+    names, written = [], tables.written
+    monkeypatch.setattr(tables, "written", lambda df, name: names.append(name) or written(df, name))
+    now = F.lit("2024-01-31").cast("timestamp")
+    text = lambda conf: '{"page_no": 1, "layout": [' + ",".join(f'{{"type": "text", "text": "a", "confidence": {c}}}' for c in conf) + "]}"
+    pages = spark.createDataFrame([(1, 1, text(["0.5", "null"])), (1, 2, text([])), (1, 3, text(["1.0", "0.0", "0.9"])), (2, 1, '{"page_no": 1}'), (3, 1, text(["0.1"]))], "doc_key long, page_no int, j string").select("doc_key", "page_no", F.from_json("j", layout.PAGE).alias("page"))
+    cache = pages.where("doc_key = 1 and page_no = 3").select("doc_key", "page_no", F.lit(3).alias("page_count"), F.lit(True).alias("ok"), now.alias("cached_at"), "page")
+    expected = spark.createDataFrame([(1, 3), (2, 1), (3, 2)], "doc_key long, page_count int")
+    out, kept = parsing.ocr_documents(expected, cache.unionByName(cache), lambda rows: rows.unionByName(rows).join(pages.withColumn("ok", F.lit(True)), ["doc_key", "page_no"]), now, 1, wait=lambda _: None)
+    got = {r["doc_key"]: (r["status"], r["pages_ok"], r["total_elements"], round(r["quality"], 6)) for r in out.collect()}
+    assert got == {1: ("COMPLETE", 3, 5, round(0.3 * 0.5 + 0.7 * 0.6, 6)), 2: ("COMPLETE", 1, 0, 0.0), 3: ("PARTIAL", 1, 1, round(0.03 + 0.07, 6))}
+    assert names == ["round0"] and kept.count() == 8
+    stats = layout.stats(out, "doc_key").select("doc_key", "total_elements", F.round("average_confidence", 6)).collect()
+    total, mean = layout.counted(F.col("pages"))
+    assert sorted(map(tuple, stats)) == sorted(map(tuple, out.select("doc_key", total, F.round(mean, 6)).collect()))
