@@ -72,14 +72,14 @@ def process_batch(docs: DataFrame, store: str, size: int = 500, overlap: int = 1
     spark = docs.sparkSession
     known, table = _table(spark, store, "states", STATES), _table(spark, store, "chunks", CHUNKS)
     asked = docs.select(F.col("id").alias("document_id"), "content").where("id is not null")
-    ids = written(asked.select("document_id").distinct(), "asked")
+    # whether an id has content is told once, so that only the content of new documents is shuffled, and once
+    ids = written(asked.groupBy("document_id").agg(F.min(F.col("content") != "").alias("filled")), "asked")
     new = written(not_yet(ids, known.of(ids), "document_id"), "new")
     n, name = new.count(), ids.agg(F.bit_xor(F.xxhash64("document_id"))).first()[0]
     if not n:
         return
     name = str(name if batch is None else batch)
-    fresh = asked.join(new, "document_id", "left_semi").groupBy("document_id").agg(F.min("content").alias("content"))
-    good = fresh.where("content != ''")
+    good = asked.join(new.where("filled"), "document_id", "left_semi").groupBy("document_id").agg(F.min("content").alias("content"))
     vectors = chunk_rows(good, "document_id", "content", size, overlap, strategy).withColumn("embedding", embedding(F.col("content"), embedder or HashEmbedder()))
     key = F.concat(F.lit("chunk-"), F.col("document_id").cast("string"), F.lit("-"), F.col("chunk_index").cast("string"))
     table.insert(vectors.withColumn("vectorized", F.col("embedding").isNotNull()).withColumn("external_id", key), name)
@@ -88,9 +88,9 @@ def process_batch(docs: DataFrame, store: str, size: int = 500, overlap: int = 1
     if not pending.isEmpty():
         pending.write.mode("append").partitionBy("batch").parquet(f"{store}/waiting")
     whole = own.groupBy("document_id").agg(F.bool_and("vectorized").alias("whole"))
-    empty = ~F.coalesce(F.col("content") != "", F.lit(False))
+    empty = ~F.coalesce("filled", F.lit(False))
     status = F.when(empty, "FAILED").when(F.coalesce("whole", F.lit(True)), "INDEXED").otherwise("PROCESSING")
-    found = fresh.join(whole, "document_id", "left").select("document_id", status.alias("status"), F.when(empty, "no content").alias("error_message"))
+    found = new.join(whole, "document_id", "left").select("document_id", status.alias("status"), F.when(empty, "no content").alias("error_message"))
     known.change(found, lambda old, rows: old.unionByName(rows))
 
 

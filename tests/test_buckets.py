@@ -97,3 +97,15 @@ def test_ingestion_reads_only_buckets_of_its_documents(spark, tmp_path, monkeypa
     monkeypatch.undo()
     assert ingest.states(spark, store).where("status = 'INDEXED'").count() == 202 and ingest.chunks(spark, store).where("vectorized").count() == 202
     assert ingest.backfill(spark, store) == 0 and not os.listdir(f"{store}/waiting") or all(not d.startswith("batch=") for d in os.listdir(f"{store}/waiting"))
+
+
+def test_states_of_a_batch_are_found_without_its_content(spark, tmp_path, monkeypatch):
+    """Of rows that share an id the least content counts; what tells a state shuffles no content."""
+    plans, change = [], Buckets.change
+    monkeypatch.setattr(Buckets, "change", lambda self, rows, how: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or change(self, rows, how))
+    docs = spark.createDataFrame([(1, None), (1, "b c"), (1, "a"), (2, ""), (2, "x"), (3, None), (4, "d"), (None, "e")], "id long, content string")
+    for _ in range(2):
+        ingest.process_batch(docs, str(tmp_path / "s"), embedder=spi.HashEmbedder(4), strategy="FIXED_LENGTH", batch=0)
+    assert sorted(map(tuple, ingest.states(spark, str(tmp_path / "s")).collect())) == [(1, "INDEXED", None), (2, "FAILED", "no content"), (3, "FAILED", "no content"), (4, "INDEXED", None)]
+    assert sorted((r["document_id"], r["content"]) for r in ingest.chunks(spark, str(tmp_path / "s")).collect()) == [(1, "a"), (4, "d")]
+    assert len(plans) == 1 and "content#" not in plans[0]
