@@ -86,3 +86,11 @@ def test_query_as_by_plain_python(spark, sf):
         assert abs(r["own"] - own[k]) < 1e-4 and abs(r["host_posterior"] - of_host[site[0]]) < 1e-4 and abs(r["path_posterior"] - of_path[site]) < 1e-4
         assert abs(r["quality"] - q) < 1e-4 and (r["keep"] == (q >= 0.5) or abs(q - 0.5) < 1e-4), k
     assert 0 < sum(r["keep"] for r in got) < len(got)
+
+
+def test_a_site_of_very_many_rows(spark):
+    """The squares of a host's and a path's rows have more digits than a count."""
+    rows = spark.range(1_200_000).selectExpr("if(id % 3 = 0, 'large', concat('h', id % 19)) as host", "if(id % 30 < 27, 'a', 'b') as path", "id % 10 / 10D as p")
+    got = {(r["host"], r["path"]): r for r in quality.sites(rows).collect()}
+    assert len(got) == 40 and all(0 < r["host_posterior"] < 1 and 0 < r["path_posterior"] < 1 for r in got.values())
+    assert abs(got["large", "a"]["host_posterior"] - 0.45) < 0.01 and got["large", "a"]["prior"] == 0.45
