@@ -16,7 +16,7 @@ import base64
 from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,8 @@ from .common import slices
 KEPT_WORDS = 250_000
 #: Bytes of text that are encoded at a time, and the largest vocabulary file that is broadcast.
 SLICE, MAX_VOCABULARY = 3 << 20, 64 << 20
+#: New words that are encoded side by side, and ids that are decoded at a time.
+WORDS, IDS = 1 << 14, 1 << 18
 
 
 class Replay:
@@ -128,10 +130,13 @@ class Known(dict):
         return number
 
     def take(self, replay: Replay) -> None:
-        """Encode the words that came since the last call."""
-        ids, offsets = replay.encode([w.encode() for w in self.fresh])
-        self.ids, self.starts = np.concatenate([self.ids, ids]), np.concatenate([self.starts, self.starts[-1] + offsets[1:]])
-        self.fresh = []
+        """Encode the words that came since the last call, ``WORDS`` at a time."""
+        ids, starts = [self.ids], [self.starts]
+        for at in range(0, len(self.fresh), WORDS):
+            own, offsets = replay.encode([w.encode() for w in self.fresh[at : at + WORDS]])
+            ids.append(own)
+            starts.append(starts[-1][-1] + offsets[1:])
+        self.ids, self.starts, self.fresh = np.concatenate(ids), np.concatenate(starts), []
 
     def ids_of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words by number, joined, and how many each has."""
@@ -185,14 +190,14 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", i
         import regex
 
         replay, words_of = _replay(content.value), regex.compile(pattern).findall
-        known = Known()
+        known, none = Known(), np.zeros(0, np.int32)
         for whole in rows:
             for batch in slices(whole, text, SLICE):
                 if len(known) > KEPT_WORDS:
                     known = Known()
-                words = [words_of(x) if x else [] for x in batch.column(at).to_pylist()]
-                counts = np.fromiter(map(len, words), np.int64, len(words))
-                codes = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
+                found = [array("i", map(known.__getitem__, words_of(x))) if x else none for x in (v.as_py() for v in batch.column(at))]
+                counts = np.fromiter(map(len, found), np.int64, len(found))
+                codes = np.concatenate(found) if found else none
                 known.take(replay)
                 values, sizes = known.ids_of(codes)
                 ends = np.zeros(len(codes) + 1, np.int64)
@@ -242,7 +247,7 @@ def list_offsets(lists: pa.Array) -> np.ndarray:
     return out
 
 
-def _by_ids(batch: pa.RecordBatch, at: int, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def _by_ids(batch: pa.RecordBatch, at: int, limit: int = IDS) -> Iterator[pa.RecordBatch]:
     """Pieces of a batch with at most ``limit`` ids, or one row."""
     off, start, n = list_offsets(batch.column(at)), 0, batch.num_rows
     while start < n:
