@@ -7,8 +7,10 @@ looked up in the files that may hold them, and only the rows that all of them sh
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,8 @@ from lodemill.sources.tables import written
 
 #: Row numbers of a segment, and row numbers up to which rows are asked for by a filter that files are skipped by.
 SPAN, LISTED = 1 << 15, 4096
+#: A keyword that a row in so many may hold is not looked up; row numbers that are broadcast; what a trigram and its text may make as one number.
+OFTEN, BROADCAST, LARGEST = 8, 1 << 20, 1 << 62
 #: Signs of text whose trigrams a task holds before it hands them on.
 HELD = 1_000_000
 
@@ -44,6 +48,11 @@ def trigrams(text: str) -> set[str]:
     return {text[k : k + 3] for k in range(len(text) - 2)}
 
 
+def grams_of(keyword: str) -> list[str]:
+    """The trigrams that a text which a keyword fits has to hold."""
+    return sorted(set().union(*[trigrams(x) for x in literals(keyword)]))
+
+
 def _each(rows: DataFrame) -> DataFrame:
     """``gram``, ``segment``, ``at``: the trigrams of ``rows(_n, text)``, each with the numbers of the texts that hold it, among those that a task holds at a time."""
 
@@ -64,36 +73,51 @@ def _each(rows: DataFrame) -> DataFrame:
 
 def _lists(numbers: list[int], texts: list[str]) -> pa.RecordBatch:
     """Trigrams of some texts, by segment, with the places of their texts in it in ascending order."""
-    signs = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    signs = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     sizes = np.array([len(x) for x in texts], np.int64)
     order = np.argsort(np.array(numbers, np.int64), kind="stable")
     n = np.array(numbers, np.int64)[order]
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    grams = signs[:-2] << 42 | signs[1:-1] << 21 | signs[2:] if len(signs) > 2 else np.zeros(0, np.int64)
+    met = np.zeros(0x110000, bool)
+    met[signs] = True
+    alphabet = np.flatnonzero(met)  # signs by their places in it, so that a trigram and its text are one number, sorted once
+    signs, many, some = (np.cumsum(met, dtype=np.int32) - 1)[signs].astype(np.int64), max(1, len(n)), max(1, len(alphabet))
+    grams = (signs[:-2] * some + signs[1:-1]) * some + signs[2:] if len(signs) > 2 else np.zeros(0, np.int64)
     owner, ends = np.repeat(rank, sizes), np.repeat(np.cumsum(sizes), sizes)
     whole = np.arange(len(grams)) + 2 < ends[: len(grams)]  # within one text
-    different, code = np.unique(grams[whole], return_inverse=True)
-    pairs = np.unique(code * max(1, len(n)) + owner[: len(grams)][whole])
-    code, number = pairs // max(1, len(n)), n[pairs % max(1, len(n))]
+    grams, owner, known = grams[whole], owner[: len(grams)][whole], None
+    if some**3 * many >= LARGEST:
+        known, grams = np.unique(grams, return_inverse=True)
+    pairs = np.sort(grams * many + owner)
+    pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]]] if len(pairs) else pairs
+    code, number = pairs // many, n[pairs % many]
     segment = number // SPAN
-    begins = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (segment[1:] != segment[:-1])]) if len(code) else np.zeros(0, np.int64)
-    spelled = np.stack([different >> 42, different >> 21 & 0x1FFFFF, different & 0x1FFFFF], axis=1).astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+    fresh = np.r_[True, code[1:] != code[:-1]] if len(code) else np.zeros(0, bool)
+    begins = np.flatnonzero(fresh | np.r_[True, segment[1:] != segment[:-1]]) if len(code) else np.zeros(0, np.int64)
+    different = code[fresh] if known is None else known[code[fresh]]
+    code = np.cumsum(fresh) - 1
+    spelled = alphabet[np.stack([different // (some * some), different // some % some, different % some], axis=1)].astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
     names = pa.array([spelled[k : k + 3] for k in range(0, len(spelled), 3)], pa.string())
     at = pa.ListArray.from_arrays(pa.array(np.r_[begins, len(code)], pa.int32()), pa.array((number % SPAN).astype(np.int32)))
     return pa.RecordBatch.from_arrays([names.take(pa.array(code[begins])), pa.array(segment[begins]), at], ["gram", "segment", "at"])
 
 
 def _members(lists: DataFrame) -> DataFrame:
-    """``segment``, ``at`` of every number of lists of differences."""
+    """``k``, ``_n`` of the rows that all ``least`` of a keyword's lists hold, from ``lists(k, least, segment, gaps)``.
+
+    What is shuffled are the lists; those of a keyword and a segment are counted side by side.
+    """
+
+    span = SPAN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                at = np.cumsum(np.asarray(batch.column(1)[k].values), dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), batch.column(0)[k].as_py())), pa.array(at)], ["segment", "at"])
+            for k, least, segment, held in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3), strict=True):
+                at = np.flatnonzero(np.bincount(np.concatenate([np.cumsum(np.asarray(gaps.values), dtype=np.int64) for gaps in held.values])) == least)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(segment * span + at)], ["k", "_n"])
 
-    return lists.select("segment", "gaps").mapInArrow(run, "segment long, at int")
+    return lists.groupBy("k", "least", "segment").agg(F.collect_list("gaps")).mapInArrow(run, "k int, _n long")
 
 
 @dataclass
@@ -104,14 +128,38 @@ class KeywordIndex:
     postings: DataFrame
     text: str
 
+    def _shared(self, grams: dict[int, list[str]]) -> DataFrame:
+        """``k``, ``_n`` of the rows that hold all ``grams[k]``."""
+        spark = self.rows.sparkSession
+        asked = spark.createDataFrame([(g, k, len(own)) for k, own in grams.items() for g in own], "gram string, k int, least int")
+        lists = self.postings.where(F.col("gram").isin(sorted(set().union(*grams.values()))))
+        return _members(lists.join(F.broadcast(asked), "gram").select("k", "least", "segment", "gaps"))
+
     def candidates(self, keyword: str) -> DataFrame | None:
         """``_n`` of the rows that hold all trigrams of a keyword; none if it has no trigram, so that every row may fit."""
-        grams = sorted(set().union(*[trigrams(x) for x in literals(keyword)]))
-        if not grams:
-            return None
-        lists = self.postings.where(F.col("gram").isin(grams)).select("gram", "segment", "gaps")
-        shared = _members(lists).groupBy("segment", "at").agg(F.count("*").alias("n")).where(F.col("n") == len(grams))
-        return shared.select((F.col("segment") * SPAN + F.col("at")).alias("_n"))
+        grams = grams_of(keyword)
+        return self._shared({0: grams}).select("_n") if grams else None
+
+    def search_all(self, keywords: Sequence[str]) -> DataFrame:
+        """``keyword`` beside the rows that ``search`` finds of each, in one pass over the rows.
+
+        A keyword without trigrams, and one that more than a row of ``OFTEN`` may hold, is asked of every row.
+        """
+        grams = {k: own for k, word in enumerate(keywords) if (own := grams_of(word))}
+        found = written(self._shared(grams), "candidates") if grams else self.rows.select(F.lit(0).alias("k"), "_n").limit(0)
+        counts, n = dict(found.groupBy("k").count().collect()), self.rows.count()
+        rare = [k for k in grams if counts.get(k, 0) * OFTEN <= n]
+        held = found.where(F.col("k").isin(rare)).groupBy("_n").agg(F.collect_set("k").alias("_ks"))
+        some = sum(counts.get(k, 0) for k in rare)
+        if len(rare) == len(keywords) and some <= LISTED:
+            rows = self.rows.where(F.col("_n").isin([r["_n"] for r in held.select("_n").collect()])).join(F.broadcast(held), "_n")
+        else:
+            rows = self.rows.join(F.broadcast(held) if some <= BROADCAST else held, "_n", "inner" if len(rare) == len(keywords) else "left")
+        # a text without a keyword's pieces is left out before its wild cards are tried at every place
+        fits = lambda k: reduce(and_, [F.contains(self.text, F.lit(x)) for x in literals(keywords[k])], F.lit(True)) & F.col(self.text).like(f"%{keywords[k]}%")
+        may = lambda k: F.array_contains("_ks", F.lit(k)) & fits(k) if k in rare else fits(k)
+        words = F.array_compact(F.array(*[F.when(may(k), F.lit(word)) for k, word in enumerate(keywords)]))
+        return rows.select(F.explode(words).alias("keyword"), *[c for c in self.rows.columns if c != "_n"])
 
     def search(self, keyword: str) -> DataFrame:
         """The rows whose text is LIKE ``%keyword%``, as ``store.matching`` finds them; wild cards in a keyword are wild."""

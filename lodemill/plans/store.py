@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from datetime import datetime
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,7 +95,7 @@ KEYWORDS = ("license", "the th", "hereby granted", "q", "e", "a%license", "zzz",
 def keyword_index(spark, sf):
     """Which documents hold which keyword, found by their trigrams."""
     index = keyword_lists.build(documents(spark, sf).select("id", "content"), "content", ["id"])
-    return reduce(DataFrame.unionByName, [index.search(k).select(F.lit(k).alias("keyword"), "id") for k in KEYWORDS])
+    return index.search_all(KEYWORDS).select("keyword", "id")
 
 
 def in_list(spark, sf):

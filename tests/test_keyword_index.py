@@ -51,3 +51,29 @@ def test_trigrams_are_dealt_out_as_lists(spark, monkeypatch):
     assert got == want and got["abc", 0] == [0] and got["abc", 1] == [0, 1]
     rows = spark.createDataFrame(list(enumerate(texts)), "_n long, t string").coalesce(1)
     assert keyword_index._each(rows).count() == len({g for g, _ in want}) and keyword_index._each(rows.limit(0)).count() == 0
+
+
+def test_large_alphabets_give_the_same_lists(monkeypatch):
+    texts = ["abcabc", "", "\U0001f600\u00e9abc", "xyzabc", "ab"]
+    want = keyword_index._lists(list(range(5)), texts)
+    monkeypatch.setattr(keyword_index, "LARGEST", 0)
+    assert keyword_index._lists(list(range(5)), texts).to_pylist() == want.to_pylist() and {r["gram"] for r in want.to_pylist()} == set().union(*map(keyword_index.trigrams, texts))
+
+
+@pytest.mark.parametrize("limits", [(8, 1 << 20, 4096), (1, 1 << 20, 4096), (1, 0, 0), (10**9, 0, 0)])
+def test_all_keywords_in_one_pass(spark, monkeypatch, limits):
+    for name, value in zip(("OFTEN", "BROADCAST", "LISTED"), limits, strict=True):
+        monkeypatch.setattr(keyword_index, name, value)
+    monkeypatch.setattr(keyword_index, "SPAN", 16)
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcd ") for _ in range(rng.choice([0, 2, 3, 30, 90]))) for _ in range(200)] + [None, "100% abc_d"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    index = keyword_index.build(rows, "t", ["id"])
+    for words in (("abc", "a%d b", "b", "nothing", "cab", "0\\% a", "_abc"), ("abcd", "dcba", "nothing")):
+        scans, search = [], keyword_index.KeywordIndex.search
+        monkeypatch.setattr(keyword_index.KeywordIndex, "search", lambda *a: scans.append(a))
+        got = sorted((r["keyword"], r["id"]) for r in index.search_all(words).collect())
+        monkeypatch.setattr(keyword_index.KeywordIndex, "search", search)
+        want = sorted((w, r["id"]) for w in words for r in store.matching(rows, contains={"t": w}).collect())
+        assert got == want and not scans
+    assert keyword_index.build(rows.limit(0), "t", ["id"]).search_all(("abc", "a")).count() == 0
